@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import decontaminate
+from tesserae.llm import common, decontaminate, secrets, token_ids
 from tesserae.llm.common import table
 
 
+def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents' token ids in ascending doc_id order, read the files back and report on each document."""
+    import public_tokenizers
+
+    folder = common.shared_dir(spark) + "/tokens"
+    files = token_ids.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return token_ids.read(spark, folder, files).drop("ids")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs).drop("text"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, hit words and items hit for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -17,6 +32,8 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_id_output": op3_token_id_output,
+    "op5_secret_scan": op5_secret_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
