@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import common, decontaminate, secrets, token_ids
+from tesserae.llm import common, decontaminate, html_text, secrets, token_ids, warc
 from tesserae.llm.common import table
 
 
@@ -19,12 +20,28 @@ def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.read(spark, folder, files).drop("ids")
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans of secrets in each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs).drop("text"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC records, read the archives back and report on each capture."""
+    folder = common.shared_dir(spark) + "/warc"
+    written = warc.write(warc.marked(table(spark, sf_dir, "pages")), folder)
+    if not written.take(1):
+        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    captures = warc.assemble(warc.read(spark, folder, payload=False))
+    return captures.select("page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "refers_to")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, hit words and items hit for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -33,11 +50,21 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_id_output": op3_token_id_output,
+    "op4_html_extraction": op4_html_extraction,
     "op5_secret_scan": op5_secret_scan,
+    "op7_warc": op7_warc,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND best <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND best <> page_id THEN best END AS refers_to
+FROM w
+""",
     "op8_benchmark_decontamination": r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
