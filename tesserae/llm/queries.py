@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, decontaminate, html_text, secrets, token_ids, warc
+from tesserae.llm import common, decontaminate, html_text, quality, secrets, token_ids, warc
 from tesserae.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality score; labels whose id hashes to the held-out fifth aren't learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out())
+    model = quality.fit(*quality.sample(docs, labels))
+    scores = quality.scored(docs, model).drop("text")
+    return scores.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' token ids in ascending doc_id order, read the files back and report on each document."""
     import public_tokenizers
@@ -49,6 +58,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_token_id_output": op3_token_id_output,
     "op4_html_extraction": op4_html_extraction,
     "op5_secret_scan": op5_secret_scan,
