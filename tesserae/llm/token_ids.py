@@ -32,7 +32,7 @@ PERCENTILE = 90
 #: Text bytes that a file's documents hold, about; a longer document has a file of its own size.
 FILE_BYTES = 8 << 20
 #: Words whose ids a worker keeps; when there are more, it starts anew. About 200 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 #: The byte-level pre-tokeniser's expression; used only on texts whose characters classify alike in every Unicode version.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -117,6 +117,17 @@ class Encoder:
         return b"".join([*map(self._ids, self.pieces(first)), *map(known.__getitem__, words), end])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, with the words that earlier tasks met."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pack(values: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Blocks of uint32 values, and their index with starts from 0."""
     n = len(values)
@@ -299,7 +310,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int, key: str =
 
         attempt = str(TaskContext.get().taskAttemptId())
         last = struct.pack("<I", end)
-        encode, at, out = Encoder(tokenizer), None, Writer()
+        encode, at, out = encoder(tokenizer), None, Writer()
 
         def close() -> Iterator[pa.RecordBatch]:
             if at is not None:
