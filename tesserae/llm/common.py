@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that goes to Python. Texts may be long, so batches hold few rows.
 BATCH_ROWS = 512
@@ -90,3 +91,35 @@ def ascii_lower(text: str) -> str:
     if text.isascii():
         return text.lower()
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def range_cuts(rows: DataFrame, key: str, size: str, most: int) -> list[int]:
+    """Ids that cut the rows into ranges of about `most` bytes: one number for each range comes to the driver."""
+    total = rows.agg(F.sum(size)).first()[0]
+    ranges = max(1, -(-(total or 0) // most))
+    if ranges == 1:
+        return []
+    found = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 50 * ranges)).first()[0]
+    return sorted({int(x) for x in found})
+
+
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """The number of the range: a balanced tree of comparisons, in generated code."""
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key <= F.lit(cuts[middle]), pick(low, middle)).otherwise(pick(middle + 1, high))
+
+    return pick(0, len(cuts))
+
+
+def lookup(key: Column, pairs: list[tuple[int, int]]) -> Column:
+    """The value of a key among sorted (key, value) pairs, null if there is none."""
+    if not pairs:
+        return F.lit(None).cast("int")
+    if len(pairs) == 1:
+        return F.when(key == F.lit(pairs[0][0]), F.lit(pairs[0][1]))
+    middle = len(pairs) // 2
+    return F.when(key < F.lit(pairs[middle][0]), lookup(key, pairs[:middle])).otherwise(lookup(key, pairs[middle:]))

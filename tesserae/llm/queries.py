@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, decontaminate, html_text, quality, secrets, token_ids, warc
+from tesserae.llm import common, decontaminate, fingerprints, html_text, quality, secrets, token_ids, warc
 from tesserae.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).drop("text"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and how like they and the next document are."""
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_token_id_output": op3_token_id_output,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op7_warc": op7_warc,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_document_fingerprints": op9_document_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -275,25 +275,10 @@ def ordered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", file_by
     The ranges come from the ids' own quantiles, found over id and length alone, so that texts are read once. Documents
     with the same id stand in one file; a null id counts as least.
     """
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    total, least = docs.agg(F.sum(size), F.min(key)).first()
-    files = max(1, -(-(total or 0) // file_bytes))
-    cuts: list[int] = []
-    if files > 1 and least is not None:
-        found = docs.filter(F.col(key).isNotNull()).agg(F.percentile_approx(key, [k / files for k in range(1, files)], 50 * files)).first()[0]
-        cuts = sorted({int(x) for x in found})
-    if cuts:
-        # A balanced tree of comparisons: a step for each halving, all in generated code.
-        def pick(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col(key) <= F.lit(cuts[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-        where = F.when(F.col(key).isNull(), F.lit(0)).otherwise(pick(0, len(cuts)))
-    else:
-        where = F.lit(0)
-    dealt = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), where.alias("file"))
+    place = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    slim = docs.select(place.alias("place"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
+    cuts = common.range_cuts(slim, "place", "size", file_bytes)
+    dealt = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), common.range_of(place, cuts).alias("file"))
     return dealt.repartitionById(len(cuts) + 1, F.col("file")).sortWithinPartitions("file", F.asc_nulls_first("key"), F.xxhash64("text"), "text")
 
 
