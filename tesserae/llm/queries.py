@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, decontaminate, fingerprints, html_text, quality, secrets, token_ids, warc
+from tesserae.llm import common, decontaminate, fingerprints, html_text, quality, secrets, simhash, token_ids, warc
 from tesserae.llm.common import table
 
 
@@ -41,6 +41,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs).drop("text"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the smallest doc_id that links reach from it."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC records, read the archives back and report on each capture."""
     folder = common.shared_dir(spark) + "/warc"
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_id_output": op3_token_id_output,
     "op4_html_extraction": op4_html_extraction,
     "op5_secret_scan": op5_secret_scan,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_warc": op7_warc,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_document_fingerprints": op9_document_fingerprints,
