@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, decontaminate, fingerprints, html_text, quality, secrets, simhash, token_ids, warc
+from tesserae.llm import common, decontaminate, fingerprints, html_text, pii, quality, secrets, simhash, token_ids, warc
 from tesserae.llm.common import table
 
+#: The key of the surrogates in the query; a deployment passes its own secret to pii.replace.
+PII_KEY = "tesserae-demonstration-key"
+
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's quality score; labels whose id hashes to the held-out fifth aren't learned from."""
@@ -68,6 +71,11 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by surrogates, and counts by type."""
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_token_id_output": op3_token_id_output,
@@ -77,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {

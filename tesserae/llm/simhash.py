@@ -132,11 +132,7 @@ def components(found: DataFrame, where: str, *, hot: int = HOT) -> DataFrame:
     named = placed.groupBy("root").agg(F.min("head").alias("component_id"))
     of = common.cut(placed.join(named, "root").select("fp", "n", "component_id"), where, "components")
     # A fingerprint that many rows share is joined by broadcast; there are at most 1 / HEAVY of them.
-    total = found.count()
-    heavy = F.broadcast(of.filter(F.col("n") >= max(1.0, HEAVY * total)).select("fp", F.col("component_id").alias("_heavy"), F.lit(True).alias("_is")))
-    split = found.join(heavy, "fp", "left")
-    rest = split.filter(F.col("_is").isNull()).drop("_heavy", "_is").join(of.filter(F.col("n") < max(1.0, HEAVY * total)).select("fp", "component_id"), "fp")
-    return split.filter(F.col("_is")).select(*found.columns, F.col("_heavy").alias("component_id")).unionByName(rest.select(*found.columns, "component_id"))
+    return common.join_heavy(found, of, ["fp"], "n", max(1.0, HEAVY * found.count()), ["component_id"])
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, hot: int = HOT) -> DataFrame:
