@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, decontaminate, fingerprints, html_text, pii, quality, secrets, simhash, token_ids, warc
+from tesserae.llm import common, decontaminate, fingerprints, html_text, pieces, pii, quality, secrets, simhash, token_ids, warc
 from tesserae.llm.common import table
 
 #: The key of the surrogates in the query; a deployment passes its own secret to pii.replace.
@@ -23,6 +23,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op2_sentencepiece_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of each document, sampled without replacement, with their scores and a decoding check."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False).drop("ids")
+
+
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents' token ids in ascending doc_id order, read the files back and report on each document."""
     import public_tokenizers
@@ -78,6 +86,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_sentencepiece_gumbel": op2_sentencepiece_gumbel,
     "op3_token_id_output": op3_token_id_output,
     "op4_html_extraction": op4_html_extraction,
     "op5_secret_scan": op5_secret_scan,
