@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         begin = 0
         for i, n in enumerate(lengths):
             if size and size + n > most:
