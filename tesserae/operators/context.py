@@ -63,14 +63,14 @@ def render(results: DataFrame, queries: DataFrame) -> DataFrame:
     ranked = labelled.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "section").orderBy("rank"))).filter(F.col("_n") <= 2)
     held = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("section", "_n", F.trim("snippet").alias("s")))).alias("found"))
     base = queries.select("query_id", text.intent(F.col("query")).alias("intent")).join(held, "query_id", "left")
+
+    def part(name: str, most: int) -> Column:
+        body = F.array_join(F.transform(F.filter("found", lambda x: (x["section"] == name) & (x["_n"] <= most)), lambda x: x["s"]), "\n")
+        return F.concat(F.lit(f"[{name}]\n"), F.coalesce(F.nullif(body, F.lit("")), F.lit("Check documentation" if name == "SOLUTION" else "N/A")))
+
     chain = F.when(F.lit(False), F.lit(""))
     for intent, sections in LAYOUT.items():
-        parts = []
-        for name, most in sections:
-            default = "Check documentation" if name == "SOLUTION" else "N/A"
-            body = F.array_join(F.transform(F.filter("found", lambda x, name=name, most=most: (x["section"] == name) & (x["_n"] <= most)), lambda x: x["s"]), "\n")
-            parts.append(F.concat(F.lit(f"[{name}]\n"), F.coalesce(F.nullif(body, F.lit("")), F.lit(default))))
-        chain = chain.when(F.col("intent") == intent, F.concat_ws("\n\n", *parts))
+        chain = chain.when(F.col("intent") == intent, F.concat_ws("\n\n", *(part(*x) for x in sections)))
     return base.select("query_id", "intent", F.when(F.col("found").isNull(), "No context available").otherwise(chain).alias("context"))
 
 

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tesserae.functions import quality, urls
 
-DOCS = T.StructType.fromDDL("id long, url string, title string, content string, domain string, language string, scraped_at timestamp, metadata string, score double")
-CODE_BLOCKS = T.StructType.fromDDL("id long, doc_id long, snippet string, language string, context string, line_number int")
-TOPICS = T.StructType.fromDDL("id long, doc_id long, topic string, heading string, level int, content string")
-QUERY_SOURCES = T.StructType.fromDDL("query string, url string, success_count long, failure_count long")
-JOBS = T.StructType.fromDDL("query string, status string, updated_at timestamp, created_at timestamp")
-EMBEDDINGS = T.StructType.fromDDL("doc_id long, vector array<float>, model string, created_at timestamp")
+DOCS = "id long, url string, title string, content string, domain string, language string, scraped_at timestamp, metadata string, score double"
+CODE_BLOCKS = "id long, doc_id long, snippet string, language string, context string, line_number int"
+TOPICS = "id long, doc_id long, topic string, heading string, level int, content string"
+QUERY_SOURCES = "query string, url string, success_count long, failure_count long"
+JOBS = "query string, status string, updated_at timestamp, created_at timestamp"
+EMBEDDINGS = "doc_id long, vector array<float>, model string, created_at timestamp"
 
 
 def empty_store(spark: SparkSession) -> dict[str, DataFrame]:

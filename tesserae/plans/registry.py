@@ -1,14 +1,701 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries over the supplied tables, and DuckDB SQL that gives the same rows.
+
+Names begin with the operator's id. Doubles are rounded, counts are BIGINT, and ties are broken by ids, on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tesserae.functions import html, quality, text, urls
+from tesserae.operators import context, feedback, repo, search, store
+from tesserae.plans import fixtures
+from tesserae.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a function under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- stored documents made of the pages ------------------------------------------------------------------------------
+
+PAGE_DOCS = r"""page_docs AS (
+  SELECT page_id AS id, url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title,
+    lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'),
+      '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS content,
+    regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS domain, TIMESTAMP '2024-01-01' + to_hours(CAST(page_id AS INTEGER)) AS scraped_at
+  FROM pages)"""
+
+
+def page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as stored documents; the hour of scraping follows the id. Character references stay, for the oracle's sake."""
+    p = table(spark, sf_dir, "pages")
+    bare = F.col("html")
+    for name in ("script", "style", "nav", "footer"):
+        bare = F.regexp_replace(bare, rf"(?is)<{name}\b.*?</{name}>", " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), "<[^>]*>", " ")
+    return p.select(
+        F.col("page_id").alias("id"),
+        "url",
+        F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")).alias("title"),
+        F.lower(F.trim(F.regexp_replace(bare, r"\s+", " "))).alias("content"),
+        urls.domain(F.col("url")).alias("domain"),
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("page_id").cast("int"))).alias("scraped_at"),
+    )
+
+
+# --- A: scans --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, url FROM pages ORDER BY page_id DESC LIMIT 25")
+def a08_newest_documents(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "url").orderBy(F.desc("page_id")).limit(25)
+
+
+@query("SELECT doc_id, substr(lower(trim(text)), 1, 400) AS snippet, CAST(0 AS DOUBLE) AS score FROM documents ORDER BY doc_id DESC LIMIT 3")
+def a12_recent_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.orderBy(F.desc("doc_id")).limit(3).select("doc_id", F.substring(F.lower(F.trim("text")), 1, 400).alias("snippet"), F.lit(0.0).alias("score"))
+
+
+@query("SELECT doc_id, source, n_chars FROM documents WHERE source = 'src3' ORDER BY doc_id DESC")
+def a13_documents_of_source(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", "source", "n_chars").orderBy(F.desc("doc_id"))
+
+
+@query("SELECT page_id, substr(title || ' ' || content, 1, 4096) AS text FROM (WITH " + PAGE_DOCS + " SELECT id AS page_id, title, content FROM page_docs)")
+def a16_embedding_texts(spark, sf_dir):
+    return page_docs(spark, sf_dir).select(F.col("id").alias("page_id"), F.substring(F.concat_ws(" ", "title", "content"), 1, 4096).alias("text"))
+
+
+@query(
+    "SELECT page_id, (length(html) < 1500 OR regexp_matches(html, '(?i)<div id=[\"'']root[\"'']>\\s*</div>') OR (len(regexp_extract_all(html, '(?i)<script')) > 15 AND len(regexp_extract_all(html, '(?i)<p')) < 3)) AS needs_browser FROM pages"
+)
+def a25_needs_browser(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.needs_browser(F.col("html")).alias("needs_browser"))
+
+
+@query("SELECT page_id, (url LIKE 'http://%' OR url LIKE 'https://%') AS valid FROM pages")
+def a38_valid_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", (F.col("url").startswith("http://") | F.col("url").startswith("https://")).alias("valid"))
+
+
+@query()
+def a02_lookup_variants(spark, sf_dir):
+    docs = table(spark, sf_dir, "pages").select("page_id", "url")
+    wanted = docs.select(F.col("page_id").alias("query_id"), F.concat(F.regexp_replace("url", "^https://", "http://"), F.lit("/")).alias("url"))
+    return readers.lookup(docs, wanted.unionByName(docs.select(F.col("page_id").alias("query_id"), "url")))
+
+
+@query()
+def a21_crawl(spark, sf_dir):
+    """Best-first rounds over the link graph of the pages, from the page with the least id."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-crawl-")
+    folder = f"{base.rstrip('/')}/crawl-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}"
+
+    def cut(df, name):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    pages = table(spark, sf_dir, "pages")
+    return readers.crawl(readers.link_graph(pages), pages.orderBy("page_id").limit(1).select("url"), max_depth=2, max_pages=20, checkpoint=cut)
+
+
+# --- B: sinks --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH d AS (SELECT doc_id AS id, lower(trim(text)) AS c FROM documents), p AS (SELECT substr(c, 1, 500) AS k, min(id) AS id FROM d WHERE length(c) >= 50 AND len(string_split_regex(c, '\\s+')) >= 20 GROUP BY 1) SELECT id FROM p"
+)
+def b01_save_gate_and_prefix_copies(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    gated = d.filter(quality.worth_saving(F.col("content"), F.lit(False)))
+    return store.without_prefix_copies(gated).select("id")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def b02_merge_by_key(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return store.merge(c, c.filter("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("X")), ["c_custkey"])
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS query, max_by(event_type, (ts, event_id)) AS status, max(ts) AS updated_at, min(ts) AS created_at FROM events GROUP BY 1")
+def b04_job_states(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    s = store.jobs(e.select(F.col("user_id").cast("string").alias("query"), F.col("event_type").alias("status"), "at"))
+    return s.select("query", "status", F.col("updated_at.ts").alias("updated_at"), F.col("created_at.ts").alias("created_at"))
+
+
+FEEDBACK = "fb AS (SELECT json_extract_string(props, '$.k') AS query, 'user://' || user_id AS url, event_type <> 'error' AS success, ts, event_id AS seq FROM events WHERE event_type IN ('purchase', 'click', 'error'))"
+
+
+def feedback_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "click", "error"))
+    return e.select(F.get_json_object("props", "$.k").alias("query"), F.concat(F.lit("user://"), F.col("user_id").cast("string")).alias("url"), (F.col("event_type") != "error").alias("success"), "ts", F.col("event_id").alias("seq"))
+
+
+@query(
+    "WITH " + FEEDBACK + ", l AS (SELECT url, list(CASE WHEN success THEN CAST(0.2 AS DOUBLE) ELSE CAST(-0.2 AS DOUBLE) END ORDER BY ts, seq) AS d FROM fb GROUP BY url) "
+    "SELECT url, round(list_reduce(d, lambda a, x: greatest(CAST(0.1 AS DOUBLE), least(CAST(5.0 AS DOUBLE), a + x)), CAST(1.0 AS DOUBLE)), 6) AS score FROM l"
+)
+def b05_learned_scores(spark, sf_dir):
+    return feedback.scores(feedback_log(spark, sf_dir)).select("url", F.round("score", 6).alias("score"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 15 DAY")
+def b07_prune_by_age(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.filter(~store.older_than(F.lit("2024-01-31").cast("timestamp_ntz"), 15, "ts")).select("event_id")
+
+
+@query("SELECT page_id FROM pages WHERE NOT (regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) = 'example.com' OR contains(lower(url), 'example.com'))")
+def b08_prune_by_domain(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("domain", urls.domain(F.col("url"))).withColumnRenamed("page_id", "id")
+    kept, _ = store.delete(p, [], store.of_domain("example.com"))
+    return kept.select(F.col("id").alias("page_id"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def b06_cascade_delete(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("id", F.col("o_orderkey"))
+    _, (left,) = store.delete(o, [table(spark, sf_dir, "lineitem").withColumn("doc_id", F.col("l_orderkey"))], F.col("o_orderstatus") == "F")
+    return left.select("l_orderkey", "l_linenumber")
+
+
+@query(
+    "WITH " + PAGE_DOCS + ", s AS (SELECT *, regexp_replace(domain, '^[^.]*\\.', '') AS d2 FROM page_docs), n AS (SELECT *, row_number() OVER (PARTITION BY d2 ORDER BY id) AS r FROM s) "
+    "SELECT d2 AS domain, 'https://' || d2 || '/#combined' AS url, string_agg(substr(content, 1, 3000), chr(10) || chr(10) ORDER BY r) AS content FROM n WHERE r <= 5 GROUP BY d2 HAVING count(*) > 1"
+)
+def b13_combined_documents(spark, sf_dir):
+    p = page_docs(spark, sf_dir).withColumn("domain", F.regexp_replace("domain", r"^[^.]*\.", ""))
+    return store.combined(p)
+
+
+@query("SELECT to_json({'doc_id': doc_id, 'lang': lang}) AS json FROM documents ORDER BY doc_id DESC LIMIT 50")
+def b12_export_json(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return d.orderBy(F.desc("doc_id")).limit(50).select(F.to_json(F.struct("doc_id", "lang")).alias("json"))
+
+
+# --- C: URLs ---------------------------------------------------------------------------------------------------------
+
+_SEED = "https://docs.example.com/docs/"
+URLS = "u AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-k - 1}, '{u}')" for k, u in enumerate(fixtures.URLS)) + ") AS v(id, url))"
+_P1 = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1))"
+_Q = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+
+
+def all_urls(spark, sf_dir):
+    more = spark.createDataFrame([(-k - 1, u) for k, u in enumerate(fixtures.URLS)], "id long, url string")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url").unionByName(more)
+
+
+@query("WITH " + URLS + " SELECT id, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', ''), '/+\\?', '?') AS normal FROM u")
+def c01_normalize(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", urls.normalize(F.col("url")).alias("normal"))
+
+
+@query("WITH " + URLS + " SELECT id, CASE WHEN contains(url, 'github.com') AND contains(url, '/blob/') THEN replace(replace(url, 'github.com', 'raw.githubusercontent.com'), '/blob/', '/') ELSE url END AS raw FROM u")
+def c04_raw_file(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", urls.raw_file(F.col("url")).alias("raw"))
+
+
+@query("WITH " + URLS + " SELECT id, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), 'unknown') AS domain FROM u")
+def c05_domain(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", urls.domain(F.col("url")).alias("domain"))
+
+
+@query()
+def c06_safety(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", urls.safety(F.col("url")).alias("verdict"))
+
+
+def _like(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in words) + "]"
+
+
+def _gate_v1() -> str:
+    from tesserae.functions import fixed
+
+    ends = "|".join(x.replace(".", "\\.") for x in fixed.BLOCKED_EXTENSIONS_V1)
+    paths = "|".join(f"(?:{p})" for p in fixed.BLOCKED_PATHS_V1)
+    full = f"lower(CASE WHEN {_Q} <> '' THEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) || '?' || {_Q} ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END)"
+    return f"(regexp_matches(lower(url), '^https?://') AND NOT regexp_matches({_P1}, '({ends})$') AND NOT regexp_matches({full}, '{paths}') AND NOT list_has_any(list_filter(string_split({_P1}, '/'), lambda x: x <> ''), {_like(fixed.BLOCKED_SEGMENTS_V1)}))"
+
+
+def _first_sql(rules, of: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({of}, '{p}') THEN {n}" for p, n in rules) + " ELSE 0 END"
+
+
+def _score_v1() -> str:
+    from tesserae.functions import fixed
+
+    host = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), 'unknown')), '^.*@', ''), ':\\d*$', ''), '^www\\.', '')"
+    depth = f"len(list_filter(string_split({_P1}, '/'), lambda x: x <> ''))"
+    return (
+        f"CASE WHEN {_gate_v1()} THEN greatest(0, least(100, 50 + CASE WHEN contains({host}, 'docs.example.com') OR contains('docs.example.com', {host}) THEN 15 ELSE -25 END"
+        f" + CASE WHEN starts_with({_P1}, '/docs') THEN 10 ELSE 0 END + {_first_sql(fixed.HIGH_VALUE_V1, _P1)} + {_first_sql(fixed.LOW_VALUE_V1, _P1)}"
+        f" + CASE WHEN {depth} = 0 THEN 5 WHEN {depth} <= 2 THEN 8 WHEN {depth} <= 4 THEN 3 WHEN {depth} >= 7 THEN -8 ELSE 0 END + CASE WHEN {_Q} <> '' THEN -5 ELSE 0 END)) ELSE 0 END"
+    )
+
+
+@query("WITH " + URLS + f" SELECT id, {_gate_v1()} AS allowed FROM u")
+def c08_gate_v1(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", urls.allowed_v1(F.col("url")).alias("allowed"))
+
+
+@query("WITH " + URLS + f" SELECT id, CAST({_score_v1()} AS INTEGER) AS score FROM u")
+def c09_score_v1(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", urls.score_v1(F.col("url"), _SEED).cast("int").alias("score"))
+
+
+@query(
+    "WITH " + URLS + f", s AS (SELECT id, url, CAST({_score_v1()} AS INTEGER) AS score FROM u) SELECT id, score, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'ok' WHEN score >= 25 THEN 'low' ELSE 'skip' END AS label FROM s WHERE score >= 25"
+)
+def c10_c11_filter_rank_explain(spark, sf_dir):
+    s = all_urls(spark, sf_dir).withColumn("score", urls.score_v1(F.col("url"), _SEED).cast("int")).filter("score >= 25")
+    return s.orderBy(F.desc("score"), F.desc("url")).select("id", "score", urls.label_v1(F.col("score")).alias("label"))
+
+
+@query()
+def c12_c14_second_rules(spark, sf_dir):
+    s = all_urls(spark, sf_dir).withColumn("score", urls.score_v2(F.col("url"), "https://github.com/owner/name"))
+    return s.select("id", urls.allowed_v2(F.col("url"), "https://github.com/owner/name").alias("allowed"), "score", (F.col("score") >= 45).alias("doc_like"), urls.category_v2(F.col("score")).alias("category"))
+
+
+@query()
+def c15_c16_uris(spark, sf_dir):
+    u = all_urls(spark, sf_dir).withColumn("uri", urls.document_uri(F.col("url")))
+    return u.select("id", "uri", urls.code_uri(F.col("uri"), F.lit(0)).alias("code_uri"))
+
+
+@query("WITH " + URLS + " SELECT id, regexp_extract(url, 'github\\.com/([^/?#]+)/([^/?#]+)', 1) AS owner, regexp_replace(regexp_extract(url, 'github\\.com/([^/?#]+)/([^/?#]+)', 2), '\\.git$', '') AS name FROM u")
+def c17_repository(spark, sf_dir):
+    r = urls.repository(F.col("url"))
+    return all_urls(spark, sf_dir).select("id", r["owner"].alias("owner"), r["name"].alias("name"))
+
+
+@query(
+    "WITH " + URLS + " SELECT CASE WHEN contains(lower(url), 'github.com') THEN 'github' WHEN contains(lower(url), 'docs.') OR contains(lower(url), '/docs') OR contains(lower(url), '/documentation') OR contains(lower(url), 'readthedocs') THEN 'docs' ELSE 'community' END AS kind, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY 1"
+)
+def c20_source_types(spark, sf_dir):
+    return all_urls(spark, sf_dir).groupBy(urls.source_type(F.col("url")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT page_id, CASE WHEN contains(url, 'github.com') THEN 'github' WHEN regexp_matches(lower(url), '\\.(json|ya?ml|toml|ini|xml|cfg|conf)$') THEN 'config' WHEN contains(url, 'wikipedia.org') THEN 'wikipedia' WHEN contains(html, '<pre') AND contains(html, '<code') THEN 'docs' "
+    "WHEN contains(html, '<table') AND (contains(html, '<code') OR contains(html, '<h')) THEN 'docs' WHEN contains(html, '<article') OR contains(html, '<main') THEN 'article' WHEN length(html) < 500 THEN 'thin' ELSE 'generic' END AS page_type FROM pages"
+)
+def c18_page_types(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.page_type(F.col("url"), F.col("html")).alias("page_type"))
+
+
+# --- D: extraction ---------------------------------------------------------------------------------------------------
+
+
+@query("WITH " + PAGE_DOCS + " SELECT id AS page_id, title, content FROM page_docs")
+def d08_d12_title_and_text(spark, sf_dir):
+    return page_docs(spark, sf_dir).select(F.col("id").alias("page_id"), "title", "content")
+
+
+_PARAGRAPHS = "list_filter(list_transform(string_split_regex(html, '(?i)<p[ >]')[2:], lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '(?is)</p>.*$', ''), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: length(x) > 20)"
+
+
+@query(f"SELECT page_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p, '|') AS joined FROM (SELECT page_id, {_PARAGRAPHS} AS p FROM pages)")
+def d22_paragraphs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("p", html.paragraphs(F.col("html")))
+    return p.select("page_id", F.size("p").cast("long").alias("n"), F.array_join("p", "|").alias("joined"))
+
+
+@query("SELECT page_id, CAST(len(list_distinct(list_filter(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref=[\"'']([^\"'']*)[\"'']', 1), lambda x: x <> '' AND NOT starts_with(x, '#')))) AS BIGINT) AS n_links FROM pages")
+def d22_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(html.hrefs(F.col("html"))).cast("long").alias("n_links"))
+
+
+@query()
+def d07_parsed_pages(spark, sf_dir):
+    p = html.parse(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return p.select("page_id", F.size("parsed.headings").alias("headings"), F.size("parsed.links").alias("links"), F.size("parsed.code_blocks").alias("code_blocks"), F.size("parsed.topics").alias("topics"), F.size("parsed.tables").alias("tables"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g')) AS t FROM documents) SELECT doc_id, CAST(i AS INTEGER) AS chunk, substr(t, CAST(i * 1400 + 1 AS BIGINT), 1400) AS text FROM (SELECT doc_id, t, unnest(range(0, CAST(ceil(length(t) / 1400.0) AS BIGINT))) AS i FROM t WHERE length(t) > 0)"
+)
+def d29_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk", "text"))
+
+
+@query()
+def d20_d33_code_analysis(spark, sf_dir):
+    c = spark.createDataFrame(fixtures.CODE, "id long, code string").withColumn("language", html.detect_language(F.col("code")))
+    return c.select("id", "language", text.imports(F.col("code"), F.col("language")).alias("imports"), text.types(F.col("code"), F.col("language")).alias("types"), text.functions(F.col("code"), F.col("language")).alias("functions"))
+
+
+@query(
+    "SELECT page_id, CAST(len(list_filter(p, lambda x: regexp_matches(lower(trim(x)), 'sign in|login|log in|logout|sign out|sign up|register|create account|my account|privacy policy|terms of service|terms of use|contact us|careers|jobs|about us|newsletter|subscribe|cookie policy|site map|sitemap|help center|support|faq|copyright|all rights reserved|advertisement|sponsor|facebook|twitter|instagram|linkedin|youtube|tiktok|pinterest|logo|icon|avatar'))) AS BIGINT) AS n_junk FROM (SELECT page_id, "
+    + _PARAGRAPHS + " AS p FROM pages)"
+)
+def d23_f13_junk_paragraphs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").withColumn("p", html.paragraphs(F.col("html")))
+    return p.select("page_id", F.size(F.filter("p", html.junk)).cast("long").alias("n_junk"))
+
+
+# --- E: search -------------------------------------------------------------------------------------------------------
+
+_TOKENS = "SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents"
+_BM25 = (
+    "w AS (" + _TOKENS + "), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), s AS (SELECT d.doc_id, coalesce(c.dl, 0) AS dl FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1) c USING (doc_id)), "
+    "g AS (SELECT count(*) AS total, avg(dl) AS avgdl FROM s), q AS (SELECT * FROM (VALUES (1, 'license'), (1, 'apache'), (2, 'worthless'), (2, 'tra')) AS v(query_id, q)), "
+    "m AS (SELECT query_id, q, doc_id, sum(tf) AS f FROM p JOIN q ON starts_with(term, q) GROUP BY ALL), n AS (SELECT query_id, q, count(*) AS n FROM m GROUP BY ALL), "
+    "b AS (SELECT query_id, doc_id, -sum(CASE WHEN ln((total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM m JOIN n USING (query_id, q) JOIN s USING (doc_id), g GROUP BY ALL)"
+)
+
+
+def _searches(spark):
+    return spark.createDataFrame([(1, "license apache"), (2, "worthless tra")], "query_id int, query string")
+
+
+def ranked(spark, sf_dir, k=10):
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    scored = search.bm25(index, search.query_terms(_searches(spark))).withColumn("bm25", F.round("bm25", 6))
+    return search.top(scored, k, [F.asc("bm25"), F.asc("doc_id")])
+
+
+@query("WITH " + _BM25 + ", r AS (SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM b) SELECT query_id, doc_id, bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY bm25, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10")
+def e05_bm25_top10(spark, sf_dir):
+    return ranked(spark, sf_dir)
+
+
+@query("WITH w AS (" + _TOKENS + "), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL) SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term HAVING count(*) >= 5")
+def m07_term_statistics(spark, sf_dir):
+    p = search.build_index(table(spark, sf_dir, "documents")).postings
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
+
+
+@query(
+    "WITH " + _BM25 + ", r AS (SELECT query_id, doc_id, round(1 + (-bm25) / (1 - bm25), 6) AS final_score FROM b) SELECT query_id, doc_id, final_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10"
+)
+def e07_final_scores(spark, sf_dir):
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    scored = search.bm25(index, search.query_terms(_searches(spark))).select("query_id", "doc_id", F.round(search.final_score(F.lit(1.0), F.col("bm25"), F.lit(0)), 6).alias("final_score"))
+    return search.top(scored, 10, [F.desc("final_score"), F.asc("doc_id")])
+
+
+@query()
+def e10_tiered_search(spark, sf_dir):
+    docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id").withColumn("learned", F.lit(1.0)).withColumn("affinity", F.lit(0))
+    asked = spark.createDataFrame([(1, "thtion onand"), (2, "c++"), (3, "qqqqzzzz")], "query_id int, query string")
+    index = search.build_index(docs, text="content")
+    return search.tiered(docs, index, asked, limit=5).withColumn("final_score", F.round("final_score", 6))
+
+
+@query(
+    "WITH w AS (" + _TOKENS + "), p AS (SELECT doc_id, term FROM w GROUP BY ALL), q AS (SELECT * FROM (VALUES (1, 'lisence'), (1, 'apahce'), (2, 'disgustin')) AS v(query_id, q)), t AS (SELECT DISTINCT term FROM p), "
+    "l AS (SELECT query_id, q, term, 1 - levenshtein(term, q) / CAST(greatest(length(term), length(q)) AS DOUBLE) AS s FROM t, q WHERE abs(length(term) - length(q)) <= 2 AND levenshtein(term, q) <= 2), "
+    "b AS (SELECT query_id, doc_id, q, max(s) AS s FROM p JOIN l USING (term) GROUP BY ALL), z AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1), r AS (SELECT query_id, doc_id, round(sum(s) / any_value(n), 6) AS similarity FROM b JOIN z USING (query_id) GROUP BY ALL) "
+    "SELECT query_id, doc_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10"
+)
+def e12_fuzzy_search(spark, sf_dir):
+    asked = spark.createDataFrame([(1, "lisence apahce"), (2, "disgustin")], "query_id int, query string")
+    return search.fuzzy(search.build_index(table(spark, sf_dir, "documents")), asked).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0), r AS (SELECT query_id, vec_id AS doc_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score FROM embeddings, q) "
+    "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 5"
+)
+def e21_dense_search(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return search.nearest(v, asked).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def e23_cosine(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(search.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+
+
+@query()
+def e20_tfidf_search(spark, sf_dir):
+    w = search.tfidf(table(spark, sf_dir, "documents"))
+    return search.semantic(w, _searches(spark))
+
+
+_INTENT = "CASE WHEN regexp_matches(lower(text), 'error|exception|traceback|debug|fix|issue|problem') THEN 'debug' WHEN regexp_matches(lower(text), 'how|build|create|setup|install|configure|implement') THEN 'tutorial' WHEN regexp_matches(lower(text), 'what is|explain|understand|concept|definition') THEN 'concept' WHEN regexp_matches(lower(text), 'api|reference|method|function|parameter|argument') THEN 'reference' ELSE 'general' END"
+
+
+@query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM conversations")
+def e26_intents(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent(F.col("text")).alias("intent"))
+
+
+@query("SELECT item_id AS query_id, CAST(i AS INTEGER) AS variant_pos, trim(text) || CASE i WHEN 0 THEN '' WHEN 1 THEN ' documentation' WHEN 2 THEN ' api reference' WHEN 3 THEN ' tutorial' ELSE ' github' END AS query FROM benchmark, range(5) AS r(i)")
+def e27_expansion(spark, sf_dir):
+    return context.variants(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
+@query(
+    "WITH " + URLS + ", d AS (SELECT url, min(id) AS id FROM u GROUP BY url), k AS (SELECT id, url, CASE WHEN contains(lower(url), 'github.com') THEN 'github' WHEN contains(lower(url), 'docs.') OR contains(lower(url), '/docs') OR contains(lower(url), '/documentation') OR contains(lower(url), 'readthedocs') THEN 'docs' ELSE 'community' END AS source_type FROM d) "
+    "SELECT id, source_type FROM (SELECT *, row_number() OVER (PARTITION BY source_type ORDER BY id) AS n FROM k) WHERE n <= CASE source_type WHEN 'community' THEN 1 ELSE 2 END"
+)
+def e29_e32_dedupe_and_diversify(spark, sf_dir):
+    r = all_urls(spark, sf_dir).withColumn("query_id", F.lit(1)).withColumn("variant_pos", F.lit(0)).withColumn("rank", F.col("id"))
+    return context.diversify(context.first_per_url(r), [F.asc("id")]).select("id", "source_type")
+
+
+@query()
+def e30_authority(spark, sf_dir):
+    u = all_urls(spark, sf_dir)
+    return u.select("id", *(F.round(text.authority(F.col("url"), F.lit(i), F.lit(True), F.lit(1.0), F.lit(0)), 6).alias(i) for i in ("reference", "debug", "tutorial", "concept", "general")))
+
+
+@query("WITH " + URLS + " SELECT id, CAST(CASE WHEN contains(url, 'docs.') OR contains(url, '/docs') OR contains(url, '/learn') OR contains(url, '/reference') THEN 0 WHEN contains(url, 'github.com') THEN 2 ELSE 1 END AS INTEGER) AS bucket FROM u")
+def e31_source_buckets(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", urls.bucket(F.col("url")).alias("bucket"))
+
+
+@query(
+    "WITH " + URLS + ", s AS (SELECT id, url, CASE WHEN contains(lower(url), 'docs.') OR contains(lower(url), '/docs') OR contains(lower(url), '/documentation') OR contains(lower(url), 'official') OR contains(lower(url), '.io/docs') THEN 10 ELSE 0 END + CASE WHEN contains(lower(url), 'readthedocs') THEN 8 ELSE 0 END "
+    "+ CASE WHEN regexp_matches(lower(url), 'python\\.org|nodejs\\.org|ruby-lang\\.org|golang\\.org|rust-lang\\.org') THEN 9 ELSE 0 END + CASE WHEN contains(lower(url), 'github.com') THEN 3 ELSE 0 END + CASE WHEN contains(lower(url), 'stackoverflow.com') THEN 2 ELSE 0 END AS p FROM u) SELECT id, CAST(greatest(p, 1) AS INTEGER) AS relevance FROM s"
+)
+def e50_relevance(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", urls.relevance(F.col("url")).cast("int").alias("relevance"))
+
+
+@query("WITH " + URLS + " SELECT id, round(CAST(CASE WHEN contains(url, 'docs.') OR contains(url, '/docs') OR contains(url, '/learn') OR contains(url, '/reference') THEN 2 WHEN contains(url, 'github.com') THEN 0.5 ELSE 0 END + CASE WHEN contains(url, '#combined') THEN 1 ELSE 0 END AS DOUBLE), 4) AS boosted FROM u")
+def e39_boost(spark, sf_dir):
+    return all_urls(spark, sf_dir).select("id", context.boost(F.col("url"), F.lit(0.0)).alias("boosted"))
+
+
+@query()
+def e34_get_context(spark, sf_dir):
+    """Variants, search, first per url, authority, diversity, sections: the whole context answer in one plan."""
+    asked = spark.createDataFrame([(1, "how to thtion"), (2, "explain onand"), (3, "fix error ndst")], "query_id int, query string")
+    docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id")
+    index = search.build_index(docs, text="content")
+    v = context.variants(asked).withColumn("vq", F.col("query_id") * 10 + F.col("variant_pos"))
+    hits = search.top(search.bm25(index, search.query_terms(v, key="vq")), 5, [F.asc(F.round("bm25", 9)), F.asc("doc_id")])
+    found = hits.withColumn("variant_pos", F.col("query_id") % 10).withColumn("query_id", F.floor(F.col("query_id") / 10).cast("int")).join(docs, "doc_id")
+    intents = asked.select("query_id", text.intent(F.col("query")).alias("intent"))
+    once = context.first_per_url(found).join(intents, "query_id").withColumn("authority", text.authority(F.col("url"), F.col("intent"), F.lit(True), F.lit(1.0), F.lit(0)))
+    kept = context.diversify(once, [F.desc("authority"), F.asc("doc_id")])
+    w = Window.partitionBy("query_id").orderBy(F.desc("authority"), F.asc("doc_id"))
+    return context.render(kept.select("query_id", F.substring("content", 1, 200).alias("snippet"), F.row_number().over(w).alias("rank")), asked)
+
+
+@query("SELECT conv_id, turn, min_by(url, pos) AS url FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations) c JOIN (VALUES (0, 'python', 'https://docs.python.org/3/'), (1, 'react', 'https://react.dev/learn'), (2, 'the', 'https://example.org/the')) AS k(pos, keyword, url) ON contains(t, keyword) GROUP BY ALL")
+def e49_sites_for_queries(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    s = context.sites_for(c, {"python": "https://docs.python.org/3/", "react": "https://react.dev/learn", "the": "https://example.org/the"}, most=1)
+    return s.select("query_id.conv_id", "query_id.turn", "url")
+
+
+@query()
+def e46_diff(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.length("text") < 2000).select("doc_id", "source", "text")
+    w = Window.partitionBy("source").orderBy("doc_id")
+    pairs = d.withColumn("b", F.lead("text").over(w)).withColumn("other", F.lead("doc_id").over(w)).filter("other is not null").withColumnRenamed("text", "a")
+    return context.diff(pairs.filter("doc_id % 25 = 0")).select("doc_id", "other", "similarity", F.size("added").alias("added"), F.size("removed").alias("removed"))
+
+
+@query("WITH r AS (SELECT conv_id AS query_id, turn AS rank, text AS snippet FROM conversations WHERE trim(text) <> '') SELECT query_id, substr(string_agg(substr(snippet, 1, 500), ' ' ORDER BY rank), 1, 500) AS summary FROM r GROUP BY 1")
+def e45_summaries(spark, sf_dir):
+    return context.summary(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text").alias("snippet")))
+
+
+@query()
+def e15_code_search(spark, sf_dir):
+    c = spark.createDataFrame([(i, code, "python", "") for i, code in fixtures.CODE], "code_id long, snippet string, language string, context string")
+    return search.search_code(c, spark.createDataFrame([(1, "import"), (2, "fn main")], "query_id int, query string")).withColumn("bm25", F.round("bm25", 6))
+
+
+# --- F: quality ------------------------------------------------------------------------------------------------------
+
+
+@query()
+def f01_quality_pages(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", "url", html.title(F.col("html")).alias("title"), html.description(F.col("html")).alias("description"), html.paragraphs(F.col("html")).alias("paragraphs"),
+        html.headings(F.col("html")).alias("headings"), F.lit(0).alias("code_count"), F.size(html.hrefs(F.col("html"))).alias("links_count"),
+    )
+    return quality.process(p).select("page_id", "quality", F.length("content").alias("n_chars"))
+
+
+@query("SELECT doc_id, coalesce(length(text) >= 200 AND NOT regexp_matches(lower(text), 'enable javascript|loading\\.\\.\\.|please wait|404 not found|access denied|page not found|blocked'), false) AS useful FROM documents")
+def f09_useful_a(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.useful_a(F.col("text")).alias("useful"))
+
+
+@query("SELECT doc_id, coalesce(length(trim(text)) >= 300 AND NOT regexp_matches(lower(text), 'enable javascript|javascript is required|access denied|403 forbidden|404 not found|page not found|loading\\.\\.\\.|please wait|captcha|cloudflare|checking your browser|ddos protection|service unavailable|error 503'), false) AS useful FROM documents")
+def f10_useful_b(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.useful_b(F.col("text")).alias("useful"))
+
+
+@query("SELECT doc_id, coalesce(length(lower(trim(text))) >= 50 AND len(string_split_regex(trim(lower(trim(text))), '\\s+')) >= 20, false) AS worth FROM documents")
+def f11_save_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.worth_saving(F.col("text"), F.lit(False)).alias("worth"))
+
+
+# --- G, H, I: aggregates, joins, order -------------------------------------------------------------------------------
+
+
+@query("SELECT regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS domain, CAST(count(*) AS BIGINT) AS n FROM pages GROUP BY 1")
+def g01_domains(spark, sf_dir):
+    return store.domains(table(spark, sf_dir, "pages").select(urls.domain(F.col("url")).alias("domain")))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS total_docs, CAST(count(DISTINCT source) AS BIGINT) AS domains, CAST(floor(avg(length(text))) AS BIGINT) AS avg_length, max(doc_id) AS last_doc FROM documents")
+def g02_g03_statistics(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.agg(F.count(F.lit(1)).alias("total_docs"), F.countDistinct("source").alias("domains"), F.floor(F.avg(F.length("text"))).cast("long").alias("avg_length"), F.max("doc_id").alias("last_doc"))
+
+
+@query("SELECT source AS domain, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1 ORDER BY n DESC, domain LIMIT 20")
+def g04_top_domains(spark, sf_dir):
+    return store.domains(table(spark, sf_dir, "documents").withColumnRenamed("source", "domain")).limit(20)
+
+
+@query("SELECT text, lang, min(doc_id) AS doc_id FROM documents GROUP BY text, lang")
+def g05_distinct_first(spark, sf_dir):
+    return store.distinct_first(table(spark, sf_dir, "documents"), ["text", "lang"], [F.asc("doc_id")]).select("text", "lang", "doc_id")
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors, CAST(count(*) FILTER (WHERE event_type <> 'error') AS BIGINT) AS others FROM events")
+def g08_conditional_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count_if(F.col("event_type") != "error").alias("others"))
+
+
+@query("WITH " + FEEDBACK + " SELECT query, url, CAST(count(*) FILTER (WHERE success) AS BIGINT) AS success_count, CAST(count(*) FILTER (WHERE NOT success) AS BIGINT) AS failure_count, CAST(count(*) FILTER (WHERE success) - count(*) FILTER (WHERE NOT success) AS BIGINT) AS affinity FROM fb GROUP BY ALL")
+def g09_feedback_rollup(spark, sf_dir):
+    return feedback.rollup(feedback_log(spark, sf_dir))
+
+
+@query("SELECT CAST(count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE l.doc_id IS NULL) AS BIGINT) AS misses, round(100.0 * count(*) FILTER (WHERE l.doc_id IS NOT NULL) / nullif(count(*), 0), 1) AS rate FROM documents d LEFT JOIN labels l USING (doc_id)")
+def g10_hit_rate(spark, sf_dir):
+    j = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("hit")), "doc_id", "left")
+    hits = F.count_if(F.col("hit").isNotNull())
+    return j.agg(hits.alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"), F.round(F.try_divide(100.0 * hits, F.count(F.lit(1))), 1).alias("rate"))
+
+
+@query("SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') GROUP BY 1")
+def h07_semi_join(spark, sf_dir):
+    late = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(late, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def h07_anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+@query("SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def h02_equi_joins(spark, sf_dir):
+    l, o, c, n = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "nation"))
+    j = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    return j.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3")
+def i06_top_per_group(spark, sf_dir):
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), F.asc("doc_id"))
+    return table(spark, sf_dir, "documents").withColumn("n", F.row_number().over(w)).filter("n <= 3").select("source", "doc_id", "n_chars")
+
+
+# --- J: repositories -------------------------------------------------------------------------------------------------
+
+
+def _files(spark):
+    return spark.createDataFrame(fixtures.FILES, "repo string, path string, content string")
+
+
+@query()
+def j02_selected_files(spark, sf_dir):
+    return repo.select_files(_files(spark)).select("repo", "path", "rank")
+
+
+@query()
+def j03_dependencies(spark, sf_dir):
+    return repo.dependencies(_files(spark))
+
+
+@query()
+def j04_api_surface(spark, sf_dir):
+    return repo.api_surface(_files(spark))
+
+
+@query("SELECT * FROM (VALUES ('web', 'React / Next.js app'), ('lib', 'Python library'), ('tool', 'Rust project'), ('svc', 'Go project'), ('none', 'Unknown')) AS v(repo, project_type)")
+def j05_project_types(spark, sf_dir):
+    return repo.project_type(_files(spark))
+
+
+@query()
+def j07_understanding(spark, sf_dir):
+    return repo.understanding(_files(spark))
+
+
+# --- N: state --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-31' - INTERVAL 3 DAY ORDER BY ts, event_id LIMIT 20")
+def n02_stale_documents(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.filter(store.older_than(F.lit("2024-01-31").cast("timestamp_ntz"), 3, "ts")).orderBy("ts", "event_id").limit(20).select("event_id")
+
+
+@query("SELECT lower(json_extract_string(props, '$.k')) AS query, max_by(user_id, (ts, event_id)) AS user_id FROM events GROUP BY 1")
+def n09_last_good_source(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.lower(F.get_json_object("props", "$.k")).alias("query")).agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("user_id"))
+
+
+def _stream_dir(spark, name):
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-stream-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("WITH " + FEEDBACK + " SELECT query, url, CAST(count(*) FILTER (WHERE success) AS BIGINT) AS success_count, CAST(count(*) FILTER (WHERE NOT success) AS BIGINT) AS failure_count FROM fb GROUP BY ALL")
+def n04_feedback_stream(spark, sf_dir):
+    from tesserae.streaming import feeds
+
+    return feeds.run_once(feeds.counts(feeds.feedback(feeds.events(spark, sf_dir))), "feedback_counts", _stream_dir(spark, "n04"))
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
+def n_windows_stream(spark, sf_dir):
+    from tesserae.streaming import feeds
+
+    found = feeds.run_once(feeds.windows(feeds.events(spark, sf_dir)), "event_windows", _stream_dir(spark, "nw"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Pages to text, gate, index, BM25 and the ten best documents of a query."""
+    docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id").filter(quality.useful_a(F.col("content")))
+    asked = spark.createDataFrame([(1, "thtion onand"), (2, "les")], "query_id int, query string")
+    hits = search.top(search.bm25(search.build_index(docs, text="content"), search.query_terms(asked)), 10, [F.asc(F.round("bm25", 9)), F.asc("doc_id")])
+    return hits.join(docs.select("doc_id", "url", "title"), "doc_id").select("query_id", "rank", "doc_id", "url", "title", F.round("bm25", 6).alias("bm25"))
