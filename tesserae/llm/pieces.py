@@ -28,7 +28,7 @@ import itertools
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,10 @@ from tesserae.llm import common
 SPACE = "▁"
 OFFSET = 20.0
 TEMPERATURE = 1.0
-#: States of units that a worker keeps; with about four arcs each, at 24 bytes an arc.
-MOST_STATES = 4_000_000
+#: States of units that a worker keeps, with some three arcs each, at 16 bytes an arc; when there are more, it starts anew.
+MOST_STATES = 2_200_000
+#: Units whose states are built at once.
+LEARN = 8_000
 #: Characters from which a unit's states are built one by one.
 LONG_UNIT = 64
 #: Characters of a batch of texts that are sampled together.
@@ -147,25 +149,24 @@ class Lattice:
         self.units: dict[str, int] = {}
         self.words: dict[str, tuple[int, ...]] = {}  # what stands between two spaces, to the first states of its units
         self.states = self.arcs = 0
-        self.first = np.empty(1 << 16, np.int32)
-        self.count = np.empty(1 << 16, np.int32)
-        self.cum = np.empty(1 << 18, np.float64)
-        self.next = np.empty(1 << 18, np.int32)
-        self.token = np.empty(1 << 18, np.int32)
-        self.log = np.empty(1 << 18, np.float32)
+        if not hasattr(self, "first"):  # memory is taken as it is written to
+            self.first = np.empty(MOST_STATES + (1 << 19), np.int32)
+            self.count = np.empty(MOST_STATES + (1 << 19), np.int32)
+            arcs = 3 * MOST_STATES
+            self.cum, self.next, self.token, self.log = (np.empty(arcs, t) for t in (np.float32, np.int32, np.int32, np.float32))
 
     def _room(self, names: tuple[str, ...], used: int, more: int) -> None:
         for name in names:
             held = getattr(self, name)
             if used + more > len(held):
-                new = np.empty(max(2 * len(held), used + more), held.dtype)
+                new = np.empty(max(3 * len(held) // 2, used + more), held.dtype)
                 new[:used] = held[:used]
                 setattr(self, name, new)
 
     def learn(self, units: list[str]) -> None:
         short = [u for u in units if len(u) <= LONG_UNIT]
-        if short:
-            self._many(short)
+        for k in range(0, len(short), LEARN):
+            self._many(short[k : k + LEARN])
         for u in units:
             if len(u) > LONG_UNIT:
                 self._long(u)
@@ -280,18 +281,24 @@ class Lattice:
             self.clear()
         # Where no two spaces meet, what stands between spaces is looked up whole.
         split = [t.split(" ") if t and "  " not in t and SPACE not in t and t[-1] != " " else None for t in texts]
-        new = set().union(*filter(None, split)).difference(self.words)
-        parts = {w: [SPACE + w] if w.isalpha() else cut_word(SPACE, w) for w in new}
+        met = set().union(*filter(None, split))
+        new = met.difference(self.words)
         slow = {k: units_of(t) for k, (t, s) in enumerate(zip(texts, split, strict=True)) if s is None}
-        unknown = set(itertools.chain(itertools.chain.from_iterable(parts.values()), itertools.chain.from_iterable(slow.values()))).difference(self.units)
-        if unknown:
-            self.learn(sorted(unknown))
+        self._enter(new, itertools.chain.from_iterable(slow.values()))
         of = self.units.__getitem__
-        for word, units in parts.items():
-            self.words[word] = tuple(map(of, units))
         word = self.words.__getitem__
         return [list(map(of, slow[k])) if s is None else list(itertools.chain.from_iterable(map(word, s))) for k, s in enumerate(split)]
 
+    def _enter(self, words: set[str], units: Iterable[str] = ()) -> None:
+        """Make words and further units known."""
+        parts = {w: [SPACE + w] if w.isalpha() else cut_word(SPACE, w) for w in words}
+        unknown = set(itertools.chain(itertools.chain.from_iterable(parts.values()), units)).difference(self.units)
+        if unknown:
+            self.learn(sorted(unknown))
+        of = self.units.__getitem__
+        for word, own in parts.items():
+            self.words[word] = tuple(map(of, own))
+
     def walk(self, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path to the end of each unit from `state` (-1: nothing left); returns arcs in order, and how many each."""
         live = np.flatnonzero(state >= 0)

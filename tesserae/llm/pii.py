@@ -191,7 +191,7 @@ def replace(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     """The documents with entities replaced, and a count n_<kind> for each kind."""
     where = common.shared_dir(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
-    docs = docs.drop(*[c for c in docs.columns if c in {*counts, "_rid", "_parts", "_raw"}])
+    docs = docs.drop(*[c for c in docs.columns if c in {*counts, "_rid", "_parts", "_raw", "_new"}])
     columns = docs.columns
     # A cheap test first: an entity has an @, three digits and a mark, or a capital after a space.
     maybe = F.coalesce(F.col(text).rlike(r"@|\d\d\d|\d\.\d{1,3}\.\d{1,3}\.\d|\p{Lu}\p{L}*[.]? \p{Lu}"), F.lit(False)) & F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
