@@ -208,14 +208,22 @@ class _Reader(HTMLParser):
         if tag in ("script", "style"):
             self.skip += 1
         elif tag in (*_HEADINGS, "a", "pre", "code", "p", "li", "td", "th"):
-            if tag in ("p", "li", "td", "th"):
+            if tag in ("p", "li"):
                 self._close(tag)
+            elif tag in ("td", "th"):
+                self._close_cells()
             self.open.append((tag, dict(attrs), []))
         elif tag == "table":
             self._tables().append([])
         elif tag == "tr" and self._tables():
+            self._close_cells()
             self._tables()[-1].append([])
 
+    def _close_cells(self) -> None:
+        for _ in range(sum(t in ("td", "th") for t, _, _ in self.open)):
+            self._close("td")
+            self._close("th")
+
     def _tables(self) -> list:
         return self.out["tables"]
 
@@ -228,6 +236,8 @@ class _Reader(HTMLParser):
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
         else:
+            if tag in ("tr", "table"):
+                self._close_cells()
             self._close(tag)
 
     def _close(self, tag: str) -> None:
