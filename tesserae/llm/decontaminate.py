@@ -294,6 +294,32 @@ def remove_spans(scanned: DataFrame, *, text: str = "text", max_words: int = WIN
     return scanned.filter((F.col("n_words") == 0) | (hit < max_coverage * F.col("n_words"))).mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = WINDOW, max_coverage: float = 0.8, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """`remove_spans` of a `scan`, in one pass of one worker where one automaton holds all items."""
+    lists = shards(benchmark, item, item_text, shard_words)
+    items = next(lists)
+    if next(lists, None) is not None:
+        found = scan(docs, benchmark, text=text, item=item, item_text=item_text, window=window, shard_words=shard_words)
+        return remove_spans(found, text=text, max_words=max_words, max_coverage=max_coverage)
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    held = spark.sparkContext.broadcast(items)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = automaton(held, window)
+        for batch in batches:
+            texts, keep = [], []
+            for value in batch.column(text).to_pylist():
+                words = words_of(value)
+                spans, _, _ = tree.scan(words)
+                keep.append(not words or sum(b - a for a, b in spans) < max_coverage * len(words))
+                texts.append(without_spans(value, [x for x in spans if x[1] - x[0] >= max_words]) if spans and keep[-1] else value)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: counts of words, hit words and items, and a hash of the items."""
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + (x[1] - x[0]).cast("long"))
