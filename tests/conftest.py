@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -41,8 +42,10 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def plain(x):
-        if isinstance(x, float):
-            return repr(round(x, 6))
+        if not hasattr(x, "__len__") and pandas.isna(x):
+            return "null"
+        if isinstance(x, (int, float)) and not isinstance(x, bool):
+            return repr(round(float(x), 6))
         return str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x)
 
     return sorted(tuple(plain(x) for x in row) for row in frame.itertuples(index=False))
