@@ -127,3 +127,35 @@ def diff(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     more = T.StructType.fromDDL("similarity double, added array<string>, removed array<string>")
     return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, *more.fields]))
+
+
+def early_exit(results: DataFrame, most: int = 5) -> DataFrame:
+    """The results of each query's first variant that has any."""
+    first = F.min("variant_pos").over(Window.partitionBy("query_id"))
+    return results.withColumn("_first", first).filter((F.col("variant_pos") == F.col("_first")) & (F.col("rank") <= most)).drop("_first")
+
+
+def cascade(tiers: list[DataFrame]) -> DataFrame:
+    """Of several result tables of the same columns, each query's rows from the first that has any."""
+    every = None
+    for k, tier in enumerate(tiers):
+        tagged = tier.withColumn("tier", F.lit(k + 1))
+        every = tagged if every is None else every.unionByName(tagged)
+    return every.withColumn("_best", F.min("tier").over(Window.partitionBy("query_id"))).filter(F.col("tier") == F.col("_best")).drop("_best")
+
+
+def prompt(queries: DataFrame, docs: DataFrame, code: DataFrame, *, most_docs: int = 3, most_code: int = 3) -> DataFrame:
+    """For each query one text of its best documents (query_id, rank, title, snippet) and code (query_id, rank, language, snippet)."""
+    part = lambda df, most, line: df.filter(F.col("rank") <= most).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", line.alias("t")))).alias("p")).select("query_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("t"))
+    d = part(docs, most_docs, F.concat(F.lit("### "), "title", F.lit("\n"), "snippet")).withColumnRenamed("t", "d")
+    c = part(code, most_code, F.concat(F.lit("```"), "language", F.lit("\n"), "snippet", F.lit("\n```"))).withColumnRenamed("t", "c")
+    both = queries.join(d, "query_id", "left").join(c, "query_id", "left")
+    return both.select("query_id", F.concat(F.lit("# "), "query", F.lit("\n\n"), F.coalesce("d", F.lit("No documents.")), F.lit("\n\n"), F.coalesce("c", F.lit("No code."))).alias("prompt"))
+
+
+def code_examples(results: DataFrame, code: DataFrame, most: int = 2) -> DataFrame:
+    """Of each query's documents the first code block, of distinct languages, `most` in order of rank."""
+    j = results.select("query_id", "doc_id", "rank").join(code, "doc_id")
+    per_doc = j.withColumn("_a", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("code_id"))).filter("_a = 1")
+    per_language = per_doc.withColumn("_b", F.row_number().over(Window.partitionBy("query_id", "language").orderBy("rank", "code_id"))).filter("_b = 1")
+    return per_language.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "code_id"))).filter(F.col("n") <= most).drop("_a", "_b")

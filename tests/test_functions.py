@@ -154,3 +154,29 @@ def test_stream_misses(spark, data, tmp_path):
     got = feeds.run_once(feeds.misses(log).select("query"), "misses_seen", f"file://{tmp_path}/c", mode="append")
     names = [r["query"] for r in got.collect()]
     assert names and len(set(names)) <= len(names)
+
+
+def test_structured_texts(spark):
+    from tesserae.functions import flatten
+
+    files = [("a.json", '{"a": {"b": [1, 2, 3, 4, 5, 6]}, "c": null}'), ("b.xml", '<?xml version="1.0"?><r x="1"><s>text</s></r>'), ("c.md", "# Title\nintro\n```py\nprint(1)\n```\n## Next\nmore"), ("d.html", "<html><body>x</body></html>"), ("e.json", "{broken"), ("f.txt", None)]
+    got = {r["url"]: r for r in flatten.parse(spark.createDataFrame(files, "url string, content string")).collect()}
+    assert got["a.json"]["structured"]["content"].split("\n") == [f"a.b[{k}]: {k + 1}" for k in range(5)] + ["c: "]
+    assert got["b.xml"]["structured"]["content"] == "/r/s: text" and got["b.xml"]["structured"]["topics"][0]["heading"] == "/r@x"
+    md = got["c.md"]["structured"]
+    assert [t["heading"] for t in md["topics"]] == ["Title", "Next"] and md["code_blocks"][0]["snippet"] == "print(1)"
+    assert got["d.html"]["structured"] is None and got["f.txt"]["kind"] == "plaintext"
+
+
+def test_cascades_and_prompts(spark):
+    a = spark.createDataFrame([(1, "x", 1)], "query_id int, doc_id string, rank int")
+    b = spark.createDataFrame([(1, "y", 1), (2, "z", 1)], "query_id int, doc_id string, rank int")
+    assert sorted((r["query_id"], r["doc_id"], r["tier"]) for r in context.cascade([a, b]).collect()) == [(1, "x", 1), (2, "z", 2)]
+    queries = spark.createDataFrame([(1, "q"), (2, "r")], "query_id int, query string")
+    docs = spark.createDataFrame([(1, 1, "T", "s"), (1, 9, "U", "t")], "query_id int, rank int, title string, snippet string")
+    code = spark.createDataFrame([(1, 1, "py", "x = 1")], "query_id int, rank int, language string, snippet string")
+    got = {r["query_id"]: r["prompt"] for r in context.prompt(queries, docs, code).collect()}
+    assert got == {1: "# q\n\n### T\ns\n\n```py\nx = 1\n```", 2: "# r\n\nNo documents.\n\nNo code."}
+    blocks = spark.createDataFrame([("x", 1, "py", "a"), ("x", 2, "js", "b"), ("y", 3, "py", "c"), ("z", 4, "go", "d")], "doc_id string, code_id int, language string, snippet string")
+    hits = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "z", 3)], "query_id int, doc_id string, rank int")
+    assert [r["code_id"] for r in context.code_examples(hits, blocks).orderBy("n").collect()] == [1, 4]
