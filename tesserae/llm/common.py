@@ -94,10 +94,15 @@ def ascii_lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+#: Ranges of ids at most: the cuts stand in the plan, as a tree of comparisons. Larger inputs get larger ranges, which their
+#: tasks read as a stream.
+MOST_RANGES = 2000
+
+
 def range_cuts(rows: DataFrame, key: str, size: str, most: int) -> list[int]:
-    """Ids that cut the rows into ranges of about `most` bytes: one number for each range comes to the driver."""
+    """Ids that cut the rows into ranges of about `most` bytes, MOST_RANGES at most: one number for each comes to the driver."""
     total = rows.agg(F.sum(size)).first()[0]
-    ranges = max(1, -(-(total or 0) // most))
+    ranges = min(MOST_RANGES, max(1, -(-(total or 0) // most)))
     if ranges == 1:
         return []
     found = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 50 * ranges)).first()[0]

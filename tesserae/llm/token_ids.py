@@ -29,8 +29,10 @@ from tesserae.llm import common
 MAGIC = b"PFR1"
 BLOCK = 128
 PERCENTILE = 90
-#: Text bytes that a file's documents hold, about; a longer document has a file of its own size.
+#: Text bytes of a range of documents, about. A range of more than twice as many makes several files.
 FILE_BYTES = 8 << 20
+#: Files of a range are numbered below this.
+FILES = 1_000_000
 #: Words whose ids a worker keeps; when there are more, it starts anew. About 200 bytes each.
 CACHE_WORDS = 600_000
 
@@ -295,22 +297,24 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int, key: str =
 
         attempt = str(TaskContext.get().taskAttemptId())
         last = struct.pack("<I", end)
-        encode, at, out = encoder(tokenizer), None, Writer()
+        encode, at, out, size, part = encoder(tokenizer), None, Writer(), 0, 0
 
         def close() -> Iterator[pa.RecordBatch]:
             if at is not None:
-                common.put_file(f"{folder}/{at:08d}.pfr", out.chunks(), attempt)
-                yield pa.RecordBatch.from_pydict({"file": [at], "n_values": [out.values]}, schema=pa.schema([("file", pa.int32()), ("n_values", pa.int64())]))
+                name = at * FILES + part
+                common.put_file(f"{folder}/{name:012d}.pfr", out.chunks(), attempt)
+                yield pa.RecordBatch.from_pydict({"file": [name], "n_values": [out.values]}, schema=pa.schema([("file", pa.int64()), ("n_values", pa.int64())]))
 
         for batch in batches:
             for number, name, value in zip(batch.column("file").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if number != at:
+                if number != at or size > 2 * file_bytes:
                     yield from close()
-                    at, out = number, Writer()
+                    at, out, size, part = number, Writer(), 0, part + 1 if number == at else 0
                 out.add(name, encode(value, last))
+                size += len(value)
         yield from close()
 
-    files = ordered(docs, key=key, text=text, file_bytes=file_bytes).mapInArrow(run, "file int, n_values long")
+    files = ordered(docs, key=key, text=text, file_bytes=file_bytes).mapInArrow(run, "file long, n_values long")
     return common.cut(files, folder + "-files", "written")
 
 
@@ -318,7 +322,7 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """Documents from the files: doc_id, start (values of all documents before it), n_tokens, ids_crc32, and ids (binary, u32)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.int32()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("file", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 number = int(path.rsplit("/", 1)[1].split(".")[0])
@@ -339,5 +343,5 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     # One row for each file: the running total over them is small beside any of them.
     starts = files.select("file", (F.sum("n_values").over(Window.orderBy("file")) - F.col("n_values")).alias("before"))
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select("path", "content")
-    docs = found.mapInArrow(run, "file int, doc_id long, first long, n_tokens long, ids_crc32 long, ids binary")
+    docs = found.mapInArrow(run, "file long, doc_id long, first long, n_tokens long, ids_crc32 long, ids binary")
     return docs.join(starts, "file").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "ids")

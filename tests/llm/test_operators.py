@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tesserae.llm import decontaminate, fingerprints, html_text, near_copies, pieces, pii, quality, queries, secrets, simhash, token_ids, warc
+from tesserae.llm import common, decontaminate, fingerprints, html_text, near_copies, pieces, pii, quality, queries, secrets, simhash, token_ids, warc
 from tesserae.llm.common import shared_dir
 
 LONG = "thtion onand the of ndst " * 8000
@@ -77,13 +77,18 @@ def brute_tokens(pairs):
     return out
 
 
-def test_token_files(spark, data, docs, nothing):
+def test_token_files(spark, data, docs, nothing, monkeypatch):
     d = spark.read.parquet(f"{data}/documents.parquet")
     folder = shared_dir(spark) + "/t"
     files = token_ids.write(d, folder, public_tokenizers.path("byte_bpe_50k.json"), end=2, file_bytes=50_000)
     assert files.count() > 3
     got = sorted(tuple(r)[:4] for r in token_ids.read(spark, folder, files).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
     assert got == sorted(brute_tokens(sorted((r["doc_id"], r["text"]) for r in d.collect())))
+    monkeypatch.setattr(common, "MOST_RANGES", 2)  # then a range has several files
+    folder = shared_dir(spark) + "/t"
+    files = token_ids.write(d, folder, public_tokenizers.path("byte_bpe_50k.json"), end=2, file_bytes=20_000)
+    assert files.count() > 4
+    assert got == sorted(tuple(r)[:4] for r in token_ids.read(spark, folder, files).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
     folder = shared_dir(spark) + "/t"
     files = token_ids.write(docs.withColumn("file", F.lit(1)).withColumn("key", F.lit(2)), folder, public_tokenizers.path("byte_bpe_50k.json"), end=2)
     back = token_ids.read(spark, folder, files).orderBy("start").collect()
