@@ -1,25 +1,23 @@
-"""One document of each group of near copies, by SimHash with deletion-variant signatures on 128 bits.
-
-The 64-bit fingerprints of shingles in `simhash` link at two bits, which near copies of 80 % common five-word shingles don't
-reach: a tenth of their bits differ. Here a fingerprint has 128 bits over the set of a text's words (XXH3, lower-cased
-ASCII), where such copies differ in 4 to 15 bits and unrelated texts in 40 and more. It is cut into four segments of 32 bits;
-of 99 % of those pairs one segment differs by at most one bit. Texts of fewer than SHORT different words have a hash of
-the text instead, so that only copies of them meet.
-
-Phase one links fingerprints with an equal segment to the least of them, phase two indexes each segment under wildcards of
-WILD neighbouring bits, eight of them, so that a bit in which copies differ falls into one (and a key keeps 28 bits), and
-links the components of phase one that meet there, one fingerprint of each. Links are verified: at
-most MAX_BITS differing bits. Keys hold one row for each component, so a large group of copies makes rows in proportion to
-its size, not to its square; the price is that members are verified against the least of their key, not against each other.
-
-Defined results: null and empty texts, and texts that differ in white space or ASCII case only, are copies of each other; of a group
-the row with the smallest doc_id stays (null ids last, then by text hash), of repeated rows one; extra columns
-pass through, but for _p0, _p1, _file and _at.
+"""One document of each group of near copies: texts with 0.8 of their five-word shingles in common.
+
+Of two sets with at least 0.8 of their union in common, and in whichever order all shingles are put, the first n // 5 + 1 of
+the n of each have one in common (prefix filter). So each distinct set is indexed under its first shingles; sets that meet, and
+that their sizes and the number of first shingles in common don't rule out, are compared whole. That finds every pair, with no
+probability in it but that of two shingles with the same 64-bit hash. The order is that of the hashes, with frequent shingles (license
+lines, menus) last. They are found in a sample; which ones are taken for frequent changes the cost and not the result.
+
+Groups are what links reach. A first round compares a key's members with the least of them, and a second one all members of a key
+that the first has left in different groups; within a group no link can change it. So a large group of copies costs
+comparisons in proportion to its size, and no pair is left out. Only the texts of sets to compare are shuffled for it.
+
+Defined results: null and empty texts, and texts that differ in white space or ASCII case only, are copies of each other; a text of
+fewer than five words is one shingle; of a group the row with the smallest doc_id stays (null ids last, then by text hash), of
+repeated rows one; extra columns pass through, but for _p0, _p1, _file and _at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +29,23 @@ from pyspark.sql import types as T
 
 from tesserae.llm import common, simhash
 
-#: Bits in which linked fingerprints may differ.
+#: Words of a shingle.
+WIDTH = 5
+#: Documents in SAMPLE are one in the frequency sample; a shingle is frequent from FREQUENT of the sampled documents that have it
+#: among their first, and OFTEN documents at least.
+SAMPLE = 8
+FREQUENT = 0.0001
+OFTEN = 2
+#: Bits of the map of rows whose texts are compared: 2 MB. Others that fall on a bit of it only cost a shuffle.
+MAP_BITS = 1 << 24
+#: Bits in which the SimHash prints of such copies differ at most, as a rule. The stage doesn't rest on it.
 MAX_BITS = 18
-#: Neighbouring bits that one wildcard covers; one-bit wildcards would make four times the keys for the same pairs.
-WILD = 4
-#: Different words from which a text has a fingerprint of its words.
+#: Different words from which a text has a print of its words.
 SHORT = 20
 
 
 def print_of(text: str | None) -> bytes:
+    """SimHash of a text's set of words: a second measure, by which the tests look at what goes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     different = set(words)
     if len(different) < SHORT:
@@ -48,68 +54,112 @@ def print_of(text: str | None) -> bytes:
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(different)).tobytes()
 
 
-def prints(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """The documents with _p0 and _p1, the halves of their fingerprint, added. One narrow pass."""
+_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, WIDTH + 1)]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The hashes of a text's different shingles, ascending."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = len(words) - WIDTH + 1
+    if n < 1:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
+    each = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    found = each[:n] * _FACTORS[0]
+    for k in range(1, WIDTH):
+        # Shifts between the steps, so that the sum doesn't commute.
+        found ^= found >> np.uint64(29)
+        found += each[k : k + n] * _FACTORS[k]
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(found ^ (found >> np.uint64(32)))
+
+
+def first_of(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The shingles under which a set is indexed: n // 5 + 1 of n, frequent ones last. Two sets with 0.8 in common share one."""
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
+        own = np.concatenate([own[~late], own[late]])
+    return own[: len(own) // 5 + 1]
+
+
+def prints(docs: DataFrame, frequent: np.ndarray, *, text: str = "text") -> DataFrame:
+    """The documents without their text, with _p0 and _p1, a hash of their set of shingles, _n, its size, and _keys, its first. One narrow pass."""
     common.small_batches(docs.sparkSession)
-    docs = docs.drop("_p0", "_p1")
+    rest = docs.drop(text).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            halves = np.frombuffer(b"".join(map(print_of, batch.column(text).to_pylist())), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=[*batch.schema.names, "_p0", "_p1"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_p0", T.LongType()), T.StructField("_p1", T.LongType())]))
-
+            sets = list(map(shingles, batch.column(text).to_pylist()))
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">i8").astype(np.int64).reshape(-1, 2)
+            keys = [first_of(x, frequent).view(np.int64) for x in sets]
+            more = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, "_p0", "_p1", "_n", "_keys"])
 
-def _segments() -> list[Column]:
-    low = F.lit(0xFFFFFFFF)
-    return [x for p in ("_p0", "_p1") for x in (F.shiftrightunsigned(p, 32), F.col(p).bitwiseAND(low))]
+    added = T.StructType.fromDDL("_p0 long, _p1 long, _n int, _keys array<long>")
+    return docs.mapInArrow(run, T.StructType([*docs.drop(text).schema.fields, *added.fields]))
 
 
-def _exact() -> Column:
-    return F.array(*(s.bitwiseOR(F.lit(k << 32)) for k, s in enumerate(_segments())))
-
-
-def _wild() -> Column:
-    blocks = 32 // WILD
-    keep = lambda j: F.lit(0xFFFFFFFF ^ (((1 << WILD) - 1) << (WILD * j)))
-    return F.array(*(s.bitwiseAND(keep(j)).bitwiseOR(F.lit((blocks * k + j) << 32)) for k, s in enumerate(_segments()) for j in range(blocks)))
-
-
-def _near(a: str, b: str, max_bits: int) -> Column:
-    return F.bit_count(F.col(f"{a}._p0").bitwiseXOR(F.col(f"{b}._p0"))) + F.bit_count(F.col(f"{a}._p1").bitwiseXOR(F.col(f"{b}._p1"))) <= max_bits
+def frequent_shingles(slim: DataFrame, where: str) -> np.ndarray:
+    """Shingles that many documents of a sample have among their first, ascending.
 
+    A document has n // 5 + 1 of them, so at most (mean n / 5 + 1) / FREQUENT come to the driver, of eight bytes each.
+    """
+    some = slim.filter(F.pmod(F.xxhash64("_file", "_at"), F.lit(SAMPLE)) == 0).select("text")
+    some = common.cut(prints(some, np.empty(0, np.uint64)).select("_p0", "_p1", "_keys"), where, "sample").dropDuplicates(["_p0", "_p1"])
+    least = max(OFTEN, int(FREQUENT * some.count()))
+    found = some.select(F.explode("_keys").alias("key")).groupBy("key").count().filter(F.col("count") >= least).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().view(np.uint64))
 
-def _pairs(met: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b) with a > b of rows with `one` and `lead`, verified."""
-    a, b = F.col("one.g"), F.col("lead.g")
-    return met.filter((a != b) & _near("one", "lead", max_bits)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (a, b) whose sets have at least 0.8 of their union in common."""
 
-def _exact_links(heads: DataFrame, max_bits: int) -> DataFrame:
-    """Fingerprints that share a segment, with the least of its key. Keys are aggregated before they are shuffled, and only
-    rows of shared keys are joined, whose hot keys adaptive execution splits."""
-    each = heads.select(F.struct(F.col("node").alias("g"), "_p0", "_p1").alias("one"), F.explode(F.array_distinct(_exact())).alias("key"))
-    first = each.groupBy("key").agg(F.min("one").alias("lead"), F.max("one.g").alias("last")).filter("lead.g <> last").drop("last")
-    return _pairs(each.join(first, "key"), max_bits)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = shingles(x), shingles(y)
+                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-def _wild_links(rooted: DataFrame, max_bits: int) -> DataFrame:
-    """Components that meet in a wildcard key, one fingerprint of each, with the least of the key. The first aggregate leaves
-    one row of each component in a key, so the window over a key is as long as it has components."""
-    each = rooted.select("root", F.struct("_p0", "_p1").alias("p"), F.explode(_wild()).alias("key"))
-    each = each.groupBy("key", "root").agg(F.min("p").alias("p")).select("key", F.struct(F.col("root").alias("g"), "p._p0", "p._p1").alias("one"))
-    return _pairs(each.withColumn("lead", F.min("one").over(Window.partitionBy("key"))), max_bits)
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """(a, b) with a > b of rows with `one` and `other`, one for each key in common, that may have 0.8 in common.
 
-def groups(heads: DataFrame, where: str, *, max_bits: int = MAX_BITS) -> DataFrame:
-    """(node, root) for the nodes of linked fingerprints; heads is (node, _p0, _p1), one row for each fingerprint."""
-    first = common.cut(_exact_links(heads, max_bits), where, "links-exact")
-    tops = simhash.roots(first, f"{where}/exact")
-    rooted = common.cut(heads.join(tops, "node", "left").withColumn("root", F.coalesce("root", "node")), where, "rooted")
-    second = common.cut(_wild_links(rooted, max_bits), where, "links-wild")
-    ends = simhash.roots(second, f"{where}/wild").select(F.col("node").alias("root"), F.col("root").alias("end"))
-    return rooted.join(ends, "root", "left").select("node", F.coalesce("end", "root").alias("root"))
+    Of two sets, that whose first shingles end earlier has only what follows them, n - n // 5 - 1, besides the common ones among the first.
+    """
+    a, b = F.col("one.g"), F.col("other.g")
+    na, nb = F.col("one.n"), F.col("other.n")
+    rest = lambda n: n - F.floor(n / 5) - 1
+    sized = met.filter((a != b) & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)))
+    sized = sized.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), (na + nb).alias("sum"), F.greatest(rest(na), rest(nb)).alias("rest"))
+    return sized.groupBy("a", "b", "sum", "rest").count().filter("9 * (count + rest) >= 4 * sum").select("a", "b")
+
+
+def groups(heads: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame], where: str) -> DataFrame:
+    """(node, root) for the nodes of linked sets; heads is (node, _n, _keys), one row for each set, and texts_of gives (node, text) for nodes."""
+
+    def links(met: DataFrame, name: str) -> DataFrame:
+        pairs = common.cut(_pairs(met), where, f"pairs-{name}")
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
+        return common.cut(_verified(pairs, texts), where, f"links-{name}")
+
+    each = heads.select(F.struct(F.col("node").alias("g"), F.col("_n").alias("n")).alias("one"), F.explode("_keys").alias("key"))
+    of_key = Window.partitionBy("key")
+    met = each.withColumn("other", F.min("one").over(of_key)).withColumn("last", F.max("one.g").over(of_key)).filter("other.g <> last").drop("last")
+    met = common.cut(met, where, "met")
+    # A pair's other keys may have another least member, so this round may leave out some; the second one doesn't.
+    first = links(met, "first")
+    tops = simhash.roots(first, f"{where}/first")
+    # All that the first round has left apart; two of one group need no link more. Every key of two groups' members is here.
+    rooted = met.join(tops.withColumnRenamed("node", "g"), F.col("one.g") == F.col("g"), "left").select("key", "one", F.coalesce("root", "one.g").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    rooted = common.cut(rooted.join(apart, "key", "left_semi"), where, "apart")
+    again = rooted.join(rooted.select("key", F.col("one").alias("other"), F.col("root").alias("other_root")), "key").filter("one.g > other.g and root <> other_root")
+    return simhash.roots(first.unionByName(links(again, "second")), f"{where}/second")
 
 
 def numbered(docs: DataFrame, where: str) -> DataFrame:
@@ -125,18 +175,38 @@ def numbered(docs: DataFrame, where: str) -> DataFrame:
         return common.cut(docs.withColumn("_file", F.lit(0).cast("long")).withColumn("_at", F.monotonically_increasing_id()), where, "numbered")
 
 
-def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents without near copies of those that stay. The texts are shuffled once, to meet the rows that stay."""
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without near copies of those that stay. The texts are shuffled once, to meet the rows that stay, and those of sets to compare before."""
     where = common.shared_dir(docs.sparkSession)
     docs = docs.drop("_p0", "_p1", "_file", "_at")
     columns = docs.columns
     rows = numbered(docs, where)
     slim = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), "_file", "_at", F.col(text).alias("text"))
-    printed = common.cut(prints(slim).drop("text"), where, "printed")
-    # Copies of a fingerprint are one row from here on; of each the first row is known.
+    printed = prints(slim, frequent_shingles(slim, where))
+    # Copies of a set are one row from here on; of each the first row is known.
     order = F.struct(F.col("key").isNull().alias("none"), "key", "h", "_file", "_at")
-    heads = common.cut(printed.groupBy("_p0", "_p1").agg(F.min(order).alias("best")).withColumn("node", F.xxhash64("_p0", "_p1")), where, "heads")
-    placed = heads.join(groups(heads.select("node", "_p0", "_p1"), where, max_bits=max_bits), "node", "left")
+    heads = printed.groupBy("_p0", "_p1").agg(F.min(order).alias("best"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys"))
+    heads = common.cut(heads.withColumn("node", F.xxhash64("_p0", "_p1")), where, "heads")
+
+    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+        at = common.cut(heads.join(nodes, "node", "left_semi").select("node", "best._file", "best._at"), where, f"wanted-{name}")
+        place = F.pmod(F.xxhash64("_file", "_at"), F.lit(MAP_BITS))
+        # At most MAP_BITS / 64 numbers come to the driver.
+        bits = at.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits")).toArrow()
+        chosen = np.zeros(MAP_BITS // 64, np.int64)
+        chosen[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
+        chosen = chosen.view(np.uint64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = batch.column("_p").to_numpy()
+                keep = (chosen[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
+                yield batch.select(["_file", "_at", "text"]).filter(pa.array(keep.astype(bool)))
+
+        some = slim.select("_file", "_at", "text", place.alias("_p")).mapInArrow(run, "_file long, _at long, text string")
+        return common.cut(some.join(at.hint("merge"), ["_file", "_at"]).select("node", "text"), where, f"texts-{name}")
+
+    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_keys"), texts_of, where), "node", "left")
     stay = common.cut(placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best._file", "best._at"), where, "stay")
     # Never a broadcast: what stays grows with the input.
     return rows.join(stay.hint("merge"), ["_file", "_at"], "left_semi").select(*columns)
