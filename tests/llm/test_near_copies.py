@@ -45,3 +45,13 @@ def test_every_near_pair(spark, words):
             other[rng.randrange(len(other))] = rng.choice(words)
         texts |= {2 * k: " ".join(own), 2 * k + 1: " ".join(other)}
     assert stay(spark, texts) == brute(texts)
+
+
+def test_crowded_keys(spark, words):
+    """All texts share a passage that makes up half of many of them, so most keys of it hold texts that aren't copies."""
+    rng, texts = random.Random(6), {}
+    passage = [f"licence{k}" for k in range(40)]
+    for k in range(60):
+        own = passage + rng.choices(words, k=rng.randint(30, 60))
+        texts |= {2 * k: " ".join(own), 2 * k + 1: " ".join([*own[:-2], "changed", own[-1]])}
+    assert stay(spark, texts) == brute(texts)
