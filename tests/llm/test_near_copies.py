@@ -55,3 +55,8 @@ def test_crowded_keys(spark, words):
         own = passage + rng.choices(words, k=rng.randint(30, 60))
         texts |= {2 * k: " ".join(own), 2 * k + 1: " ".join([*own[:-2], "changed", own[-1]])}
     assert stay(spark, texts) == brute(texts)
+
+
+def test_other_order_stays(spark, words):
+    texts = {1: " ".join(words[:100]), 2: " ".join(reversed(words[:100])), 3: " ".join(words[:60] + words[200:240])}
+    assert stay(spark, texts) == {1, 2, 3}
