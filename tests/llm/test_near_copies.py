@@ -60,3 +60,11 @@ def test_crowded_keys(spark, words):
 def test_other_order_stays(spark, words):
     texts = {1: " ".join(words[:100]), 2: " ".join(reversed(words[:100])), 3: " ".join(words[:60] + words[200:240])}
     assert stay(spark, texts) == {1, 2, 3}
+
+
+def test_few_different_words(spark, words):
+    rng = random.Random(7)
+    long = rng.choices(words[:19], k=3000)
+    short = words[100:115]
+    texts = {1: " ".join(long), 2: " ".join([*long[:-1], "x"]), 3: " ".join(short), 4: " ".join([*short[:-1], "x"]), 5: "a b c", 6: "a b d"}
+    assert stay(spark, texts) == {1, 3, 5, 6} == brute(texts)
