@@ -41,6 +41,14 @@ def cut(df: DataFrame, where: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """The name, with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def filesystem(uri: str) -> tuple[object, str]:
     """The Arrow file system of a URI and the path in it, usable from any worker."""
     from pyarrow import fs

@@ -229,7 +229,7 @@ def test_surrogates(spark, docs, nothing):
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With a space of few surrogates, collisions are drawn anew until all differ from each other and from all originals."""
-    monkeypatch.setattr(pii, "_surrogate", lambda key: F.concat(F.lit("s"), F.pmod(F.xxhash64("canonical", "attempt"), F.lit(40)).cast("string")))
+    monkeypatch.setattr(pii, "_surrogate", lambda: F.concat(F.lit("s"), F.pmod(F.xxhash64("canonical", "attempt"), F.lit(40)).cast("string")))
     e = spark.createDataFrame([("email", f"s{k}", "") for k in range(12)], "kind string, canonical string, gender string")
     got = pii.surrogates(e, "k", shared_dir(spark)).collect()
     assert len({r["surrogate"] for r in got}) == 12 and not {r["surrogate"] for r in got} & {f"s{k}" for k in range(12)}
