@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,17 +13,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that goes to Python. Texts may be long, so batches hold few rows.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch that goes to Python, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds, so that a worker's memory follows a few hundred rows and not ten thousand."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds in bytes, so that a worker's memory doesn't follow the lengths of texts.
+
+    The bound is the same for all operators, so it doesn't matter when a plan runs; a session with a lower one keeps it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(name).strip().lower())
+    if not held or not 0 < int(held[1]) * 1024 ** " kmgt".index(held[2] or " ") <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

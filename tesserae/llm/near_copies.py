@@ -82,8 +82,16 @@ def first_of(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return own[: len(own) // 5 + 1]
 
 
+def simhash_of(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles: bit b is 1 if it is set in over half of the hashes."""
+    bits = np.zeros(64, np.int64)
+    for k in range(0, len(own), 1 << 14):
+        bits += np.unpackbits(own[k : k + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(own), bitorder="little").view("<i8")[0])
+
+
 def prints(docs: DataFrame, frequent: np.ndarray, *, text: str = "text") -> DataFrame:
-    """The documents without their text, with _p0 and _p1, a hash of their set of shingles, _n, its size, and _keys, its first. One narrow pass."""
+    """The documents without their text, with _p0 and _p1, a hash of their set of shingles, _n, its size, _fp, its SimHash, and _keys, its first. One narrow pass."""
     common.small_batches(docs.sparkSession)
     rest = docs.drop(text).columns
 
@@ -92,10 +100,10 @@ def prints(docs: DataFrame, frequent: np.ndarray, *, text: str = "text") -> Data
             sets = list(map(shingles, batch.column(text).to_pylist()))
             halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">i8").astype(np.int64).reshape(-1, 2)
             keys = [first_of(x, frequent).view(np.int64) for x in sets]
-            more = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, "_p0", "_p1", "_n", "_keys"])
+            more = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(simhash_of, sets)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, *added.names])
 
-    added = T.StructType.fromDDL("_p0 long, _p1 long, _n int, _keys array<long>")
+    added = T.StructType.fromDDL("_p0 long, _p1 long, _n int, _fp long, _keys array<long>")
     return docs.mapInArrow(run, T.StructType([*docs.drop(text).schema.fields, *added.fields]))
 
 
@@ -111,18 +119,27 @@ def frequent_shingles(slim: DataFrame, where: str) -> np.ndarray:
     return np.sort(found.column("key").to_numpy().view(np.uint64))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def common_of(x: np.ndarray, y: np.ndarray) -> int:
+    """Shingles in common of two sets, each ascending."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) whose sets have at least 0.8 of their union in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = shingles(x), shingles(y)
-                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                keep.append(9 * common_of(x, y) >= 4 * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -139,27 +156,37 @@ def _pairs(met: DataFrame) -> DataFrame:
     return sized.groupBy("a", "b", "sum", "rest").count().filter("9 * (count + rest) >= 4 * sum").select("a", "b")
 
 
-def groups(heads: DataFrame, texts_of: Callable[[DataFrame, str], DataFrame], where: str) -> DataFrame:
-    """(node, root) for the nodes of linked sets; heads is (node, _n, _keys), one row for each set, and texts_of gives (node, text) for nodes."""
+def groups(heads: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], where: str) -> DataFrame:
+    """(node, root) for the nodes of linked sets; heads is (node, _n, _fp, _keys), one row for each set, and sets_of gives (node, set) for nodes."""
 
-    def links(met: DataFrame, name: str) -> DataFrame:
-        pairs = common.cut(_pairs(met), where, f"pairs-{name}")
-        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
-        return common.cut(_verified(pairs, texts), where, f"links-{name}")
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = common.cut(pairs, where, f"pairs-{name}")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return common.cut(_verified(pairs, sets_of(nodes, name)), where, f"links-{name}")
 
     each = heads.select(F.struct(F.col("node").alias("g"), F.col("_n").alias("n")).alias("one"), F.explode("_keys").alias("key"))
-    of_key = Window.partitionBy("key")
-    met = each.withColumn("other", F.min("one").over(of_key)).withColumn("last", F.max("one.g").over(of_key)).filter("other.g <> last").drop("last")
-    met = common.cut(met, where, "met")
+    # An aggregate and a join, and not a window, so that a key which very many sets share makes no large task.
+    least = each.groupBy("key").agg(F.min("one").alias("other"), F.max("one.g").alias("last")).filter("other.g <> last").select("key", "other")
+    met = common.cut(each.join(least, "key"), where, "met")
     # A pair's other keys may have another least member, so this round may leave out some; the second one doesn't.
-    first = links(met, "first")
+    first = links(_pairs(met).unionByName(simhash_pairs(heads, where)).distinct(), "first")
     tops = simhash.roots(first, f"{where}/first")
     # All that the first round has left apart; two of one group need no link more. Every key of two groups' members is here.
     rooted = met.join(tops.withColumnRenamed("node", "g"), F.col("one.g") == F.col("g"), "left").select("key", "one", F.coalesce("root", "one.g").alias("root"))
     apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rooted = common.cut(rooted.join(apart, "key", "left_semi"), where, "apart")
     again = rooted.join(rooted.select("key", F.col("one").alias("other"), F.col("root").alias("other_root")), "key").filter("one.g > other.g and root <> other_root")
-    return simhash.roots(first.unionByName(links(again, "second")), f"{where}/second")
+    return simhash.roots(first.unionByName(links(_pairs(again), "second")), f"{where}/second")
+
+
+def simhash_pairs(heads: DataFrame, where: str) -> DataFrame:
+    """(a, b) with a > b: sets whose 64-bit SimHash prints are equal or linked by deletion variants, each print by its least set."""
+    of = common.cut(heads.groupBy("_fp").agg(F.min(F.struct(F.col("node").alias("g"), F.col("_n").alias("n"))).alias("least")), where, "prints")
+    linked = simhash.links(of.select(F.col("_fp").alias("fp")), f"{where}/simhash")
+    same = heads.join(of, "_fp").select(F.struct(F.col("node").alias("g"), F.col("_n").alias("n")).alias("one"), F.col("least").alias("other")).filter("one.g <> other.g")
+    near = linked.join(of.select(F.col("_fp").alias("a"), F.col("least").alias("one")), "a").join(of.select(F.col("_fp").alias("b"), F.col("least").alias("other")), "b").select("one", "other")
+    sized = same.unionByName(near).filter(5 * F.least("one.n", "other.n") >= 4 * F.greatest("one.n", "other.n"))
+    return sized.select(F.greatest("one.g", "other.g").alias("a"), F.least("one.g", "other.g").alias("b"))
 
 
 def numbered(docs: DataFrame, where: str) -> DataFrame:
@@ -185,10 +212,10 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     printed = prints(slim, frequent_shingles(slim, where))
     # Copies of a set are one row from here on; of each the first row is known.
     order = F.struct(F.col("key").isNull().alias("none"), "key", "h", "_file", "_at")
-    heads = printed.groupBy("_p0", "_p1").agg(F.min(order).alias("best"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys"))
+    heads = printed.groupBy("_p0", "_p1").agg(F.min(order).alias("best"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"), F.first("_keys").alias("_keys"))
     heads = common.cut(heads.withColumn("node", F.xxhash64("_p0", "_p1")), where, "heads")
 
-    def texts_of(nodes: DataFrame, name: str) -> DataFrame:
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
         at = common.cut(heads.join(nodes, "node", "left_semi").select("node", "best._file", "best._at"), where, f"wanted-{name}")
         place = F.pmod(F.xxhash64("_file", "_at"), F.lit(MAP_BITS))
         # At most MAP_BITS / 64 numbers come to the driver.
@@ -200,13 +227,15 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 p = batch.column("_p").to_numpy()
-                keep = (chosen[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
-                yield batch.select(["_file", "_at", "text"]).filter(pa.array(keep.astype(bool)))
+                keep = pa.array(((chosen[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+                batch = batch.filter(keep)
+                sets = pa.array([shingles(v).astype("<u8").tobytes() for v in batch.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("_file"), batch.column("_at"), sets], names=["_file", "_at", "set"])
 
-        some = slim.select("_file", "_at", "text", place.alias("_p")).mapInArrow(run, "_file long, _at long, text string")
-        return common.cut(some.join(at.hint("merge"), ["_file", "_at"]).select("node", "text"), where, f"texts-{name}")
+        some = slim.select("_file", "_at", "text", place.alias("_p")).mapInArrow(run, "_file long, _at long, set binary")
+        return common.cut(some.join(at.hint("merge"), ["_file", "_at"]).select("node", "set"), where, f"sets-{name}")
 
-    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_keys"), texts_of, where), "node", "left")
+    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_fp", "_keys"), sets_of, where), "node", "left")
     stay = common.cut(placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best._file", "best._at"), where, "stay")
     # Never a broadcast: what stays grows with the input.
     return rows.join(stay.hint("merge"), ["_file", "_at"], "left_semi").select(*columns)
