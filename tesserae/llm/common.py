@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch that goes to Python, about; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -32,6 +33,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+_held: dict[str, dict] = {}
+
+
+def held(module: str) -> dict:
+    """What a worker keeps between the tasks of a module; what other modules have left in the worker goes."""
+    for other in [name for name in _held if name != module]:
+        del _held[other]
+    return _held.setdefault(module, {})
+
+
+def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, module: str) -> DataFrame:
+    """mapInArrow with bounded batches, in workers that hold only what the module keeps."""
+    small_batches(rows.sparkSession)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held(module)
+        return run(batches)
+
+    return rows.mapInArrow(alone, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared one (spark.checkpoint.dir); only where that is unset, a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -164,15 +164,13 @@ class SuffixAutomaton:
         return self.window if matched >= self.window else self.found(state, matched)[0]
 
 
-_built: list[tuple[list, int, SuffixAutomaton]] = []
-
-
 def automaton(items: Broadcast, window: int) -> SuffixAutomaton:
     """The worker's automaton for broadcast items; the last one is kept between tasks."""
     value = items.value
-    if not (_built and _built[0][0] is value and _built[0][1] == window):
-        _built[:] = [(value, window, SuffixAutomaton(value, window))]
-    return _built[0][2]
+    own = common.held(__name__)
+    if own.get("of") is not value or own["window"] != window:
+        own.update({"of": value, "window": window, "automaton": SuffixAutomaton(value, window)})
+    return own["automaton"]
 
 
 def shards(benchmark: DataFrame, item: str, text: str, most_words: int) -> Iterator[list[tuple[str, list[str]]]]:
@@ -205,7 +203,6 @@ def scan(
     further automata, each applied in a pass of its own over the rows written by the last.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     if clash := {"n_words", "hit_spans", "hit_items", "longest_match"} & set(docs.columns):
         docs = docs.drop(*clash)
     added = T.StructType(
@@ -222,7 +219,7 @@ def scan(
             where = where or common.shared_dir(spark)
             out = common.cut(out, where, f"scan-{k}")
         schema = T.StructType([f for f in out.schema.fields if k == 0 or f.name not in added.names] + added.fields)
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(items), text, window, bool(k)), schema)
+        out = common.mapped(out, _scanner(spark.sparkContext.broadcast(items), text, window, bool(k)), schema, __name__)
     return out
 
 
@@ -291,7 +288,7 @@ def remove_spans(scanned: DataFrame, *, text: str = "text", max_words: int = WIN
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in schema.names], names=schema.names)
 
     hit = F.aggregate("hit_spans", F.lit(0), lambda a, x: a + x[1] - x[0])
-    return scanned.filter((F.col("n_words") == 0) | (hit < max_coverage * F.col("n_words"))).mapInArrow(run, schema)
+    return common.mapped(scanned.filter((F.col("n_words") == 0) | (hit < max_coverage * F.col("n_words"))), run, schema, __name__)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = WINDOW, max_coverage: float = 0.8, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -302,7 +299,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
         found = scan(docs, benchmark, text=text, item=item, item_text=item_text, window=window, shard_words=shard_words)
         return remove_spans(found, text=text, max_words=max_words, max_coverage=max_coverage)
     spark = docs.sparkSession
-    common.small_batches(spark)
     held = spark.sparkContext.broadcast(items)
     names = docs.columns
 
@@ -317,7 +313,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
                 texts.append(without_spans(value, [x for x in spans if x[1] - x[0] >= max_words]) if spans and keep[-1] else value)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names], names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(docs, run, docs.schema, __name__)
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

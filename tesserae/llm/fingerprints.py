@@ -151,13 +151,11 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(((x == y) & there) @ weights / (there @ weights))
 
 
-_walkers: list[Walker] = []
-
-
 def walker() -> Walker:
-    if not _walkers:
-        _walkers.append(Walker())
-    return _walkers[0]
+    own = common.held(__name__)
+    if "walker" not in own:
+        own["walker"] = Walker()
+    return own["walker"]
 
 
 def edited(text: str, after: str) -> str:
@@ -194,7 +192,6 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range
 
 def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document (descending id)."""
-    common.small_batches(docs.sparkSession)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     )
@@ -233,14 +230,13 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
                 held.append((k, value))
                 size += len(value)
 
-    return with_next(docs, key=key, text=text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return common.mapped(with_next(docs, key=key, text=text), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", __name__)
 
 
 def fingerprint(docs: DataFrame, *, text: str = "text", into: str = "fingerprint") -> DataFrame:
     """The documents with their fingerprint, in hex, added. One narrow pass."""
     from pyspark.sql import types as T
 
-    common.small_batches(docs.sparkSession)
     docs = docs.drop(into) if into in docs.columns else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +244,7 @@ def fingerprint(docs: DataFrame, *, text: str = "text", into: str = "fingerprint
             found = [x.hex() for x in walker()([v or "" for v in batch.column(text).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())]))
+    return common.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())]), __name__)
 
 
 #: Sampled bytes in a band, and bands of each of the doublings that are cut into bands.
@@ -310,4 +306,4 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
             keep = [likeness(bytes.fromhex(a), bytes.fromhex(b)) >= threshold for a, b in zip(batch.column("fingerprint").to_pylist(), batch.column("other").to_pylist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, pairs.schema)
+    return common.mapped(pairs, run, pairs.schema, __name__)

@@ -223,7 +223,6 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, *, html: str = "html", into: str = "text") -> DataFrame:
     """The pages with `into` in place of the html. One narrow pass."""
-    common.small_batches(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name not in (html, into)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,4 +230,4 @@ def extract(pages: DataFrame, *, html: str = "html", into: str = "text") -> Data
             texts = [main_text(v) for v in batch.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(texts, pa.string())], names=[f.name for f in kept] + [into])
 
-    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.StringType())]))
+    return common.mapped(pages, run, T.StructType([*kept, T.StructField(into, T.StringType())]), __name__)

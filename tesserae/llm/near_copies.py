@@ -92,7 +92,6 @@ def simhash_of(own: np.ndarray) -> int:
 
 def prints(docs: DataFrame, frequent: np.ndarray, *, text: str = "text") -> DataFrame:
     """The documents without their text, with _p0 and _p1, a hash of their set of shingles, _n, its size, _fp, its SimHash, and _keys, its first. One narrow pass."""
-    common.small_batches(docs.sparkSession)
     rest = docs.drop(text).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +103,7 @@ def prints(docs: DataFrame, frequent: np.ndarray, *, text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, *added.names])
 
     added = T.StructType.fromDDL("_p0 long, _p1 long, _n int, _fp long, _keys array<long>")
-    return docs.mapInArrow(run, T.StructType([*docs.drop(text).schema.fields, *added.fields]))
+    return common.mapped(docs, run, T.StructType([*docs.drop(text).schema.fields, *added.fields]), __name__)
 
 
 def frequent_shingles(slim: DataFrame, where: str) -> np.ndarray:
@@ -140,7 +139,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return common.mapped(both.select("a", "b", "x", "y"), run, "a long, b long", __name__)
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -232,7 +231,7 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                 sets = pa.array([shingles(v).astype("<u8").tobytes() for v in batch.column("text").to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("_file"), batch.column("_at"), sets], names=["_file", "_at", "set"])
 
-        some = slim.select("_file", "_at", "text", place.alias("_p")).mapInArrow(run, "_file long, _at long, set binary")
+        some = common.mapped(slim.select("_file", "_at", "text", place.alias("_p")), run, "_file long, _at long, set binary", __name__)
         return common.cut(some.join(at.hint("merge"), ["_file", "_at"]).select("node", "set"), where, f"sets-{name}")
 
     placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_fp", "_keys"), sets_of, where), "node", "left")

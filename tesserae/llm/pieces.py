@@ -483,16 +483,14 @@ def _branch(lattice, agenda, number, jobs, paths, head, there, base, seeds, turn
                 number[d] += 1
 
 
-_lattices: dict[tuple, Lattice] = {}
-
-
 def lattice_of(model: str, offset: float = OFFSET, temperature: float = TEMPERATURE) -> Lattice:
     """The worker's lattice, with the units that earlier tasks met."""
     key = (model, offset, temperature)
-    if key not in _lattices:
-        _lattices.clear()
-        _lattices[key] = Lattice(model, offset, temperature)
-    return _lattices[key]
+    own = common.held(__name__)
+    if key not in own:
+        own.clear()
+        own[key] = Lattice(model, offset, temperature)
+    return own[key]
 
 
 SAMPLES = T.StructType(
@@ -514,7 +512,6 @@ def sample(docs: DataFrame, model: str, *, k: int = 2, key: str = "doc_id", text
 
     ids are little-endian unsigned 32-bit numbers (null unless `with_ids`); round_trip tells whether decoding them gives the text.
     """
-    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
     schema = T.StructType([T.StructField(key, T.LongType()), *SAMPLES.fields])
     arrow = pa.schema([(key, pa.int64()), ("sample", pa.int32()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_())])
@@ -533,12 +530,11 @@ def sample(docs: DataFrame, model: str, *, k: int = 2, key: str = "doc_id", text
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return common.mapped(rows, run, schema, __name__)
 
 
 def encode(docs: DataFrame, model: str, *, text: str = "text", into: str = "ids") -> DataFrame:
     """The library's own encoding of each text, as an array of ids. One narrow pass."""
-    common.small_batches(docs.sparkSession)
     docs = docs.drop(into) if into in docs.columns else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,12 +543,11 @@ def encode(docs: DataFrame, model: str, *, text: str = "text", into: str = "ids"
             ids = sp.encode([v or "" for v in batch.column(text).to_pylist()], num_threads=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    return common.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]), __name__)
 
 
 def decode(docs: DataFrame, model: str, *, ids: str = "ids", into: str = "text") -> DataFrame:
     """The text of an array of ids, in place of any column `into`. One narrow pass; null ids give an empty text."""
-    common.small_batches(docs.sparkSession)
     docs = docs.drop(into) if into in docs.columns else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -561,4 +556,4 @@ def decode(docs: DataFrame, model: str, *, ids: str = "ids", into: str = "text")
             texts = [sp.decode(v) if v else "" for v in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())]))
+    return common.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())]), __name__)

@@ -137,7 +137,6 @@ def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     The sample's ids are broadcast: `rows` numbers at most.
     """
-    common.small_batches(docs.sparkSession)
     chosen = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
         .groupBy(key)
@@ -153,7 +152,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             found = [features(v).tolist() for v in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "f"])
 
-    got = wanted.mapInArrow(run, schema).orderBy("label", "f").limit(rows).toArrow()
+    got = common.mapped(wanted, run, schema, __name__).orderBy("label", "f").limit(rows).toArrow()
     width = len(features(""))
     if not got.num_rows:
         return np.zeros((0, width)), np.zeros(0, bool)
@@ -163,7 +162,6 @@ def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text", into: str = "score") -> DataFrame:
     """The documents with a score in [0, 1] added. One narrow pass."""
-    common.small_batches(docs.sparkSession)
     docs = docs.drop(into) if into in docs.columns else docs
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
 
@@ -172,7 +170,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", into: str = "sc
             rows = np.stack([features(v) for v in batch.column(text).to_pylist()]) if batch.num_rows else np.zeros((0, len(model.mean)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(rows), pa.float64())], names=[*batch.schema.names, into])
 
-    return docs.mapInArrow(run, schema)
+    return common.mapped(docs, run, schema, __name__)
 
 
 def held_out(key: str = "doc_id"):

@@ -109,7 +109,6 @@ def find(text: str, keywords: ahocorasick.Automaton) -> list[tuple[int, int, int
 
 def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents with `secrets` added: an array of (kind, start, end) by start, then kind. One narrow pass."""
-    common.small_batches(docs.sparkSession)
     docs = docs.drop("secrets") if "secrets" in docs.columns else docs
     schema = T.StructType([*docs.schema.fields, T.StructField("secrets", SPANS)])
 
@@ -119,7 +118,7 @@ def scan(docs: DataFrame, *, text: str = "text") -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find(v, keywords)] if v else [] for v in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, _ARROW_SPANS)], names=[*batch.schema.names, "secrets"])
 
-    return docs.mapInArrow(run, schema)
+    return common.mapped(docs, run, schema, __name__)
 
 
 def redact(scanned: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -131,12 +130,11 @@ def redact(scanned: DataFrame, *, text: str = "text", mark: str = "[SECRET]") ->
             texts = [masked(v, [(x["start"], x["end"]) for x in s], mark) if s else v for v, s in zip(batch.column(text).to_pylist(), batch.column("secrets").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in schema.names], names=schema.names)
 
-    return scanned.mapInArrow(run, schema)
+    return common.mapped(scanned, run, schema, __name__)
 
 
 def mask(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """`redact` of a `scan` in one pass of one worker."""
-    common.small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +143,7 @@ def mask(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> Data
             texts = [masked(v, [(a, b) for a, _, b in s], mark) if v and (s := find(v, keywords)) else v for v in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in names], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(docs, run, docs.schema, __name__)
 
 
 def masked(text: str, spans: list[tuple[int, int]], mark: str) -> str:

@@ -60,7 +60,6 @@ def print_of(text: str | None, width: int) -> int:
 
 def prints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint of each document over shingles of `width` words. One narrow pass."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +67,7 @@ def prints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: i
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
+    return common.mapped(rows, run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]), __name__)
 
 
 def _keys(fp: Column) -> Column:

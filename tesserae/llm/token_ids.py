@@ -119,15 +119,13 @@ class Encoder:
         return b"".join([*map(self._ids, self.pieces(first)), *map(known.__getitem__, words), end])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder, with the words that earlier tasks met."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    own = common.held(__name__)
+    if path not in own:
+        own.clear()
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def pack(values: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -290,7 +288,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int, key: str =
     A task writes a file under its own name and then moves it, so a task that runs again leaves the same file.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -314,7 +311,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int, key: str =
                 size += len(value)
         yield from close()
 
-    files = ordered(docs, key=key, text=text, file_bytes=file_bytes).mapInArrow(run, "file long, n_values long")
+    files = common.mapped(ordered(docs, key=key, text=text, file_bytes=file_bytes), run, "file long, n_values long", __name__)
     return common.cut(files, folder + "-files", "written")
 
 
@@ -343,5 +340,5 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     # One row for each file: the running total over them is small beside any of them.
     starts = files.select("file", (F.sum("n_values").over(Window.orderBy("file")) - F.col("n_values")).alias("before"))
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select("path", "content")
-    docs = found.mapInArrow(run, "file long, doc_id long, first long, n_tokens long, ids_crc32 long, ids binary")
+    docs = common.mapped(found, run, "file long, doc_id long, first long, n_tokens long, ids_crc32 long, ids binary", __name__)
     return docs.join(starts, "file").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "ids")

@@ -117,7 +117,6 @@ def capture(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def write(rows: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write marked pages as .warc.gz files; returns (file, captures), already computed."""
-    common.small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -143,7 +142,7 @@ def write(rows: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES) -> Data
             yield close()
 
     ready = rows.sortWithinPartitions("page_id", "url", "digest")
-    return common.cut(ready.mapInArrow(run, "file string, captures long"), folder + "-files", "written")
+    return common.cut(common.mapped(ready, run, "file string, captures long", __name__), folder + "-files", "written")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -176,7 +175,6 @@ def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
 
 def read(spark: SparkSession, folder: str, *, payload: bool = True) -> DataFrame:
     """The records of all archives in a folder. Digests and lengths of responses are those of the payload as read."""
-    common.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +189,7 @@ def read(spark: SparkSession, folder: str, *, payload: bool = True) -> DataFrame
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(run, RECORDS)
+    return common.mapped(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content"), run, RECORDS, __name__)
 
 
 def assemble(records: DataFrame) -> DataFrame:
