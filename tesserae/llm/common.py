@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -38,11 +40,19 @@ _held: dict[str, dict] = {}
 
 def held(module: str) -> dict:
     """What a worker keeps between the tasks of a module; what other modules have left in the worker goes."""
-    for other in [name for name in _held if name != module]:
-        del _held[other]
+    if any(name != module for name in _held):
+        for other in [name for name in _held if name != module]:
+            del _held[other]
+        give_back()
     return _held.setdefault(module, {})
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can (its heap keeps what many arrays of changing size leave)."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, module: str) -> DataFrame:
     """mapInArrow with bounded batches, in workers that hold only what the module keeps."""
     small_batches(rows.sparkSession)

@@ -1,23 +1,27 @@
 """One document of each group of near copies: texts with 0.8 of their five-word shingles in common.
 
-Of two sets with at least 0.8 of their union in common, and in whichever order all shingles are put, the first n // 5 + 1 of
-the n of each have one in common (prefix filter). So each distinct set is indexed under its first shingles; sets that meet, and
-that their sizes and the number of first shingles in common don't rule out, are compared whole. That finds every pair, with no
-probability in it but that of two shingles with the same 64-bit hash. The order is that of the hashes, with frequent shingles (license
-lines, menus) last. They are found in a sample; which ones are taken for frequent changes the cost and not the result.
+Candidates come from two indexes. One is SimHash with deletion variants: sets whose 64-bit prints are equal or, by one-bit wildcards of
+two segments, up to two bits apart. It finds the closest copies, but of sets with 0.8 in common few are that close. The other is exact:
+of two sets with at least 0.8 of their union in common, and in whichever order all shingles are put, the first n // 5 + 1 of the n
+of each have one in common (prefix filter). So each distinct set is indexed under its first shingles; sets that meet, and that their
+sizes and the number of first shingles in common don't rule out, are compared whole. That finds every pair, with no probability in it
+but that of two shingles with the same 64-bit hash. The order is that of the hashes, with frequent shingles (license lines, menus) last, the
+more frequent the later. They are found in a sample; which ones are taken for frequent changes the cost and not the result.
 
 Groups are what links reach. A first round compares a key's members with the least of them, and a second one all members of a key
-that the first has left in different groups; within a group no link can change it. So a large group of copies costs
-comparisons in proportion to its size, and no pair is left out. Only the texts of sets to compare are shuffled for it.
+that the first has left in different groups; within a group no link can change it, so there the members of a key's largest group
+are compared with others only. So a large group of copies costs comparisons in proportion to its size, and no pair is left out. No texts
+are shuffled for it, but the sets of those to compare.
 
 Defined results: null and empty texts, and texts that differ in white space or ASCII case only, are copies of each other; a text of
 fewer than five words is one shingle; of a group the row with the smallest doc_id stays (null ids last, then by text hash), of
-repeated rows one; extra columns pass through, but for _p0, _p1, _file and _at.
+repeated rows one; extra columns pass through, of whatever name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,8 @@ from tesserae.llm import common, simhash
 
 #: Words of a shingle.
 WIDTH = 5
-#: Documents in SAMPLE are one in the frequency sample; a shingle is frequent from FREQUENT of the sampled documents that have it
-#: among their first, and OFTEN documents at least.
-SAMPLE = 8
+#: One row in SAMPLE is in the frequency sample; a shingle is frequent that FREQUENT of the sampled sets have, and OFTEN of them at least.
+SAMPLE = 16
 FREQUENT = 0.0001
 OFTEN = 2
 #: Bits of the map of rows whose texts are compared: 2 MB. Others that fall on a bit of it only cost a shuffle.
@@ -74,12 +77,27 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(found ^ (found >> np.uint64(32)))
 
 
-def first_of(own: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The shingles under which a set is indexed: n // 5 + 1 of n, frequent ones last. Two sets with 0.8 in common share one."""
-    if len(frequent):
-        late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own
-        own = np.concatenate([own[~late], own[late]])
-    return own[: len(own) // 5 + 1]
+@dataclass(frozen=True)
+class Frequent:
+    """Frequent shingles, ascending, and how often each was met."""
+
+    shingles: np.ndarray
+    counts: np.ndarray
+
+    def first_of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles under which a set is indexed: n // 5 + 1 of n, in two parts, frequent ones last. Two sets with 0.8 in common share one."""
+        most = len(own) // 5 + 1
+        if not len(self.shingles):
+            return own[:most], own[:0]
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        late = self.shingles[at] == own
+        rare = own[~late]
+        if len(rare) >= most:
+            return rare[:most], own[:0]
+        return rare, own[late][np.argsort(self.counts[at[late]], kind="stable")][: most - len(rare)]
+
+
+NONE = Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
 def simhash_of(own: np.ndarray) -> int:
@@ -90,32 +108,47 @@ def simhash_of(own: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(own), bitorder="little").view("<i8")[0])
 
 
-def prints(docs: DataFrame, frequent: np.ndarray, *, text: str = "text") -> DataFrame:
-    """The documents without their text, with _p0 and _p1, a hash of their set of shingles, _n, its size, _fp, its SimHash, and _keys, its first. One narrow pass."""
+def prints(docs: DataFrame, frequent: Frequent, *, text: str = "text") -> DataFrame:
+    """The documents without their text, with _p0 and _p1, a hash of their set of shingles, _n, its size, _fp, its SimHash, and its first
+    shingles, _keys and (frequent ones) _late. One narrow pass."""
     rest = docs.drop(text).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(map(shingles, batch.column(text).to_pylist()))
-            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">i8").astype(np.int64).reshape(-1, 2)
-            keys = [first_of(x, frequent).view(np.int64) for x in sets]
-            more = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(simhash_of, sets)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            first = list(map(frequent.first_of, sets))
+            lists = [pa.array([x[k].view(np.int64) for x in first], pa.list_(pa.int64())) for k in range(2)]
+            halves = _halves(sets)
+            more = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(simhash_of, sets)), pa.int64()), *lists]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, *added.names])
 
-    added = T.StructType.fromDDL("_p0 long, _p1 long, _n int, _fp long, _keys array<long>")
+    added = T.StructType.fromDDL("_p0 long, _p1 long, _n int, _fp long, _keys array<long>, _late array<long>")
     return common.mapped(docs, run, T.StructType([*docs.drop(text).schema.fields, *added.fields]), __name__)
 
 
-def frequent_shingles(slim: DataFrame, where: str) -> np.ndarray:
-    """Shingles that many documents of a sample have among their first, ascending.
+def _halves(sets: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">i8").astype(np.int64).reshape(-1, 2)
+
 
-    A document has n // 5 + 1 of them, so at most (mean n / 5 + 1) / FREQUENT come to the driver, of eight bytes each.
+def frequent_shingles(slim: DataFrame, where: str) -> Frequent:
+    """Shingles that many of a sample's distinct sets have.
+
+    As a set has n of them, at most (mean n) / FREQUENT come to the driver and to each task, of 16 bytes each.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(map(shingles, batch.column("text").to_pylist()))
+            halves = _halves(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["_p0", "_p1", "all"])
+
     some = slim.filter(F.pmod(F.xxhash64("_file", "_at"), F.lit(SAMPLE)) == 0).select("text")
-    some = common.cut(prints(some, np.empty(0, np.uint64)).select("_p0", "_p1", "_keys"), where, "sample").dropDuplicates(["_p0", "_p1"])
+    some = common.cut(common.mapped(some, run, "_p0 long, _p1 long, all array<long>", __name__).dropDuplicates(["_p0", "_p1"]), where, "sample")
     least = max(OFTEN, int(FREQUENT * some.count()))
-    found = some.select(F.explode("_keys").alias("key")).groupBy("key").count().filter(F.col("count") >= least).select("key").toArrow()
-    return np.sort(found.column("key").to_numpy().view(np.uint64))
+    found = some.select(F.explode("all").alias("key")).groupBy("key").count().filter(F.col("count") >= least).toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Frequent(keys[order], found.column("count").to_numpy()[order])
 
 
 def common_of(x: np.ndarray, y: np.ndarray) -> int:
@@ -143,38 +176,44 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    """(a, b) with a > b of rows with `one` and `other`, one for each key in common, that may have 0.8 in common.
+    """(a, b) with a > b of rows (g, n, og, on), one for each key that the sets g and og share, that may have 0.8 in common.
 
     Of two sets, that whose first shingles end earlier has only what follows them, n - n // 5 - 1, besides the common ones among the first.
     """
-    a, b = F.col("one.g"), F.col("other.g")
-    na, nb = F.col("one.n"), F.col("other.n")
+    n, on = F.col("n"), F.col("on")
     rest = lambda n: n - F.floor(n / 5) - 1
-    sized = met.filter((a != b) & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)))
-    sized = sized.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), (na + nb).alias("sum"), F.greatest(rest(na), rest(nb)).alias("rest"))
+    sized = met.filter((F.col("g") != F.col("og")) & (5 * F.least(n, on) >= 4 * F.greatest(n, on)))
+    sized = sized.select(F.greatest("g", "og").alias("a"), F.least("g", "og").alias("b"), (n + on).alias("sum"), F.greatest(rest(n), rest(on)).alias("rest"))
     return sized.groupBy("a", "b", "sum", "rest").count().filter("9 * (count + rest) >= 4 * sum").select("a", "b")
 
 
 def groups(heads: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], where: str) -> DataFrame:
-    """(node, root) for the nodes of linked sets; heads is (node, _n, _fp, _keys), one row for each set, and sets_of gives (node, set) for nodes."""
+    """(node, root) for the nodes of linked sets; heads is (node, _n, _fp, _keys, _late), one row for each set, and sets_of gives (node, set) for nodes."""
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = common.cut(pairs, where, f"pairs-{name}")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return common.cut(_verified(pairs, sets_of(nodes, name)), where, f"links-{name}")
 
-    each = heads.select(F.struct(F.col("node").alias("g"), F.col("_n").alias("n")).alias("one"), F.explode("_keys").alias("key"))
-    # An aggregate and a join, and not a window, so that a key which very many sets share makes no large task.
-    least = each.groupBy("key").agg(F.min("one").alias("other"), F.max("one.g").alias("last")).filter("other.g <> last").select("key", "other")
-    met = common.cut(each.join(least, "key"), where, "met")
+    each = lambda keys: heads.select(F.explode(keys).alias("key"), F.col("node").alias("g"), F.col("_n").alias("n"))
+    of_key = Window.partitionBy("key")
+    least = F.min(F.struct("g", "n"))
+    rare = each("_keys").withColumn("least", least.over(of_key)).withColumn("last", F.max("g").over(of_key)).filter("least.g <> last")
+    # Frequent shingles by an aggregate and a join, so that a key which very many sets share makes no large task.
+    tops = each("_late").groupBy("key").agg(least.alias("least"), F.max("g").alias("last")).filter("least.g <> last")
+    late = each("_late").join(tops, "key")
+    met = rare.unionByName(late).select("key", "g", "n", F.col("least.g").alias("og"), F.col("least.n").alias("on"))
+    met = common.cut(met, where, "met")
     # A pair's other keys may have another least member, so this round may leave out some; the second one doesn't.
     first = links(_pairs(met).unionByName(simhash_pairs(heads, where)).distinct(), "first")
     tops = simhash.roots(first, f"{where}/first")
     # All that the first round has left apart; two of one group need no link more. Every key of two groups' members is here.
-    rooted = met.join(tops.withColumnRenamed("node", "g"), F.col("one.g") == F.col("g"), "left").select("key", "one", F.coalesce("root", "one.g").alias("root"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    rooted = common.cut(rooted.join(apart, "key", "left_semi"), where, "apart")
-    again = rooted.join(rooted.select("key", F.col("one").alias("other"), F.col("root").alias("other_root")), "key").filter("one.g > other.g and root <> other_root")
+    rooted = common.cut(met.join(tops.withColumnRenamed("node", "g"), "g", "left").select("key", "g", "n", F.coalesce("root", "g").alias("root")), where, "rooted")
+    sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root")).alias("big"))
+    rooted = common.cut(rooted.join(sizes.filter("roots > 1").select("key", F.col("big.root").alias("big")), "key"), where, "apart")
+    # A key's largest group is met by the others only.
+    small = rooted.filter("root <> big").select("key", "g", "n", "root")
+    again = small.join(rooted.select("key", F.col("g").alias("og"), F.col("n").alias("on"), F.col("root").alias("oroot"), "big"), "key").filter("root <> oroot and (oroot = big or g > og)")
     return simhash.roots(first.unionByName(links(_pairs(again), "second")), f"{where}/second")
 
 
@@ -188,30 +227,30 @@ def simhash_pairs(heads: DataFrame, where: str) -> DataFrame:
     return sized.select(F.greatest("one.g", "other.g").alias("a"), F.least("one.g", "other.g").alias("b"))
 
 
-def numbered(docs: DataFrame, where: str) -> DataFrame:
-    """The rows with _file and _at, by which they can be told apart in any later read.
+def numbered(docs: DataFrame, where: str, file: str = "_file", at: str = "_at") -> DataFrame:
+    """The rows with two columns by which they can be told apart in any later read.
 
     Rows read from files have a place there; others are written once.
     """
     try:
-        found = docs.withColumn("_file", F.xxhash64("_metadata.file_path")).withColumn("_at", F.col("_metadata.row_index"))
+        found = docs.withColumn(file, F.xxhash64("_metadata.file_path")).withColumn(at, F.col("_metadata.row_index"))
         found.schema  # noqa: B018 - resolves the columns
         return found
     except AnalysisException:
-        return common.cut(docs.withColumn("_file", F.lit(0).cast("long")).withColumn("_at", F.monotonically_increasing_id()), where, "numbered")
+        return common.cut(docs.withColumn(file, F.lit(0).cast("long")).withColumn(at, F.monotonically_increasing_id()), where, "numbered")
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without near copies of those that stay. The texts are shuffled once, to meet the rows that stay, and those of sets to compare before."""
     where = common.shared_dir(docs.sparkSession)
-    docs = docs.drop("_p0", "_p1", "_file", "_at")
     columns = docs.columns
-    rows = numbered(docs, where)
-    slim = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), "_file", "_at", F.col(text).alias("text"))
+    file, at = common.unused(columns, "_file"), common.unused(columns, "_at")
+    rows = numbered(docs, where, file, at)
+    slim = rows.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(file).alias("_file"), F.col(at).alias("_at"), F.col(text).alias("text"))
     printed = prints(slim, frequent_shingles(slim, where))
     # Copies of a set are one row from here on; of each the first row is known.
     order = F.struct(F.col("key").isNull().alias("none"), "key", "h", "_file", "_at")
-    heads = printed.groupBy("_p0", "_p1").agg(F.min(order).alias("best"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"), F.first("_keys").alias("_keys"))
+    heads = printed.groupBy("_p0", "_p1").agg(F.min(order).alias("best"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"), F.first("_keys").alias("_keys"), F.first("_late").alias("_late"))
     heads = common.cut(heads.withColumn("node", F.xxhash64("_p0", "_p1")), where, "heads")
 
     def sets_of(nodes: DataFrame, name: str) -> DataFrame:
@@ -234,7 +273,7 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         some = common.mapped(slim.select("_file", "_at", "text", place.alias("_p")), run, "_file long, _at long, set binary", __name__)
         return common.cut(some.join(at.hint("merge"), ["_file", "_at"]).select("node", "set"), where, f"sets-{name}")
 
-    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_fp", "_keys"), sets_of, where), "node", "left")
+    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_fp", "_keys", "_late"), sets_of, where), "node", "left")
     stay = common.cut(placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best._file", "best._at"), where, "stay")
     # Never a broadcast: what stays grows with the input.
-    return rows.join(stay.hint("merge"), ["_file", "_at"], "left_semi").select(*columns)
+    return rows.join(stay.toDF(file, at).hint("merge"), [file, at], "left_semi").select(*columns)

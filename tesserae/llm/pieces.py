@@ -42,7 +42,7 @@ SPACE = "▁"
 OFFSET = 20.0
 TEMPERATURE = 1.0
 #: States of units that a worker keeps, with some three arcs each, at 16 bytes an arc; when there are more, it starts anew.
-MOST_STATES = 2_200_000
+MOST_STATES = 1_500_000
 #: Units whose states are built at once.
 LEARN = 8_000
 #: Characters from which a unit's states are built one by one.
@@ -149,11 +149,9 @@ class Lattice:
         self.units: dict[str, int] = {}
         self.words: dict[str, tuple[int, ...]] = {}  # what stands between two spaces, to the first states of its units
         self.states = self.arcs = 0
-        if not hasattr(self, "first"):  # memory is taken as it is written to
-            self.first = np.empty(MOST_STATES + (1 << 19), np.int32)
-            self.count = np.empty(MOST_STATES + (1 << 19), np.int32)
-            arcs = 3 * MOST_STATES
-            self.cum, self.next, self.token, self.log = (np.empty(arcs, t) for t in (np.float32, np.int32, np.int32, np.float32))
+        if not hasattr(self, "first"):  # they grow as they fill
+            self.first, self.count = (np.empty(1 << 18, np.int32) for _ in range(2))
+            self.cum, self.next, self.token, self.log = (np.empty(3 << 18, t) for t in (np.float32, np.int32, np.int32, np.float32))
 
     def _room(self, names: tuple[str, ...], used: int, more: int) -> None:
         for name in names:
@@ -529,6 +527,7 @@ def sample(docs: DataFrame, model: str, *, k: int = 2, key: str = "doc_id", text
                     found.append((name, number, data if with_ids else None, len(s.ids), zlib.crc32(data), s.log, s.value, s.inclusion, lattice.decode(s.ids) == plain))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+            common.give_back()
 
     return common.mapped(rows, run, schema, __name__)
 
