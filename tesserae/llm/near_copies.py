@@ -20,7 +20,7 @@ repeated rows one; extra columns pass through, of whatever name.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +39,12 @@ WIDTH = 5
 SAMPLE = 16
 FREQUENT = 0.0001
 OFTEN = 2
+#: Members of a frequent key that all its sets are compared with first.
+LEADERS = 6
+#: Comparisons within a key from which only sets of like sketches are compared, and 64-bit words of a sketch. A sketch tells sets of
+#: up to some 700 shingles apart; longer ones are compared.
+CROWDED = 2000
+WORDS = 8
 #: Bits of the map of rows whose texts are compared: 2 MB. Others that fall on a bit of it only cost a shuffle.
 MAP_BITS = 1 << 24
 #: Bits in which the SimHash prints of such copies differ at most, as a rule. The stage doesn't rest on it.
@@ -108,9 +114,15 @@ def simhash_of(own: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(own), bitorder="little").view("<i8")[0])
 
 
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    """A bit for each part of the hashes: whether the set has an odd number of shingles there."""
+    odd = np.bincount((own >> np.uint64(7)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prints(docs: DataFrame, frequent: Frequent, *, text: str = "text") -> DataFrame:
-    """The documents without their text, with _p0 and _p1, a hash of their set of shingles, _n, its size, _fp, its SimHash, and its first
-    shingles, _keys and (frequent ones) _late. One narrow pass."""
+    """The documents without their text, with _p0 and _p1, a hash of their set of shingles, _n, its size, _fp, its SimHash, _s, its sketch, and its
+    first shingles, _keys and (frequent ones) _late. One narrow pass."""
     rest = docs.drop(text).columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +131,10 @@ def prints(docs: DataFrame, frequent: Frequent, *, text: str = "text") -> DataFr
             first = list(map(frequent.first_of, sets))
             lists = [pa.array([x[k].view(np.int64) for x in first], pa.list_(pa.int64())) for k in range(2)]
             halves = _halves(sets)
-            more = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(simhash_of, sets)), pa.int64()), *lists]
+            more = [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(x) for x in sets], pa.int32()), pa.array(list(map(simhash_of, sets)), pa.int64()), pa.array(list(map(sketch_of, sets)), pa.list_(pa.int64())), *lists]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *more], names=[*rest, *added.names])
 
-    added = T.StructType.fromDDL("_p0 long, _p1 long, _n int, _fp long, _keys array<long>, _late array<long>")
+    added = T.StructType.fromDDL("_p0 long, _p1 long, _n int, _fp long, _s array<long>, _keys array<long>, _late array<long>")
     return common.mapped(docs, run, T.StructType([*docs.drop(text).schema.fields, *added.fields]), __name__)
 
 
@@ -160,15 +172,20 @@ def common_of(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The sets of a column, without copies."""
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy().view(np.uint64)
+    return [values[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) whose sets have at least 0.8 of their union in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                keep.append(9 * common_of(x, y) >= 4 * (len(x) + len(y)))
+            both = zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True)
+            keep = [9 * common_of(x, y) >= 4 * (len(x) + len(y)) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -188,35 +205,53 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def groups(heads: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], where: str) -> DataFrame:
-    """(node, root) for the nodes of linked sets; heads is (node, _n, _fp, _keys, _late), one row for each set, and sets_of gives (node, set) for nodes."""
+    """(node, root) for the nodes of linked sets; heads is (node, _n, _fp, _s, _keys, _late), one row for each set, and sets_of gives (node, set) for nodes."""
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = common.cut(pairs, where, f"pairs-{name}")
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         return common.cut(_verified(pairs, sets_of(nodes, name)), where, f"links-{name}")
 
     each = lambda keys: heads.select(F.explode(keys).alias("key"), F.col("node").alias("g"), F.col("_n").alias("n"))
     of_key = Window.partitionBy("key")
-    least = F.min(F.struct("g", "n"))
-    rare = each("_keys").withColumn("least", least.over(of_key)).withColumn("last", F.max("g").over(of_key)).filter("least.g <> last")
+    one = F.struct("g", "n")
+    rare = each("_keys").withColumn("low", F.min(one).over(of_key)).withColumn("high", F.max(one).over(of_key)).filter("low.g <> high.g")
+    rare = rare.select("key", "g", "n", F.array("low", "high").alias("leads"))
     # Frequent shingles by an aggregate and a join, so that a key which very many sets share makes no large task.
-    tops = each("_late").groupBy("key").agg(least.alias("least"), F.max("g").alias("last")).filter("least.g <> last")
-    late = each("_late").join(tops, "key")
-    met = rare.unionByName(late).select("key", "g", "n", F.col("least.g").alias("og"), F.col("least.n").alias("on"))
-    met = common.cut(met, where, "met")
-    # A pair's other keys may have another least member, so this round may leave out some; the second one doesn't.
-    first = links(_pairs(met).unionByName(simhash_pairs(heads, where)).distinct(), "first")
+    some = [F.min(F.struct(F.xxhash64("g", F.lit(k)).alias("h"), one.alias("one"))).alias(f"h{k}") for k in range(LEADERS - 2)]
+    tops = each("_late").groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high"), *some).filter("low.g <> high.g")
+    tops = tops.select("key", F.array_distinct(F.array("low", "high", *(f"h{k}.one" for k in range(LEADERS - 2)))).alias("leads"))
+    late = each("_late").join(tops, "key").select("key", "g", "n", "leads")
+    met = common.cut(rare.unionByName(late), where, "met")
+    # A pair's other keys may have other leaders, so this round may leave out some; the second one doesn't.
+    led = met.select("g", "n", F.explode("leads").alias("lead")).select("g", "n", F.col("lead.g").alias("og"), F.col("lead.n").alias("on"))
+    first = links(_pairs(led).unionByName(simhash_pairs(heads, where)).distinct(), "first")
     tops = simhash.roots(first, f"{where}/first")
     # All that the first round has left apart; two of one group need no link more. Every key of two groups' members is here.
-    rooted = common.cut(met.join(tops.withColumnRenamed("node", "g"), "g", "left").select("key", "g", "n", F.coalesce("root", "g").alias("root")), where, "rooted")
-    sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root")).alias("big"))
-    rooted = common.cut(rooted.join(sizes.filter("roots > 1").select("key", F.col("big.root").alias("big")), "key"), where, "apart")
-    # A key's largest group is met by the others only.
-    small = rooted.filter("root <> big").select("key", "g", "n", "root")
-    again = small.join(rooted.select("key", F.col("g").alias("og"), F.col("n").alias("on"), F.col("root").alias("oroot"), "big"), "key").filter("root <> oroot and (oroot = big or g > og)")
+    rooted = common.cut(met.select("key", "g", "n").join(tops.withColumnRenamed("node", "g"), "g", "left").select("key", "g", "n", F.coalesce("root", "g").alias("root")), where, "rooted")
+    sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root")).alias("big"), F.sum("count").alias("all")).filter("roots > 1")
+    sizes = sizes.select("key", F.col("big.root").alias("big"), (F.col("all") * (F.col("all") - F.col("big.count")) > CROWDED).alias("crowded"))
+    rooted = common.cut(rooted.join(sizes, "key"), where, "apart")
+    again = _apart(rooted.filter("not crowded"))
+    crowded = rooted.filter("crowded")
+    if crowded.take(1):
+        sketches = heads.select(F.col("node").alias("g"), *(F.get("_s", F.lit(k)).alias(f"s{k}") for k in range(WORDS)))
+        crowded = common.cut(crowded.join(sketches, "g"), where, "crowded")
+        again = again.unionByName(_apart(crowded, [f"s{k}" for k in range(WORDS)]))
     return simhash.roots(first.unionByName(links(_pairs(again), "second")), f"{where}/second")
 
 
+def _apart(rooted: DataFrame, sketch: Sequence[str] = ()) -> DataFrame:
+    """(g, n, og, on) for each key that sets g and og of different groups share; a key's largest group is met by the others only.
+
+    Sets with 0.8 in common differ in a ninth of all their shingles at most, and sketches in no more bits than the sets do in shingles.
+    """
+    small = rooted.filter("root <> big").select("key", "g", "n", "root", *sketch)
+    others = rooted.select("key", F.col("g").alias("og"), F.col("n").alias("on"), F.col("root").alias("oroot"), "big", *(F.col(c).alias(f"o{c}") for c in sketch))
+    differ = " + ".join(f"bit_count({c} ^ o{c})" for c in sketch) or "0"
+    return small.join(others, "key").filter(f"root <> oroot and (oroot = big or g > og) and 5 * least(n, on) >= 4 * greatest(n, on) and 9 * ({differ}) <= n + on").select("g", "n", "og", "on")
+
+
 def simhash_pairs(heads: DataFrame, where: str) -> DataFrame:
     """(a, b) with a > b: sets whose 64-bit SimHash prints are equal or linked by deletion variants, each print by its least set."""
     of = common.cut(heads.groupBy("_fp").agg(F.min(F.struct(F.col("node").alias("g"), F.col("_n").alias("n"))).alias("least")), where, "prints")
@@ -250,7 +285,7 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     printed = prints(slim, frequent_shingles(slim, where))
     # Copies of a set are one row from here on; of each the first row is known.
     order = F.struct(F.col("key").isNull().alias("none"), "key", "h", "_file", "_at")
-    heads = printed.groupBy("_p0", "_p1").agg(F.min(order).alias("best"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"), F.first("_keys").alias("_keys"), F.first("_late").alias("_late"))
+    heads = printed.groupBy("_p0", "_p1").agg(F.min(order).alias("best"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"), F.first("_s").alias("_s"), F.first("_keys").alias("_keys"), F.first("_late").alias("_late"))
     heads = common.cut(heads.withColumn("node", F.xxhash64("_p0", "_p1")), where, "heads")
 
     def sets_of(nodes: DataFrame, name: str) -> DataFrame:
@@ -267,13 +302,13 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
                 p = batch.column("_p").to_numpy()
                 keep = pa.array(((chosen[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
                 batch = batch.filter(keep)
-                sets = pa.array([shingles(v).astype("<u8").tobytes() for v in batch.column("text").to_pylist()], pa.binary())
+                sets = pa.array([shingles(v).view(np.int64) for v in batch.column("text").to_pylist()], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("_file"), batch.column("_at"), sets], names=["_file", "_at", "set"])
 
-        some = common.mapped(slim.select("_file", "_at", "text", place.alias("_p")), run, "_file long, _at long, set binary", __name__)
+        some = common.mapped(slim.select("_file", "_at", "text", place.alias("_p")), run, "_file long, _at long, set array<long>", __name__)
         return common.cut(some.join(at.hint("merge"), ["_file", "_at"]).select("node", "set"), where, f"sets-{name}")
 
-    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_fp", "_keys", "_late"), sets_of, where), "node", "left")
+    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_fp", "_s", "_keys", "_late"), sets_of, where), "node", "left")
     stay = common.cut(placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best._file", "best._at"), where, "stay")
     # Never a broadcast: what stays grows with the input.
     return rows.join(stay.toDF(file, at).hint("merge"), [file, at], "left_semi").select(*columns)
