@@ -2,13 +2,20 @@
 
 Markup is cut into blocks of text. Pass one decides each block by its own stop-word density, length and link density:
 good, bad, or undecided where it is short or its densities lie between. Pass two gives an undecided block the label of
-its nearest decided neighbours. Blocks inside page furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments, by element, role, class or id) are bad from the start; where a page marks its article or main
-part, blocks outside are bad too, and blocks inside are good unless they are mostly links.
+its nearest decided neighbours. What the page itself says comes in as follows:
+
+* Blocks inside furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments, by element, role,
+  class or id) are bad. A class or id counts by its whole words, and never on an element that holds most of the text that
+  the densities call good.
+* Where a page marks its article or main part, blocks outside it are bad, and inside it none is: those that the densities
+  don't call good are undecided there and inherit from their neighbours, or are good where that part has no decided block. Marks
+  that hold less than a third of the text that the densities call good (teasers, say) are passed over.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
 order by an empty line. Defined results: null and empty pages, and pages without text, give the empty string; repeated
-rows give a row each; extra columns pass through; an unclosed element ends with what holds it.
+rows give a row each; extra columns pass through, but for one named like the result, which replaces it; an unclosed element
+ends with what holds it; a quote that isn't closed ends with its tag, and a tag that isn't closed is text. Time is linear in a
+page's length, whatever its markup.
 """
 
 from __future__ import annotations
@@ -30,8 +37,8 @@ STOP_LOW = 0.15
 STOP_HIGH = 0.28
 LINKS = 0.33
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 
 #: Elements whose content isn't text; they are passed over up to their end tag.
 RAW = frozenset("script style noscript template textarea iframe svg math object canvas title select xmp noembed noframes".split())
@@ -42,13 +49,17 @@ INLINE = frozenset(
 )
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words of a class or id that mark furniture.
+#: Classes and ids that mark furniture: as a whole, or as the first or last word of a compound ("comment-list", "main-nav").
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
-    "notification alert popup modal overlay sidebar side nav navbar navigation menu menubar topbar breadcrumb breadcrumbs footer header masthead "
+    "notification alert popup modal overlay sidebar nav navbar navigation menu menubar topbar breadcrumb breadcrumbs footer header masthead "
     "comment comments respond disqus reply replies share sharing social related recommended newsletter subscribe subscription signup login search "
-    "pagination pager widget toolbar copyright legal skip hidden".split()
+    "pagination pager widget toolbar copyright legal".split()
 )
+#: Those that count as a whole only.
+WHOLE = frozenset("side hidden skip".split())
+#: Words that turn a compound into something else ("has-sidebar", "no-comments").
+OTHERWISE = frozenset("has no not non without with is js hide show".split())
 
 STOP = frozenset(
     # English, French, German, Spanish, Italian, Portuguese, Dutch
@@ -70,33 +81,128 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class _Block:
-    __slots__ = ("text", "links", "main", "furniture")
+    __slots__ = ("text", "links", "main", "furniture", "hints")
 
-    def __init__(self, text: str, links: int, main: bool, furniture: bool):
-        self.text, self.links, self.main, self.furniture = text, links, main, furniture
+    def __init__(self, text: str, links: int, main: bool, furniture: bool, hints: tuple[int, ...]):
+        self.text, self.links, self.main, self.furniture, self.hints = text, links, main, furniture, hints
 
 
-def _is_furniture(name: str, attributes: str) -> bool:
-    if name in FURNITURE:
-        return True
-    if name in ("html", "body") or name in MAIN or not attributes:
-        return False
-    for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        value, key = (a or b or c).lower(), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and any(x in HINTS or x.startswith(("advert", "cookie", "comment", "sidebar")) for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())):
+def _hinted(value: str) -> bool:
+    """Whether a class or id names furniture."""
+    for token in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
+        if token.lower() in WHOLE or words and words[0] not in OTHERWISE and (words[0] in HINTS or words[-1] in HINTS):
             return True
     return False
 
 
+def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture, hinted at as such by a class or id, or the main part."""
+    furniture, hinted, main = name in FURNITURE, False, name in MAIN
+    if attributes and name not in ("html", "body"):
+        for key, a, b, c in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), a or b or c
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
+                furniture = True
+            elif key == "role" and value.lower() == "main":
+                main = True
+            elif key in ("class", "id") and name not in MAIN:
+                hinted = hinted or _hinted(value)
+    return furniture, hinted, main
+
+
+class _Tags:
+    """The tags of a page, one after the other. Nothing is looked for twice past the place where it was last found."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self.none: set[str] = set()  # what doesn't occur any more
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(begin, end, element, whether it closes one, attributes) of the next tag; for comments and the like an empty element, for CDATA its text."""
+        html = self.html
+        while 0 <= (at := self.find("<", at)) < self.last:
+            second = html[at + 1 : at + 2]
+            if second == "!" and html.startswith("<!--", at):
+                end = self.find("-->", at + 4)
+                return at, len(html) if end < 0 else end + 3, "", False, ""
+            if second == "!" and html.startswith("<![CDATA[", at) and (end := self.find("]]>", at + 9)) >= 0:
+                return at, end + 3, "", False, html[at + 9 : end]
+            if second and second in "!?":
+                return at, html.index(">", at) + 1, "", False, ""
+            closing = second == "/"
+            if name := _NAME.match(html, at + 1 + closing):
+                end = self.end(name.end())
+                return at, end + 1, name[0].lower(), closing, html[name.end() : end]
+            at += 1
+        return None
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin here: at the next > outside quotes, or inside one that isn't closed."""
+        html = self.html
+        first = place = html.index(">", at)
+        while True:
+            quotes = [q for q in (html.find('"', at, place), html.find("'", at, place)) if q >= 0]
+            if not quotes:
+                return place
+            close = self.find(html[min(quotes)], min(quotes) + 1)
+            if close < 0 or close > self.last:
+                return first
+            at = close + 1
+            if at > place:
+                place = html.index(">", at)
+
+
+class _Open:
+    """The open elements, with the places of each kind, so that none is looked for among all."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # element; inside main part, furniture and hinted elements, before it
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # of elements that aren't inline
+        self.bars: list[int] = []  # of those that aren't paragraphs either
+
+    def push(self, name: str, *state) -> None:
+        place = len(self.stack)
+        self.stack.append((name, *state))
+        self.places.setdefault(name, []).append(place)
+        if name not in INLINE:
+            self.blocks.append(place)
+            if name != "p":
+                self.bars.append(place)
+
+    def place(self, name: str) -> int:
+        return self.places[name][-1] if self.places.get(name) else -1
+
+    def close(self, place: int) -> tuple:
+        """End the element at a place and all in it; what held before it."""
+        state = self.stack[place][1:]
+        while len(self.stack) > place:
+            self.places[self.stack.pop()[0]].pop()
+        for held in (self.blocks, self.bars):
+            while held and held[-1] >= place:
+                held.pop()
+        return state
+
+
 def blocks(html: str) -> list[_Block]:
     """The text blocks of a page in order."""
     out: list[_Block] = []
     text: list[str] = []
     links = 0
-    stack: list[tuple[str, bool, bool]] = []  # element, inside main part, inside furniture
+    tags, open_ = _Tags(html), _Open()
     main = furniture = False
+    hints: tuple[int, ...] = ()  # the outermost hinted elements that the place is in, two at most
+    hinted_so_far = 0
     in_link = 0
     at = 0
 
@@ -105,28 +211,26 @@ def blocks(html: str) -> list[_Block]:
         if text:
             joined = " ".join(unescape("".join(text)).split())
             if joined:
-                out.append(_Block(joined, links, main, furniture))
+                out.append(_Block(joined, links, main, furniture, hints))
             text.clear()
         links = 0
 
-    while m := _TAG.search(html, at):
-        if m.start() > at:
-            piece = html[at : m.start()]
+    while tag := tags.next(at):
+        begin, end, name, closing, attributes = tag
+        if begin > at:
+            piece = html[at:begin]
             text.append(piece)
             if in_link:
                 links += len(" ".join(unescape(piece).split()))
-        at = m.end()
-        name = m[2] or m[5]
+        at = end
         if not name:
-            if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:-3].replace("&", "&amp;"))
+            if attributes:
+                text.append(attributes.replace("&", "&amp;"))
             continue
-        name = name.lower()
-        closing, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if name in RAW:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                close = _ends[name].search(html, at)
+                at = close.end() if close else len(html)
             continue
         if name == "br":
             text.append(" ")
@@ -142,60 +246,84 @@ def blocks(html: str) -> list[_Block]:
         if closing:
             if name == "a":
                 in_link = 0
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None and (not inline or all(x[0] in INLINE for x in stack[depth:])):
-                if inline and furniture != stack[depth][2]:
+            place = open_.place(name)
+            if place >= 0 and (not inline or not open_.blocks or open_.blocks[-1] < place):
+                if inline and (furniture, hints) != open_.stack[place][2:]:
                     flush()
-                _, main, furniture = stack[depth]
-                del stack[depth:]
+                main, furniture, hints = open_.close(place)
             continue
         if name == "a":
             in_link = 1
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack:  # these end one of their own kind left open
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    _, main, furniture = stack[k]
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
-                    break
-        marked = _is_furniture(name, attributes)
-        if marked and inline:
+        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these end one of their own kind left open
+            place = open_.place(name)
+            if place >= 0 and (not open_.bars or open_.bars[-1] <= place):
+                main, furniture, hints = open_.close(place)
+        marked, hinted, in_main = _marks(name, attributes)
+        if inline and (marked or hinted):
             flush()
         if not attributes.endswith("/") or inline:
-            stack.append((name, main, furniture))
+            open_.push(name, main, furniture, hints)
             furniture = furniture or marked
-            main = main or name in MAIN or 'role="main"' in attributes
+            main = main or in_main
+            if hinted and len(hints) < 2:
+                hinted_so_far += 1
+                hints = (*hints, hinted_so_far)
     if at < len(html):
         text.append(html[at:])
     flush()
     return out
 
 
-def first_pass(found: list[_Block]) -> list[int]:
-    """1 good, -1 bad, 0 undecided, by each block alone."""
-    has_main = any(b.main and not b.furniture for b in found)
-    labels = []
-    for b in found:
-        size = len(b.text)
-        links = b.links / size
-        if b.furniture or has_main and not b.main or links > LINKS and (not b.main or links > 0.9):
-            labels.append(-1)
-            continue
-        if b.main:
-            labels.append(1)
-            continue
-        words = _WORD.findall(b.text.lower())
-        density = sum(map(STOP.__contains__, words)) / len(words) if words else 0.0
-        if size < SHORT:
-            labels.append(-1 if links > 0 and density < STOP_LOW else 0)
-        elif density >= STOP_HIGH:
-            labels.append(1 if size >= LONG or density >= STOP_HIGH + 0.04 else 0)
-        elif density >= STOP_LOW:
-            labels.append(0)
-        else:
-            labels.append(-1)
-    return labels
+_ends = {name: re.compile(rf"</{name}(?![^\s/>])[^>]*+>", re.I) for name in RAW}
+
+
+def density(block: _Block) -> int:
+    """1 good, -1 bad, 0 undecided, by a block's stop words, length and links alone."""
+    size = len(block.text)
+    if block.links > LINKS * size:
+        return -1
+    words = _WORD.findall(block.text.lower())
+    stops = sum(map(STOP.__contains__, words)) / len(words) if words else 0.0
+    if size < SHORT:
+        return -1 if block.links > 0 and stops < STOP_LOW else 0
+    if stops >= STOP_HIGH:
+        return 1 if size >= LONG or stops >= STOP_HIGH + 0.04 else 0
+    return 0 if stops >= STOP_LOW else -1
+
+
+def first_pass(found: list[_Block]) -> tuple[list[int], list[str]]:
+    """1 good, -1 bad, 0 undecided, for each block, and what decided it: furniture, position or density."""
+    own = [density(b) for b in found]
+    good = [len(b.text) if d == 1 else 0 for b, d in zip(found, own, strict=True)]
+
+    def holds(furniture: list[bool]) -> tuple[list[bool], bool]:
+        """The blocks of the marked part, and whether it counts."""
+        main = [b.main and not f for b, f in zip(found, furniture, strict=True)]
+        rest = sum(g for g, f in zip(good, furniture, strict=True) if not f)
+        return main, any(main) and 3 * sum(g for g, m in zip(good, main, strict=True) if m) >= rest
+
+    furniture = [b.furniture or bool(b.hints) for b in found]
+    main, marked = holds(furniture)
+    if not marked:  # then a class or id may be wrong
+        held: dict[int, int] = {}
+        for b, size in zip(found, good, strict=True):
+            for h in b.hints:
+                held[h] = held.get(h, 0) + size * (not b.furniture)
+        most = sum(g for b, g in zip(found, good, strict=True) if not b.furniture)
+        furniture = [b.furniture or any(2 * held[h] <= most for h in b.hints) for b in found]
+        main, marked = holds(furniture)
+    labels, rules = [], []
+    for d, f, m in zip(own, furniture, main, strict=True):
+        label, rule = (-1, "furniture") if f else (-1, "position") if marked and not m else (max(d, 0), "density") if marked else (d, "density")
+        labels.append(label)
+        rules.append(rule if label else "neighbours")
+    if marked and not any(label == 1 for label, m in zip(labels, main, strict=True) if m):
+        labels = [1 if m else label for label, m in zip(labels, main, strict=True)]
+        rules = ["position" if m else rule for rule, m in zip(rules, main, strict=True)]
+    elif marked:  # the neighbours of a block of the marked part are those of that part
+        inside = iter(second_pass([label for label, m in zip(labels, main, strict=True) if m]))
+        labels = [(1 if next(inside) else -1) if m else label for label, m in zip(labels, main, strict=True)]
+    return labels, rules
 
 
 def second_pass(labels: list[int]) -> list[bool]:
@@ -214,11 +342,16 @@ def second_pass(labels: list[int]) -> list[bool]:
 
 
 def main_text(html: str | None) -> str:
+    return "\n\n".join(text for text, keep, _ in decided(html) if keep)
+
+
+def decided(html: str | None) -> list[tuple[str, bool, str]]:
+    """(text, whether it stays, what decided) of each block: furniture, position, density or neighbours."""
     if not html:
-        return ""
+        return []
     found = blocks(html)
-    labels = first_pass(found)
-    return "\n\n".join(b.text for b, keep in zip(found, second_pass(labels), strict=True) if keep)
+    labels, rules = first_pass(found)
+    return [(b.text, keep, rule) for b, keep, rule in zip(found, second_pass(labels), rules, strict=True)]
 
 
 def extract(pages: DataFrame, *, html: str = "html", into: str = "text") -> DataFrame:
