@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,14 @@ def build_session(app: str = "tesserae", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of spark.checkpoint.dir. Only a local session without one gets one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
