@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from urllib.parse import urlparse
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae import session
+
 #: Bytes of an Arrow batch that goes to Python, about; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -65,12 +66,8 @@ def mapped(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared one (spark.checkpoint.dir); only where that is unset, a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tesserae-{uuid.uuid4().hex}"
+    """A new folder under the cluster's shared one (spark.checkpoint.dir)."""
+    return f"{session.shared_base(spark)}/tesserae-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, where: str, name: str) -> DataFrame:
@@ -99,6 +96,17 @@ def filesystem(uri: str) -> tuple[object, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def get_file(uri: str) -> bytes:
+    files, path = filesystem(uri)
+    with files.open_input_stream(path) as source:
+        return source.read()
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """The rows of a list of written files, dealt so that each task gets few of them."""
+    return files.repartition(max(1, min(MOST_RANGES, files.count())))
+
+
 def put_file(uri: str, data: Iterable[bytes], attempt: str) -> None:
     """Write a file under a name of this attempt's own, then move it into place: a repeated task leaves one whole file."""
     files, path = filesystem(uri)
@@ -141,9 +149,9 @@ def ascii_lower(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-#: Ranges of ids at most: the cuts stand in the plan, as a tree of comparisons. Larger inputs get larger ranges, which their
-#: tasks read as a stream.
-MOST_RANGES = 2000
+#: Ranges of ids at most, as a driver can have so many tasks; beyond that (800 GB at 8 MB each) they grow, to 1 GB at 100 TB, which a
+#: task sorts with spilling and reads as a stream.
+MOST_RANGES = 100_000
 
 
 def range_cuts(rows: DataFrame, key: str, size: str, most: int) -> list[int]:
@@ -152,30 +160,32 @@ def range_cuts(rows: DataFrame, key: str, size: str, most: int) -> list[int]:
     ranges = min(MOST_RANGES, max(1, -(-(total or 0) // most)))
     if ranges == 1:
         return []
-    found = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 50 * ranges)).first()[0]
+    found = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0]
     return sorted({int(x) for x in found})
 
 
-def range_of(key: Column, cuts: list[int]) -> Column:
-    """The number of the range: a balanced tree of comparisons, in generated code."""
+def _numbers(values: list[int]) -> str:
+    """A constant array of numbers, one node of a plan however many there are."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
 
-    def pick(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key <= F.lit(cuts[middle]), pick(low, middle)).otherwise(pick(middle + 1, high))
 
-    return pick(0, len(cuts))
+def range_of(key: str, cuts: list[int]) -> Column:
+    """The number of the range of column `key`: how many cuts are less than it, by binary search."""
+    if not cuts:
+        return F.lit(0)
+    steps = len(cuts).bit_length()
+    step = "greatest(0, cast(shiftright({n}, s) as int))".format(n=1 << (steps - 1))
+    # `a` cuts are known to be less; the step is taken if the last cut that it would add is less too.
+    return F.expr(f"aggregate(sequence(0, {steps - 1}), 0, (a, s) -> if(a + {step} <= {len(cuts)} and get({_numbers(cuts)}, a + {step} - 1) < {key}, a + {step}, a))").cast("int")
 
 
-def lookup(key: Column, pairs: list[tuple[int, int]]) -> Column:
-    """The value of a key among sorted (key, value) pairs, null if there is none."""
+def lookup(key: str, pairs: list[tuple[int, int]]) -> Column:
+    """The value of column `key` among sorted (key, value) pairs, null if there is none."""
     if not pairs:
         return F.lit(None).cast("int")
-    if len(pairs) == 1:
-        return F.when(key == F.lit(pairs[0][0]), F.lit(pairs[0][1]))
-    middle = len(pairs) // 2
-    return F.when(key < F.lit(pairs[middle][0]), lookup(key, pairs[:middle])).otherwise(lookup(key, pairs[middle:]))
+    keys, values = [k for k, _ in pairs], [v for _, v in pairs]
+    at = range_of(key, keys)
+    return F.when(F.get(F.expr(_numbers(keys)), at) == F.col(key), F.get(F.expr(_numbers(values)), at)).cast("int")
 
 
 def join_heavy(rows: DataFrame, of: DataFrame, on: list[str], n: str, most: float, values: list[str]) -> DataFrame:

@@ -174,12 +174,12 @@ def with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", range
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), name.alias("place"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = docs.select(name.alias("place"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
     cuts = common.range_cuts(slim, "place", "size", range_bytes)
-    where = common.range_of(F.col("place"), cuts)
+    where = common.range_of("place", cuts)
     first = {r[0]: r[1] for r in slim.groupBy(where.alias("part")).agg(F.max("place")).collect()}
     parts = sorted(first)
     halo = [(first[p], parts[(k + 1) % len(parts)]) for k, p in enumerate(parts)]
     # The first row of range p follows the last row of the next higher range.
-    goes_to = common.lookup(F.col("place"), sorted(halo))
+    goes_to = common.lookup("place", sorted(halo))
     return (
         rows.withColumn("part", where)
         .withColumn("_to", F.when(goes_to.isNull(), F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("h")))).otherwise(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("h")), F.struct(goes_to.alias("p"), F.lit(1).alias("h")))))

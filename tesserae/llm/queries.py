@@ -62,9 +62,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages as WARC records, read the archives back and report on each capture."""
     folder = common.shared_dir(spark) + "/warc"
     written = warc.write(warc.marked(table(spark, sf_dir, "pages")), folder)
-    if not written.take(1):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    captures = warc.assemble(warc.read(spark, folder, payload=False))
+    captures = warc.assemble(warc.read(spark, folder, written, payload=False))
     return captures.select("page_id", "response.payload_bytes", "response.payload_digest", "response.record_type", "refers_to")
 
 

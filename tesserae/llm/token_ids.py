@@ -33,6 +33,8 @@ PERCENTILE = 90
 FILE_BYTES = 8 << 20
 #: Files of a range are numbered below this.
 FILES = 1_000_000
+#: Ranges whose files' sizes are added up together.
+GROUP = 1024
 #: Words whose ids a worker keeps; when there are more, it starts anew. About 200 bytes each.
 CACHE_WORDS = 600_000
 
@@ -278,7 +280,8 @@ def ordered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", file_by
     place = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     slim = docs.select(place.alias("place"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
     cuts = common.range_cuts(slim, "place", "size", file_bytes)
-    dealt = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), common.range_of(place, cuts).alias("file"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), place.alias("place"))
+    dealt = rows.select("key", "text", common.range_of("place", cuts).alias("file"))
     return dealt.repartitionById(len(cuts) + 1, F.col("file")).sortWithinPartitions("file", F.asc_nulls_first("key"), F.xxhash64("text"), "text")
 
 
@@ -315,19 +318,30 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int, key: str =
     return common.cut(files, folder + "-files", "written")
 
 
+def starts(files: DataFrame) -> DataFrame:
+    """(file, before): the values of all files before each. Sums of groups of files meet in one task, and not the files."""
+    part = F.expr(f"file div {GROUP * FILES}")
+    sums = files.groupBy(part.alias("part")).agg(F.sum("n_values").alias("sum"))
+    groups = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("base"))
+    within = files.select("file", "n_values", part.alias("part")).withColumn("before", F.sum("n_values").over(Window.partitionBy("part").orderBy("file")) - F.col("n_values"))
+    return within.join(groups, "part").select("file", (F.col("base") + F.col("before")).alias("before"))
+
+
 def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Documents from the files: doc_id, start (values of all documents before it), n_tokens, ids_crc32, and ids (binary, u32)."""
+    """Documents from the written files: doc_id, start (values of all documents before it), n_tokens, ids_crc32, and ids (binary, u32).
+
+    Just the files that `write` lists are read; what a lost task may have left beside them isn't.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                number = int(path.rsplit("/", 1)[1].split(".")[0])
+            for number, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist(), strict=True):
                 rows: list[tuple] = []
                 size = 0
-                for key, first, ids in File(content.as_py()).documents():
+                for key, first, ids in File(common.get_file(f"{folder}/{number:012d}.pfr")).documents():
                     data = ids.astype("<u4").tobytes()
-                    rows.append((number, key, first, len(ids), zlib.crc32(data), data))
+                    rows.append((key, before + first, len(ids), zlib.crc32(data), data))
                     size += len(data)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -335,10 +349,4 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    if not files.take(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-    # One row for each file: the running total over them is small beside any of them.
-    starts = files.select("file", (F.sum("n_values").over(Window.orderBy("file")) - F.col("n_values")).alias("before"))
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select("path", "content")
-    docs = common.mapped(found, run, "file long, doc_id long, first long, n_tokens long, ids_crc32 long, ids binary", __name__)
-    return docs.join(starts, "file").select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return common.mapped(common.listed(starts(files)), run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary", __name__)

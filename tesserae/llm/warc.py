@@ -3,7 +3,8 @@ join the three through their concurrent-to identifiers into one nested row per c
 
 Payloads are the HTML in UTF-8. Of captures with equal payloads of at least MIN_REVISIT bytes, the one with the largest
 page_id is stored as response, the others as revisits that name it and keep its digest and length. Files are gzipped
-record by record. A partition is sorted before it is written, so a task that runs again leaves the same files.
+record by record. A partition is sorted before it is written, records are named by partition and place, and files are cut by the
+payloads' bytes, so a task that runs again leaves the same files. Just the files that `write` lists are read back.
 
 Defined results: a null html is an empty payload; null urls and page ids come back null (a null page_id counts as
 least); repeated rows give a capture each, all those with the group's largest page_id as responses; extra columns of
@@ -33,8 +34,8 @@ from tesserae.llm import common
 MIN_REVISIT = 1000
 #: Parts into which the join deals each group of equal payloads.
 SALTS = 64
-#: Compressed bytes after which a partition begins another file.
-FILE_BYTES = 8 << 20
+#: Payload bytes after which a partition begins another file.
+FILE_BYTES = 32 << 20
 #: WARC-Date of the records; the pages carry no time of their own.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -94,9 +95,9 @@ def _plain(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def capture(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None) -> bytes:
-    """The three records of a transaction."""
-    ids = [f"<urn:uuid:{uuid.uuid4()}>" for _ in range(3)]
+def capture(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, name: str) -> bytes:
+    """The three records of a transaction, whose identifiers come from its name."""
+    ids = [f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{k}')}>" for k in range(3)]
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
@@ -117,6 +118,7 @@ def capture(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def write(rows: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write marked pages as .warc.gz files; returns (file, captures), already computed."""
+    run_name = "/".join(folder.rstrip("/").split("/")[-2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -131,9 +133,8 @@ def write(rows: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES) -> Data
 
         for batch in batches:
             for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "payload", "refers_to", "refers_url")), strict=True):
-                data = capture(*row)
-                held.append(data)
-                size += len(data)
+                held.append(capture(*row, f"{run_name}/{task.partitionId()}/{files}/{count}"))
+                size += len(row[2] or b"")
                 count += 1
                 if size >= file_bytes:
                     yield close()
@@ -173,43 +174,59 @@ def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     return (headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-date"), digest, size, fields, payload)
 
 
-def read(spark: SparkSession, folder: str, *, payload: bool = True) -> DataFrame:
-    """The records of all archives in a folder. Digests and lengths of responses are those of the payload as read."""
+def read(spark: SparkSession, folder: str, written: DataFrame | None = None, *, payload: bool = True) -> DataFrame:
+    """The records of the files that `written` lists, or else of all archives in a folder. Digests and lengths of responses are those of the payload as read."""
+
+    whole = written is None
+
+    def rows_of(data: bytes) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for headers, block in parse(data):
+            rows.append(_row(headers, block, payload))
+            size += len(block)
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                rows, size = [], 0
-                for headers, block in parse(content.as_py()):
-                    rows.append(_row(headers, block, payload))
-                    size += len(block)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+            for value in batch.column(0):
+                yield from rows_of(value.as_py() if whole else common.get_file(f"{folder}/{value.as_py()}"))
 
-    return common.mapped(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content"), run, RECORDS, __name__)
+    if whole:
+        return common.mapped(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content"), run, RECORDS, __name__)
+    return common.mapped(common.listed(written.select("file")), run, RECORDS, __name__)
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: a response or revisit with the request and metadata records that name it.
+    """One nested row per capture: a response or revisit with the request and metadata records that name it as concurrent.
 
-    A capture without a request or metadata record keeps a null there; records that name no capture give no row.
+    Records meet once, by the identifier of the capture, so archives are read once. A capture without a request or metadata record
+    keeps a null there, of several that with the greatest identifier counts; records that name no capture give no row.
     """
-    captures = records.filter(F.col("record_type").isin("response", "revisit"))
-    beside = records.filter(F.col("concurrent_to").isNotNull())
-    inner = lambda kind: beside.filter(F.col("record_type") == kind).select(F.col("concurrent_to").alias("record_id"), F.struct(F.col("record_id").alias("record_id"), "target_uri", "date", "fields").alias(kind))
-    about = lambda name: F.regexp_extract(F.col("metadata.fields"), rf"(?m)^{name}: ([^\r\n]*)", 1)
-    return (
-        captures.join(inner("request"), "record_id", "left")
-        .join(inner("metadata"), "record_id", "left")
-        .select(
-            F.expr("try_cast(nullif(%s, 'null') as long)" % "regexp_extract(metadata.fields, '(?m)^page-id: ([^\\\\r\\\\n]*)', 1)").alias("page_id"),
-            F.get_json_object(F.concat(F.lit('{"u":'), about("url"), F.lit("}")), "$.u").alias("url"),
-            F.expr("try_cast(nullif(%s, 'null') as long)" % "regexp_extract(metadata.fields, '(?m)^refers-to-page-id: ([^\\\\r\\\\n]*)', 1)").alias("refers_to"),
-            F.struct("record_id", "record_type", "target_uri", "date", "payload_digest", "payload_bytes", "payload").alias("response"),
-            "request",
-            "metadata",
+    is_ = lambda *kinds: F.col("record_type").isin(*kinds)
+    about = lambda kind, *names: F.max_by(F.struct(*names), F.when(is_(*kind), F.col("record_id")))
+    beside = ("record_id", "target_uri", "date", "fields")
+    of = F.when(is_("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
+    captures = (
+        records.withColumn("_of", of)
+        .filter("_of is not null")
+        .groupBy("_of")
+        .agg(
+            about(("response", "revisit"), "record_id", "record_type", "target_uri", "date", "payload_digest", "payload_bytes", "payload").alias("response"),
+            about(("request",), *beside).alias("request"),
+            about(("metadata",), *beside).alias("metadata"),
         )
+        .filter("response is not null")
+    )
+    field = lambda name: rf"regexp_extract(metadata.fields, '(?m)^{name}: ([^\\r\\n]*)', 1)"
+    return captures.select(
+        F.expr(f"try_cast(nullif({field('page-id')}, 'null') as long)").alias("page_id"),
+        F.get_json_object(F.concat(F.lit('{"u":'), F.expr(field("url")), F.lit("}")), "$.u").alias("url"),
+        F.expr(f"try_cast(nullif({field('refers-to-page-id')}, 'null') as long)").alias("refers_to"),
+        "response",
+        "request",
+        "metadata",
     )

@@ -231,7 +231,7 @@ def test_second_pass():
 
 
 def test_capture_round_trip():
-    data = warc.capture(3, "https://a.org/x\ny", "é".encode(), None, None) + warc.capture(None, None, b"", 3, "u")
+    data = warc.capture(3, "https://a.org/x\ny", "é".encode(), None, None, "a") + warc.capture(None, None, b"", 3, "u", "b")
     found = list(warc.parse(data))
     assert [h["warc-type"] for h, _ in found] == ["request", "response", "metadata", "request", "revisit", "metadata"]
     assert found[0][0]["warc-concurrent-to"] == found[1][0]["warc-record-id"] == found[2][0]["warc-concurrent-to"]
