@@ -7,10 +7,10 @@ in step again, so what the walks see at the same steps differs in few places: ed
 The fingerprint samples that sequence: of steps 0 to 15 all, then 16 fixed random steps of each doubling [2^k, 2^(k+1)),
 and writes for each a byte of the four characters at the walk's place, 00 past the end. `likeness` compares two
 fingerprints step by step, each doubling weighted by its length, and so estimates the share of steps at which both walks
-see the same. `near_classes` cuts fingerprints into bands of sampled bytes, joins on equal bands and verifies.
+see the same. `classes` cuts fingerprints into bands of sampled steps, joins on equal bands and verifies each link by likeness.
 
 Defined results: a null text counts as empty; the empty text's fingerprint is the empty string, and two of them have
-likeness 1; equal texts have equal fingerprints; documents with equal ids are ordered by a hash of the text, a null id
+likeness 1 and are one class; equal texts have equal fingerprints; texts may be of any length, in linear time; documents with equal ids are ordered by a hash of the text, a null id
 comes last; repeated rows give a row each; the next document of a single document is itself.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm import common
+from tesserae.llm import common, simhash
 
 #: Sampled steps of each doubling.
 SAMPLES = 16
@@ -247,57 +247,67 @@ def fingerprint(docs: DataFrame, *, text: str = "text", into: str = "fingerprint
     return common.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(into, T.StringType())]), __name__)
 
 
-#: Sampled bytes in a band, and bands of each of the doublings that are cut into bands.
-BAND = 2
-BANDS = SAMPLES // BAND
+#: Sampled steps in a band, and bands of each of the two doublings that are cut into bands.
+BAND = 4
+BANDS = 5
 
 
-def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(doc_id, class_id): documents whose fingerprint has at least `threshold` likeness to a leader that shares a band.
+def _bands() -> list[list[int]]:
+    """Which of a doubling's sampled steps stand in each band: fixed random draws."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    return [sorted(rng.choice(SAMPLES, BAND, replace=False).tolist()) for _ in range(BANDS)]
 
-    Equal fingerprints are one class from the start and go on as one row. In each round, the smallest id of a band leads
-    it; members are verified against their leaders, and who finds one joins the smallest. A leader that found a leader
-    itself passes its class on. Who found none stands in the next round without the bands' former leaders, until no band
-    holds two. A round moves each row once for each band, so no pairs within a group are made.
-    """
-    spark = docs.sparkSession
-    where = common.shared_dir(spark)
-    prints = common.cut(fingerprint(docs.select(F.col(key).alias("doc_id"), text), text=text).drop(text), where, "prints")
-    heads = common.cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")), where, "heads")
 
+def classes(prints: DataFrame, where: str, *, threshold: float = 0.8) -> DataFrame:
+    """(fingerprint, class_id) for rows (doc_id, fingerprint): what links reach. Linked are fingerprints that share a band of sampled
+    steps of the doublings that hold most of a text, and have `threshold` likeness.
+
+    Equal fingerprints are one row from the start. A first round compares a band's members with its least and greatest, a second one
+    those of different groups that it leaves, a band's largest group with the others only; within a group no link changes it. So no link
+    is lost, and a large group costs comparisons in proportion to its size.
+    """
+    heads = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")).withColumn("node", F.xxhash64("fingerprint"))
+    heads = common.cut(heads, where, "heads")
     size = 2 * SAMPLES
-    # Bands of the two doublings below the last, which texts of about one length share; of short texts, of the last.
-    bands = F.expr(
-        f"flatten(transform(sequence(greatest(0, cast(length(fingerprint) / {size} as int) - 3), greatest(0, cast(length(fingerprint) / {size} as int) - 2)), "
-        f"l -> transform(sequence(0, {BANDS - 1}), b -> concat_ws(':', l, b, substring(fingerprint, 1 + l * {size} + b * {2 * BAND}, {2 * BAND})))))"
-    )
-    left = heads
-    joined = None
-    known = 0
-    while True:
-        banded = left.select("head", "fingerprint", F.explode(F.array_distinct(bands)).alias("band"))
-        leaders = banded.groupBy("band").agg(F.min(F.struct("head", "fingerprint")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        tried = banded.join(leaders.select("band", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"), "lead"), "band").filter(F.col("salt") == F.pmod(F.xxhash64("head"), F.lit(16)))
-        pairs = tried.filter(F.col("lead.head") < F.col("head")).select("head", "fingerprint", F.col("lead.head").alias("leader"), F.col("lead.fingerprint").alias("other")).distinct()
-        links = common.cut(_verified(pairs, threshold).groupBy("head").agg(F.min("leader").alias("leader")), where, f"links-{known}")
-        led = common.cut(tried.filter(F.col("lead.head") == F.col("head")).select("head").distinct(), where, f"led-{known}")
-        joined = links if joined is None else joined.unionByName(links)
-        left = common.cut(left.join(links, "head", "left_anti").join(led, "head", "left_anti"), where, f"left-{known}")
-        known += 1
-        if not led.take(1):
-            break
-    joined = common.cut(joined, where, "joined")
-    # Follow leaders to the end of their chains; each round halves what is left of them.
-    while True:
-        up = joined.alias("a").join(joined.alias("b"), F.col("a.leader") == F.col("b.head"), "left")
-        joined = common.cut(up.select(F.col("a.head").alias("head"), F.coalesce("b.leader", "a.leader").alias("leader"), F.col("b.leader").isNotNull().alias("moved")), where, f"chain-{known}")
-        known += 1
-        moved = joined.filter("moved").take(1)
-        joined = joined.drop("moved")
-        if not moved:
-            break
-    classes = heads.join(joined, "head", "left").select("fingerprint", F.coalesce("leader", "head").alias("class_id"))
-    return prints.join(classes, "fingerprint").select("doc_id", "class_id")
+    # The two doublings below the last, of short texts the last; texts of about one length share one at least.
+    places = ", ".join("concat(" + ", ".join(f"substring(fingerprint, 1 + l * {size} + {2 * k}, 2)" for k in band) + ")" for band in _bands())
+    bands = F.expr(f"flatten(transform(sequence(greatest(0, cast(length(fingerprint) / {size} as int) - 3), greatest(0, cast(length(fingerprint) / {size} as int) - 2)), l -> transform(array({places}), (x, b) -> xxhash64(l, b, x))))")
+    keyed = heads.filter("fingerprint <> ''").select("node", F.explode(F.array_distinct(bands)).alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    met = common.cut(keyed.join(ends, "key"), where, "met")
+    held = heads.select("node", "fingerprint")
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+        both = pairs.join(held.toDF("a", "fingerprint"), "a").join(held.toDF("b", "other"), "b")
+        return common.cut(_verified(both, threshold).select("a", "b"), where, f"links-{name}")
+
+    first = links(met.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")), "first")
+    rooted = met.select("key", "node").join(simhash.roots(first, f"{where}/first"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = common.cut(rooted, where, "rooted")
+    sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root")).alias("big"))
+    apart = common.cut(rooted.join(sizes.filter("roots > 1").select("key", F.col("big.root").alias("big")), "key"), where, "apart")
+    small = apart.filter("root <> big").select("key", F.col("node").alias("a"), "root")
+    again = small.join(apart.select("key", F.col("node").alias("b"), F.col("root").alias("other"), "big"), "key").filter("root <> other and (other = big or a > b)").select("a", "b")
+    tops = simhash.roots(first.unionByName(links(again, "second")), f"{where}/second")
+    placed = common.cut(heads.join(tops, "node", "left").select("fingerprint", "head", F.coalesce("root", "node").alias("root")), where, "placed")
+    named = placed.groupBy("root").agg(F.min("head").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    most = max(1.0, 0.001 * placed.count())
+    return common.cut(common.join_heavy(placed.select("fingerprint", "root"), named, ["root"], "n", most, ["class_id"]).select("fingerprint", "class_id"), where, "classes")
+
+
+def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(doc_id, class_id): the smallest id of the documents that `classes` puts together; null ids count last."""
+    where = common.shared_dir(docs.sparkSession)
+    prints = common.cut(fingerprint(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).drop("text"), where, "prints")
+    return with_classes(prints, where, threshold=threshold).select("doc_id", "class_id")
+
+
+def with_classes(prints: DataFrame, where: str, *, threshold: float = 0.8) -> DataFrame:
+    """The rows, read several times, with class_id added."""
+    counts = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    of = classes(prints.select("doc_id", "fingerprint"), where, threshold=threshold).join(counts, "fingerprint")
+    return common.join_heavy(prints, common.cut(of, where, "of"), ["fingerprint"], "n", max(1.0, 0.001 * prints.count()), ["class_id"])
 
 
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:

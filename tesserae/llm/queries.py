@@ -73,8 +73,10 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of each document and its edited text, and how like they and the next document are."""
-    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+    """Fingerprints of each document and its edited text, how like they and the next document are, and the class of near documents."""
+    where = common.shared_dir(spark)
+    rows = common.cut(fingerprints.compare_edits(table(spark, sf_dir, "documents")), where, "compared")
+    return fingerprints.with_classes(rows, where)
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
