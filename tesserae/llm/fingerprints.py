@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.llm import common, simhash
 
@@ -235,8 +236,6 @@ def compare_edits(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
 
 def fingerprint(docs: DataFrame, *, text: str = "text", into: str = "fingerprint") -> DataFrame:
     """The documents with their fingerprint, in hex, added. One narrow pass."""
-    from pyspark.sql import types as T
-
     docs = docs.drop(into) if into in docs.columns else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +249,8 @@ def fingerprint(docs: DataFrame, *, text: str = "text", into: str = "fingerprint
 #: Sampled steps in a band, and bands of each of the two doublings that are cut into bands.
 BAND = 4
 BANDS = 5
+#: Members of a band that all others are compared with first.
+LEADERS = 6
 
 
 def _bands() -> list[list[int]]:
@@ -266,29 +267,37 @@ def classes(prints: DataFrame, where: str, *, threshold: float = 0.8) -> DataFra
     those of different groups that it leaves, a band's largest group with the others only; within a group no link changes it. So no link
     is lost, and a large group costs comparisons in proportion to its size.
     """
-    heads = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")).withColumn("node", F.xxhash64("fingerprint"))
+    heads = _numbered(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")).withColumn("node", F.xxhash64("fingerprint")))
     heads = common.cut(heads, where, "heads")
     size = 2 * SAMPLES
     # The two doublings below the last, of short texts the last; texts of about one length share one at least.
     places = ", ".join("concat(" + ", ".join(f"substring(fingerprint, 1 + l * {size} + {2 * k}, 2)" for k in band) + ")" for band in _bands())
-    bands = F.expr(f"flatten(transform(sequence(greatest(0, cast(length(fingerprint) / {size} as int) - 3), greatest(0, cast(length(fingerprint) / {size} as int) - 2)), l -> transform(array({places}), (x, b) -> xxhash64(l, b, x))))")
-    keyed = heads.filter("fingerprint <> ''").select("node", F.explode(F.array_distinct(bands)).alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    level = f"cast(length(fingerprint) / {size} as int)"
+    bands = F.expr(f"flatten(transform(array_distinct(array(greatest(0, {level} - 3), greatest(0, {level} - 2))), l -> transform(array({places}), (x, b) -> struct(xxhash64(l, b, x) as key, l as level))))")
+    keyed = heads.filter("fingerprint <> ''").select("node", F.explode(bands).alias("k")).select("node", "k.key", "k.level")
+    some = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).alias(f"h{k}") for k in range(LEADERS - 2)]
+    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), *some).filter("low <> high")
+    ends = ends.select("key", F.array_distinct(F.array("low", "high", *(f"h{k}.node" for k in range(LEADERS - 2)))).alias("leads"))
     met = common.cut(keyed.join(ends, "key"), where, "met")
     held = heads.select("node", "fingerprint")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+        pairs = common.cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), where, f"pairs-{name}")
         both = pairs.join(held.toDF("a", "fingerprint"), "a").join(held.toDF("b", "other"), "b")
         return common.cut(_verified(both, threshold).select("a", "b"), where, f"links-{name}")
 
-    first = links(met.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")), "first")
-    rooted = met.select("key", "node").join(simhash.roots(first, f"{where}/first"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    first = links(met.select(F.col("node").alias("a"), F.explode("leads").alias("b")), "first")
+    rooted = met.select("key", "level", "node").join(simhash.roots(first, f"{where}/first"), "node", "left").select("key", "level", "node", F.coalesce("root", "node").alias("root"))
     rooted = common.cut(rooted, where, "rooted")
     sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root")).alias("big"))
-    apart = common.cut(rooted.join(sizes.filter("roots > 1").select("key", F.col("big.root").alias("big")), "key"), where, "apart")
-    small = apart.filter("root <> big").select("key", F.col("node").alias("a"), "root")
-    again = small.join(apart.select("key", F.col("node").alias("b"), F.col("root").alias("other"), "big"), "key").filter("root <> other and (other = big or a > b)").select("a", "b")
+    apart = rooted.join(sizes.filter("roots > 1").select("key", F.col("big.root").alias("big")), "key")
+    # What is sampled from the band's doubling on rules most of the rest out quickly, and the whole fingerprint all that aren't near.
+    numbers = [F.coalesce(F.get("numbers", 2 * F.col("level") + k), F.lit(0).cast("long")).alias(f"s{k}") for k in range(6)]
+    apart = common.cut(apart.join(heads.select("node", "numbers"), "node").select("key", "level", "node", "root", "big", "numbers", *numbers), where, "apart")
+    own = ["numbers", *(f"s{k}" for k in range(6))]
+    small = apart.filter("root <> big").select("key", F.col("node").alias("a"), "root", *own)
+    others = apart.select("key", "level", F.col("node").alias("b"), F.col("root").alias("other"), "big", *(F.col(c).alias(f"o{c}") for c in own))
+    again = small.join(others, "key").filter(f"root <> other and (other = big or a > b) and (level = 0 or {_may_be_near(threshold)}) and {_near(threshold)}").select("a", "b")
     tops = simhash.roots(first.unionByName(links(again, "second")), f"{where}/second")
     placed = common.cut(heads.join(tops, "node", "left").select("fingerprint", "head", F.coalesce("root", "node").alias("root")), where, "placed")
     named = placed.groupBy("root").agg(F.min("head").alias("class_id"), F.count(F.lit(1)).alias("n"))
@@ -296,6 +305,41 @@ def classes(prints: DataFrame, where: str, *, threshold: float = 0.8) -> DataFra
     return common.cut(common.join_heavy(placed.select("fingerprint", "root"), named, ["root"], "n", most, ["class_id"]).select("fingerprint", "class_id"), where, "classes")
 
 
+def _numbered(heads: DataFrame) -> DataFrame:
+    """With the fingerprint as numbers, two for each doubling."""
+    schema = T.StructType([*heads.schema.fields, T.StructField("numbers", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [np.frombuffer(bytes.fromhex(v), "<i8") for v in batch.column("fingerprint").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.list_(pa.int64()))], names=schema.names)
+
+    return common.mapped(heads, run, schema, __name__)
+
+
+def _bytes(x: str) -> str:
+    """How many bytes of a number aren't zero: each one's bits are laid over its lowest."""
+    return f"bit_count(({' | '.join(f'shiftrightunsigned({x}, {k})' for k in range(8))}) & {0x0101010101010101}L)"
+
+
+def _near(threshold: float) -> str:
+    """`likeness` of the fingerprints of which `numbers` and `onumbers` hold all, against the threshold."""
+    both = "zip_with(numbers, onumbers, (x, y) -> named_struct('differ', coalesce(x, 0L) ^ coalesce(y, 0L), 'there', coalesce(x, 0L) | coalesce(y, 0L)))"
+    share = f"{1 - threshold + 1e-9}D * {_bytes('p.there')} - {_bytes('p.differ')}"
+    return f"aggregate(transform({both}, (p, i) -> shiftleft(1L, greatest(0, i div 2 - 1)) * ({share})), 0D, (s, x) -> s + x) >= 0"
+
+
+def _may_be_near(threshold: float) -> str:
+    """Whether two fingerprints, of which s0 to s5 and os0 to os5 hold a doubling and the two after it, may have `threshold` likeness.
+
+    What came before that doubling weighs as much as it does, and is taken to be equal.
+    """
+    differ = [f"({_bytes(f'(s{2 * k} ^ os{2 * k})')} + {_bytes(f'(s{2 * k + 1} ^ os{2 * k + 1})')})" for k in range(3)]
+    there = [f"({_bytes(f'(s{2 * k} | os{2 * k})')} + {_bytes(f'(s{2 * k + 1} | os{2 * k + 1})')})" for k in range(3)]
+    weighed = lambda x: f"({x[0]} + 2 * {x[1]} + 4 * {x[2]})"
+    return f"{weighed(differ)} <= {1 - threshold + 1e-9} * ({SAMPLES} + {weighed(there)})"
+
+
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(doc_id, class_id): the smallest id of the documents that `classes` puts together; null ids count last."""
     where = common.shared_dir(docs.sparkSession)
