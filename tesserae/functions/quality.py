@@ -105,3 +105,8 @@ def process(pages: DataFrame, *, least_score: int = 20, least_chars: int = 80) -
     scored = cleaned.withColumn("quality", score(F.col("paragraphs"), F.col("headings"), F.col("code_count"), F.col("links_count"), F.col("title"), F.col("description"), F.col("url")))
     built = scored.filter(F.col("quality") >= least_score).withColumn("content", content(F.col("paragraphs"), F.col("headings"), F.col("description")))
     return built.filter(F.length("content") >= least_chars)
+
+
+def truthy(content: Column) -> Column:
+    """whether a document holds anything to speak of."""
+    return F.coalesce(F.length(content) > 50, F.lit(False))

@@ -26,10 +26,10 @@ def dependencies(files: DataFrame) -> DataFrame:
     every = lambda pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
     keys = lambda where: F.coalesce(F.json_object_keys(F.get_json_object(c, where)), F.array().cast("array<string>"))
     found = (
-        F.when(p.isin("setup.py", "setup.cfg", "pyproject.toml", "requirements.txt"), every(r"""['"]?([\w-]+)(?:[>=<!\[]|['"])"""))
+        F.when(p.isin("setup.py", "setup.cfg", "pyproject.toml", "requirements.txt"), every(fixed.MANIFEST_NAMES["python"]))
         .when(p == "package.json", F.concat(keys("$.dependencies"), keys("$.devDependencies")))
-        .when(p == "Cargo.toml", every(r"(?m)^([\w-]+)\s*="))
-        .when(p == "go.mod", every(r"(?m)^\s+([\w./\-]+)\s+v"))
+        .when(p == "Cargo.toml", every(fixed.MANIFEST_NAMES["Cargo.toml"]))
+        .when(p == "go.mod", every(fixed.MANIFEST_NAMES["go.mod"]))
     )
     return files.select("repo", F.explode(found).alias("name")).filter(F.length("name") > 1).distinct()
 
@@ -40,10 +40,10 @@ def api_surface(files: DataFrame) -> DataFrame:
     every = lambda pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
     language = text.file_language(F.col("path"))
     found = (
-        F.when(language == "python", F.concat(every(r"(?m)^(?:async\s+)?def\s+(\w+)\s*\("), every(r"(?m)^class\s+(\w+)")))
-        .when(language.isin("javascript", "typescript"), F.concat(every(r"export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let)\s+(\w+)"), every(r"(?m)^(?:export\s+)?function\s+(\w+)")))
-        .when(language == "go", every(r"(?m)^func\s+(?:\([^)]+\)\s+)?(\w+)\s*\("))
-        .when(language == "rust", every(r"(?m)^pub\s+fn\s+(\w+)"))
+        F.when(language == "python", F.concat(*map(every, fixed.PUBLIC_NAMES["python"])))
+        .when(language.isin("javascript", "typescript"), F.concat(*map(every, fixed.PUBLIC_NAMES["javascript"])))
+        .when(language == "go", every(*fixed.PUBLIC_NAMES["go"]))
+        .when(language == "rust", every(*fixed.PUBLIC_NAMES["rust"]))
     )
     names = files.select("repo", F.explode(found).alias("name")).distinct()
     return names.filter((F.length("name") >= 2) & ~F.col("name").startswith("_") & ~F.col("name").startswith("test"))

@@ -7,9 +7,11 @@ broadcasts it when its measured size allows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
@@ -41,6 +43,30 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return Index(postings, stats, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
+def write_index(index: Index, folder: str) -> None:
+    """Store an index: postings in files by ranges of terms, so that a term's are found by the files' statistics. The statistics go last and tell that it is whole."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    index.doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
+    postings = index.postings.sparkSession.read.parquet(f"{folder}/postings")
+    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/term_stats")
+
+
+def read_index(spark: SparkSession, folder: str) -> Index | None:
+    """A stored index, or None where none is whole."""
+    try:
+        term_stats = spark.read.parquet(f"{folder}/term_stats")
+        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/doc_stats"), term_stats)
+    except AnalysisException:
+        return None
+
+
+def updated(index: Index, gone: DataFrame, new: Index) -> Index:
+    """An index without the documents of `gone` (doc_id), and with those of another one."""
+    postings = index.postings.join(gone.select("doc_id"), "doc_id", "left_anti").unionByName(new.postings)
+    stats = index.doc_stats.join(gone.select("doc_id"), "doc_id", "left_anti").unionByName(new.doc_stats)
+    return Index(postings, stats, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+
 def query_terms(queries: DataFrame, *, key: str = "query_id", query: str = "query") -> DataFrame:
     """Distinct terms of each query."""
     return queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.col(query)))).alias("q"))
@@ -119,12 +145,13 @@ def snippet(text: Column, terms: Column, words: int = 32) -> Column:
 def fuzzy(index: Index, queries: DataFrame, *, limit: int = 10, most: int = 2) -> DataFrame:
     """Query terms against the dictionary by edit distance, then documents by their mean similarity.
 
-    Candidates come from an equality join on deletion variants of one segment: of a word and a query term within two
-    edits, either the first or the second half survives, up to a shift of two, so halves are joined by length and content;
-    short terms meet by length alone. The distance is then verified.
+    Candidates come from an equality join on deletion neighbourhoods, of words that aren't longer than any near one could be. The
+    distance is then verified.
     """
     asked = query_terms(queries)
-    words = index.term_stats.select("term")
+    # Longer words than the longest asked for, and `most` more, can't be near any; so no word makes more variants than queries warrant.
+    longest = asked.agg(F.max(F.length("q")).alias("_longest"))
+    words = index.term_stats.select("term").join(F.broadcast(longest)).filter(F.length("term") <= F.col("_longest") + most).select("term")
     # Deletion neighbourhoods: two strings within two edits share a string made by at most two deletions from each.
     w = words.select("term", F.explode(deletions(F.col("term"), most)).alias("_k"))
     a = asked.select("query_id", "q", F.explode(deletions(F.col("q"), most)).alias("_k"))
@@ -147,32 +174,51 @@ def deletions(word: Column, most: int) -> Column:
     return out
 
 
-def tfidf(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = 10_000, sublinear: bool = True, bigrams: bool = True) -> DataFrame:
-    """(doc_id, term, weight) with unit length: the `most` most frequent 1- and 2-grams without stop words."""
+@dataclass(frozen=True)
+class Vectors:
+    """TF-IDF vectors (doc_id, term, weight) of unit length, and the terms (term, idf) that they are made of."""
+
+    weights: DataFrame
+    terms: DataFrame
+    sublinear: bool
+    bigrams: bool
+
+
+def grams(text: Column, bigrams: bool = True) -> Column:
+    """The words of two letters or more that aren't stop words, and the pairs of those that follow each other."""
     stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
-    held = docs.select(F.col(key).alias("doc_id"), words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get(F.col("w"), i - 1), F.get(F.col("w"), i)))).otherwise(F.array().cast("array<string>"))
-    grams = held.select("doc_id", F.explode(F.concat("w", pairs) if bigrams else F.col("w")).alias("term"))
-    tf = grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("cf"), F.asc("term")).limit(most)
-    n = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+    return F.concat(words, F.array_compact(pairs)) if bigrams else words
+
+
+def _frequencies(rows: DataFrame, key: str, text: str, bigrams: bool) -> DataFrame:
+    return rows.select(F.col(key), F.explode(grams(F.col(text), bigrams)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _weighed(tf: DataFrame, terms: DataFrame, key: str, sublinear: bool) -> DataFrame:
     raw = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
-    weighed = tf.join(F.broadcast(terms), "term").join(F.broadcast(n)).select("doc_id", "term", (raw * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("x"), (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    norm = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return weighed.join(norm, "doc_id").select("doc_id", "term", (F.col("x") / F.col("norm")).alias("weight"), "idf")
+    x = tf.join(terms, "term").withColumn("x", raw * F.col("idf"))
+    norm = x.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return x.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
-def semantic(weights: DataFrame, queries: DataFrame, *, limit: int = 5, least: float = 0.05) -> DataFrame:
-    """Cosine of TF-IDF vectors of queries and documents by a join on terms; below `least` nothing is returned."""
-    idf = weights.groupBy("term").agg(F.first("idf").alias("idf"))
-    asked = query_terms(queries)
-    counted = queries.select("query_id", F.explode(tx.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    del asked
-    q = counted.join(idf, "term").withColumn("x", (1 + F.log("tf")) * F.col("idf"))
-    norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    q = q.join(norm, "query_id").select("query_id", "term", (F.col("x") / F.col("norm")).alias("qw"))
-    scored = weights.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 4).alias("score"))
+def tfidf(docs: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, key: str = "doc_id", text: str = "text", most: int = 10_000, sublinear: bool = True, bigrams: bool = True) -> Vectors:
+    """Vectors over the `most` most frequent 1- and 2-grams without stop words.
+
+    `cut` writes a table and reads it again: the texts are split once, and terms and weights are tables that queries share.
+    """
+    tf = cut(_frequencies(docs.withColumnRenamed(key, "doc_id"), "doc_id", text, bigrams), "frequencies")
+    n = docs.count()
+    counted = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("cf"), F.asc("term")).limit(most)
+    terms = cut(counted.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "terms")
+    return Vectors(cut(_weighed(tf, F.broadcast(terms), "doc_id", sublinear), "weights"), terms, sublinear, bigrams)  # `most` terms at most
+
+
+def semantic(vectors: Vectors, queries: DataFrame, *, limit: int = 5, least: float = 0.05) -> DataFrame:
+    """Cosine of the vectors of queries and documents by a join on terms; below `least` nothing is returned. Queries are split as documents are."""
+    asked = _weighed(_frequencies(queries, "query_id", "query", vectors.bigrams), vectors.terms, "query_id", vectors.sublinear).withColumnRenamed("weight", "qw")
+    scored = vectors.weights.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 4).alias("score"))
     return top(scored.filter(F.col("score") >= least), limit, [F.desc("score"), F.asc("doc_id")])
 
 
@@ -222,3 +268,15 @@ def filtered(docs: DataFrame, *, domain: str | None = None, after=None, with_cod
     if with_code:
         docs = docs.filter(F.col("has_code"))
     return docs
+
+
+def formatted(results: DataFrame, chars: int = 400) -> DataFrame:
+    """Results with their snippet cut to `chars` characters, marked by dots, and the url where there is no title."""
+    cut = F.concat(F.rtrim(F.substring("content", 1, chars)), F.lit("..."))
+    snippet = F.when(F.length("content") > chars, cut).otherwise(F.coalesce("content", F.lit("")))
+    return results.withColumn("snippet", snippet).withColumn("title", F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.col("url"))).drop("content")
+
+
+def formatted_vectors(results: DataFrame, chars: int = 1500) -> DataFrame:
+    """Scores to three digits, the beginning of the content and its whole length."""
+    return results.select("query_id", "doc_id", F.round("score", 3).alias("score"), F.substring("content", 1, chars).alias("snippet"), F.length("content").alias("length"))

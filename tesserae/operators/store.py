@@ -106,3 +106,41 @@ def combined(pages: DataFrame, *, at_most: int = 5, chars: int = 3000) -> DataFr
     numbered = pages.withColumn("_n", F.row_number().over(Window.partitionBy("domain").orderBy("id")))
     some = numbered.filter(F.col("_n") <= at_most).groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("_n", F.substring("content", 1, chars).alias("c")))).alias("parts"))
     return some.filter(F.size("parts") > 1).select("domain", F.concat(F.lit("https://"), "domain", F.lit("/#combined")).alias("url"), F.array_join(F.transform("parts", lambda p: p["c"]), "\n\n").alias("content"))
+
+
+def children_of(docs: DataFrame, children: DataFrame, asked: DataFrame, limit: int | None = None) -> DataFrame:
+    """The children (doc_id, id, ...) of the documents with the asked urls, in id order; at most `limit` of each."""
+    found = children.join(docs.select(F.col("id").alias("doc_id"), "url").join(asked.select("url").distinct(), "url"), "doc_id")
+    if limit is None:
+        return found.orderBy("url", "id")
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("id"))).filter(F.col("_n") <= limit).drop("_n").orderBy("url", "id")
+
+
+def prune(docs: DataFrame, children: list[DataFrame], now: Column, *, days: int | None = None, domain: str | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Delete by age if an age is given, else by domain."""
+    if days is not None:
+        return delete(docs, children, older_than(now, days))
+    if domain:
+        return delete(docs, children, of_domain(domain))
+    raise ValueError("an age or a domain is needed")
+
+
+def in_order(docs: DataFrame, ranked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """H5: the documents of a ranked list of ids, in the order of its ranks; ids without a document give no row."""
+    return docs.join(ranked.select(key, "rank"), key).orderBy("rank", key)
+
+
+def alive(status: Column) -> Column:
+    """Whether a url that answered with a status is alive; one without an answer isn't."""
+    return F.coalesce(status.between(200, 399), F.lit(False))
+
+
+def cache_get(cache: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """The entries (key, value, expires_at) of the asked keys that haven't expired."""
+    return cache.filter(F.col("expires_at") > now).join(keys.select("key").distinct(), "key", "left_semi")
+
+
+def cache_put(cache: DataFrame, new: DataFrame, now: Column, most: int) -> DataFrame:
+    """New entries replace old ones; expired ones go, and where more than `most` are left, those that expire first."""
+    live = merge(cache, new, ["key"]).filter(F.col("expires_at") > now)
+    return live.orderBy(F.desc("expires_at"), F.asc("key")).limit(most)

@@ -5,6 +5,8 @@ Names begin with the operator's id. Doubles are rounded, counts are BIGINT, and
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import html, quality, text, urls
 from tesserae.operators import context, feedback, repo, search, store
 from tesserae.plans import fixtures
+from tesserae.session import shared_base
 from tesserae.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +38,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cutter(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes tables to a new folder of the shared one and reads them again."""
+    folder = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def cut(df: DataFrame, part: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{part}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{part}")
+
+    return cut
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored index of `documents`: built by the first query that needs it, of the same session's shared folder, and read by all others.
+
+    It is named by the table's path, number of rows and sums of ids and lengths, so another table has another index.
+    """
+    docs = table(spark, sf_dir, "documents")
+    state = docs.agg(F.count(F.lit(1)), F.sum("doc_id"), F.sum("n_chars"), F.max("doc_id")).first()
+    folder = f"{shared_base(spark)}/index-{hashlib.sha1(repr((sf_dir, *state)).encode()).hexdigest()}"
+    found = search.read_index(spark, folder)
+    if found is None:
+        search.write_index(search.build_index(docs), folder)
+        found = search.read_index(spark, folder)
+    return found
+
+
 # --- stored documents made of the pages ------------------------------------------------------------------------------
 
 PAGE_DOCS = r"""page_docs AS (
@@ -108,17 +137,36 @@ def a02_lookup_variants(spark, sf_dir):
 @query()
 def a21_crawl(spark, sf_dir):
     """Best-first rounds over the link graph of the pages, from the page with the least id."""
-    import tempfile
+    cut = cutter(spark, "crawl")
+    pages = table(spark, sf_dir, "pages")
+    return readers.crawl(readers.link_graph(pages), pages.orderBy("page_id").limit(1).select("url"), max_depth=2, max_pages=20, checkpoint=cut)
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-crawl-")
-    folder = f"{base.rstrip('/')}/crawl-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}"
 
-    def cut(df, name):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+def _talks(spark, sf_dir):
+    """Conversations as documents, their turns as children."""
+    c = table(spark, sf_dir, "conversations")
+    docs = c.groupBy("conv_id").agg(F.min("turn").alias("first")).select(F.col("conv_id").alias("id"), F.concat(F.lit("talk://"), F.col("conv_id").cast("string")).alias("url"))
+    return docs, c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), "role", "text")
+
+
+@query("SELECT 'talk://' || conv_id AS url, conv_id AS doc_id, turn AS id, role, text FROM conversations")
+def a14_children_of_documents(spark, sf_dir):
+    docs, turns = _talks(spark, sf_dir)
+    return store.children_of(docs, turns, docs)
+
+
+@query("SELECT 'talk://' || conv_id AS url, conv_id AS doc_id, turn AS id, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 3")
+def a15_first_children(spark, sf_dir):
+    docs, turns = _talks(spark, sf_dir)
+    return store.children_of(docs, turns, docs, limit=3)
 
-    pages = table(spark, sf_dir, "pages")
-    return readers.crawl(readers.link_graph(pages), pages.orderBy("page_id").limit(1).select("url"), max_depth=2, max_pages=20, checkpoint=cut)
+
+@query("SELECT CAST(count(*) FILTER (WHERE s BETWEEN 200 AND 399) AS BIGINT) AS alive, CAST(count(*) FILTER (WHERE s IS NULL OR s NOT BETWEEN 200 AND 399) AS BIGINT) AS dead FROM (SELECT CASE WHEN page_id % 7 > 0 THEN 100 * (page_id % 6) + page_id % 100 END AS s FROM pages)")
+def a37_alive(spark, sf_dir):
+    """Statuses stand in a column: 100 to 599 by page, none for every seventh."""
+    status = F.when(F.col("page_id") % 7 > 0, 100 * (F.col("page_id") % 6) + F.col("page_id") % 100)
+    up = store.alive(status)
+    return table(spark, sf_dir, "pages").agg(F.count_if(up).alias("alive"), F.count_if(~up).alias("dead"))
 
 
 # --- B: sinks --------------------------------------------------------------------------------------------------------
@@ -182,6 +230,14 @@ def b06_cascade_delete(spark, sf_dir):
     return left.select("l_orderkey", "l_linenumber")
 
 
+@query("SELECT event_id AS id, false AS child FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY UNION ALL SELECT event_id AS id, true AS child FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY")
+def b09_prune(spark, sf_dir):
+    """By age, which goes before the domain; with the children of what went."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("scraped_at"), F.lit("d").alias("domain"), F.lit("u").alias("url"))
+    docs, (left,) = store.prune(e, [e.select(F.col("id").alias("doc_id"))], F.lit("2024-01-31").cast("timestamp_ntz"), days=10, domain="d")
+    return docs.select("id", F.lit(False).alias("child")).unionByName(left.select(F.col("doc_id").alias("id"), F.lit(True).alias("child")))
+
+
 @query(
     "WITH " + PAGE_DOCS + ", s AS (SELECT *, regexp_replace(domain, '^[^.]*\\.', '') AS d2 FROM page_docs), n AS (SELECT *, row_number() OVER (PARTITION BY d2 ORDER BY id) AS r FROM s) "
     "SELECT d2 AS domain, 'https://' || d2 || '/#combined' AS url, string_agg(substr(content, 1, 3000), chr(10) || chr(10) ORDER BY r) AS content FROM n WHERE r <= 5 GROUP BY d2 HAVING count(*) > 1"
@@ -376,7 +432,7 @@ def _searches(spark):
 
 
 def ranked(spark, sf_dir, k=10):
-    index = search.build_index(table(spark, sf_dir, "documents"))
+    index = document_index(spark, sf_dir)
     scored = search.bm25(index, search.query_terms(_searches(spark))).withColumn("bm25", F.round("bm25", 6))
     return search.top(scored, k, [F.asc("bm25"), F.asc("doc_id")])
 
@@ -386,17 +442,17 @@ def e05_bm25_top10(spark, sf_dir):
     return ranked(spark, sf_dir)
 
 
-@query("WITH w AS (" + _TOKENS + "), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL) SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term HAVING count(*) >= 5")
+@query("WITH w AS (" + _TOKENS + "), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL) SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
 def m07_term_statistics(spark, sf_dir):
     p = search.build_index(table(spark, sf_dir, "documents")).postings
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(
     "WITH " + _BM25 + ", r AS (SELECT query_id, doc_id, round(1 + (-bm25) / (1 - bm25), 6) AS final_score FROM b) SELECT query_id, doc_id, final_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10"
 )
 def e07_final_scores(spark, sf_dir):
-    index = search.build_index(table(spark, sf_dir, "documents"))
+    index = document_index(spark, sf_dir)
     scored = search.bm25(index, search.query_terms(_searches(spark))).select("query_id", "doc_id", F.round(search.final_score(F.lit(1.0), F.col("bm25"), F.lit(0)), 6).alias("final_score"))
     return search.top(scored, 10, [F.desc("final_score"), F.asc("doc_id")])
 
@@ -417,7 +473,7 @@ def e10_tiered_search(spark, sf_dir):
 )
 def e12_fuzzy_search(spark, sf_dir):
     asked = spark.createDataFrame([(1, "lisence apahce"), (2, "disgustin")], "query_id int, query string")
-    return search.fuzzy(search.build_index(table(spark, sf_dir, "documents")), asked).withColumn("similarity", F.round("similarity", 6))
+    return search.fuzzy(document_index(spark, sf_dir), asked).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
@@ -437,10 +493,19 @@ def e23_cosine(spark, sf_dir):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(search.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
-@query()
+_GRAMS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda x: NOT list_contains(" + "[" + ", ".join(f"'{w}'" for w in search.STOP_WORDS) + "], x))"
+
+
+@query(
+    f"WITH w AS (SELECT doc_id, {_GRAMS} AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)), "
+    "tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY ALL), t AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY 1 ORDER BY cf DESC, term LIMIT 10000), i AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1 AS idf FROM t), "
+    "x AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS x FROM tf JOIN i USING (term)), n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM x GROUP BY 1), "
+    "q AS (SELECT query_id, term, idf AS x FROM (VALUES (1, 'license'), (1, 'apache'), (1, 'license apache'), (2, 'worthless'), (2, 'tra'), (2, 'worthless tra')) AS v(query_id, term) JOIN i USING (term)), m AS (SELECT query_id, sqrt(sum(x * x)) AS m FROM q GROUP BY 1), "
+    "r AS (SELECT query_id, doc_id, round(sum(x.x / n * q.x / m), 4) AS score FROM x JOIN n USING (doc_id) JOIN q USING (term) JOIN m USING (query_id) GROUP BY ALL) "
+    "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score >= 0.05 QUALIFY rank <= 5"
+)
 def e20_tfidf_search(spark, sf_dir):
-    w = search.tfidf(table(spark, sf_dir, "documents"))
-    return search.semantic(w, _searches(spark))
+    return search.semantic(search.tfidf(table(spark, sf_dir, "documents"), cutter(spark, "tfidf")), _searches(spark))
 
 
 _INTENT = "CASE WHEN regexp_matches(lower(text), 'error|exception|traceback|debug|fix|issue|problem') THEN 'debug' WHEN regexp_matches(lower(text), 'how|build|create|setup|install|configure|implement') THEN 'tutorial' WHEN regexp_matches(lower(text), 'what is|explain|understand|concept|definition') THEN 'concept' WHEN regexp_matches(lower(text), 'api|reference|method|function|parameter|argument') THEN 'reference' ELSE 'general' END"
@@ -514,10 +579,10 @@ def e49_sites_for_queries(spark, sf_dir):
 
 @query()
 def e46_diff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.length("text") < 2000).select("doc_id", "source", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     w = Window.partitionBy("source").orderBy("doc_id")
     pairs = d.withColumn("b", F.lead("text").over(w)).withColumn("other", F.lead("doc_id").over(w)).filter("other is not null").withColumnRenamed("text", "a")
-    return context.diff(pairs.filter("doc_id % 25 = 0")).select("doc_id", "other", "similarity", F.size("added").alias("added"), F.size("removed").alias("removed"))
+    return context.diff(pairs).select("doc_id", "other", "similarity", F.size("added").alias("added"), F.size("removed").alias("removed"))
 
 
 @query("WITH r AS (SELECT conv_id AS query_id, turn AS rank, text AS snippet FROM conversations WHERE trim(text) <> '') SELECT query_id, substr(string_agg(substr(snippet, 1, 500), ' ' ORDER BY rank), 1, 500) AS summary FROM r GROUP BY 1")
@@ -525,6 +590,20 @@ def e45_summaries(spark, sf_dir):
     return context.summary(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text").alias("snippet")))
 
 
+@query("WITH " + PAGE_DOCS + " SELECT id, url, CASE WHEN trim(title) <> '' THEN title ELSE url END AS title, CASE WHEN length(content) > 400 THEN rtrim(substr(content, 1, 400)) || '...' ELSE coalesce(content, '') END AS snippet FROM page_docs")
+def e11_formatted_results(spark, sf_dir):
+    return search.formatted(page_docs(spark, sf_dir).select("id", "url", "title", "content"))
+
+
+@query(
+    "WITH " + _BM25 + ", r AS (SELECT query_id, doc_id, round(bm25, 6) AS bm25 FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6), doc_id) <= 10) "
+    "SELECT query_id, doc_id, round(-bm25, 3) AS score, substr(text, 1, 1500) AS snippet, CAST(length(text) AS INTEGER) AS length FROM r JOIN documents USING (doc_id)"
+)
+def e24_formatted_vectors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return search.formatted_vectors(ranked(spark, sf_dir).withColumn("score", -F.col("bm25")).join(docs, "doc_id"))
+
+
 @query()
 def e15_code_search(spark, sf_dir):
     c = spark.createDataFrame([(i, code, "python", "") for i, code in fixtures.CODE], "code_id long, snippet string, language string, context string")
@@ -538,7 +617,7 @@ def e15_code_search(spark, sf_dir):
 def f01_quality_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(
         "page_id", "url", html.title(F.col("html")).alias("title"), html.description(F.col("html")).alias("description"), html.paragraphs(F.col("html")).alias("paragraphs"),
-        html.headings(F.col("html")).alias("headings"), F.lit(0).alias("code_count"), F.size(html.hrefs(F.col("html"))).alias("links_count"),
+        html.headings(F.col("html")).alias("headings"), F.regexp_count("html", F.lit(r"(?i)<(?:pre|code)\b")).alias("code_count"), F.size(html.hrefs(F.col("html"))).alias("links_count"),
     )
     return quality.process(p).select("page_id", "quality", F.length("content").alias("n_chars"))
 
@@ -558,6 +637,11 @@ def f11_save_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", quality.worth_saving(F.col("text"), F.lit(False)).alias("worth"))
 
 
+@query("SELECT doc_id, coalesce(length(text) > 50, false) AS truthy FROM documents")
+def f12_truthy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.truthy(F.col("text")).alias("truthy"))
+
+
 # --- G, H, I: aggregates, joins, order -------------------------------------------------------------------------------
 
 
@@ -610,6 +694,12 @@ def h07_anti_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
+@query("SELECT d.doc_id, d.source, CAST(l.doc_id AS BIGINT) AS rank FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def h05_in_order_of_ranks(spark, sf_dir):
+    ids = table(spark, sf_dir, "labels").select("doc_id", F.col("doc_id").alias("rank"))
+    return store.in_order(table(spark, sf_dir, "documents").select("doc_id", "source"), ids)
+
+
 @query("SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def h02_equi_joins(spark, sf_dir):
     l, o, c, n = (table(spark, sf_dir, x) for x in ("lineitem", "orders", "customer", "nation"))
@@ -671,11 +761,7 @@ def n09_last_good_source(spark, sf_dir):
 
 
 def _stream_dir(spark, name):
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tesserae-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("WITH " + FEEDBACK + " SELECT query, url, CAST(count(*) FILTER (WHERE success) AS BIGINT) AS success_count, CAST(count(*) FILTER (WHERE NOT success) AS BIGINT) AS failure_count FROM fb GROUP BY ALL")
@@ -693,6 +779,21 @@ def n_windows_stream(spark, sf_dir):
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 
+_CACHE = "c AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS value, max(ts) + INTERVAL 5 DAY AS expires_at FROM events WHERE event_type <> 'error' GROUP BY 1), n AS (SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS value, max(ts) + INTERVAL 9 DAY AS expires_at FROM events WHERE event_type = 'purchase' GROUP BY 1)"
+
+
+@query(
+    "WITH " + _CACHE + ", m AS (SELECT * FROM c WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n), l AS (SELECT * FROM m WHERE expires_at > TIMESTAMP '2024-01-31' ORDER BY expires_at DESC, key LIMIT 100) SELECT key, value, expires_at FROM l WHERE expires_at > TIMESTAMP '2024-02-01'"
+)
+def n08_cache(spark, sf_dir):
+    """Entries put over others into a cache of 100, and read a day later."""
+    e = table(spark, sf_dir, "events").withColumn("key", F.col("user_id").cast("string"))
+    of = lambda rows, days: rows.groupBy("key").agg(F.max("event_id").alias("value"), (F.max("ts") + F.make_dt_interval(F.lit(days))).alias("expires_at"))
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    held = store.cache_put(of(e.filter("event_type <> 'error'"), 5), of(e.filter("event_type = 'purchase'"), 9), at("2024-01-31"), 100)
+    return store.cache_get(held, e, at("2024-02-01"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to text, gate, index, BM25 and the ten best documents of a query."""
     docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id").filter(quality.useful_a(F.col("content")))

@@ -49,6 +49,9 @@ def merge_batches(df: DataFrame, path: str, checkpoint: str, keys: list[str]) ->
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        # Of several rows of a key in one batch, one stays: the greatest by the other columns.
+        rest = [c for c in batch.columns if c not in keys]
+        batch = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
         if number:
             batch = spark.read.parquet(f"{path}/{number - 1}").join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
         batch.write.mode("overwrite").parquet(f"{path}/{number}")
