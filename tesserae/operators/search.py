@@ -186,8 +186,7 @@ class Vectors:
 
 def grams(text: Column, bigrams: bool = True) -> Column:
     """The words of two letters or more that aren't stop words, and the pairs of those that follow each other."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     return F.concat(words, F.array_compact(pairs)) if bigrams else words
 

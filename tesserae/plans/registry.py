@@ -9,6 +9,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +50,44 @@ def cutter(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFra
     return cut
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The stored index of `documents`: built by the first query that needs it, of the same session's shared folder, and read by all others.
+def store_folder(spark: SparkSession, sf_dir: str, name: str, key: str) -> str:
+    """Where what is derived from a table is stored: in the session's shared folder, under the table's path, number of rows and sum and maximum of ids, so another table has another place."""
+    state = table(spark, sf_dir, name).agg(F.count(F.lit(1)), F.sum(key), F.max(key)).first()
+    return f"{shared_base(spark)}/{name}-{hashlib.sha1(repr((sf_dir, *state)).encode()).hexdigest()}"
+
 
-    It is named by the table's path, number of rows and sums of ids and lengths, so another table has another index.
-    """
-    docs = table(spark, sf_dir, "documents")
-    state = docs.agg(F.count(F.lit(1)), F.sum("doc_id"), F.sum("n_chars"), F.max("doc_id")).first()
-    folder = f"{shared_base(spark)}/index-{hashlib.sha1(repr((sf_dir, *state)).encode()).hexdigest()}"
+def stored_index(spark: SparkSession, folder: str, docs: Callable[[], DataFrame], **names: str) -> search.Index:
+    """An index that the first query which needs it builds and writes, and all others read."""
     found = search.read_index(spark, folder)
     if found is None:
-        search.write_index(search.build_index(docs), folder)
+        search.write_index(search.build_index(docs(), **names), folder)
         found = search.read_index(spark, folder)
     return found
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    return stored_index(spark, store_folder(spark, sf_dir, "documents", "doc_id"), lambda: table(spark, sf_dir, "documents"))
+
+
+def page_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    return stored_index(spark, store_folder(spark, sf_dir, "pages", "page_id"), lambda: page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id"), text="content")
+
+
+def document_vectors(spark: SparkSession, sf_dir: str) -> search.Vectors:
+    """The stored vectors of `documents`."""
+    folder = store_folder(spark, sf_dir, "documents", "doc_id") + "/vectors"
+    read = lambda part: spark.read.parquet(f"{folder}/{part}")
+
+    def cut(df: DataFrame, part: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{part}")
+        return read(part)
+
+    try:
+        return search.Vectors(read("weights"), read("terms"), True, True)  # the weights are written last
+    except AnalysisException:
+        return search.tfidf(table(spark, sf_dir, "documents"), cut)
+
+
 # --- stored documents made of the pages ------------------------------------------------------------------------------
 
 PAGE_DOCS = r"""page_docs AS (
@@ -461,7 +485,7 @@ def e07_final_scores(spark, sf_dir):
 def e10_tiered_search(spark, sf_dir):
     docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id").withColumn("learned", F.lit(1.0)).withColumn("affinity", F.lit(0))
     asked = spark.createDataFrame([(1, "thtion onand"), (2, "c++"), (3, "qqqqzzzz")], "query_id int, query string")
-    index = search.build_index(docs, text="content")
+    index = page_index(spark, sf_dir)
     return search.tiered(docs, index, asked, limit=5).withColumn("final_score", F.round("final_score", 6))
 
 
@@ -505,7 +529,7 @@ _GRAMS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), la
     "SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r WHERE score >= 0.05 QUALIFY rank <= 5"
 )
 def e20_tfidf_search(spark, sf_dir):
-    return search.semantic(search.tfidf(table(spark, sf_dir, "documents"), cutter(spark, "tfidf")), _searches(spark))
+    return search.semantic(document_vectors(spark, sf_dir), _searches(spark))
 
 
 _INTENT = "CASE WHEN regexp_matches(lower(text), 'error|exception|traceback|debug|fix|issue|problem') THEN 'debug' WHEN regexp_matches(lower(text), 'how|build|create|setup|install|configure|implement') THEN 'tutorial' WHEN regexp_matches(lower(text), 'what is|explain|understand|concept|definition') THEN 'concept' WHEN regexp_matches(lower(text), 'api|reference|method|function|parameter|argument') THEN 'reference' ELSE 'general' END"
@@ -559,7 +583,7 @@ def e34_get_context(spark, sf_dir):
     """Variants, search, first per url, authority, diversity, sections: the whole context answer in one plan."""
     asked = spark.createDataFrame([(1, "how to thtion"), (2, "explain onand"), (3, "fix error ndst")], "query_id int, query string")
     docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id")
-    index = search.build_index(docs, text="content")
+    index = page_index(spark, sf_dir)
     v = context.variants(asked).withColumn("vq", F.col("query_id") * 10 + F.col("variant_pos"))
     hits = search.top(search.bm25(index, search.query_terms(v, key="vq")), 5, [F.asc(F.round("bm25", 9)), F.asc("doc_id")])
     found = hits.withColumn("variant_pos", F.col("query_id") % 10).withColumn("query_id", F.floor(F.col("query_id") / 10).cast("int")).join(docs, "doc_id")
@@ -619,7 +643,8 @@ def f01_quality_pages(spark, sf_dir):
         "page_id", "url", html.title(F.col("html")).alias("title"), html.description(F.col("html")).alias("description"), html.paragraphs(F.col("html")).alias("paragraphs"),
         html.headings(F.col("html")).alias("headings"), F.regexp_count("html", F.lit(r"(?i)<(?:pre|code)\b")).alias("code_count"), F.size(html.hrefs(F.col("html"))).alias("links_count"),
     )
-    return quality.process(p).select("page_id", "quality", F.length("content").alias("n_chars"))
+    # What was read out of the page is written once: the score uses it many times over.
+    return quality.process(cutter(spark, "f01")(p, "parsed")).select("page_id", "quality", F.length("content").alias("n_chars"))
 
 
 @query("SELECT doc_id, coalesce(length(text) >= 200 AND NOT regexp_matches(lower(text), 'enable javascript|loading\\.\\.\\.|please wait|404 not found|access denied|page not found|blocked'), false) AS useful FROM documents")
