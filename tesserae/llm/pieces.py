@@ -85,9 +85,10 @@ def cut_at(top, g):
 class Lattice:
     """States of units. A state is a character of a unit; its arcs stand together, likelier ones first."""
 
-    def __init__(self, model: str, offset: float = OFFSET, temperature: float = TEMPERATURE):
+    def __init__(self, model: str, offset: float = OFFSET, temperature: float = TEMPERATURE, most_states: int = MOST_STATES):
         import sentencepiece
 
+        self.most_states = most_states
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         scores = [sp.get_score(i) for i in range(n)]
@@ -275,7 +276,7 @@ class Lattice:
 
     def starts(self, texts: list[str]) -> list[list[int]]:
         """The first state of each unit of each text; unknown units are learnt."""
-        if self.states > MOST_STATES:
+        if self.states > self.most_states:
             self.clear()
         # Where no two spaces meet, what stands between spaces is looked up whole.
         split = [t.split(" ") if t and "  " not in t and SPACE not in t and t[-1] != " " else None for t in texts]
@@ -481,13 +482,13 @@ def _branch(lattice, agenda, number, jobs, paths, head, there, base, seeds, turn
                 number[d] += 1
 
 
-def lattice_of(model: str, offset: float = OFFSET, temperature: float = TEMPERATURE) -> Lattice:
+def lattice_of(model: str, offset: float = OFFSET, temperature: float = TEMPERATURE, most_states: int = MOST_STATES) -> Lattice:
     """The worker's lattice, with the units that earlier tasks met."""
-    key = (model, offset, temperature)
+    key = (model, offset, temperature, most_states)
     own = common.held(__name__)
     if key not in own:
         own.clear()
-        own[key] = Lattice(model, offset, temperature)
+        own[key] = Lattice(model, offset, temperature, most_states)
     return own[key]
 
 
@@ -505,17 +506,17 @@ SAMPLES = T.StructType(
 )
 
 
-def sample(docs: DataFrame, model: str, *, k: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True, offset: float = OFFSET, temperature: float = TEMPERATURE) -> DataFrame:
+def sample(docs: DataFrame, model: str, *, k: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True, offset: float = OFFSET, temperature: float = TEMPERATURE, most_states: int = MOST_STATES) -> DataFrame:
     """A row for each of the k sampled segmentations of each text, seeded by the row's key.
 
-    ids are little-endian unsigned 32-bit numbers (null unless `with_ids`); round_trip tells whether decoding them gives the text.
+    A worker keeps `most_states` states of units: more take memory and save time. ids are little-endian unsigned 32-bit numbers (null unless `with_ids`); round_trip tells whether decoding them gives the text.
     """
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
     schema = T.StructType([T.StructField(key, T.LongType()), *SAMPLES.fields])
     arrow = pa.schema([(key, pa.int64()), ("sample", pa.int32()), ("ids", pa.binary()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = lattice_of(model, offset, temperature)
+        lattice = lattice_of(model, offset, temperature, most_states)
         for batch in common.sliced(batches, "_text", BATCH_CHARS):
             texts = [v or "" for v in batch.column("_text").to_pylist()]
             names = batch.column(key).to_pylist()

@@ -28,7 +28,7 @@ def op2_sentencepiece_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False).drop("ids")
+    return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False, most_states=2_500_000).drop("ids")
 
 
 def op3_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
