@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
-from tesserae.operators import context, search, store
+from tesserae.operators import context, inverted, search, store, substring
+from tesserae.session import shared_base
 
 PARSE_ERROR, INVALID_REQUEST, NO_METHOD, INVALID_PARAMS, INTERNAL_ERROR = -32700, -32600, -32601, -32602, -32603
 
@@ -24,20 +26,25 @@ def clamp(value: Any, default: int, least: int, most: int) -> int:
 
 
 class Server:
-    """docs: doc_id, url, title, content, domain, scraped_at, learned, affinity. The index is built once and reused."""
+    """docs: doc_id, url, title, content, domain, scraped_at, learned, affinity. The indexes are built once and reused."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame):
         self.spark, self.docs = spark, docs
-        self.index = search.build_index(docs, text="content")
+        self.folder = f"{shared_base(spark)}/server-{uuid.uuid4().hex}"
+        self.index = inverted.build(docs, f"{self.folder}/stems", fields=["title", "content"])
+        self.grams = substring.build(docs, f"{self.folder}/grams")
         self.tools: dict[str, Callable[[dict], Any]] = {"search_docs": self.search, "get_doc": self.get, "list_docs": self.list, "get_context": self.get_context, "get_index_stats": self.stats}
         self.prompts = {"build_feature": (3, 3), "debug_code": (3, 2), "explain_api": (4, 3)}
 
     def _one(self, query: str) -> DataFrame:
         return self.spark.createDataFrame([(1, query)], "query_id int, query string")
 
+    def _found(self, asked: DataFrame, limit: int) -> DataFrame:
+        return search.tiered(self.docs, self.index, self.grams, asked, inverted.scratch(self.spark, self.folder), limit=limit).join(self.docs, "doc_id")
+
     def search(self, args: dict) -> list[dict]:
         limit = clamp(args.get("limit"), 10, 1, 25)
-        hits = search.tiered(self.docs, self.index, self._one(str(args["query"])), limit=limit).join(self.docs, "doc_id")
+        hits = self._found(self._one(str(args["query"])), limit)
         return [r.asDict() for r in hits.orderBy("rank").select("url", "title", F.substring("content", 1, 400).alias("snippet"), "tier", "final_score").collect()]
 
     def get(self, args: dict) -> dict | None:
@@ -53,7 +60,7 @@ class Server:
 
     def get_context(self, args: dict) -> str:
         asked = self._one(str(args["query"]))
-        hits = search.tiered(self.docs, self.index, asked, limit=5).join(self.docs, "doc_id").withColumn("variant_pos", F.lit(0))
+        hits = self._found(asked, 5).withColumn("variant_pos", F.lit(0))
         kept = context.diversify(context.first_per_url(hits), [F.asc("rank")]).withColumn("snippet", F.substring("content", 1, 400))
         return context.render(kept.select("query_id", "snippet", "rank"), asked).first()["context"]
 

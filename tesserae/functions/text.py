@@ -94,9 +94,9 @@ def authority(url: Column, intent_: Column, scraped: Column, learned: Column, af
 
 # --- Porter's algorithm (1980) ---------------------------------------------------------------------------------------
 
-_STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
-_STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
-_STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log")]
+STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")]
+STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
 def _shape(word: str) -> str:
@@ -140,13 +140,13 @@ def porter(word: str) -> str:
                 break
     if word.endswith("y") and "v" in _shape(word[:-1]):
         word = word[:-1] + "i"
-    for rules in (_STEP2, _STEP3):
+    for rules in (STEP2, STEP3):
         for end, new in sorted(rules, key=lambda r: -len(r[0])):
             if word.endswith(end):
                 if _measure(word[: -len(end)]) > 0:
                     word = word[: -len(end)] + new
                 break
-    for end in sorted(_STEP4, key=len, reverse=True):
+    for end in sorted(STEP4, key=len, reverse=True):
         if word.endswith(end):
             stem = word[: -len(end)]
             if _measure(stem) > 1 and (end != "ion" or stem.endswith(("s", "t"))):

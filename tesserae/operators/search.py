@@ -1,31 +1,51 @@
 """Full-text, fuzzy and vector search as joins and aggregates over index tables.
 
-An index is three ordinary tables: postings (doc_id, term, tf), doc_stats (doc_id, dl) and term_stats (term, df). Queries are
-rows too, so one plan answers a batch of them. The query side of a join is small by its nature (terms of the queries); Spark
-broadcasts it when its measured size allows.
+Full text runs on the stored index of stems (`inverted`), substrings on that of trigrams (`substring`), fuzzy search on one of whole
+words: postings (doc_id, term, tf), doc_stats (doc_id, dl) and term_stats (term, df). Queries are rows too, so one plan
+answers a batch of them. The query side of a join is small by its nature (terms of the queries); Spark broadcasts it when
+its measured size allows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import text as tx
+from tesserae.operators import inverted, substring
+from tesserae.operators.inverted import Stored
+from tesserae.session import bounded_batches
 
-K1 = 1.2
-B = 0.75
+#: Edits that a fuzzy match may have, and letters of words whose deletions are stored.
+EDITS = 2
+LONG = 32
 
 # A stop list for TF-IDF, fixed values.
 STOP_WORDS = (
-    "a about above after again against all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few "
-    "for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our ours out "
-    "over own same she should so some such than that the their theirs them then there these they this those through to too under until up very was we were what when where which "
-    "while who whom why will with would you your yours"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before",
+    "being", "below", "between", "both", "but", "by", "can", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from",
+    "further", "had", "has", "have", "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself",
+    "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "ours", "out", "over",
+    "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "theirs", "them", "then", "there", "these", "they", "this",
+    "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom",
+    "why", "will", "with", "would", "you", "your", "yours",
+)
+
+
+def code_version() -> str:
+    """A digest of the code that stored words and vectors depend on."""
+    return hashlib.sha256(b"".join(Path(f).read_bytes() for f in (__file__, tx.__file__))).hexdigest()[:16]
 
 
 @dataclass(frozen=True)
@@ -33,6 +53,7 @@ class Index:
     postings: DataFrame
     doc_stats: DataFrame
     term_stats: DataFrame
+    made: DataFrame | None = None  # (term, made): what deletions make of the words, where that is stored
 
 
 def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Index:
@@ -44,60 +65,30 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
 
 def write_index(index: Index, folder: str) -> None:
-    """Store an index: postings in files by ranges of terms, so that a term's are found by the files' statistics. The statistics go last and tell that it is whole."""
+    """Store an index of words, with what two deletions make of each: postings sorted by term, the rest by what it is looked up by. The statistics go last and tell that it is whole."""
     index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
     index.doc_stats.write.mode("overwrite").parquet(f"{folder}/doc_stats")
     postings = index.postings.sparkSession.read.parquet(f"{folder}/postings")
-    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/term_stats")
+    counted = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    near = counted.filter(F.length("term") <= LONG).select("term", F.explode(deletions(F.col("term"), EDITS)).alias("made"))
+    near.repartitionByRange("made").sortWithinPartitions("made").write.mode("overwrite").parquet(f"{folder}/made")
+    counted.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/term_stats")
 
 
 def read_index(spark: SparkSession, folder: str) -> Index | None:
     """A stored index, or None where none is whole."""
     try:
         term_stats = spark.read.parquet(f"{folder}/term_stats")
-        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/doc_stats"), term_stats)
+        return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/doc_stats"), term_stats, spark.read.parquet(f"{folder}/made"))
     except AnalysisException:
         return None
 
 
-def updated(index: Index, gone: DataFrame, new: Index) -> Index:
-    """An index without the documents of `gone` (doc_id), and with those of another one."""
-    postings = index.postings.join(gone.select("doc_id"), "doc_id", "left_anti").unionByName(new.postings)
-    stats = index.doc_stats.join(gone.select("doc_id"), "doc_id", "left_anti").unionByName(new.doc_stats)
-    return Index(postings, stats, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-
-
 def query_terms(queries: DataFrame, *, key: str = "query_id", query: str = "query") -> DataFrame:
-    """Distinct terms of each query."""
+    """Distinct words of each query, unstemmed."""
     return queries.select(F.col(key).alias("query_id"), F.explode(F.array_distinct(tx.tokens(F.col(query)))).alias("q"))
 
 
-def match(index: Index, terms: DataFrame, *, prefix: bool = True) -> DataFrame:
-    """(query_id, q, doc_id, f): a document's matches of each query term, by prefix or whole.
-
-    Prefixes are resolved on the dictionary, joined by their first character and then tested, so postings see an
-    equality join.
-    """
-    if not prefix:
-        return index.postings.join(terms, index.postings["term"] == terms["q"]).select("query_id", "q", "doc_id", F.col("tf").alias("f"))
-    words = index.term_stats.select("term", F.substring("term", 1, 1).alias("_b"))
-    asked = terms.select("query_id", "q", F.substring("q", 1, 1).alias("_b"))
-    found = words.join(asked, "_b").filter(F.col("term").startswith(F.col("q"))).select("query_id", "q", "term")
-    return index.postings.join(found, "term").groupBy("query_id", "q", "doc_id").agg(F.sum("tf").alias("f"))
-
-
-def bm25(index: Index, terms: DataFrame, *, prefix: bool = True) -> DataFrame:
-    """E5: (query_id, doc_id, bm25); negative, smaller is better; a term in over half of the rows counts next to nothing."""
-    found = match(index, terms, prefix=prefix)
-    n = found.groupBy("query_id", "q").agg(F.count(F.lit(1)).alias("n"))
-    totals = index.doc_stats.agg(F.count(F.lit(1)).alias("total"), F.avg("dl").alias("avgdl"))  # one row
-    idf = F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    each = found.join(n, ["query_id", "q"]).join(index.doc_stats, "doc_id").join(F.broadcast(totals))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return each.groupBy("query_id", "doc_id").agg((-F.sum(part)).alias("bm25"))
-
-
 def top(scored: DataFrame, k: int, order: list[Column], per: str = "query_id") -> DataFrame:
     """The first k of each query, ranked from 1."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*order))).filter(F.col("rank") <= k)
@@ -113,50 +104,172 @@ def final_score_verbatim(learned: Column, score: Column, affinity: Column) -> Co
     return learned + F.try_divide(F.lit(1.0), score + 1) + F.when(affinity > 0, 0.5).otherwise(0.0)
 
 
-def tiered(docs: DataFrame, index: Index, queries: DataFrame, *, limit: int = 10, prefix: bool = True) -> DataFrame:
-    """Full text, else the whole phrase, else the newest; the first tier with a hit wins, in one lazy plan.
+def cascade(queries: DataFrame, tiers: list[Callable[[DataFrame], DataFrame]], cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Each query's rows from the first tier that has any for it, with `tier` from 1.
+
+    A tier is asked for the queries that those before it have left over, and not run at all where none are: each tier's rows
+    and what is left are written before the next one is planned. Queries that no tier answers give no row.
+    """
+    found: list[DataFrame] = []
+    left = cut(queries, "asked")
+    for k, tier in enumerate(tiers, 1):
+        found.append(cut(tier(left).withColumn("tier", F.lit(k)), f"tier-{k}"))
+        if k < len(tiers):
+            left = cut(left.join(found[-1].select("query_id").distinct(), "query_id", "left_anti"), f"left-{k}")
+            if left.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, found)
+
+
+def tiered(docs: DataFrame, index: Stored, grams: substring.Grams, queries: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, limit: int = 10, prefix: bool = True) -> DataFrame:
+    """Full text, else the whole phrase, else the newest; the first tier with a hit wins.
 
     docs: doc_id, url, title, content, scraped_at, learned, affinity. Returns query_id, doc_id, tier, rank, final_score.
     """
-    score = final_score(F.col("learned"), F.col("bm25"), F.col("affinity"))
-    one = bm25(index, query_terms(queries), prefix=prefix).join(docs, "doc_id").select("query_id", "doc_id", F.lit(1).alias("tier"), score.alias("final_score"), "scraped_at")
-    # The phrase test runs on documents that hold the phrase's first word; a phrase without words matches nothing.
-    asked = queries.select("query_id", F.lower(F.trim("query")).alias("_q")).filter("_q <> ''")
     bonus = F.when(F.col("affinity") > 0, 0.5).otherwise(0.0)
-    two = docs.join(asked, F.contains(F.lower("content"), F.col("_q"))).select("query_id", "doc_id", F.lit(2).alias("tier"), (F.col("learned") + bonus).alias("final_score"), "scraped_at")
-    newest = docs.orderBy(F.desc("scraped_at"), F.desc("doc_id")).limit(limit)
-    three = queries.select("query_id").join(F.broadcast(newest)).select("query_id", "doc_id", F.lit(3).alias("tier"), F.lit(0.0).alias("final_score"), "scraped_at")
-    every = top(one, limit, [F.desc("final_score"), F.asc("doc_id")]).unionByName(top(two, limit, [F.desc("final_score"), F.asc("doc_id")])).unionByName(top(three, limit, [F.desc("scraped_at"), F.desc("doc_id")]))
-    best = F.min("tier").over(Window.partitionBy("query_id"))
-    return every.withColumn("_best", best).filter(F.col("tier") == F.col("_best")).drop("_best", "scraped_at")
-
-
-def snippet(text: Column, terms: Column, words: int = 32) -> Column:
-    """About `words` words from the first match on, matches in brackets, cut ends marked by dots."""
-    pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])("), F.array_join(terms, "|"), F.lit(r")[\p{L}\p{N}]*"))
-    split = F.split(text, r"\s+")
-    at = F.coalesce(F.array_position(F.transform(split, lambda w: F.regexp_like(w, pattern)), True).cast("int"), F.lit(1))
-    begin = F.greatest(F.lit(1), at - 3)
-    cut = F.slice(split, begin, F.lit(words))
-    marked = F.array_join(F.transform(cut, lambda w: F.when(F.regexp_like(w, pattern), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ")
-    return F.concat(F.when(begin > 1, "...").otherwise(""), marked, F.when(F.size(split) >= begin + words, "...").otherwise(""))
-
-
-def fuzzy(index: Index, queries: DataFrame, *, limit: int = 10, most: int = 2) -> DataFrame:
+    best = [F.desc("final_score"), F.asc("doc_id")]
+
+    def full_text(left: DataFrame) -> DataFrame:
+        score = final_score(F.col("learned"), F.col("bm25"), F.col("affinity"))
+        hits = inverted.bm25(index, left, cut, prefix=prefix).join(docs.select("doc_id", "learned", "affinity"), "doc_id")
+        return top(hits.select("query_id", "doc_id", F.round(score, 9).alias("final_score")), limit, best)
+
+    def phrase(left: DataFrame) -> DataFrame:
+        hits = substring.containing(docs.select("doc_id", "content", "learned", "affinity"), grams, left, cut)
+        return top(hits.select("query_id", "doc_id", (F.col("learned") + bonus).alias("final_score")), limit, best)
+
+    def newest(left: DataFrame) -> DataFrame:
+        first = [F.desc("scraped_at"), F.desc("doc_id")]
+        rows = docs.orderBy(*first).limit(limit).select("doc_id", "scraped_at")  # `limit` rows
+        return top(left.select("query_id").join(F.broadcast(rows)).select("query_id", "doc_id", F.lit(0.0).alias("final_score"), "scraped_at"), limit, first).drop("scraped_at")
+
+    return cascade(queries, [full_text, phrase, newest], cut)
+
+
+_WORD = re.compile(r"[^\W_]+")
+
+
+def best_window(hits: list[tuple[int, int]], length: int, words: int) -> int:
+    """Where the window of `words` tokens begins that covers most different terms, then most matches, then stands first.
+
+    hits: (position, number of the term) in order. Windows that cover something best begin at a match or end at one or at the
+    text's ends; it is enough to look at those that begin at a match. The window is then moved to have its matches in the middle.
+    """
+    best, inside, right = (0, 0, 0), Counter(), 0
+    chosen = (0, 0)
+    for left, (begin, term) in enumerate(hits):
+        while right < len(hits) and hits[right][0] < begin + words:
+            inside[hits[right][1]] += 1
+            right += 1
+        if (found := (len(inside), right - left, -begin)) > best:
+            best, chosen = found, (begin, hits[right - 1][0])
+        inside[term] -= 1
+        if not inside[term]:
+            del inside[term]
+    first, last = chosen
+    return max(0, min(first - (words - (last - first + 1)) // 2, length - words))
+
+
+def snippet_of(text: str, stems: list[str], words: int, prefix: bool) -> str:
+    tokens = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    known: dict[str, int] = {}
+
+    def term(word: str) -> int:
+        if word not in known:
+            stem = tx.porter(word)
+            known[word] = next((k for k, q in enumerate(stems) if (stem.startswith(q) if prefix else stem == q)), -1)
+        return known[word]
+
+    hits = [(k, t) for k, (a, b) in enumerate(tokens) if (t := term(text[a:b].lower())) >= 0]
+    if not tokens:
+        return ""
+    begin = best_window(hits, len(tokens), words)
+    end = min(len(tokens), begin + words)
+    marked = {k for k, _ in hits}
+    out, at = [], tokens[begin][0] if begin else 0
+    for k in range(begin, end):
+        a, b = tokens[k]
+        out += [text[at:a], f"[{text[a:b]}]" if k in marked else text[a:b]]
+        at = b
+    return "".join([*(["..."] if begin else []), *out, text[at:] if end == len(tokens) else "..."])
+
+
+def weighted(index: Stored, titles: DataFrame, queries: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, limit: int = 5, weights: tuple[float, ...] = (5.0, 1.0), bonus: float = 20.0, penalty: float = 0.7, threshold: float = 1.0) -> DataFrame:
+    """BM25 with a weight for each field, a bonus where a word of the query stands in the title, and a second pass for thin results.
+
+    Queries that keep fewer than `limit` documents at the threshold or above are asked again word by word, at `penalty` times the
+    score; of a document's scores the best counts. titles: doc_id, title. Returns query_id, doc_id, relevance, rank.
+    """
+    def scored(asked: DataFrame, words: DataFrame, key: str, factor: float) -> DataFrame:
+        hits = inverted.bm25(index, asked, cut, weights=list(weights)).withColumnRenamed("query_id", key).join(titles.select("doc_id", F.lower("title").alias("_title")), "doc_id")
+        # Words without a character beyond white space aren't there, so an empty one can't match every title.
+        named = hits.join(words, key).withColumn("_named", F.exists("words", lambda w: F.contains(F.coalesce(F.col("_title"), F.lit("")), w)))
+        rank = (-F.col("bm25") + F.when(F.col("_named"), bonus).otherwise(0.0)) * factor
+        return named.select(key, "doc_id", rank.alias("relevance")).filter(F.col("relevance") >= threshold)
+
+    split = F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""))
+    queries = cut(queries.select("query_id", "query", split.alias("words")), "weighted-queries")
+    best = [F.desc(F.round("relevance", 9)), F.asc("doc_id")]
+    whole = cut(scored(queries, queries.select("query_id", "words"), "query_id", 1.0), "weighted-whole")
+    enough = whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= limit)
+    thin = queries.filter(F.size("words") > 1).join(enough, "query_id", "left_anti")
+    single = cut(thin.select("query_id", F.posexplode("words").alias("_pos", "query")).select(F.struct("query_id", "_pos").alias("single_id"), "query", F.array("query").alias("words")), "weighted-single")
+    if single.isEmpty():
+        return top(whole, limit, best)
+    more = scored(single.select(F.col("single_id").alias("query_id"), "query"), single.select("single_id", "words"), "single_id", penalty)
+    every = whole.unionByName(more.select("single_id.query_id", "doc_id", "relevance"))
+    return top(every.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance")), limit, best)
+
+
+def strict(index: Stored, learned: DataFrame, queries: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, limit: int = 5) -> DataFrame:
+    """Documents that have all of a query's words (stemmed, whole), by learned score, then by BM25.
+
+    learned: doc_id and score; documents without one have 1. Returns query_id, doc_id, learned_score, bm25, rank.
+    """
+    hits = inverted.bm25(index, queries, cut, prefix=False, every=True)
+    scored = hits.join(learned.select("doc_id", F.col("score").alias("learned_score")), "doc_id", "left").fillna(1.0, ["learned_score"])
+    return top(scored.select("query_id", "doc_id", "learned_score", "bm25"), limit, [F.desc("learned_score"), F.asc(F.round("bm25", 9)), F.asc("doc_id")])
+
+
+def snippets(hits: DataFrame, terms: DataFrame, *, text: str = "content", words: int = 32, prefix: bool = True) -> DataFrame:
+    """Results (query_id, the text, ...) with a `snippet` in place of the text: the best window of tokens, matches in brackets, cut ends marked by dots.
+
+    terms: (query_id, q) the queries' stems, as `inverted.asked` gives them. Meant for the best hits of each query. A text
+    without tokens has an empty snippet, one without matches its beginning.
+    """
+    from pyspark.sql import types as T
+
+    bounded_batches(hits.sparkSession)
+    stems = terms.groupBy("query_id").agg(F.sort_array(F.collect_list("q")).alias("_stems"))
+    rows = hits.join(stems, "query_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {n: k for k, n in enumerate(batch.schema.names)}
+            found = [snippet_of(x or "", s or [], words, prefix) for x, s in zip(batch.column(at[text]).to_pylist(), batch.column(at["_stems"]).to_pylist(), strict=True)]
+            kept = [n for n in at if n not in (text, "_stems")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at[n]) for n in kept), pa.array(found, pa.string())], names=[*kept, "snippet"])
+
+    fields = [f for f in rows.schema.fields if f.name not in (text, "_stems")]
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("snippet", T.StringType())]))
+
+
+def fuzzy(index: Index, queries: DataFrame, *, limit: int = 10) -> DataFrame:
     """Query terms against the dictionary by edit distance, then documents by their mean similarity.
 
-    Candidates come from an equality join on deletion neighbourhoods, of words that aren't longer than any near one could be. The
-    distance is then verified.
+    Candidates come from an equality join on deletion neighbourhoods, which a stored index holds for words of at most LONG
+    letters; those of longer words are made here if a query has such long words. The distance is then verified.
     """
     asked = query_terms(queries)
-    # Longer words than the longest asked for, and `most` more, can't be near any; so no word makes more variants than queries warrant.
+    a = asked.select("query_id", "q", F.explode(deletions(F.col("q"), EDITS)).alias("made"))
+    # Longer words than the longest asked for, and EDITS more, can't be near any.
     longest = asked.agg(F.max(F.length("q")).alias("_longest"))
-    words = index.term_stats.select("term").join(F.broadcast(longest)).filter(F.length("term") <= F.col("_longest") + most).select("term")
-    # Deletion neighbourhoods: two strings within two edits share a string made by at most two deletions from each.
-    w = words.select("term", F.explode(deletions(F.col("term"), most)).alias("_k"))
-    a = asked.select("query_id", "q", F.explode(deletions(F.col("q"), most)).alias("_k"))
-    pairs = w.join(a, "_k").select("query_id", "q", "term").distinct()
-    near = pairs.withColumn("d", F.levenshtein("term", "q")).filter(F.col("d") <= most)
+    long = index.term_stats.select("term").filter(F.length("term") > (LONG if index.made is not None else 0)).join(F.broadcast(longest)).filter(F.length("term") <= F.col("_longest") + EDITS)
+    made = long.select("term", F.explode(deletions(F.col("term"), EDITS)).alias("made"))
+    if index.made is not None:
+        made = made.unionByName(index.made)
+    pairs = made.join(a, "made").select("query_id", "q", "term").distinct()
+    near = pairs.withColumn("d", F.levenshtein("term", "q")).filter(F.col("d") <= EDITS)
     like = near.withColumn("similarity", 1 - F.col("d") / F.greatest(F.length("term"), F.length("q")))
     best = index.postings.join(like, "term").groupBy("query_id", "doc_id", "q").agg(F.max("similarity").alias("s"))
     size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
@@ -182,17 +295,18 @@ class Vectors:
     terms: DataFrame
     sublinear: bool
     bigrams: bool
+    stop_words: tuple[str, ...] = STOP_WORDS
 
 
-def grams(text: Column, bigrams: bool = True) -> Column:
+def grams(text: Column, bigrams: bool = True, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """The words of two letters or more that aren't stop words, and the pairs of those that follow each other."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop_words))
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     return F.concat(words, F.array_compact(pairs)) if bigrams else words
 
 
-def _frequencies(rows: DataFrame, key: str, text: str, bigrams: bool) -> DataFrame:
-    return rows.select(F.col(key), F.explode(grams(F.col(text), bigrams)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def _frequencies(rows: DataFrame, key: str, text: str, bigrams: bool, stop_words: tuple[str, ...]) -> DataFrame:
+    return rows.select(F.col(key), F.explode(grams(F.col(text), bigrams, stop_words)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _weighed(tf: DataFrame, terms: DataFrame, key: str, sublinear: bool) -> DataFrame:
@@ -202,21 +316,21 @@ def _weighed(tf: DataFrame, terms: DataFrame, key: str, sublinear: bool) -> Data
     return x.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
-def tfidf(docs: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, key: str = "doc_id", text: str = "text", most: int = 10_000, sublinear: bool = True, bigrams: bool = True) -> Vectors:
-    """Vectors over the `most` most frequent 1- and 2-grams without stop words.
+def tfidf(docs: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, key: str = "doc_id", text: str = "text", most: int = 10_000, sublinear: bool = True, bigrams: bool = True, stop_words: tuple[str, ...] = STOP_WORDS) -> Vectors:
+    """Vectors over the `most` most frequent 1- and 2-grams without stop words, which are a parameter: pass a library's list to get its vectors.
 
     `cut` writes a table and reads it again: the texts are split once, and terms and weights are tables that queries share.
     """
-    tf = cut(_frequencies(docs.withColumnRenamed(key, "doc_id"), "doc_id", text, bigrams), "frequencies")
+    tf = cut(_frequencies(docs.withColumnRenamed(key, "doc_id"), "doc_id", text, bigrams, stop_words), "frequencies")
     n = docs.count()
     counted = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("cf"), F.asc("term")).limit(most)
     terms = cut(counted.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")), "terms")
-    return Vectors(cut(_weighed(tf, F.broadcast(terms), "doc_id", sublinear), "weights"), terms, sublinear, bigrams)  # `most` terms at most
+    return Vectors(cut(_weighed(tf, F.broadcast(terms), "doc_id", sublinear), "weights"), terms, sublinear, bigrams, stop_words)  # `most` terms at most
 
 
 def semantic(vectors: Vectors, queries: DataFrame, *, limit: int = 5, least: float = 0.05) -> DataFrame:
     """Cosine of the vectors of queries and documents by a join on terms; below `least` nothing is returned. Queries are split as documents are."""
-    asked = _weighed(_frequencies(queries, "query_id", "query", vectors.bigrams), vectors.terms, "query_id", vectors.sublinear).withColumnRenamed("weight", "qw")
+    asked = _weighed(_frequencies(queries, "query_id", "query", vectors.bigrams, vectors.stop_words), vectors.terms, "query_id", vectors.sublinear).withColumnRenamed("weight", "qw")
     scored = vectors.weights.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("qw")), 4).alias("score"))
     return top(scored.filter(F.col("score") >= least), limit, [F.desc("score"), F.asc("doc_id")])
 
@@ -231,10 +345,40 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot(a, b) / size)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", limit: int = 5) -> DataFrame:
-    """The best dot products for a stated set of query vectors (query_id, qv), which is broadcast if small."""
-    scored = vectors.join(queries).select("query_id", F.col(key).alias("doc_id"), dot(F.col(vector), F.col("qv")).alias("score"))
-    return top(scored, limit, [F.desc(F.round("score", 6)), F.asc("doc_id")])
+def nearest(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", limit: int = 5, block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """The best dot products (to six digits, ties by least key) for each query vector (query_id, qv).
+
+    Both sides stand in blocks, one row each, so that vectors and queries never meet one by one: a pair of blocks is one matrix
+    product, of which the best `limit` of each query stay, and these are ranked over all blocks. The vectors' blocks are
+    dealt to as many shares as the session has shuffle partitions, and each share gets the queries' blocks, so a large
+    table of queries is searched for as well. Vectors of another length than the query's, null vectors and such with null
+    elements give no row.
+    """
+    spark = vectors.sparkSession
+    bounded_batches(spark)
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(rows: DataFrame, name: str, of: str, n: int, side: str) -> DataFrame:
+        whole = rows.filter(F.col(of).isNotNull() & (F.size(of) > 0) & ~F.exists(of, F.isnull))
+        # Blocks are runs of n rows of an input partition.
+        slim = whole.select(F.col(name).alias("id"), F.col(of).cast("array<double>").alias("x"), F.size(of).alias("dim"), F.expr(f"monotonically_increasing_id() div {n}").alias("part"))
+        return slim.groupBy("dim", "part").agg(F.collect_list("id").alias(f"{side}_ids"), F.flatten(F.collect_list("x")).alias(f"{side}_x"))
+
+    left = blocks(vectors, key, vector, block, "v").withColumn("share", F.pmod(F.xxhash64("part"), F.lit(shares)).cast("int")).drop("part")
+    right = blocks(queries, "query_id", "qv", query_block, "q").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).drop("part")
+    pairs = left.join(right, ["dim", "share"]).select("dim", "v_ids", "v_x", "q_ids", "q_x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim, (ids, x, asked, qx) = batch.column(0)[k].as_py(), (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
+                scores = np.round(qx.reshape(-1, dim) @ x.reshape(-1, dim).T, 6)
+                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :limit]
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asked, order.shape[1]), "doc_id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+
+    kinds = [rows.schema[name].dataType.simpleString() for rows, name in ((queries, "query_id"), (vectors, key))]
+    found = pairs.mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    return top(found, limit, [F.desc("score"), F.asc("doc_id")])
 
 
 def hybrid(lexical: DataFrame, other: DataFrame, key: str = "url") -> DataFrame:
@@ -242,20 +386,24 @@ def hybrid(lexical: DataFrame, other: DataFrame, key: str = "url") -> DataFrame:
     return lexical.withColumn("source", F.lit(0)).unionByName(other.join(lexical.select("query_id", key), ["query_id", key], "left_anti").withColumn("source", F.lit(1)))
 
 
-def search_code(code: DataFrame, queries: DataFrame, *, language: str | None = None, limit: int = 10) -> DataFrame:
-    """Ranked code blocks, filled up with those that hold the query as a substring and weren't ranked.
+def search_code(index: Stored, grams: substring.Grams, code: DataFrame, queries: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, language: str | None = None, limit: int = 10) -> DataFrame:
+    """Ranked code blocks, and where they are fewer than `limit`, those that hold the query as a substring and weren't ranked.
 
-    code: code_id, snippet, language, context.
+    code: code_id, body (what the indexes were built over), language. Only queries that are left short are looked up in the
+    index of trigrams.
     """
     if language:
         code = code.filter(F.lower("language") == language.lower())
-    body = code.withColumn("_t", F.concat_ws(" ", "snippet", "context"))
-    index = build_index(body, key="code_id", text="_t")
-    ranked = bm25(index, query_terms(queries)).withColumnRenamed("doc_id", "code_id").withColumn("src", F.lit(0))
-    asked = queries.select("query_id", F.lower(F.trim("query")).alias("_q")).filter("_q <> ''")
-    like = body.join(asked, F.contains(F.lower("_t"), F.col("_q"))).select("query_id", "code_id", F.lit(0.0).alias("bm25"))
-    fill = like.join(ranked.select("query_id", "code_id"), ["query_id", "code_id"], "left_anti").withColumn("src", F.lit(1))
-    return top(ranked.unionByName(fill), limit, [F.asc("src"), F.asc(F.round("bm25", 9)), F.asc("code_id")])
+    of = code.select(F.col("code_id").alias("doc_id"))
+    hits = inverted.bm25(index, queries, cut).join(of, "doc_id").select("query_id", F.col("doc_id").alias("code_id"), F.round("bm25", 9).alias("bm25"), F.lit(0).alias("src"))
+    order = [F.asc("src"), F.asc("bm25"), F.asc("code_id")]
+    ranked = cut(top(hits, limit, order).drop("rank"), "ranked-code")
+    enough = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= limit)
+    short = cut(queries.join(enough, "query_id", "left_anti"), "short-code")
+    if short.isEmpty():
+        return top(ranked, limit, order)
+    like = substring.containing(code, grams, short, cut, key="code_id", text="body").select("query_id", "code_id", F.lit(0.0).alias("bm25"), F.lit(1).alias("src"))
+    return top(ranked.unionByName(like.join(ranked.select("query_id", "code_id"), ["query_id", "code_id"], "left_anti")), limit, order)
 
 
 def filtered(docs: DataFrame, *, domain: str | None = None, after=None, with_code: bool | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import html, quality, text, urls
-from tesserae.operators import context, feedback, repo, search, store
+from tesserae.operators import context, feedback, inverted, repo, search, store, substring
 from tesserae.plans import fixtures
 from tesserae.session import shared_base
 from tesserae.sources import readers
@@ -50,10 +50,15 @@ def cutter(spark: SparkSession, name: str) -> Callable[[DataFrame, str], DataFra
     return cut
 
 
-def store_folder(spark: SparkSession, sf_dir: str, name: str, key: str) -> str:
-    """Where what is derived from a table is stored: in the session's shared folder, under the table's path, number of rows and sum and maximum of ids, so another table has another place."""
-    state = table(spark, sf_dir, name).agg(F.count(F.lit(1)), F.sum(key), F.max(key)).first()
-    return f"{shared_base(spark)}/{name}-{hashlib.sha1(repr((sf_dir, *state)).encode()).hexdigest()}"
+def store_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where what is derived from a table is stored: in the session's shared folder, under the state of the table's files and of the code.
+
+    The state is that of all files' paths, sizes and times of change, so a table that is written anew in its place has
+    another one; it takes no column of the table to find it. What an older version of the code has built isn't found.
+    """
+    files = table(spark, sf_dir, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)"))).first()
+    return f"{shared_base(spark)}/{name}-{hashlib.sha1(repr((sf_dir, *state, inverted.code_version(), search.code_version())).encode()).hexdigest()}"
 
 
 def stored_index(spark: SparkSession, folder: str, docs: Callable[[], DataFrame], **names: str) -> search.Index:
@@ -65,17 +70,42 @@ def stored_index(spark: SparkSession, folder: str, docs: Callable[[], DataFrame]
     return found
 
 
-def document_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return stored_index(spark, store_folder(spark, sf_dir, "documents", "doc_id"), lambda: table(spark, sf_dir, "documents"))
+def word_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """Postings of whole words, which fuzzy search compares."""
+    return stored_index(spark, store_folder(spark, sf_dir, "documents") + "/words", lambda: table(spark, sf_dir, "documents"))
+
+
+def opened(spark: SparkSession, folder: str, docs: Callable[[], DataFrame], **names) -> inverted.Stored:
+    """A stored index of stems, which the first query that needs it builds."""
+    return inverted.opened(spark, folder) or inverted.build(docs(), folder, **names)
+
 
+def document_index(spark: SparkSession, sf_dir: str) -> inverted.Stored:
+    return opened(spark, store_folder(spark, sf_dir, "documents") + "/stems", lambda: table(spark, sf_dir, "documents"))
 
-def page_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return stored_index(spark, store_folder(spark, sf_dir, "pages", "page_id"), lambda: page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id"), text="content")
+
+def page_index(spark: SparkSession, sf_dir: str) -> inverted.Stored:
+    """The pages' documents beside their index over title and content: a search reads those that it hits from there."""
+    return opened(spark, store_folder(spark, sf_dir, "pages") + "/stems", lambda: stored_pages(spark, sf_dir), fields=["title", "content"])
+
+
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents made of the pages, written once."""
+    folder = store_folder(spark, sf_dir, "pages") + "/docs"
+    try:
+        return spark.read.parquet(folder)
+    except AnalysisException:
+        page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id").write.mode("overwrite").parquet(folder)
+        return spark.read.parquet(folder)
+
+
+def scratch(spark: SparkSession) -> inverted.Cut:
+    return inverted.scratch(spark, shared_base(spark))
 
 
 def document_vectors(spark: SparkSession, sf_dir: str) -> search.Vectors:
     """The stored vectors of `documents`."""
-    folder = store_folder(spark, sf_dir, "documents", "doc_id") + "/vectors"
+    folder = store_folder(spark, sf_dir, "documents") + "/vectors"
     read = lambda part: spark.read.parquet(f"{folder}/{part}")
 
     def cut(df: DataFrame, part: str) -> DataFrame:
@@ -443,12 +473,53 @@ def d23_f13_junk_paragraphs(spark, sf_dir):
 # --- E: search -------------------------------------------------------------------------------------------------------
 
 _TOKENS = "SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM documents"
-_BM25 = (
-    "w AS (" + _TOKENS + "), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL), s AS (SELECT d.doc_id, coalesce(c.dl, 0) AS dl FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1) c USING (doc_id)), "
-    "g AS (SELECT count(*) AS total, avg(dl) AS avgdl FROM s), q AS (SELECT * FROM (VALUES (1, 'license'), (1, 'apache'), (2, 'worthless'), (2, 'tra')) AS v(query_id, q)), "
-    "m AS (SELECT query_id, q, doc_id, sum(tf) AS f FROM p JOIN q ON starts_with(term, q) GROUP BY ALL), n AS (SELECT query_id, q, count(*) AS n FROM m GROUP BY ALL), "
-    "b AS (SELECT query_id, doc_id, -sum(CASE WHEN ln((total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM m JOIN n USING (query_id, q) JOIN s USING (doc_id), g GROUP BY ALL)"
-)
+
+
+def _stems_sql(words: str) -> str:
+    """Porter's algorithm in SQL, step by step over the different words of a table (term): CTEs that end in stems(term, stem)."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    some, one, more, vowel, short = f"^({c})?{v}{c}", f"^({c})?{v}{c}({v})?$", f"^({c})?{v}{c}{v}{c}", f"^({c})?[aeiouy]", "^" + c + "[aeiouy][^aeiouwxy]$"
+    cut = lambda n: f"left(w, -{n})" if n else "w"
+    has = lambda of, pattern: f"regexp_matches({of}, '{pattern}')"
+    twice = "right(x.w, 1) = substr(x.w, -2, 1) AND regexp_matches(x.w, '[^aeiouylsz]$')"
+
+    def rules(pairs: list[tuple[str, str]]) -> str:
+        chain = " ".join(f"WHEN w LIKE '%{end}' THEN CASE WHEN {has(cut(len(end)), some)} THEN {cut(len(end))} || '{new}' ELSE w END" for end, new in sorted(pairs, key=lambda p: -len(p[0])))
+        return f"CASE {chain} ELSE w END"
+
+    fourth = " ".join(f"WHEN w LIKE '%{end}' THEN CASE WHEN {has(cut(len(end)), more)}{f' AND {has(cut(3), '[st]$')}' if end == 'ion' else ''} THEN {cut(len(end))} ELSE w END" for end in sorted(text.STEP4, key=len, reverse=True))
+    steps = [
+        "CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, -2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, -1) ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {has(cut(3), some)} THEN left(w, -1) ELSE w END WHEN w LIKE '%ed' AND {has(cut(2), vowel)} THEN left(w, -2) || '+' WHEN w LIKE '%ing' AND {has(cut(3), vowel)} THEN left(w, -3) || '+' ELSE w END",
+        # What has lost an ending (a plus) is mended.
+        f"(SELECT CASE WHEN x.w = z.w THEN z.w WHEN {has('x.w', '(at|bl|iz)$')} OR {has('x.w', one)} AND {has('x.w', short)} THEN x.w || 'e' WHEN {twice} THEN left(x.w, -1) ELSE x.w END FROM (SELECT rtrim(z.w, '+') AS w) x)",
+        f"CASE WHEN w LIKE '%y' AND {has(cut(1), vowel)} THEN left(w, -1) || 'i' ELSE w END",
+        rules(text.STEP2),
+        rules(text.STEP3),
+        f"CASE {fourth} ELSE w END",
+        f"CASE WHEN w LIKE '%e' AND ({has(cut(1), more)} OR {has(cut(1), one)} AND NOT {has(cut(1), short)}) THEN left(w, -1) ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {has('w', more)} THEN left(w, -1) ELSE w END",
+    ]
+    # A first y is a consonant: it stands in upper case meanwhile.
+    out = [f"z0 AS (SELECT DISTINCT term, regexp_replace(term, '^y', 'Y') AS w FROM ({words}))"]
+    for k, step in enumerate(steps):
+        out.append(f"z{k + 1} AS (SELECT term, CASE WHEN length(term) > 2 AND regexp_matches(term, '^[a-z]+$') THEN {step} ELSE w END AS w FROM z{k} AS z)")
+    return ", ".join(out) + f", stems AS (SELECT term, regexp_replace(w, '^Y', 'y') AS stem FROM z{len(steps)})"
+
+
+def _bm25_sql(words: str, docs: str, asked: str, weights: tuple[float, ...] = (1.0,), prefix: bool = True) -> str:
+    """BM25 over stems. words: (doc_id, field, term); docs: (doc_id); asked: (query_id, word)."""
+    weighed = "CASE field " + " ".join(f"WHEN {k} THEN CAST({w} AS DOUBLE)" for k, w in enumerate(weights)) + " END"
+    meets = "starts_with(stem, q)" if prefix else "stem = q"
+    return (
+        f"w AS ({words}), qw AS ({asked}), " + _stems_sql("SELECT term FROM w UNION ALL SELECT word FROM qw") + f", p AS (SELECT doc_id, stem, sum({weighed}) AS tf FROM w JOIN stems USING (term) GROUP BY ALL), "
+        f"s AS (SELECT d.doc_id, coalesce(c.dl, 0) AS dl FROM ({docs}) d LEFT JOIN (SELECT doc_id, count(*) AS dl FROM w GROUP BY 1) c USING (doc_id)), g AS (SELECT count(*) AS total, avg(dl) AS avgdl FROM s), "
+        f"q AS (SELECT DISTINCT query_id, stem AS q FROM qw JOIN stems ON term = word), m AS (SELECT query_id, q, doc_id, sum(tf) AS f FROM p JOIN q ON {meets} GROUP BY ALL), n AS (SELECT query_id, q, count(*) AS n FROM m GROUP BY ALL), "
+        "b AS (SELECT query_id, doc_id, -sum(CASE WHEN ln((total - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((total - n + 0.5) / (n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS bm25, count(*) AS matched FROM m JOIN n USING (query_id, q) JOIN s USING (doc_id), g GROUP BY ALL)"
+    )
+
+
+_BM25 = _bm25_sql(_TOKENS.replace("SELECT doc_id,", "SELECT doc_id, 0 AS field,"), "SELECT doc_id FROM documents", "SELECT * FROM (VALUES (1, 'license'), (1, 'apache'), (2, 'worthless'), (2, 'tra')) AS v(query_id, word)")
 
 
 def _searches(spark):
@@ -456,8 +527,7 @@ def _searches(spark):
 
 
 def ranked(spark, sf_dir, k=10):
-    index = document_index(spark, sf_dir)
-    scored = search.bm25(index, search.query_terms(_searches(spark))).withColumn("bm25", F.round("bm25", 6))
+    scored = inverted.bm25(document_index(spark, sf_dir), _searches(spark), scratch(spark)).withColumn("bm25", F.round("bm25", 6))
     return search.top(scored, k, [F.asc("bm25"), F.asc("doc_id")])
 
 
@@ -476,17 +546,108 @@ def m07_term_statistics(spark, sf_dir):
     "WITH " + _BM25 + ", r AS (SELECT query_id, doc_id, round(1 + (-bm25) / (1 - bm25), 6) AS final_score FROM b) SELECT query_id, doc_id, final_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10"
 )
 def e07_final_scores(spark, sf_dir):
-    index = document_index(spark, sf_dir)
-    scored = search.bm25(index, search.query_terms(_searches(spark))).select("query_id", "doc_id", F.round(search.final_score(F.lit(1.0), F.col("bm25"), F.lit(0)), 6).alias("final_score"))
+    scored = inverted.bm25(document_index(spark, sf_dir), _searches(spark), scratch(spark)).select("query_id", "doc_id", F.round(search.final_score(F.lit(1.0), F.col("bm25"), F.lit(0)), 6).alias("final_score"))
     return search.top(scored, 10, [F.desc("final_score"), F.asc("doc_id")])
 
 
-@query()
+def page_grams(spark: SparkSession, sf_dir: str) -> substring.Grams:
+    folder = store_folder(spark, sf_dir, "pages") + "/grams"
+    return substring.opened(spark, folder) or substring.build(stored_pages(spark, sf_dir), folder)
+
+
+def document_grams(spark: SparkSession, sf_dir: str) -> substring.Grams:
+    folder = store_folder(spark, sf_dir, "documents") + "/grams"
+    return substring.opened(spark, folder) or substring.build(table(spark, sf_dir, "documents"), folder, text="text")
+
+
+def _split_sql(of: str) -> str:
+    return f"list_filter(string_split_regex(lower({of}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+_PAGE_WORDS = "SELECT id AS doc_id, 0 AS field, unnest(" + _split_sql("title") + ") AS term FROM page_docs UNION ALL SELECT id AS doc_id, 1 AS field, unnest(" + _split_sql("content") + ") AS term FROM page_docs"
+_TIERED = [(1, "thtion onand"), (2, "c++"), (3, "qqqqzzzz"), (4, "htio"), (5, "LES que")]
+_TIERED_SQL = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{q}')" for k, q in _TIERED) + ") AS v(query_id, query))"
+
+
+@query(
+    "WITH " + PAGE_DOCS + ", " + _TIERED_SQL + ", " + _bm25_sql(_PAGE_WORDS, "SELECT id AS doc_id FROM page_docs", "SELECT query_id, unnest(" + _split_sql("query") + ") AS word FROM t", (1.0, 1.0))
+    + ", one AS (SELECT query_id, doc_id, 1 AS tier, round(1 + (-bm25) / (1 - bm25), 9) AS final_score, doc_id AS o FROM b), two AS (SELECT query_id, id AS doc_id, 2 AS tier, CAST(1 AS DOUBLE) AS final_score, id AS o FROM page_docs JOIN t ON contains(content, lower(trim(query))) WHERE query_id NOT IN (SELECT query_id FROM one)), "
+    "three AS (SELECT query_id, id AS doc_id, 3 AS tier, CAST(0 AS DOUBLE) AS final_score, -id AS o FROM page_docs, t WHERE query_id NOT IN (SELECT query_id FROM one UNION ALL SELECT query_id FROM two)), "
+    "every AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) SELECT query_id, doc_id, CAST(tier AS INTEGER) AS tier, round(final_score, 6) AS final_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, o) AS INTEGER) AS rank FROM every QUALIFY rank <= 5"
+)
 def e10_tiered_search(spark, sf_dir):
-    docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id").withColumn("learned", F.lit(1.0)).withColumn("affinity", F.lit(0))
-    asked = spark.createDataFrame([(1, "thtion onand"), (2, "c++"), (3, "qqqqzzzz")], "query_id int, query string")
-    index = page_index(spark, sf_dir)
-    return search.tiered(docs, index, asked, limit=5).withColumn("final_score", F.round("final_score", 6))
+    docs = stored_pages(spark, sf_dir).withColumn("learned", F.lit(1.0)).withColumn("affinity", F.lit(0))
+    asked = spark.createDataFrame(_TIERED, "query_id int, query string")
+    found = search.tiered(docs, page_index(spark, sf_dir), page_grams(spark, sf_dir), asked, scratch(spark), limit=5)
+    return found.select("query_id", "doc_id", "tier", F.round("final_score", 6).alias("final_score"), "rank")
+
+
+_PHRASE = "array_to_string(string_split(trim(text), ' ')[1:2], ' ')"
+
+
+@query(
+    f"WITH t AS (SELECT conv_id, turn, lower(trim({_PHRASE})) AS phrase FROM conversations), p AS (SELECT DISTINCT phrase FROM t WHERE phrase <> ''), h AS (SELECT phrase, doc_id FROM p JOIN documents ON contains(lower(text), phrase)), "
+    "r AS (SELECT phrase, CAST(count(*) AS BIGINT) AS n_docs, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM h GROUP BY 1) SELECT conv_id, turn, n_docs, first_doc, last_doc FROM t JOIN r USING (phrase)"
+)
+def e08_substring_search(spark, sf_dir):
+    """How many documents hold the first two words of each turn, as they stand, and the first and last of them."""
+    phrase = F.lower(F.trim(F.array_join(F.slice(F.split(F.trim("text"), " "), 1, 2), " ")))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", phrase.alias("query"))
+    asked = turns.select("query").distinct().withColumn("query_id", F.col("query"))
+    hits = substring.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), document_grams(spark, sf_dir), asked, scratch(spark), text="text")
+    found = hits.groupBy(F.col("query_id").alias("query")).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return turns.join(found, "query").select("conv_id", "turn", "n_docs", "first_doc", "last_doc")
+
+
+_WEIGHTED = [(1, "thtion onand"), (2, "les que"), (3, "qqqqzzzz nicht"), (4, "réeaution")]
+
+
+@query(
+    "WITH " + PAGE_DOCS + ", t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{q}')" for k, q in _WEIGHTED) + ") AS v(query_id, query)), k AS (SELECT query_id, string_split(lower(query), ' ') AS words FROM t), "
+    "a AS (SELECT query_id AS ask, query_id, words FROM k UNION ALL SELECT 10 * query_id + i AS ask, query_id, [words[i]] AS words FROM (SELECT query_id, words, unnest(range(1, len(words) + 1)) AS i FROM k) WHERE len(words) > 1), "
+    + _bm25_sql(_PAGE_WORDS, "SELECT id AS doc_id FROM page_docs", "SELECT ask AS query_id, unnest(flatten(list_transform(words, lambda x: " + _split_sql("x") + "))) AS word FROM a", (5.0, 1.0))
+    + ", r AS (SELECT a.ask, a.query_id, b.doc_id, (-bm25 + CASE WHEN len(list_filter(a.words, lambda x: contains(lower(title), x))) > 0 THEN 20 ELSE 0 END) * CASE WHEN a.ask = a.query_id THEN CAST(1 AS DOUBLE) ELSE 0.7 END AS relevance FROM b JOIN a ON b.query_id = a.ask JOIN page_docs p ON p.id = b.doc_id), "
+    "f AS (SELECT * FROM r WHERE relevance >= 1), full_ones AS (SELECT query_id FROM f WHERE ask = query_id GROUP BY 1 HAVING count(*) >= 5), u AS (SELECT query_id, doc_id, max(relevance) AS relevance FROM f WHERE ask = query_id OR query_id NOT IN (SELECT query_id FROM full_ones) GROUP BY ALL) "
+    "SELECT query_id, doc_id, round(relevance, 6) AS relevance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 9) DESC, doc_id) AS INTEGER) AS rank FROM u QUALIFY rank <= 5"
+)
+def e53_weighted_search(spark, sf_dir):
+    asked = spark.createDataFrame(_WEIGHTED, "query_id int, query string")
+    found = search.weighted(page_index(spark, sf_dir), stored_pages(spark, sf_dir).select("doc_id", "title"), asked, scratch(spark))
+    return found.select("query_id", "doc_id", F.round("relevance", 6).alias("relevance"), "rank")
+
+
+_STRICT = [(1, "The in"), (2, "que la"), (3, "license"), (4, "nowhere the")]
+
+
+@query(
+    "WITH " + FEEDBACK + ", l AS (SELECT user_id AS doc_id, list(CASE WHEN success THEN CAST(0.2 AS DOUBLE) ELSE CAST(-0.2 AS DOUBLE) END ORDER BY ts, seq) AS d FROM (SELECT *, CAST(substr(url, 8) AS BIGINT) AS user_id FROM fb) GROUP BY 1), "
+    "learned AS (SELECT doc_id, list_reduce(d, lambda a, x: greatest(CAST(0.1 AS DOUBLE), least(CAST(5.0 AS DOUBLE), a + x)), CAST(1.0 AS DOUBLE)) AS score FROM l), t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{q}')" for k, q in _STRICT) + ") AS v(query_id, query)), "
+    + _bm25_sql(_TOKENS.replace("SELECT doc_id,", "SELECT doc_id, 0 AS field,"), "SELECT doc_id FROM documents", "SELECT query_id, unnest(" + _split_sql("query") + ") AS word FROM t", prefix=False)
+    + ", need AS (SELECT query_id, count(DISTINCT stem) AS n FROM qw JOIN stems ON term = word GROUP BY 1), r AS (SELECT b.query_id, b.doc_id, round(coalesce(score, 1), 6) AS learned_score, bm25 FROM b JOIN need ON b.query_id = need.query_id AND matched = need.n LEFT JOIN learned USING (doc_id)) "
+    "SELECT query_id, doc_id, learned_score, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY learned_score DESC, round(bm25, 9), doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 5"
+)
+def e17_strict_search(spark, sf_dir):
+    """All words of the query, by the learned score of the user whose number is the document's."""
+    learned = feedback.scores(feedback_log(spark, sf_dir)).select(F.substring("url", 8, 20).cast("long").alias("doc_id"), F.round("score", 6).alias("score"))
+    found = search.strict(document_index(spark, sf_dir), learned, spark.createDataFrame(_STRICT, "query_id int, query string"), scratch(spark))
+    return found.select("query_id", "doc_id", "learned_score", F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@query()
+def e06_snippets(spark, sf_dir):
+    """The best window of the ten best documents of each query."""
+    hits = ranked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return search.snippets(hits, inverted.asked(_searches(spark)), text="text").select("query_id", "doc_id", "rank", "snippet")
+
+
+@query(ORACLES["e05_bm25_top10"])
+def b01_index_merge(spark, sf_dir):
+    """All documents replaced in an index of others under their ids, as a delta that is then folded in: what e05 finds."""
+    folder, docs = f"{shared_base(spark)}/merged-{uuid.uuid4().hex}", table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = inverted.build(docs.select("doc_id", F.concat_ws(" ", F.lit("license"), "source").alias("text")), folder)
+    index = inverted.compacted(inverted.changed(index, docs.select("doc_id", "text")))
+    scored = inverted.bm25(index, _searches(spark), scratch(spark)).withColumn("bm25", F.round("bm25", 6))
+    return search.top(scored, 10, [F.asc("bm25"), F.asc("doc_id")])
 
 
 @query(
@@ -497,7 +658,7 @@ def e10_tiered_search(spark, sf_dir):
 )
 def e12_fuzzy_search(spark, sf_dir):
     asked = spark.createDataFrame([(1, "lisence apahce"), (2, "disgustin")], "query_id int, query string")
-    return search.fuzzy(document_index(spark, sf_dir), asked).withColumn("similarity", F.round("similarity", 6))
+    return search.fuzzy(word_index(spark, sf_dir), asked).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
@@ -582,10 +743,9 @@ def e39_boost(spark, sf_dir):
 def e34_get_context(spark, sf_dir):
     """Variants, search, first per url, authority, diversity, sections: the whole context answer in one plan."""
     asked = spark.createDataFrame([(1, "how to thtion"), (2, "explain onand"), (3, "fix error ndst")], "query_id int, query string")
-    docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id")
-    index = page_index(spark, sf_dir)
-    v = context.variants(asked).withColumn("vq", F.col("query_id") * 10 + F.col("variant_pos"))
-    hits = search.top(search.bm25(index, search.query_terms(v, key="vq")), 5, [F.asc(F.round("bm25", 9)), F.asc("doc_id")])
+    docs = stored_pages(spark, sf_dir).select("doc_id", "url", "content")
+    v = context.variants(asked).withColumn("query_id", F.col("query_id") * 10 + F.col("variant_pos"))
+    hits = search.top(inverted.bm25(page_index(spark, sf_dir), v, scratch(spark)), 5, [F.asc(F.round("bm25", 9)), F.asc("doc_id")])
     found = hits.withColumn("variant_pos", F.col("query_id") % 10).withColumn("query_id", F.floor(F.col("query_id") / 10).cast("int")).join(docs, "doc_id")
     intents = asked.select("query_id", text.intent(F.col("query")).alias("intent"))
     once = context.first_per_url(found).join(intents, "query_id").withColumn("authority", text.authority(F.col("url"), F.col("intent"), F.lit(True), F.lit(1.0), F.lit(0)))
@@ -628,10 +788,23 @@ def e24_formatted_vectors(spark, sf_dir):
     return search.formatted_vectors(ranked(spark, sf_dir).withColumn("score", -F.col("bm25")).join(docs, "doc_id"))
 
 
-@query()
+_CODE = [(1, "les que"), (2, "htio"), (3, "ïx")]
+
+
+@query(
+    "WITH c AS (SELECT CAST(conv_id * 1000 + turn AS BIGINT) AS code_id, text, role FROM conversations), t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{q}')" for k, q in _CODE) + ") AS v(query_id, query)), "
+    + _bm25_sql("SELECT code_id AS doc_id, 0 AS field, unnest(" + _split_sql("text") + ") AS term FROM c", "SELECT code_id AS doc_id FROM c", "SELECT query_id, unnest(" + _split_sql("query") + ") AS word FROM t")
+    + ", r AS (SELECT query_id, doc_id AS code_id, round(bm25, 9) AS bm25, 0 AS src FROM b JOIN c ON doc_id = code_id WHERE role = 'assistant'), l AS (SELECT query_id, code_id, CAST(0 AS DOUBLE) AS bm25, 1 AS src FROM c JOIN t ON contains(lower(text), lower(query)) WHERE role = 'assistant' AND (query_id, code_id) NOT IN (SELECT (query_id, code_id) FROM r)) "
+    "SELECT query_id, code_id, round(bm25, 6) AS bm25, CAST(src AS INTEGER) AS src, CAST(row_number() OVER (PARTITION BY query_id ORDER BY src, bm25, code_id) AS INTEGER) AS rank FROM (SELECT * FROM r UNION ALL SELECT * FROM l) z QUALIFY rank <= 10"
+)
 def e15_code_search(spark, sf_dir):
-    c = spark.createDataFrame([(i, code, "python", "") for i, code in fixtures.CODE], "code_id long, snippet string, language string, context string")
-    return search.search_code(c, spark.createDataFrame([(1, "import"), (2, "fn main")], "query_id int, query string")).withColumn("bm25", F.round("bm25", 6))
+    """The turns of conversations stand in for code blocks, their role for the language."""
+    code = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("code_id"), F.col("text").alias("body"), F.col("role").alias("language"))
+    folder = store_folder(spark, sf_dir, "conversations")
+    index = opened(spark, f"{folder}/stems", lambda: code, key="code_id", fields=["body"])
+    grams = substring.opened(spark, f"{folder}/grams") or substring.build(code, f"{folder}/grams", key="code_id", text="body")
+    found = search.search_code(index, grams, code, spark.createDataFrame(_CODE, "query_id int, query string"), scratch(spark), language="assistant")
+    return found.select("query_id", "code_id", F.round("bm25", 6).alias("bm25"), "src", "rank")
 
 
 # --- F: quality ------------------------------------------------------------------------------------------------------
@@ -823,5 +996,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to text, gate, index, BM25 and the ten best documents of a query."""
     docs = page_docs(spark, sf_dir).withColumnRenamed("id", "doc_id").filter(quality.useful_a(F.col("content")))
     asked = spark.createDataFrame([(1, "thtion onand"), (2, "les")], "query_id int, query string")
-    hits = search.top(search.bm25(search.build_index(docs, text="content"), search.query_terms(asked)), 10, [F.asc(F.round("bm25", 9)), F.asc("doc_id")])
+    docs = scratch(spark)(docs, "docs")
+    index = inverted.build(docs, f"{shared_base(spark)}/flagship-{uuid.uuid4().hex}", fields=["title", "content"])
+    hits = search.top(inverted.bm25(index, asked, scratch(spark)), 10, [F.asc(F.round("bm25", 9)), F.asc("doc_id")])
     return hits.join(docs.select("doc_id", "url", "title"), "doc_id").select("query_id", "rank", "doc_id", "url", "title", F.round("bm25", 6).alias("bm25"))

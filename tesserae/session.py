@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch that goes to Python, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
 
 def build_session(app: str = "tesserae", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; on a cluster, master and sizes come from spark-submit."""
@@ -33,3 +37,11 @@ def shared_base(spark: SparkSession) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds in bytes, so that a worker's memory doesn't follow the lengths of rows; a lower bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(name).strip().lower())
+    if not held or not 0 < int(held[1]) * 1024 ** " kmgt".index(held[2] or " ") <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -122,11 +122,6 @@ def test_save_rejects_and_merges(spark):
     assert sorted(r["id"] for r in store.save(old, new).collect()) == [4, 5]
 
 
-def test_snippet_marks_the_match(spark):
-    got = spark.createDataFrame([("one two three four five six Seven eight nine ten",)], "t string").select(search.snippet(F.col("t"), F.array(F.lit("seven")), 5).alias("s")).first()["s"]
-    assert got == "...four five six [Seven] eight..."
-
-
 def test_deletions_cover_two_edits(spark):
     df = spark.createDataFrame([("license", "lisence"), ("abc", "ab"), ("a", "abc"), ("abcd", "wxyz")], "a string, b string")
     got = df.select(F.arrays_overlap(search.deletions(F.col("a"), 2), search.deletions(F.col("b"), 2)).alias("m")).collect()
