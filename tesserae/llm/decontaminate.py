@@ -28,6 +28,8 @@ WINDOW = 10
 SHARD_WORDS = 100_000
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The columns that a scan adds.
+NAMES = ("n_words", "hit_spans", "hit_items", "longest_match")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -196,37 +198,34 @@ def scan(
     item_text: str = "text",
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
+    names: tuple[str, ...] = NAMES,
 ) -> DataFrame:
     """The documents with `n_words`, `hit_spans` (array of [first word, end)), `hit_items` and `longest_match` added.
 
+    `names` are those of the added columns; they take the place of columns that are called so, others stay as they are.
+
     One narrow pass, no shuffle: the automaton is broadcast, its size bounded by `shard_words`. Items beyond that make
     further automata, each applied in a pass of its own over the rows written by the last.
     """
     spark = docs.sparkSession
-    if clash := {"n_words", "hit_spans", "hit_items", "longest_match"} & set(docs.columns):
-        docs = docs.drop(*clash)
-    added = T.StructType(
-        [
-            T.StructField("n_words", T.LongType()),
-            T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.IntegerType()))),
-            T.StructField("hit_items", T.ArrayType(T.StringType())),
-            T.StructField("longest_match", T.IntegerType()),
-        ]
-    )
+    docs = docs.select(*(c for c in docs.columns if c not in names))
+    kinds = [T.LongType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType()), T.IntegerType()]
+    added = T.StructType([T.StructField(n, kind) for n, kind in zip(names, kinds, strict=True)])
     out, where = docs, None
     for k, items in enumerate(shards(benchmark, item, item_text, shard_words)):
         if k:
             where = where or common.shared_dir(spark)
             out = common.cut(out, where, f"scan-{k}")
         schema = T.StructType([f for f in out.schema.fields if k == 0 or f.name not in added.names] + added.fields)
-        out = common.mapped(out, _scanner(spark.sparkContext.broadcast(items), text, window, bool(k)), schema, __name__)
+        out = common.mapped(out, _scanner(spark.sparkContext.broadcast(items), text, window, bool(k), names), schema, __name__)
     return out
 
 
-def _scanner(items: Broadcast, text: str, window: int, again: bool):
+def _scanner(items: Broadcast, text: str, window: int, again: bool, names: tuple[str, ...]):
+    _, in_spans, in_items, in_longest = names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(items, window)
-        names = ["n_words", "hit_spans", "hit_items", "longest_match"]
         for batch in batches:
             sizes, spans, hits, longest = [], [], [], []
             for value in batch.column(text).to_pylist():
@@ -237,14 +236,14 @@ def _scanner(items: Broadcast, text: str, window: int, again: bool):
                 hits.append(sorted(h))
                 longest.append(n)
             if again:
-                spans = [merged(a + b) for a, b in zip(batch.column("hit_spans").to_pylist(), spans, strict=True)]
-                hits = [sorted({*a, *b}) for a, b in zip(batch.column("hit_items").to_pylist(), hits, strict=True)]
-                longest = [max(a, b) for a, b in zip(batch.column("longest_match").to_pylist(), longest, strict=True)]
+                spans = [merged(a + b) for a, b in zip(batch.column(in_spans).to_pylist(), spans, strict=True)]
+                hits = [sorted({*a, *b}) for a, b in zip(batch.column(in_items).to_pylist(), hits, strict=True)]
+                longest = [max(a, b) for a, b in zip(batch.column(in_longest).to_pylist(), longest, strict=True)]
             kept = [n for n in batch.schema.names if n not in names]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in kept]
                 + [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(hits, pa.list_(pa.string())), pa.array(longest, pa.int32())],
-                names=kept + names,
+                names=[*kept, *names],
             )
 
     return run
@@ -272,32 +271,33 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def remove_spans(scanned: DataFrame, *, text: str = "text", max_words: int = WINDOW, max_coverage: float = 0.8) -> DataFrame:
+def remove_spans(scanned: DataFrame, *, text: str = "text", max_words: int = WINDOW, max_coverage: float = 0.8, names: tuple[str, ...] = NAMES) -> DataFrame:
     """Apply a scan: texts lose each hit span of `max_words` or more; documents with at least `max_coverage` of their words hit go.
 
     Rows without such a span pass unchanged. The columns that `scan` added are dropped.
     """
-    schema = T.StructType([f for f in scanned.schema.fields if f.name not in ("n_words", "hit_spans", "hit_items", "longest_match")])
+    schema, (size, found, *_) = T.StructType([f for f in scanned.schema.fields if f.name not in names]), names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 v if v is None or not s else without_spans(v, [x for x in s if x[1] - x[0] >= max_words])
-                for v, s in zip(batch.column(text).to_pylist(), batch.column("hit_spans").to_pylist(), strict=True)
+                for v, s in zip(batch.column(text).to_pylist(), batch.column(found).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in schema.names], names=schema.names)
 
-    hit = F.aggregate("hit_spans", F.lit(0), lambda a, x: a + x[1] - x[0])
-    return common.mapped(scanned.filter((F.col("n_words") == 0) | (hit < max_coverage * F.col("n_words"))), run, schema, __name__)
+    hit = F.aggregate(found, F.lit(0), lambda a, x: a + x[1] - x[0])
+    return common.mapped(scanned.filter((F.col(size) == 0) | (hit < max_coverage * F.col(size))), run, schema, __name__)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = WINDOW, max_coverage: float = 0.8, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """`remove_spans` of a `scan`, in one pass of one worker where one automaton holds all items."""
+    """`remove_spans` of a `scan`, in one pass of one worker where one automaton holds all items; all columns of the documents stay."""
     lists = shards(benchmark, item, item_text, shard_words)
     items = next(lists)
     if next(lists, None) is not None:
-        found = scan(docs, benchmark, text=text, item=item, item_text=item_text, window=window, shard_words=shard_words)
-        return remove_spans(found, text=text, max_words=max_words, max_coverage=max_coverage)
+        names = tuple(common.unused(docs.columns, n) for n in NAMES)
+        found = scan(docs, benchmark, text=text, item=item, item_text=item_text, window=window, shard_words=shard_words, names=names)
+        return remove_spans(found, text=text, max_words=max_words, max_coverage=max_coverage, names=names)
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(items)
     names = docs.columns

@@ -133,9 +133,12 @@ def fit(rows: np.ndarray, good: np.ndarray, *, pairs: int = PAIRS, ridge: float
 
 
 def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the sample, as arrays on the driver: at most `rows` of them.
+    """Features and labels of the sample, as arrays on the driver: at most `rows` labelled ids, one row each.
 
-    The sample's ids are broadcast: `rows` numbers at most.
+    Ids are taken by their hash, whatever their labels; an id labelled more than once counts by its mean. Of several
+    documents with one id the least text counts, so repeated rows change nothing. Labels without a document, null ids and
+    null labels count for nothing; null and empty texts have the features of an empty one, and texts of any length are
+    read whole. Without labels there are no rows. The sample's ids are broadcast: `rows` numbers at most.
     """
     chosen = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull())
@@ -145,14 +148,15 @@ def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         .limit(rows)
     )
     schema = "label double, f array<double>"
-    wanted = docs.select(key, text).join(F.broadcast(chosen), key).select(F.col(text).alias("_text"), "_label")
+    met = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(key, "_key")), "_key")
+    wanted = met.groupBy("_key", "_label").agg(F.min("_text").alias("_text")).select("_text", "_label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(v).tolist() for v in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(found, pa.list_(pa.float64()))], names=["label", "f"])
 
-    got = common.mapped(wanted, run, schema, __name__).orderBy("label", "f").limit(rows).toArrow()
+    got = common.mapped(wanted, run, schema, __name__).orderBy("label", "f").toArrow()
     width = len(features(""))
     if not got.num_rows:
         return np.zeros((0, width)), np.zeros(0, bool)

@@ -260,3 +260,39 @@ def test_segmentations(docs, nothing):
     assert pieces.sample(nothing, model).count() == 0
     back = pieces.decode(pieces.encode(docs.filter("doc_id = 4"), model).drop("text"), model)
     assert back.first()["text"] == "One two three four"
+
+
+def test_quality_sample_takes_repeated_documents_once(spark, data):
+    """The sample is the same with every document there three times; labels aren't what is cut by."""
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    few = quality.sample(docs, labels, rows=60)
+    many = quality.sample(docs.unionByName(docs).unionByName(docs), labels, rows=60)
+    assert len(few[1]) == 60 and (few[0] == many[0]).all() and (few[1] == many[1]).all()
+    share = labels.selectExpr("avg(quality)").first()[0]
+    assert abs(few[1].mean() - share) < 0.2
+
+
+def test_fit_finds_the_least_loss():
+    """Newton's method against plain gradient descent on the same preference pairs."""
+    import numpy as np
+
+    pick = np.random.default_rng(3)
+    rows, good = pick.normal(size=(300, 4)), pick.random(300) < 0.5
+    rows[good] += [0.8, -0.5, 0, 0.3]
+    model = quality.fit(rows, good, pairs=3000, seed=11)
+    x = ((rows - rows.mean(axis=0)) / rows.std(axis=0)).clip(-8, 8)
+    rng = np.random.default_rng(11)
+    d = x[rng.choice(np.flatnonzero(good), 3000)] - x[rng.choice(np.flatnonzero(~good), 3000)]
+    w = np.zeros(4)
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(d @ w))
+        w -= 0.5 * (2e-3 * w - p @ d / 3000)
+    assert np.abs(w - model.weights).max() < 0.02
+
+
+def test_clean_keeps_clashing_columns_with_any_number_of_automata(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l tail", 7, "x"), (2, "nothing here", 8, "y")], "doc_id long, text string, n_words long, hit_spans string")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "other words of an item that stand apart from it all")], "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.clean(docs, bench, max_coverage=1.1).collect()))
+    two = sorted(map(tuple, decontaminate.clean(docs, bench, max_coverage=1.1, shard_words=12).collect()))
+    assert one == two == [(1, " tail", 7, "x"), (2, "nothing here", 8, "y")]
