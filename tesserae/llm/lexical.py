@@ -280,7 +280,8 @@ def thresholds(held: DataFrame, asked: Asked, k: int) -> np.ndarray:
             yield _rows(best)
 
     out = np.zeros(len(asked.queries))
-    reached = _ranked(common.mapped(held.join(chosen, "block"), scored, _FOUND, __name__), k)
+    # Few blocks are chosen, SEEDS for each of MOST_QUERIES at most, so the blocks themselves aren't shuffled.
+    reached = _ranked(common.mapped(held.join(F.broadcast(chosen), "block"), scored, _FOUND, __name__), k)
     for row in reached.filter(F.col("rank") == k).select("query", "score").collect():  # one row a query
         out[row["query"]] = row["score"]
     return out
