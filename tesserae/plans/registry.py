@@ -966,14 +966,52 @@ def _stream_dir(spark, name):
 def n04_feedback_stream(spark, sf_dir):
     from tesserae.streaming import feeds
 
-    return feeds.run_once(feeds.counts(feeds.feedback(feeds.events(spark, sf_dir))), "feedback_counts", _stream_dir(spark, "n04"))
+    folder = _stream_dir(spark, "n04")
+    return feeds.run_once(feeds.counts(feeds.feedback(feeds.events(spark, sf_dir))), f"{folder}/counts", f"{folder}/checkpoint")
+
+
+@query(ORACLES["b05_learned_scores"])
+def n04_learned_scores_stream(spark, sf_dir):
+    """The scores of b05 from a stream: each source's days as composed functions, kept by event time in an update log."""
+    from tesserae.streaming import feeds, ordered
+
+    folder, fold = _stream_dir(spark, "n04s"), ordered.score_fold(feedback.STEP, feedback.LEAST, feedback.MOST)
+    ordered.upsert(ordered.score_ranges(feeds.feedback(feeds.events(spark, sf_dir)), fold), f"{folder}/log", f"{folder}/checkpoint")
+    return ordered.composed(ordered.latest(spark, f"{folder}/log"), feedback.START).select("url", F.round("score", 6).alias("score"))
+
+
+_JOB = "CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'request' WHEN event_type = 'purchase' THEN 'done' ELSE 'failed' END"
+
+
+@query(
+    f"WITH j AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, epoch_us(ts) // 1000 AS tm, {_JOB} AS event FROM events), "
+    "t AS (SELECT key, seq, tm, 0 AS o, 'tick' AS event FROM j UNION ALL SELECT key, seq, tm, 1 AS o, event FROM j UNION ALL SELECT DISTINCT key, CAST(9223372036854775807 AS BIGINT), (SELECT max(tm) FROM j) - 3600000, 2 AS o, 'last' FROM j), "
+    "l AS (SELECT key, list({'status': '', 'since': CAST(NULL AS BIGINT), 'starts': CAST(0 AS BIGINT), 'refused': CAST(0 AS BIGINT), 'tm': tm, 'event': event} ORDER BY o = 2, tm, seq, o) AS e FROM t GROUP BY 1), "
+    "f AS (SELECT key, list_reduce(e, lambda a, x: CASE "
+    "WHEN x.event IN ('tick', 'last') THEN CASE WHEN a.status = 'running' AND a.since + 86400000 <= x.tm THEN {'status': 'expired', 'since': a.since + 86400000, 'starts': a.starts, 'refused': a.refused, 'tm': x.tm, 'event': x.event} ELSE a END "
+    "WHEN x.event = 'request' AND a.status IN ('running', 'completed') THEN {'status': a.status, 'since': a.since, 'starts': a.starts, 'refused': a.refused + 1, 'tm': x.tm, 'event': x.event} "
+    "WHEN x.event = 'request' THEN {'status': 'running', 'since': x.tm, 'starts': a.starts + 1, 'refused': a.refused, 'tm': x.tm, 'event': x.event} "
+    "WHEN a.status = 'running' THEN {'status': CASE WHEN x.event = 'done' THEN 'completed' ELSE 'failed' END, 'since': x.tm, 'starts': a.starts, 'refused': a.refused, 'tm': x.tm, 'event': x.event} ELSE a END, "
+    "{'status': 'new', 'since': CAST(NULL AS BIGINT), 'starts': CAST(0 AS BIGINT), 'refused': CAST(0 AS BIGINT), 'tm': CAST(0 AS BIGINT), 'event': ''}) AS v FROM l) "
+    "SELECT key, v.status AS status, v.since AS since, v.starts AS starts, v.refused AS refused FROM f"
+)
+def n06_job_states_stream(spark, sf_dir):
+    """Jobs of users: views, clicks and signups ask for one, a purchase completes it, an error fails it, and a day without an end expires it."""
+    from tesserae.streaming import feeds, ordered
+
+    kind = F.when(F.col("event_type").isin("view", "click", "signup"), '"request"').when(F.col("event_type") == "purchase", '"done"').otherwise('"failed"')
+    stream = feeds.events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts", F.col("event_id").alias("seq"), kind.alias("event"))
+    folder = _stream_dir(spark, "n06")
+    ordered.upsert(ordered.jobs(stream), f"{folder}/log", f"{folder}/checkpoint")
+    return ordered.latest(spark, f"{folder}/log").select("key", "status", "since", "starts", "refused")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL")
 def n_windows_stream(spark, sf_dir):
     from tesserae.streaming import feeds
 
-    found = feeds.run_once(feeds.windows(feeds.events(spark, sf_dir)), "event_windows", _stream_dir(spark, "nw"))
+    folder = _stream_dir(spark, "nw")
+    found = feeds.run_once(feeds.windows(feeds.events(spark, sf_dir)), f"{folder}/windows", f"{folder}/checkpoint")
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
 
 

@@ -1,4 +1,4 @@
-"""Streams: feedback, misses, jobs and windows over files that arrive in a folder."""
+"""Streams: feedback, misses and windows over files that arrive in a folder; folds in order of time are in `ordered`."""
 
 from __future__ import annotations
 
@@ -37,23 +37,13 @@ def windows(stream: DataFrame, length: str = "1 day", delay: str = "1 hour") ->
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", length), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is (availableNow) into a table in memory; meant for results of bounded size."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def run_once(df: DataFrame, folder: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what there is (availableNow) into a folder, a table for each micro-batch: in complete mode the last one is the result, in append mode all are."""
+    spark = df.sparkSession
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-def merge_batches(df: DataFrame, path: str, checkpoint: str, keys: list[str]) -> None:
-    """Fold each micro-batch into a keyed table in a folder: batch n is written under its own number and read from there next time."""
-
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        # Of several rows of a key in one batch, one stays: the greatest by the other columns.
-        rest = [c for c in batch.columns if c not in keys]
-        batch = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
-        if number:
-            batch = spark.read.parquet(f"{path}/{number - 1}").join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
-        batch.write.mode("overwrite").parquet(f"{path}/{number}")
-
-    df.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    tables = spark.read.parquet(folder)
+    return (tables if mode == "append" else tables.filter(F.col("batch") == tables.agg(F.max("batch")).first()[0])).drop("batch")

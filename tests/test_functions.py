@@ -146,7 +146,7 @@ def test_stream_misses(spark, data, tmp_path):
     from tesserae.streaming import feeds
 
     log = feeds.feedback(feeds.events(spark, data))
-    got = feeds.run_once(feeds.misses(log).select("query"), "misses_seen", f"file://{tmp_path}/c", mode="append")
+    got = feeds.run_once(feeds.misses(log).select("query"), f"file://{tmp_path}/m", f"file://{tmp_path}/c", mode="append")
     names = [r["query"] for r in got.collect()]
     assert names and len(set(names)) <= len(names)
 
