@@ -99,14 +99,23 @@ def worth_saving(text: Column, has_code: Column) -> Column:
     return F.coalesce((F.length(tidy) >= 50) & (has_code | (_words(tidy) >= 20)), F.lit(False))
 
 
-def process(pages: DataFrame, *, least_score: int = 20, least_chars: int = 80) -> DataFrame:
-    """F1, F2: pages (url, title, description, paragraphs, headings, code_count, links_count) that pass, with score and content."""
-    cleaned = pages.withColumn("paragraphs", clean_paragraphs(F.col("paragraphs"))).withColumn("headings", clean_headings(F.col("headings")))
-    scored = cleaned.withColumn("quality", score(F.col("paragraphs"), F.col("headings"), F.col("code_count"), F.col("links_count"), F.col("title"), F.col("description"), F.col("url")))
+def cleaned(pages: DataFrame) -> DataFrame:
+    """the pages with clean paragraphs and headings."""
+    return pages.withColumn("paragraphs", clean_paragraphs(F.col("paragraphs"))).withColumn("headings", clean_headings(F.col("headings")))
+
+
+def judged(pages: DataFrame, *, least_score: int = 20, least_chars: int = 80) -> DataFrame:
+    """F1, F2: cleaned pages (url, title, description, paragraphs, headings, code_count, links_count) that pass, with score and content."""
+    scored = pages.withColumn("quality", score(F.col("paragraphs"), F.col("headings"), F.col("code_count"), F.col("links_count"), F.col("title"), F.col("description"), F.col("url")))
     built = scored.filter(F.col("quality") >= least_score).withColumn("content", content(F.col("paragraphs"), F.col("headings"), F.col("description")))
     return built.filter(F.length("content") >= least_chars)
 
 
+def process(pages: DataFrame, *, least_score: int = 20, least_chars: int = 80) -> DataFrame:
+    """F1, F2 in one plan; to write what is cleaned in between, call the two parts."""
+    return judged(cleaned(pages), least_score=least_score, least_chars=least_chars)
+
+
 def truthy(content: Column) -> Column:
     """whether a document holds anything to speak of."""
     return F.coalesce(F.length(content) > 50, F.lit(False))

@@ -6,6 +6,7 @@ Names begin with the operator's id. Doubles are rounded, counts are BIGINT, and
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable
 
@@ -13,8 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions import html, quality, text, urls
-from tesserae.operators import context, feedback, inverted, repo, search, store, substring
+from tesserae.functions import fixed, html, quality, text, urls
+from tesserae.operators import context, feedback, ingest, inverted, repo, search, store, substring
 from tesserae.plans import fixtures
 from tesserae.session import shared_base
 from tesserae.sources import readers
@@ -223,6 +224,46 @@ def a37_alive(spark, sf_dir):
     return table(spark, sf_dir, "pages").agg(F.count_if(up).alias("alive"), F.count_if(~up).alias("dead"))
 
 
+def _visible_sql(of: str, names: list[str]) -> str:
+    for name in names:
+        of = f"regexp_replace({of}, '(?is)<{name}\\b.*?</{name}>', ' ', 'g')"
+    of = f"regexp_replace(regexp_replace({of}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for name, value in html.ENTITIES.items():
+        of = f"replace({of}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({of}, '\\s+', ' ', 'g'))"
+
+
+_INGESTED = (
+    "i0 AS (SELECT page_id, url, html, regexp_matches(lower(url), '^https?://') AS safe, CASE WHEN contains(url, 'github.com') THEN 'github' WHEN contains(url, 'wikipedia.org') THEN 'wikipedia' WHEN contains(html, '<pre') AND contains(html, '<code') THEN 'docs' "
+    "WHEN contains(html, '<table') AND (contains(html, '<code') OR contains(html, '<h')) THEN 'docs' WHEN contains(html, '<article') OR contains(html, '<main') THEN 'article' WHEN length(html) < 500 THEN 'thin' ELSE 'generic' END AS route, regexp_extract(html, '(?is)<article\\b[^>]*>(.*)</article>', 1) AS inside FROM pages), "
+    "i1 AS (SELECT *, CASE route WHEN 'article' THEN substr(" + _visible_sql("coalesce(nullif(inside, ''), html)", ["script", "style", "nav", "footer", "header"]) + ", 1, 100000) ELSE substr(" + _visible_sql("html", ["script", "style"]) + ", 1, 50000) END AS c FROM i0), "
+    "i2 AS (SELECT *, CASE WHEN length(c) >= 200 THEN c ELSE substr(" + _visible_sql("html", ["script", "style"]) + ", 1, 50000) END AS d FROM i1), i3 AS (SELECT *, CASE WHEN length(trim(d)) >= 20 THEN trim(d) ELSE trim(substr(html, 1, 50000)) END AS e FROM i2), "
+    "i AS (SELECT page_id, url, route, e AS content, CASE WHEN NOT safe THEN 'unsafe: scheme' WHEN length(e) >= 200 AND NOT regexp_matches(lower(e), '" + "|".join(re.escape(x).replace("\\ ", " ") for x in fixed.BAD_PHRASES_A) + "') THEN '' WHEN e = '' THEN 'no content' ELSE 'low quality' END AS reason FROM i3)"
+)
+
+
+@query("WITH " + _INGESTED + " SELECT page_id, route, CASE WHEN reason = '' THEN 'kept' ELSE 'skipped' END AS status, reason, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS digest FROM i WHERE reason = '' UNION ALL SELECT page_id, route, 'skipped', reason, NULL, NULL FROM i WHERE reason <> ''")
+def a20_ingested_pages(spark, sf_dir):
+    """What became of each page, and its content's length and hash."""
+    done = ingest.ingest(table(spark, sf_dir, "pages"))
+    return done.select("page_id", "route", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+
+
+@query(
+    "WITH " + _INGESTED + ", s AS (SELECT *, coalesce(contains(url, '?'), false) AS held FROM i) SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE held OR reason = '') AS BIGINT) AS successful, CAST(count(*) FILTER (WHERE held) AS BIGINT) AS cached, "
+    "CAST(count(*) FILTER (WHERE NOT held AND reason = '') AS BIGINT) AS fresh, CAST(count(*) FILTER (WHERE NOT held AND reason <> '') AS BIGINT) AS skipped FROM s"
+)
+def b14_batch_counts(spark, sf_dir):
+    """All pages brought in where those with a query in their address are stored already."""
+    pages = table(spark, sf_dir, "pages")
+    return ingest.summary(ingest.ingest(pages, pages.filter(F.contains("url", F.lit("?"))).select("url")))
+
+
+@query("WITH " + _INGESTED + " SELECT route, CASE WHEN reason = '' THEN 'kept' ELSE 'skipped' END AS status, reason, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY ALL")
+def b16_ingest_reasons(spark, sf_dir):
+    return ingest.reasons(ingest.ingest(table(spark, sf_dir, "pages")))
+
+
 # --- B: sinks --------------------------------------------------------------------------------------------------------
 
 
@@ -345,8 +386,6 @@ def _like(words: list[str]) -> str:
 
 
 def _gate_v1() -> str:
-    from tesserae.functions import fixed
-
     ends = "|".join(x.replace(".", "\\.") for x in fixed.BLOCKED_EXTENSIONS_V1)
     paths = "|".join(f"(?:{p})" for p in fixed.BLOCKED_PATHS_V1)
     full = f"lower(CASE WHEN {_Q} <> '' THEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) || '?' || {_Q} ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END)"
@@ -358,8 +397,6 @@ def _first_sql(rules, of: str) -> str:
 
 
 def _score_v1() -> str:
-    from tesserae.functions import fixed
-
     host = "regexp_replace(regexp_replace(regexp_replace(lower(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), 'unknown')), '^.*@', ''), ':\\d*$', ''), '^www\\.', '')"
     depth = f"len(list_filter(string_split({_P1}, '/'), lambda x: x <> ''))"
     return (
@@ -816,8 +853,8 @@ def f01_quality_pages(spark, sf_dir):
         "page_id", "url", html.title(F.col("html")).alias("title"), html.description(F.col("html")).alias("description"), html.paragraphs(F.col("html")).alias("paragraphs"),
         html.headings(F.col("html")).alias("headings"), F.regexp_count("html", F.lit(r"(?i)<(?:pre|code)\b")).alias("code_count"), F.size(html.hrefs(F.col("html"))).alias("links_count"),
     )
-    # What was read out of the page is written once: the score uses it many times over.
-    return quality.process(cutter(spark, "f01")(p, "parsed")).select("page_id", "quality", F.length("content").alias("n_chars"))
+    # The cleaned columns are written once: the score uses them many times over.
+    return quality.judged(cutter(spark, "f01")(quality.cleaned(p), "cleaned")).select("page_id", "quality", F.length("content").alias("n_chars"))
 
 
 @query("SELECT doc_id, coalesce(length(text) >= 200 AND NOT regexp_matches(lower(text), 'enable javascript|loading\\.\\.\\.|please wait|404 not found|access denied|page not found|blocked'), false) AS useful FROM documents")
