@@ -61,6 +61,14 @@ WHOLE = frozenset("side hidden skip".split())
 #: Words that turn a compound into something else ("has-sidebar", "no-comments").
 OTHERWISE = frozenset("has no not non without with is js hide show".split())
 
+#: Words that leave a compound of furniture what it is ("comment-list", "sidebar-right"); with other words it is only a hint.
+PLAIN = frozenset(
+    "a area author bar block body bottom box btn button buttons center col column container content count desktop entry field fixed footer form frame "
+    "global group head header heading holder home icon icons id img inner inside item items large layer left link links list main menu meta "
+    "mobile module nav off on outer page pane panel primary region right row secondary section site slot small sticky sub text thread title toggle "
+    "top ul unit user view wide wrap wrapper zone".split()
+)
+
 STOP = frozenset(
     # English, French, German, Spanish, Italian, Portuguese, Dutch
     "a about after all also an and any are as at be because been but by can could did do for from had has have he her his how i if in into is it its "
@@ -87,18 +95,19 @@ class _Block:
         self.text, self.links, self.main, self.furniture, self.hints = text, links, main, furniture, hints
 
 
-def _hinted(value: str) -> bool:
-    """Whether a class or id names furniture."""
+def _hinted(value: str) -> int:
+    """Whether a class or id names furniture: 2, hints at it: 1, or neither: 0."""
+    found = 0
     for token in value.split():
         words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if w]
         if token.lower() in WHOLE or words and words[0] not in OTHERWISE and (words[0] in HINTS or words[-1] in HINTS):
-            return True
-    return False
+            found = max(found, 2 if all(w in HINTS or w in PLAIN or w in WHOLE for w in words) else 1)
+    return found
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether an element is furniture, hinted at as such by a class or id, or the main part."""
-    furniture, hinted, main = name in FURNITURE, False, name in MAIN
+def _marks(name: str, attributes: str) -> tuple[bool, int, bool]:
+    """Whether an element is furniture, hinted at as such by a class or id (1: by a word of a compound, 2: as a whole), or the main part."""
+    furniture, hinted, main = name in FURNITURE, 0, name in MAIN
     if attributes and name not in ("html", "body"):
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
@@ -107,7 +116,7 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
             elif key == "role" and value.lower() == "main":
                 main = True
             elif key in ("class", "id") and name not in MAIN:
-                hinted = hinted or _hinted(value)
+                hinted = max(hinted, _hinted(value))
     return furniture, hinted, main
 
 
@@ -201,7 +210,7 @@ def blocks(html: str) -> list[_Block]:
     links = 0
     tags, open_ = _Tags(html), _Open()
     main = furniture = False
-    hints: tuple[int, ...] = ()  # the outermost hinted elements that the place is in, two at most
+    hints: tuple[int, ...] = ()  # the outermost hinted elements that the place is in, two at most of either kind; negative: only hinted at
     hinted_so_far = 0
     in_link = 0
     at = 0
@@ -265,9 +274,9 @@ def blocks(html: str) -> list[_Block]:
             open_.push(name, main, furniture, hints)
             furniture = furniture or marked
             main = main or in_main
-            if hinted and len(hints) < 2:
+            if hinted and sum((h > 0) == (hinted == 2) for h in hints) < 2:
                 hinted_so_far += 1
-                hints = (*hints, hinted_so_far)
+                hints = (*hints, hinted_so_far if hinted == 2 else -hinted_so_far)
     if at < len(html):
         text.append(html[at:])
     flush()
@@ -302,7 +311,9 @@ def first_pass(found: list[_Block]) -> tuple[list[int], list[str]]:
         rest = sum(g for g, f in zip(good, furniture, strict=True) if not f)
         return main, any(main) and 3 * sum(g for g, m in zip(good, main, strict=True) if m) >= rest
 
-    furniture = [b.furniture or bool(b.hints) for b in found]
+    # An element that is only hinted at as furniture isn't, where it holds a block that the densities call good.
+    real = {h for b, d in zip(found, own, strict=True) if d == 1 and not b.furniture and not any(h > 0 for h in b.hints) for h in b.hints}
+    furniture = [b.furniture or any(h not in real for h in b.hints) for b in found]
     main, marked = holds(furniture)
     if not marked:  # then a class or id may be wrong
         held: dict[int, int] = {}
@@ -310,16 +321,17 @@ def first_pass(found: list[_Block]) -> tuple[list[int], list[str]]:
             for h in b.hints:
                 held[h] = held.get(h, 0) + size * (not b.furniture)
         most = sum(g for b, g in zip(found, good, strict=True) if not b.furniture)
-        furniture = [b.furniture or any(2 * held[h] <= most for h in b.hints) for b in found]
+        furniture = [b.furniture or any(h not in real and 2 * held[h] <= most for h in b.hints) for b in found]
         main, marked = holds(furniture)
     labels, rules = [], []
-    for d, f, m in zip(own, furniture, main, strict=True):
-        label, rule = (-1, "furniture") if f else (-1, "position") if marked and not m else (max(d, 0), "density") if marked else (d, "density")
+    for b, d, f, m in zip(found, own, furniture, main, strict=True):
+        inside = -1 if b.links > LINKS * len(b.text) and len(b.text) >= SHORT else max(d, 0)
+        label, rule = (-1, "furniture") if f else (-1, "position") if marked and not m else (inside, "density") if marked else (d, "density")
         labels.append(label)
         rules.append(rule if label else "neighbours")
     if marked and not any(label == 1 for label, m in zip(labels, main, strict=True) if m):
-        labels = [1 if m else label for label, m in zip(labels, main, strict=True)]
-        rules = ["position" if m else rule for rule, m in zip(rules, main, strict=True)]
+        labels = [1 if m and not label else label for label, m in zip(labels, main, strict=True)]
+        rules = ["position" if m and label == 1 else rule for rule, label, m in zip(rules, labels, main, strict=True)]
     elif marked:  # the neighbours of a block of the marked part are those of that part
         inside = iter(second_pass([label for label, m in zip(labels, main, strict=True) if m]))
         labels = [(1 if next(inside) else -1) if m else label for label, m in zip(labels, main, strict=True)]

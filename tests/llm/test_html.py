@@ -74,6 +74,31 @@ def test_marks_and_densities():
     assert html_text.main_text("<article class='comment'><p>Xyzzy</p></article>") == "Xyzzy"
 
 
+@pytest.mark.parametrize("mark", ["class='header-image-post'", "id='comment-free'", "class='login-story wide'"])
+def test_a_hint_gives_way_to_good_blocks(mark):
+    """Inside a marked article and without one: what is only hinted at stays with its short blocks if it holds good text, and goes if not."""
+    held = f"<div {mark}><h3>Short head</h3>{PART}</div>"
+    for page in (f"<article>{PART}{held}{PART}</article>", f"<div>{PART}{held}{PART}</div>"):
+        got = html_text.main_text(page)
+        assert got.count("This is the article") == 3 and "Short head" in got
+    assert html_text.main_text(f"<article>{PART}<div {mark}><p>Xyzzy plugh</p></div>{PART}</article>").count("\n\n") == 1
+
+
+@pytest.mark.parametrize("mark", ["class=comments", "class='comment-list'", "id='comment-12'", "class='main-nav'", "class='sidebar-right widget'", "class='adsBox'"])
+def test_plain_names_of_furniture_go_whatever_they_hold(mark):
+    assert html_text.main_text(f"<article>{PART}<div {mark}>{PART}</div></article>").count("This is the article") == 1
+
+
+def test_densities_decide_inside_the_article():
+    """Blocks of links go from a marked article, with the short block between them, though its place and its name say nothing against them."""
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Another page of this site that has a number and it is {k}, which is linked from here</a></li>" for k in range(2)) + "<li>and more</li>" + "<li><a href=/x>The last of the pages of this site that is linked from here, with the number of all</a></li></ul>"
+    page = f"<article>{PART}<h2>Next</h2>{PART}{links}</article>"
+    plain = [b.text for b in html_text.blocks(page) if b.main and not b.furniture]
+    kept = html_text.main_text(page).split("\n\n")
+    assert kept == [x for x in plain if "is linked from" not in x and "linked from here" not in x and x != "and more"] and len(kept) == 3
+    assert {rule for text, keep, rule in html_text.decided(page) if not keep} == {"density", "neighbours"}
+
+
 @pytest.mark.parametrize("part", ["<b></p>", "<a '", "<p>x <![CDATA[", "<div></span>", '<a "x>', "<i><div></i>", "</script ", "<li><i>", "<p><b>", "<!-- ", "<div class='", "<", "&", "<td><tr>", "<b><div><i>"])
 def test_linear_time(part):
     def taken(n):
