@@ -1,9 +1,9 @@
 """Personal data: surrogate generation in DataFrame operations alone.
 
-Entities (e-mail addresses, phone numbers, IPv4 addresses, payment cards, US social security numbers, names of persons)
-are found by one regular expression and checked (card issuers and Luhn sums, octets). Persons are a listed given name and a
-surname, or one or two capitalised words after a title ("Mrs", "Herr") or a phrase that introduces a name ("my name is",
-"me llamo"); US numbers may be written with dashes, dots, spaces or brackets, others with their country's code.
+Entities (e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment cards, bank accounts (IBAN), US social security
+numbers, names of persons) are found by one regular expression and checked (card issuers and Luhn sums, octets, the remainder of an
+IBAN by 97). Persons are a listed given name and a surname, or one or two capitalised words after a title ("Mrs", "HERR",
+"Dr") or a phrase that introduces a name ("my name is", "me llamo", "Dear" and two words); US numbers may be written with dashes, dots, spaces or brackets, others with their country's code.
 
 Each distinct entity, in a canonical form, gets a surrogate derived from a secret key: of the same type, format, letter case and
 script, for persons of the same gender, with valid check digits. All ways of writing one entity get the same surrogate. A person's
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
-KINDS = ("email", "phone", "ip", "card", "ssn", "person")
+KINDS = ("email", "phone", "ip", "card", "ssn", "person", "iban", "ipv6")
 HEAVY = 0.001
 #: Draws after which a number's format counts as used up.
 GROW = 8
@@ -42,8 +42,8 @@ GROW = 8
 # Given names by script and gender, and the syllables of made surnames by script: fixed values of this operator.
 GIVEN = {
     "latin": {
-        "f": "Anna Maria Laura Julia Sarah Emma Sophie Claire Elena Carmen Ingrid Katharina Charlotte Isabelle Lucia Mary Jennifer Linda Susan Jessica".split(),
-        "m": "John Peter Thomas Michael David Daniel Martin Stefan Pierre Carlos Miguel Antonio Andreas Wolfgang François José James Robert William Richard".split(),
+        "f": "Anna Maria Laura Julia Sarah Emma Sophie Claire Elena Carmen Ingrid Katharina Charlotte Isabelle Lucia Mary Jennifer Linda Susan Jessica Emily Olivia Hannah Nina Olga Priya Fatima Aisha Elizabeth Patricia Barbara Margaret Karen Nancy Lisa Rachel Alice Helen Marta Sofia Camille Chloé Amélie Heike Sabine Monika".split(),
+        "m": "John Peter Thomas Michael David Daniel Martin Stefan Pierre Carlos Miguel Antonio Andreas Wolfgang François José James Robert William Richard Charles Joseph Christopher Matthew Andrew Paul George Steven Kevin Brian Henry Edward Luis Juan Javier Pablo Jacques Louis Hans Klaus Jürgen Ahmed Mohammed Raj Dmitri".split(),
     },
     "cyrillic": {
         "f": "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Юлия".split(),
@@ -59,20 +59,26 @@ SYLLABLES = {
     "cyrillic": "бар ден фел гор хан кел лам мор нес пол рад сел тов вин зан".split(),
     "greek": "βαρ δεν φελ γορ χαν κελ λαμ μορ νες πολ ραδ σελ τοβ βιν ζαν".split(),
 }
-TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Г-жа Κυρία".split(), "m": "Mr Herr Monsieur Señor Sr Г-н Κύριος".split()}
+TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Signora Г-жа Κυρία".split(), "m": "Mr Herr Monsieur Señor Sr Signor Г-н Κύριος".split(), "": "Dr Prof Professor Doctor Mx".split()}
 
 #: Phrases that introduce a person's name.
 CUES = ["name is", "Name:", "name's", "m'appelle", "m’appelle", "Nom :", "Name ist", "ich heiße", "Ich heiße", "me llamo", "Me llamo", "nombre es", "Nombre:", "меня зовут", "Меня зовут", "με λένε", "Με λένε"]
+#: Such after which two capitalised words are a person, and one isn't.
+CUES_OF_TWO = ["Dear", "Attn:", "signed by", "Signed by", "written by", "Written by", "Kind regards,", "Best regards,", "Yours sincerely,"]
 
 _NAMES = "|".join(w for script in GIVEN.values() for names in script.values() for n in names for w in (n, n.upper()))
-_TITLES = "|".join(t for titles in TITLES.values() for t in titles)
-_PREFIX = rf"(?:(?:{_TITLES})\.?|{'|'.join(CUES)}) "
+_TITLES = "|".join(w for titles in TITLES.values() for t in titles for w in (t, t.upper()))
+_ONE = rf"(?:(?:{_TITLES})\.?|{'|'.join(CUES)}) (?:(?:{_TITLES})\.? )?"
+_TWO = rf"(?:{'|'.join(CUES_OF_TWO)})\s"
+_PREFIX = rf"(?:{_ONE}|{_TWO})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SURNAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 # Repeated groups are bounded: the JVM's matcher recurses into them.
 _MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){0,125}\.\p{L}{2,63}+"
+_V6 = r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f]{1,4}:)(?=[0-9A-Fa-f:]{0,40}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:]|\.\p{N})"
 # All others begin with a digit, a sign or a capital letter, or one of the phrases: that is tested first.
 _OTHERS = [
+    r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])",
     rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![\p{{L}}\p{{N}}]|\.\p{{N}})",
     r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     r"(?<![\p{L}\p{N}.+-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
@@ -80,11 +86,13 @@ _OTHERS = [
     r"(?<![\p{L}\p{N}.+-])(?:\+?1[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d)",
     r"(?<![\p{L}\p{N}.+-])(?<!\d )(?:\+?1 )?[2-9]\d{2} [2-9]\d{2} \d{4}(?![\p{L}\p{N}]|[ .-]\d)",
     r"(?<![\p{L}\p{N}+])\+[2-9]\d{0,2}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?![\p{L}\p{N}]|\.\d)",
-    rf"(?<![\p{{L}}\p{{N}}])(?:{_PREFIX})(?:{_SURNAME} )?{_SURNAME}",
+    rf"(?<![\p{{L}}\p{{N}}])(?:{_ONE})(?:{_SURNAME} )?{_SURNAME}",
+    rf"(?<![\p{{L}}\p{{N}}])(?:{_TWO}){_SURNAME} {_SURNAME}",
     rf"(?<![\p{{L}}\p{{N}}])(?:{_NAMES}) {_SURNAME}",
 ]
-_FIRST = "".join(sorted({c[0] for c in CUES}))
+_FIRST = "".join(sorted({c[0] for c in CUES + CUES_OF_TWO}))
 _REST = rf"(?=[\p{{Lu}}\d+({_FIRST}])(?:{'|'.join(_OTHERS)})"
+_REST = f"{_V6}|{_REST}"
 PATTERN = f"{_MAIL}|{_REST}"
 
 
@@ -96,10 +104,17 @@ _DIGITS = "regexp_replace(raw, '[^0-9]', '')"
 _LUHN = "aggregate(sequence(1, length({d})), 0, (s, i) -> s + case when i % 2 = 1 then cast(substr(reverse({d}), i, 1) as int) when cast(substr(reverse({d}), i, 1) as int) > 4 then 2 * cast(substr(reverse({d}), i, 1) as int) - 9 else 2 * cast(substr(reverse({d}), i, 1) as int) end)"
 
 
+#: The remainder by 97 of what an IBAN's characters stand for, A to Z for 10 to 35.
+_MOD97 = "aggregate(filter(split({x}, ''), c -> c <> ''), 0, (s, c) -> case when c rlike '[0-9]' then (s * 10 + cast(c as int)) % 97 else (s * 100 + ascii(c) - 55) % 97 end)"
+_BARE = "replace(raw, ' ', '')"
+
+
 def _kind() -> Column:
     """The type of a match `raw`, null for numbers that aren't what they look like."""
     return F.expr(
         f"""case when contains(raw, '@') then 'email'
+        when raw rlike '^[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]+$' then 'ipv6'
+        when raw rlike '^[A-Z]{{2}}[0-9]{{2}}[ A-Z0-9]+$' then case when {_MOD97.format(x=f"concat(substr({_BARE}, 5), substr({_BARE}, 1, 4))")} = 1 then 'iban' end
         when raw rlike '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$' then 'ip'
         when raw rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn'
         when raw rlike '^[0-9]' and length({_DIGITS}) >= 13 then
@@ -112,7 +127,7 @@ def _kind() -> Column:
 def _canonical() -> Column:
     """One form for all ways of writing an entity; of persons given name (or title's gender), surname."""
     return F.expr(
-        f"""case kind when 'email' then lower(raw) when 'ip' then raw when 'ssn' then {_DIGITS} when 'card' then {_DIGITS}
+        f"""case kind when 'email' then lower(raw) when 'ipv6' then lower(raw) when 'iban' then {_BARE} when 'ip' then raw when 'ssn' then {_DIGITS} when 'card' then {_DIGITS}
         when 'phone' then case when length({_DIGITS}) = 10 and not startswith(raw, '+') then concat('1', {_DIGITS}) else {_DIGITS} end
         else lower(regexp_replace(raw, {_sql('^' + _PREFIX)}, '')) end"""
     )
@@ -155,12 +170,15 @@ def _surrogate() -> Column:
     card = f"transform(array({body}), b -> concat(b, cast(pmod(10 - ({_LUHN.format(d='concat(b, 0)').replace('concat(b, 0)', 'concat(b, \'0\')')}) % 10, 10) as string)))[0]"
     phone = f"concat(substr(canonical, 1, 1), cast(2 + pmod(xxhash64(seed, 0), 8) as string), {_scrambled('substr(canonical, 3)', 'seed')})"
     ssn = f"concat('9', {_scrambled('substr(canonical, 2)', 'seed')})"
+    hexed = "array_join(transform(split(canonical, ''), (c, i) -> case when c rlike '[0-9a-f]' then substr('0123456789abcdef', cast(1 + pmod(xxhash64(seed, i), 16) as int), 1) else c end), '')"
+    longer = f"case when attempt >= {GROW} then concat(':', array_join(transform(sequence({GROW}, attempt), i -> substr('0123456789abcdef', cast(1 + pmod(xxhash64(seed, -i), 16) as int), 1)), '')) else '' end"
+    account = f"transform(array(concat({_scrambled('substr(canonical, 5)', 'seed')}, {tail('')})), b -> concat(substr(canonical, 1, 2), lpad(cast(98 - {_MOD97.format(x='concat(b, substr(canonical, 1, 2), 00)').replace(', 00)', ', \'00\')')} as string), 2, '0'), b))[0]"
     syllable = "case " + " ".join(f"when {_SCRIPT} = '{s}' then {_list(SYLLABLES[s])}[cast(pmod(xxhash64(seed, i), {len(SYLLABLES[s])}) as int)]" for s in SYLLABLES) + " end"
     name = lambda n: f"array_join(transform(sequence(1, {n} + attempt), i -> {syllable}), '')"
     given = f"concat({name(2)}, case when gender <> 'f' then '' when {_SCRIPT} = 'cyrillic' then 'а' when {_SCRIPT} = 'greek' then 'α' else 'a' end)"
     return F.expr(
         f"case kind when 'email' then {mail} when 'ip' then {ip} when 'card' then concat({card}, {tail('')}) when 'phone' then concat({phone}, {tail('')}) "
-        f"when 'ssn' then concat({ssn}, {tail('')}) when 'given' then {given} else {name(4)} end"
+        f"when 'iban' then {account} when 'ipv6' then concat({hexed}, {longer}) when 'ssn' then concat({ssn}, {tail('')}) when 'given' then {given} else {name(4)} end"
     )
 
 
@@ -176,7 +194,7 @@ def given_names(key: str) -> dict[str, str]:
 
 def _gender() -> Column:
     """Of a person: by title, else by given name."""
-    titles = " ".join(f"when raw rlike {_sql(f'^(?:{'|'.join(TITLES[g])})[.]? ')} then '{g}'" for g in "fm")
+    titles = " ".join(f"when raw rlike {_sql(f'^(?i:{'|'.join(TITLES[g])})[.]? ')} then '{g}'" for g in TITLES)
     names = " ".join(f"when canonical rlike {_sql(f'^(?iu:{'|'.join(GIVEN[s][g])}) ')} then '{g}'" for s in GIVEN for g in "fm")
     return F.expr(f"case when kind <> 'person' then '' {titles} {names} else '' end")
 
@@ -185,11 +203,14 @@ def _written() -> Column:
     """The surrogate in the format of the match: its layout of digits (with what it is longer by at the end), its letter case, its title."""
     at = f"length(regexp_replace(substr(raw, 1, i), '[^0-9]', '')) + length(canonical) - length({_DIGITS})"
     filled = f"array_join(transform(sequence(1, length(raw)), i -> case when substr(raw, i, 1) rlike '[0-9]' then substr(surrogate, {at}, 1) else substr(raw, i, 1) end), '')"
+    letters = "length(regexp_replace(substr(raw, 1, i), '[^0-9A-Z]', ''))"
+    account = f"array_join(transform(sequence(1, length(raw)), i -> case when substr(raw, i, 1) = ' ' then ' ' else substr(surrogate, {letters}, 1) end), '')"
     prefix = f"regexp_extract(raw, {_sql('^' + _PREFIX)}, 0)"
     name = f"substr(raw, 1 + length({prefix}))"
     return F.expr(
         f"case when kind in ('phone', 'card', 'ssn') then concat({filled}, substr(surrogate, 1 + length(canonical))) when kind = 'person' then concat({prefix}, case when {name} = upper({name}) then upper(surrogate) else initcap(surrogate) end) "
-        "when kind = 'email' and raw = upper(raw) and raw <> lower(raw) then upper(surrogate) else surrogate end"
+        f"when kind = 'iban' then concat({account}, substr(surrogate, 1 + length(canonical))) "
+        "when kind in ('email', 'ipv6') and raw = upper(raw) and raw <> lower(raw) then upper(surrogate) else surrogate end"
     )
 
 

@@ -15,10 +15,19 @@ def luhn(digits):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
+def mod97(raw):
+    bare = raw.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
 def plain_kind(raw):
     digits = re.sub(r"\D", "", raw, flags=re.A)
     if "@" in raw:
         return "email"
+    if re.fullmatch(r"[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+", raw):
+        return "ipv6"
+    if re.fullmatch(r"[A-Z]{2}\d\d[ A-Z0-9]+", raw):
+        return "iban" if mod97(raw) == 1 else None
     if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", raw):
         return "ip"
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", raw):
@@ -30,8 +39,10 @@ def plain_kind(raw):
 
 def plain_canonical(kind, raw):
     digits = re.sub(r"\D", "", raw, flags=re.A)
-    if kind in ("email", "ip"):
+    if kind in ("email", "ip", "ipv6"):
         return raw.lower()
+    if kind == "iban":
+        return raw.replace(" ", "")
     if kind in ("ssn", "card"):
         return digits
     if kind == "phone":
@@ -67,6 +78,7 @@ def check(before, after):
             assert new != raw
             if kind != "person":
                 assert re.sub(r"\w", "x", new) == re.sub(r"\w", "x", raw) or len(new) != len(raw) or kind in ("email", "ip")
+            assert kind != "iban" or mod97(new) == 1 and new[:2] == raw[:2]
             name = plain_canonical(kind, new)
             assert plain_kind(new) == kind and names.setdefault((kind, canonical), name) == name
             assert kind != "card" or luhn(re.sub(r"\D", "", new))
@@ -97,6 +109,22 @@ def test_ways_of_writing(spark):
     assert got[0]["text"].split("; ")[1].startswith("my name is ")
 
 
+def test_titles_names_accounts_and_addresses(spark):
+    """Titles in any case and several of them, given names of other languages, IBAN with their check digits, IPv6; and what only looks like them."""
+    texts = [
+        "MR SMITH and Mr Smith", "Dr Wang Wei, Prof. Dr. Lena Weber; DR WEBER", "Emily Clark, Priya Natarajan, Olga Petrova and EMILY CLARK", "Dear Zoltan Kovacs, yours", "Dear Sir, dear all; Signed by the clerk",
+        "DE89 3704 0044 0532 0130 00, DE89370400440532013000 and GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 01", "2001:db8:85a3:0:0:8a2e:370:7334, FE80::1 and fe80::1", "std::vector, A::B, at 12:30:45, a: b",
+    ]
+    got = run(spark, texts)
+    names = check(texts, got)
+    assert [r["n_person"] for r in got] == [2, 3, 4, 1, 0, 0, 0, 0, 0]
+    assert [r["n_iban"] for r in got] == [0, 0, 0, 0, 0, 3, 0, 0, 0] and [r["n_ipv6"] for r in got] == [0, 0, 0, 0, 0, 0, 0, 3, 0]
+    assert got[0]["text"].split()[1].lower() == got[0]["text"].split()[-1].lower() and got[0]["text"].startswith("MR ") and got[0]["text"].split()[1].isupper()
+    assert got[4]["text"] == texts[4] and got[6]["text"] == texts[6] and got[8]["text"] == texts[8]
+    assert names["person", "lena weber"].split()[-1] == names["person", "weber"]
+    assert not any(n in r["text"].lower() for r in got for n in ("smith", "wang", "weber", "clark", "natarajan", "petrova", "kovacs"))
+
+
 def test_long_addresses(spark):
     """Neither the matcher's stack nor its time grows with an address or a name."""
     texts = ["a@" + "b." * 100_000 + "com", "a" * 1_000_000 + "@x.com", "Mr " + "A'" * 300_000, "+2" * 200_000, "1-" * 300_000, "x@y.com " * 20_000]
