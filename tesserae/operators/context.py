@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import fixed, text, urls
+from tesserae.session import bounded_batches
 
 QUOTAS = {"docs": 2, "github": 2, "community": 1}
 
@@ -109,10 +110,30 @@ def sites_for(queries: DataFrame, mapping: dict[str, str], most: int | None = No
     return queries.select("query_id", F.posexplode(hit).alias("pos", "s")).select("query_id", "pos", "s.keyword", "s.url")
 
 
+def neighbours(rows: DataFrame, group: str, order: str, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(order, other): each row's id and that of the next one of its group.
+
+    Ids alone are dealt to ranges of (group, id) and looked ahead in by one row; only what stands last in its range meets the
+    ranges' first rows, so no task holds a group.
+    """
+    ranges = rows.select(F.col(group).alias("_g"), F.col(order).alias("_id")).repartitionByRange("_g", "_id").sortWithinPartitions("_g", "_id")
+    at = F.monotonically_increasing_id()
+    held = cut(ranges.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at), "neighbours")
+    within = Window.partitionBy("_part").orderBy("_at")
+    ahead = held.select("_g", "_id", "_part", F.lead("_g").over(within).alias("_ng"), F.lead("_id").over(within).alias("_nid"), F.lead(F.lit(True)).over(within).alias("_more"))
+    inside = ahead.filter(F.col("_more") & F.col("_g").eqNullSafe(F.col("_ng"))).select(F.col("_id").alias(order), F.col("_nid").alias("other"))
+    # One row for each range: its last, and the first of the next range that has rows.
+    ends = held.groupBy("_part").agg(F.min_by(F.struct("_g", "_id"), "_at").alias("_first"), F.max_by(F.struct("_g", "_id"), "_at").alias("_last"))
+    over = ends.select("_last", F.lead("_first").over(Window.orderBy("_part")).alias("_next")).filter(F.col("_next").isNotNull() & F.col("_last._g").eqNullSafe(F.col("_next._g")))
+    return inside.unionByName(over.select(F.col("_last._id").alias(order), F.col("_next._id").alias("other")))
+
+
 def diff(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Pairs with similarity (percent, two digits), and up to ten added and removed lines."""
+    """Pairs with similarity (percent, two digits), up to ten added and removed lines, and `changed`: these as pairs of a removed and an added line."""
     from pyspark.sql import types as T
 
+    bounded_batches(pairs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -126,7 +147,9 @@ def diff(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(p, pa.list_(pa.string())), pa.array(m, pa.list_(pa.string()))], names=[*batch.schema.names, "similarity", "added", "removed"])
 
     more = T.StructType.fromDDL("similarity double, added array<string>, removed array<string>")
-    return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, *more.fields]))
+    found = pairs.mapInArrow(run, T.StructType([*pairs.schema.fields, *more.fields]))
+    most = F.least(F.size("added"), F.size("removed"))
+    return found.withColumn("changed", F.zip_with(F.slice("removed", F.lit(1), most), F.slice("added", F.lit(1), most), lambda x, y: F.struct(x.alias("before"), y.alias("after"))))
 
 
 def early_exit(results: DataFrame, most: int = 5) -> DataFrame:

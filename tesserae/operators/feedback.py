@@ -20,18 +20,17 @@ def clamp_step(events, start: float = START):
     return F.aggregate(F.sort_array(events), F.lit(start), lambda a, x: F.greatest(F.lit(LEAST), F.least(F.lit(MOST), a + x["delta"])))
 
 
-def scores(log: DataFrame, *, parts: int = 64) -> DataFrame:
+def scores(log: DataFrame, *, run: int = 10_000) -> DataFrame:
     """Each source's score: steps in order of time, clamped after each.
 
-    A clamped step is the function x -> min(hi, max(lo, x + add)), and such functions compose to one of the same form. So a
-    source's events are cut by time into `parts` ranges, each range is folded to one function, and only those functions
-    are folded per source: no task gathers all events of a busy source.
+    A clamped step is the function x -> min(hi, max(lo, x + add)), and such functions compose to one of the same form. The log is
+    dealt to ranges of (source, time), so a busy source or a burst lies in many of them; runs of `run` events are folded
+    to one function each, then runs of such functions, and what is left of a source, some functions a range, is folded last.
+    No array holds more than `run` steps, or more than there are ranges.
     """
-    bounds = log.agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))  # one row
-    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
-    share = F.when(F.col("_b") > F.col("_a"), (seconds("ts") - seconds("_a")) / (seconds("_b") - seconds("_a"))).otherwise(0.0)
-    dealt = log.join(F.broadcast(bounds)).withColumn("_part", F.least(F.lit(parts - 1), F.floor(share * parts)).cast("int"))
     delta = F.when(F.col("success"), STEP).otherwise(-STEP)
+    steps = log.select("url", "ts", "seq", delta.alias("add"), F.lit(LEAST).alias("lo"), F.lit(MOST).alias("hi"))
+    dealt = steps.repartitionByRange("url", "ts", "seq").sortWithinPartitions("url", "ts", "seq").withColumn("at", F.monotonically_increasing_id())
     first = F.struct(F.lit(0.0).alias("add"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
 
     def then(a, x):
@@ -40,10 +39,14 @@ def scores(log: DataFrame, *, parts: int = 64) -> DataFrame:
         high = F.least(x["hi"], F.greatest(x["lo"], a["hi"] + x["add"]))
         return F.struct((a["add"] + x["add"]).alias("add"), low.alias("lo"), high.alias("hi"))
 
-    step = F.struct("ts", "seq", delta.alias("add"), F.lit(LEAST).alias("lo"), F.lit(MOST).alias("hi"))
-    folded = dealt.groupBy("url", "_part").agg(F.sort_array(F.collect_list(step)).alias("e")).select("url", "_part", F.aggregate("e", first, then).alias("f"))
-    whole = folded.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("_part", "f.add", "f.lo", "f.hi"))).alias("e")).select("url", F.aggregate("e", first, then).alias("f"))
-    return whole.select("url", F.least(F.col("f.hi"), F.greatest(F.col("f.lo"), START + F.col("f.add"))).alias("score"))
+    def folded(rows: DataFrame, *keys) -> DataFrame:
+        runs = rows.groupBy("url", *keys).agg(F.sort_array(F.collect_list(F.struct("at", "add", "lo", "hi"))).alias("e"))
+        return runs.withColumn("f", F.aggregate("e", first, then)).select("url", F.get("e", F.lit(0))["at"].alias("at"), "f.add", "f.lo", "f.hi")
+
+    # Numbers ascend with the ranges, so runs of numbers are runs of a source's events in order.
+    once = folded(dealt, F.expr(f"at div {run}"))
+    whole = folded(folded(once, F.expr(f"at div {run * run}")))
+    return whole.select("url", F.least(F.col("hi"), F.greatest(F.col("lo"), START + F.col("add"))).alias("score"))
 
 
 def learned(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -798,12 +798,19 @@ def e49_sites_for_queries(spark, sf_dir):
     return s.select("query_id.conv_id", "query_id.turn", "url")
 
 
+@query("SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS other FROM documents QUALIFY other IS NOT NULL")
+def e46_pairs(spark, sf_dir):
+    """The documents that e46_diff compares: each with the next one of its source."""
+    return context.neighbours(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", cutter(spark, "e46"))
+
+
 @query()
 def e46_diff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = d.withColumn("b", F.lead("text").over(w)).withColumn("other", F.lead("doc_id").over(w)).filter("other is not null").withColumnRenamed("text", "a")
-    return context.diff(pairs).select("doc_id", "other", "similarity", F.size("added").alias("added"), F.size("removed").alias("removed"))
+    d = table(spark, sf_dir, "documents")
+    ids = context.neighbours(d.select("doc_id", "source"), "source", "doc_id", cutter(spark, "e46"))
+    text = d.select("doc_id", "text")
+    pairs = ids.join(text.withColumnRenamed("text", "a"), "doc_id").join(text.select(F.col("doc_id").alias("other"), F.col("text").alias("b")), "other")
+    return context.diff(pairs).select("doc_id", "other", "similarity", F.size("added").alias("added"), F.size("removed").alias("removed"), F.size("changed").alias("changed"))
 
 
 @query("WITH r AS (SELECT conv_id AS query_id, turn AS rank, text AS snippet FROM conversations WHERE trim(text) <> '') SELECT query_id, substr(string_agg(substr(snippet, 1, 500), ' ' ORDER BY rank), 1, 500) AS summary FROM r GROUP BY 1")

@@ -101,7 +101,7 @@ def test_learned_score_equals_a_plain_fold(spark):
     want = {}
     for url, good, _ in log:
         want[url] = max(0.1, min(5.0, want.get(url, 1.0) + (0.2 if good else -0.2)))
-    got = {r["url"]: r["score"] for r in feedback.scores(df, parts=7).collect()}
+    got = {r["url"]: r["score"] for r in feedback.scores(df, run=7).collect()}
     assert got == pytest.approx(want)
 
 
@@ -131,6 +131,24 @@ def test_deletions_cover_two_edits(spark):
 def test_diff(spark):
     r = context.diff(spark.createDataFrame([("a\nb\nc", "a\nx\nc"), (None, "")], "a string, b string")).collect()
     assert (r[0]["added"], r[0]["removed"]) == (["x"], ["b"]) and r[0]["similarity"] == 80.0 and r[1]["similarity"] == 100.0
+    assert [tuple(x) for x in r[0]["changed"]] == [("b", "x")] and r[1]["changed"] == []
+
+
+def test_neighbours(spark):
+    from tesserae.plans import registry
+
+    rows = [(k, ["a", "a", "a", None, "b"][k % 5]) for k in range(200)] + [(1000, "alone")]
+    frame = spark.createDataFrame(rows, "id long, g string").repartition(6)
+    groups = {}
+    for k, g in sorted(rows):
+        groups.setdefault(g, []).append(k)
+    wanted = {(x, y) for ids in groups.values() for x, y in zip(ids, ids[1:])}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {tuple(r) for r in context.neighbours(frame, "g", "id", registry.scratch(spark)).collect()} == wanted
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert context.neighbours(frame.limit(0), "g", "id", registry.scratch(spark)).count() == 0
 
 
 def test_payload_source(spark, tmp_path):
