@@ -182,7 +182,11 @@ def a38_valid_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.col("url").startswith("http://") | F.col("url").startswith("https://")).alias("valid"))
 
 
-@query()
+@query(
+    "WITH w AS (SELECT page_id AS query_id, regexp_replace(url, '^https://', 'http://') || '/' AS url FROM pages UNION ALL SELECT page_id, url FROM pages), b AS (SELECT query_id, url, regexp_replace(url, '/+$', '') AS bare FROM w), "
+    "t AS (SELECT query_id, unnest([url, bare, bare || '/', CASE WHEN starts_with(url, 'https://') THEN 'http://' || substr(url, 9) ELSE regexp_replace(url, '^http://', 'https://') END]) AS url, unnest(range(4)) AS pos FROM b), "
+    "f AS (SELECT query_id, url, min(pos) AS pos FROM t GROUP BY ALL) SELECT f.url, f.query_id, p.page_id FROM f JOIN pages p USING (url) QUALIFY row_number() OVER (PARTITION BY f.query_id ORDER BY pos, page_id) = 1"
+)
 def a02_lookup_variants(spark, sf_dir):
     docs = table(spark, sf_dir, "pages").select("page_id", "url")
     wanted = docs.select(F.col("page_id").alias("query_id"), F.concat(F.regexp_replace("url", "^https://", "http://"), F.lit("/")).alias("url"))
@@ -348,6 +352,12 @@ def b12_export_json(spark, sf_dir):
     return d.orderBy(F.desc("doc_id")).limit(50).select(F.to_json(F.struct("doc_id", "lang")).alias("json"))
 
 
+@query("SELECT to_json({'id': doc_id, 'lang': lang, 'scraped_at': doc_id}) AS json FROM documents ORDER BY doc_id DESC LIMIT 50")
+def b12_store_export(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return store.export_json(d.select(F.col("doc_id").alias("id"), "lang", F.col("doc_id").alias("scraped_at")))
+
+
 # --- C: URLs ---------------------------------------------------------------------------------------------------------
 
 _SEED = "https://docs.example.com/docs/"
@@ -376,7 +386,22 @@ def c05_domain(spark, sf_dir):
     return all_urls(spark, sf_dir).select("id", urls.domain(F.col("url")).alias("domain"))
 
 
-@query()
+_HOST = "lower(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ''), 'unknown'), '^.*@', ''), ':\\d*$', ''))"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+def _words_sql(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+@query(
+    "WITH " + URLS + f", h AS (SELECT id, url, regexp_replace(regexp_replace({_HOST}, '^\\[', ''), '\\].*$', '') AS h FROM u), "
+    "o AS (SELECT *, TRY_CAST(split_part(h, '.', 1) AS INTEGER) AS a, TRY_CAST(split_part(h, '.', 2) AS INTEGER) AS b, regexp_matches(h, '^\\d{1,3}(\\.\\d{1,3}){3}$') AS v4 FROM h) "
+    f"SELECT id, CASE WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'scheme' WHEN h IN ('', 'unknown') THEN 'host' WHEN list_contains({_words_sql(fixed.BLOCKED_HOSTS)}, h) THEN 'blocked host' "
+    f"WHEN len(list_filter({_words_sql(fixed.BLOCKED_SUFFIXES)}, lambda x: ends_with(h, x))) > 0 THEN 'blocked suffix' "
+    "WHEN v4 AND (a IN (0, 10, 127) OR a >= 224 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b BETWEEN 18 AND 19)) THEN 'private address' "
+    "WHEN contains(h, ':') AND regexp_matches(h, '^(::1?$|f[cd]|fe[89ab]|ff|::ffff:)') THEN 'private address' ELSE 'ok' END AS verdict FROM o"
+)
 def c06_safety(spark, sf_dir):
     return all_urls(spark, sf_dir).select("id", urls.safety(F.col("url")).alias("verdict"))
 
@@ -424,13 +449,29 @@ def c10_c11_filter_rank_explain(spark, sf_dir):
     return s.orderBy(F.desc("score"), F.desc("url")).select("id", "score", urls.label_v1(F.col("score")).alias("label"))
 
 
-@query()
+def _second_sql(seed_host: str) -> str:
+    """The gate and the score of the second rules, for a seed at a host, in SQL."""
+    rules = "|".join(f"(?:{x})" for name, patterns in fixed.DOMAIN_RULES_V2.items() if name in seed_host for x in patterns)
+    ends = "|".join(re.escape(x) for x in fixed.BLOCKED_EXTENSIONS_V2)
+    gate = f"(regexp_matches(lower(url), '^https?://') AND NOT regexp_matches({_P1}, '({ends})$') AND NOT list_has_any(list_filter(string_split({_P1}, '/'), lambda x: x <> ''), {_words_sql(fixed.BLOCKED_SEGMENTS_V2)}) AND NOT regexp_matches({_PATH}, '{rules.replace(chr(39), chr(39) * 2)}'))"
+    full = f"lower(CASE WHEN {_Q} <> '' THEN {_PATH} || '?' || {_Q} ELSE {_PATH} END)"
+    own, slashes = f"regexp_replace({_HOST}, '^www\\.', '')", f"(length({_P1}) - length(replace({_P1}, '/', '')))"
+    low = " + ".join(f"CASE WHEN regexp_matches({full}, '{x}') THEN {n} ELSE 0 END" for x, n in fixed.LOW_VALUE_V2)
+    points = f"50 + CASE WHEN contains({own}, '{seed_host}') OR contains('{seed_host}', {own}) THEN 20 ELSE -30 END + {_first_sql(fixed.HIGH_VALUE_V2, full)} + {low} + CASE WHEN {slashes} <= 2 THEN 5 WHEN {slashes} >= 6 THEN -5 ELSE 0 END"
+    return f"s AS (SELECT id, allowed, CAST(CASE WHEN allowed THEN greatest(0, least(100, points)) ELSE 0 END AS INTEGER) AS score FROM (SELECT id, {gate} AS allowed, {points} AS points FROM u))"
+
+
+@query("WITH " + URLS + ", " + _second_sql("github.com") + " SELECT id, allowed, score, score >= 45 AS doc_like, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 45 THEN 'ok' WHEN score >= 20 THEN 'low' ELSE 'skip' END AS category FROM s")
 def c12_c14_second_rules(spark, sf_dir):
     s = all_urls(spark, sf_dir).withColumn("score", urls.score_v2(F.col("url"), "https://github.com/owner/name"))
     return s.select("id", urls.allowed_v2(F.col("url"), "https://github.com/owner/name").alias("allowed"), "score", (F.col("score") >= 45).alias("doc_like"), urls.category_v2(F.col("score")).alias("category"))
 
 
-@query()
+@query(
+    "WITH " + URLS + f", s AS (SELECT id, url, regexp_replace(regexp_replace({_PATH}, '^/+|/+$', '', 'g'), '[^A-Za-z0-9._-]+', '-', 'g') AS stem FROM u), "
+    f"d AS (SELECT id, 'docs://' || {_HOST} || '/' || substr(CASE WHEN stem = '' THEN 'index' ELSE stem END, 1, 120) || CASE WHEN {_Q} <> '' THEN '-q' || substr(sha1({_Q}), 1, 12) ELSE '' END AS uri FROM s) "
+    "SELECT id, uri, 'code://snippet/' || substr(sha1(uri || ':0'), 1, 12) AS code_uri FROM d"
+)
 def c15_c16_uris(spark, sf_dir):
     u = all_urls(spark, sf_dir).withColumn("uri", urls.document_uri(F.col("url")))
     return u.select("id", "uri", urls.code_uri(F.col("uri"), F.lit(0)).alias("code_uri"))
@@ -465,6 +506,21 @@ def d08_d12_title_and_text(spark, sf_dir):
     return page_docs(spark, sf_dir).select(F.col("id").alias("page_id"), "title", "content")
 
 
+def _tidy_sql(of: str) -> str:
+    of = f"regexp_replace({of}, '<[^>]*>', '', 'g')"
+    for name, value in html.ENTITIES.items():
+        of = f"replace({of}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
+    return f"nullif(trim(regexp_replace({of}, '\\s+', ' ', 'g')), '')"
+
+
+@query(
+    "SELECT page_id, substr(coalesce(" + ", ".join(_tidy_sql(f"regexp_extract(html, '{x}', 1)") for x in ("(?is)<title[^>]*>(.*?)</title>", '(?is)<meta[^>]+property="og:title"[^>]+content="([^"]*)"', "(?is)<h[12][^>]*>(.*?)</h[12]>"))
+    + ", ''), 1, 200) AS title, lower(" + _visible_sql("html", ["script", "style", "nav", "footer", "header"]) + ") AS text FROM pages"
+)
+def d08_titles_and_texts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"), html.text(F.col("html")).alias("text"))
+
+
 _PARAGRAPHS = "list_filter(list_transform(string_split_regex(html, '(?i)<p[ >]')[2:], lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '(?is)</p>.*$', ''), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: length(x) > 20)"
 
 
@@ -752,7 +808,13 @@ def e29_e32_dedupe_and_diversify(spark, sf_dir):
     return context.diversify(context.first_per_url(r), [F.asc("id")]).select("id", "source_type")
 
 
-@query()
+def _authority_sql(intent: str) -> str:
+    rules, otherwise = fixed.AUTHORITY[intent]
+    chain = " ".join("WHEN " + " OR ".join(f"contains(lower(url), '{w}')" for w in words) + f" THEN {points}" for words, points in rules)
+    return f"round(greatest(CAST(0.1 AS DOUBLE), CAST(CASE {chain} ELSE {otherwise} END AS DOUBLE) + 0.5), 6) AS {intent}"
+
+
+@query("WITH " + URLS + " SELECT id, " + ", ".join(map(_authority_sql, ("reference", "debug", "tutorial", "concept", "general"))) + " FROM u")
 def e30_authority(spark, sf_dir):
     u = all_urls(spark, sf_dir)
     return u.select("id", *(F.round(text.authority(F.col("url"), F.lit(i), F.lit(True), F.lit(1.0), F.lit(0)), 6).alias(i) for i in ("reference", "debug", "tutorial", "concept", "general")))
@@ -898,6 +960,13 @@ def g02_g03_statistics(spark, sf_dir):
     return d.agg(F.count(F.lit(1)).alias("total_docs"), F.countDistinct("source").alias("domains"), F.floor(F.avg(F.length("text"))).cast("long").alias("avg_length"), F.max("doc_id").alias("last_doc"))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS total_docs, CAST(count(DISTINCT source) AS BIGINT) AS domains, max(doc_id) AS last_indexed, CAST(floor(avg(length(text))) AS BIGINT) AS avg_length, (SELECT CAST(count(*) AS BIGINT) FROM labels) AS total_code_blocks FROM documents")
+def g03_store_stats(spark, sf_dir):
+    """Documents as the store's, labels in the place of code blocks."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("domain"), F.col("text").alias("content"), F.col("doc_id").alias("scraped_at"))
+    return store.stats(d, table(spark, sf_dir, "labels"))
+
+
 @query("SELECT source AS domain, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY 1 ORDER BY n DESC, domain LIMIT 20")
 def g04_top_domains(spark, sf_dir):
     return store.domains(table(spark, sf_dir, "documents").withColumnRenamed("source", "domain")).limit(20)
