@@ -548,10 +548,33 @@ def d29_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("chunk", "text"))
 
 
-@query()
+# Each part as a repository: by its size one of Python, Go or JavaScript, with a manifest and a source made of its name's two words.
+_REPOS = (
+    "n AS (SELECT p_partkey, 'part-' || p_partkey AS repo, p_size % 3 AS kind, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), "
+    "c AS (SELECT *, upper(left(a, 1)) || substr(a, 2) AS ca, upper(left(b, 1)) || substr(b, 2) AS cb FROM n)"
+)
+
+
+def part_files(spark, sf_dir):
+    """(repo, path, content)."""
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("repo"), (F.col("p_size") % 3).alias("kind"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("b"))
+    file = lambda path, pattern, *of: F.struct(F.lit(path).alias("path"), F.format_string(pattern, *of).alias("content"))
+    a, b, ca, cb = F.col("a"), F.col("b"), F.initcap("a"), F.initcap("b")
+    python = F.array(file("README.md", "# %s\n", a), file("pyproject.toml", 'dependencies = ["%s>=1", "%s"]', a, b), file("src/lib/core.py", "import %s\nfrom %s import x\n\ndef make_%s(x):\n    return 1\n\nclass %sThing:\n    pass\n", a, b, b, ca), file("tests/test_core.py", "def test_%s():\n    pass\n", a))
+    go = F.array(file("go.mod", "module x\n\nrequire (\n\tgithub.com/%s/%s v1.2.3\n)\n", a, b), file("main.go", "package main\nfunc Make%s() {}\n", cb))
+    node = F.array(file("package.json", '{"dependencies": {"react": "18", "%s": "1"}}', a), file("index.js", "export const %sValue = 2\n", b))
+    return p.select("repo", F.inline(F.when(F.col("kind") == 0, python).when(F.col("kind") == 1, go).otherwise(node)))
+
+
+@query(
+    "WITH " + _REPOS + " SELECT repo, 'src/lib/core.py' AS path, 'python' AS language, 'import ' || a || '|from ' || b || ' import x' AS imports, ca || 'Thing' AS types, 'make_' || b AS functions FROM c WHERE kind = 0 "
+    "UNION ALL SELECT repo, 'main.go', 'go', '', '', 'Make' || cb FROM c WHERE kind = 1 UNION ALL SELECT repo, 'index.js', 'javascript', '', '', b || 'Value' FROM c WHERE kind = 2"
+)
 def d20_d33_code_analysis(spark, sf_dir):
-    c = spark.createDataFrame(fixtures.CODE, "id long, code string").withColumn("language", html.detect_language(F.col("code")))
-    return c.select("id", "language", text.imports(F.col("code"), F.col("language")).alias("imports"), text.types(F.col("code"), F.col("language")).alias("types"), text.functions(F.col("code"), F.col("language")).alias("functions"))
+    """Language, imports, types and functions of the repositories' sources."""
+    code = part_files(spark, sf_dir).filter(F.col("path").rlike("(core[.]py|main[.]go|index[.]js)$") & ~F.col("path").startswith("tests/")).withColumn("language", html.detect_language(F.col("content")))
+    of = lambda f: F.array_join(f(F.col("content"), F.col("language")), "|")
+    return code.select("repo", "path", "language", of(text.imports).alias("imports"), of(text.types).alias("types"), of(text.functions).alias("functions"))
 
 
 @query(
@@ -1027,33 +1050,39 @@ def i06_top_per_group(spark, sf_dir):
 # --- J: repositories -------------------------------------------------------------------------------------------------
 
 
-def _files(spark):
-    return spark.createDataFrame(fixtures.FILES, "repo string, path string, content string")
-
-
-@query()
+@query(
+    "WITH " + _REPOS + " SELECT repo, unnest(CASE kind WHEN 0 THEN ['README.md', 'pyproject.toml', 'src/lib/core.py'] WHEN 1 THEN ['go.mod', 'main.go'] ELSE ['package.json', 'index.js'] END) AS path, CAST(unnest(CASE kind WHEN 0 THEN [1, 2, 3] ELSE [1, 2] END) AS INTEGER) AS rank FROM c"
+)
 def j02_selected_files(spark, sf_dir):
-    return repo.select_files(_files(spark)).select("repo", "path", "rank")
+    return repo.select_files(part_files(spark, sf_dir)).select("repo", "path", "rank")
 
 
-@query()
+@query("WITH " + _REPOS + " SELECT DISTINCT repo, unnest(CASE kind WHEN 0 THEN [a, b] WHEN 1 THEN ['github.com/' || a || '/' || b] ELSE ['react', a] END) AS name FROM c")
 def j03_dependencies(spark, sf_dir):
-    return repo.dependencies(_files(spark))
+    return repo.dependencies(part_files(spark, sf_dir))
 
 
-@query()
+@query("WITH " + _REPOS + " SELECT repo, unnest(CASE kind WHEN 0 THEN ['make_' || b, ca || 'Thing'] WHEN 1 THEN ['Make' || cb] ELSE [b || 'Value'] END) AS name FROM c")
 def j04_api_surface(spark, sf_dir):
-    return repo.api_surface(_files(spark))
+    return repo.api_surface(part_files(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('web', 'React / Next.js app'), ('lib', 'Python library'), ('tool', 'Rust project'), ('svc', 'Go project'), ('none', 'Unknown')) AS v(repo, project_type)")
+@query("WITH " + _REPOS + " SELECT repo, CASE kind WHEN 0 THEN 'Python library' WHEN 1 THEN 'Go project' ELSE 'React / Next.js app' END AS project_type FROM c")
 def j05_project_types(spark, sf_dir):
-    return repo.project_type(_files(spark))
+    return repo.project_type(part_files(spark, sf_dir))
 
 
-@query()
+@query(
+    "WITH " + _REPOS + " SELECT repo, CASE kind WHEN 0 THEN 'Python library' WHEN 1 THEN 'Go project' ELSE 'React / Next.js app' END AS project_type, "
+    "CASE kind WHEN 0 THEN array_to_string(list_sort(list_distinct([a, b])), ',') WHEN 1 THEN 'github.com/' || a || '/' || b ELSE array_to_string(list_sort(['react', a]), ',') END AS dependencies, "
+    "CASE kind WHEN 0 THEN array_to_string(list_sort(['make_' || b, ca || 'Thing']), ',') WHEN 1 THEN 'Make' || cb ELSE b || 'Value' END AS api, "
+    "CASE kind WHEN 0 THEN 'README.md,pyproject.toml,src/lib/core.py' WHEN 1 THEN 'go.mod,main.go' ELSE 'package.json,index.js' END AS files FROM c"
+)
 def j07_understanding(spark, sf_dir):
-    return repo.understanding(_files(spark))
+    """Type, dependencies, names and the headings of the assembled text of each repository."""
+    found = repo.understanding(part_files(spark, sf_dir))
+    heads = F.regexp_extract_all("content", F.lit(r"(?m)^## (.*)$"), F.lit(1))
+    return found.select("repo", "project_type", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("api", ",").alias("api"), F.array_join(heads, ",").alias("files"))
 
 
 # --- N: state --------------------------------------------------------------------------------------------------------

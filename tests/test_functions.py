@@ -193,3 +193,19 @@ def test_cascades_and_prompts(spark):
     blocks = spark.createDataFrame([("x", 1, "py", "a"), ("x", 2, "js", "b"), ("y", 3, "py", "c"), ("z", 4, "go", "d")], "doc_id string, code_id int, language string, snippet string")
     hits = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "z", 3)], "query_id int, doc_id string, rank int")
     assert [r["code_id"] for r in context.code_examples(hits, blocks).orderBy("n").collect()] == [1, 4]
+
+
+def test_repositories_and_code_of_other_languages(spark):
+    from tesserae.functions import html, text
+    from tesserae.operators import repo
+    from tesserae.plans import fixtures
+
+    files = spark.createDataFrame(fixtures.FILES, "repo string, path string, content string")
+    assert {tuple(r) for r in repo.project_type(files).collect()} == {("web", "React / Next.js app"), ("lib", "Python library"), ("tool", "Rust project"), ("svc", "Go project"), ("none", "Unknown")}
+    assert {(r["repo"], r["name"]) for r in repo.dependencies(files).collect()} == {("web", "react"), ("web", "left-pad"), ("web", "vite"), ("lib", "numpy"), ("lib", "pandas"), ("tool", "serde"), ("tool", "tokio"), ("svc", "github.com/a/b")}
+    assert {(r["repo"], r["name"]) for r in repo.api_surface(files).collect()} >= {("web", "App"), ("web", "helper"), ("lib", "load"), ("lib", "Table"), ("tool", "run"), ("svc", "Serve")}
+    assert "node_modules/x/index.js" not in {r["path"] for r in repo.select_files(files).collect()} and repo.understanding(files).count() == 5
+    code = spark.createDataFrame(fixtures.CODE, "id long, code string").withColumn("language", html.detect_language(F.col("code")))
+    got = {r["id"]: r for r in code.select("id", "language", text.imports(F.col("code"), F.col("language")).alias("imports"), text.functions(F.col("code"), F.col("language")).alias("functions")).collect()}
+    assert [got[k]["language"] for k in (1, 2, 4, 5, 6, 7)] == ["python", "javascript", "rust", "go", "sql", "unknown"]
+    assert got[1]["imports"] == ["import requests", "from os import path"] and got[1]["functions"] == ["hello"] and got[4]["functions"] == ["main"]
