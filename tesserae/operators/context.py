@@ -176,6 +176,19 @@ def prompt(queries: DataFrame, docs: DataFrame, code: DataFrame, *, most_docs: i
     return both.select("query_id", F.concat(F.lit("# "), "query", F.lit("\n\n"), F.coalesce("d", F.lit("No documents.")), F.lit("\n\n"), F.coalesce("c", F.lit("No code."))).alias("prompt"))
 
 
+def answer(queries: DataFrame, lexical: DataFrame, semantic: DataFrame, *, most: int = 3) -> DataFrame:
+    """For each query its intent, a confidence, and the best `most` of lexical results followed by unseen semantic ones, boosted by their urls.
+
+    lexical, semantic: query_id, doc_id, url, score. Queries without a result give one row without a document.
+    """
+    from tesserae.operators.search import hybrid, top
+
+    merged = hybrid(lexical.select("query_id", "doc_id", "url", "score"), semantic.select("query_id", "doc_id", "url", "score"))
+    best = top(merged.withColumn("score", boost(F.col("url"), F.col("score"))), most, [F.desc("score"), F.asc("source"), F.asc("doc_id")]).drop("source")
+    asked = queries.select("query_id", text.intent(F.col("query")).alias("intent"))
+    return asked.join(best, "query_id", "left").withColumn("confidence", F.when(F.col("doc_id").isNotNull(), 0.95).otherwise(0.3))
+
+
 def code_examples(results: DataFrame, code: DataFrame, most: int = 2) -> DataFrame:
     """Of each query's documents the first code block, of distinct languages, `most` in order of rank."""
     j = results.select("query_id", "doc_id", "rank").join(code, "doc_id")

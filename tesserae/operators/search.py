@@ -406,17 +406,26 @@ def search_code(index: Stored, grams: substring.Grams, code: DataFrame, queries:
     return top(ranked.unionByName(like.join(ranked.select("query_id", "code_id"), ["query_id", "code_id"], "left_anti")), limit, order)
 
 
-def filtered(docs: DataFrame, *, domain: str | None = None, after=None, with_code: bool | None = None) -> DataFrame:
-    """The documents that a filtered search runs on."""
+def filtered(docs: DataFrame, *, domain: str | None = None, after=None, with_code: bool | None = None, language: str | None = None, code: DataFrame | None = None) -> DataFrame:
+    """The documents that a filtered search runs on. A language, and with_code, ask for documents with such code blocks (doc_id, language) if `code` is given."""
     if domain:
         docs = docs.filter(F.contains(F.lower("url"), F.lit(domain.lower())))
     if after is not None:
-        docs = docs.filter(F.col("scraped_at") >= F.lit(after).cast("timestamp"))
+        docs = docs.filter(F.col("scraped_at") >= F.lit(after).cast(docs.schema["scraped_at"].dataType))
+    if code is not None and (with_code or language):
+        blocks = code.filter(F.lower("language") == language.lower()) if language else code
+        return docs.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi")
     if with_code:
         docs = docs.filter(F.col("has_code"))
     return docs
 
 
+def filtered_search(index: Stored, docs: DataFrame, queries: DataFrame, cut: Callable[[DataFrame, str], DataFrame], *, limit: int = 10, **filters) -> DataFrame:
+    """The best documents of each query among those that pass the filters; term statistics are those of the whole index."""
+    hits = inverted.bm25(index, queries, cut).join(filtered(docs, **filters).select("doc_id"), "doc_id", "left_semi")
+    return top(hits.select("query_id", "doc_id", F.round("bm25", 9).alias("bm25")), limit, [F.asc("bm25"), F.asc("doc_id")])
+
+
 def formatted(results: DataFrame, chars: int = 400) -> DataFrame:
     """Results with their snippet cut to `chars` characters, marked by dots, and the url where there is no title."""
     cut = F.concat(F.rtrim(F.substring("content", 1, chars)), F.lit("..."))

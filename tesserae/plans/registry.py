@@ -749,6 +749,17 @@ def e17_strict_search(spark, sf_dir):
     return found.select("query_id", "doc_id", "learned_score", F.round("bm25", 6).alias("bm25"), "rank")
 
 
+@query(
+    "WITH " + PAGE_DOCS + ", " + _TIERED_SQL + ", " + _bm25_sql(_PAGE_WORDS, "SELECT id AS doc_id FROM page_docs", "SELECT query_id, unnest(" + _split_sql("query") + ") AS word FROM t", (1.0, 1.0))
+    + " SELECT query_id, doc_id, round(bm25, 6) AS bm25, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9), doc_id) AS INTEGER) AS rank FROM b JOIN page_docs p ON p.id = b.doc_id WHERE contains(lower(url), 'example.com') AND scraped_at >= TIMESTAMP '2024-01-02' QUALIFY rank <= 10"
+)
+def e19_filtered_search(spark, sf_dir):
+    """Pages of one domain from a day on."""
+    asked = spark.createDataFrame(_TIERED, "query_id int, query string")
+    found = search.filtered_search(page_index(spark, sf_dir), stored_pages(spark, sf_dir), asked, scratch(spark), domain="Example.com", after="2024-01-02")
+    return found.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
+
+
 @query()
 def e06_snippets(spark, sf_dir):
     """The best window of the ten best documents of each query."""
@@ -812,6 +823,21 @@ def e20_tfidf_search(spark, sf_dir):
 _INTENT = "CASE WHEN regexp_matches(lower(text), 'error|exception|traceback|debug|fix|issue|problem') THEN 'debug' WHEN regexp_matches(lower(text), 'how|build|create|setup|install|configure|implement') THEN 'tutorial' WHEN regexp_matches(lower(text), 'what is|explain|understand|concept|definition') THEN 'concept' WHEN regexp_matches(lower(text), 'api|reference|method|function|parameter|argument') THEN 'reference' ELSE 'general' END"
 
 
+@query(
+    "WITH lex AS (" + ORACLES["e07_final_scores"] + "), sem AS (" + ORACLES["e20_tfidf_search"] + "), m AS (SELECT query_id, doc_id, final_score AS score, 0 AS src FROM lex WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, score, 1 FROM sem WHERE rank <= 3 AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM lex WHERE rank <= 5)), "
+    "r AS (SELECT query_id, doc_id, src, round(score + CASE WHEN lang = 'en' THEN 2 ELSE 0.5 END, 4) AS score FROM m JOIN documents USING (doc_id)), b AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 3), "
+    "a AS (SELECT * FROM (VALUES (1, 'general'), (2, 'general'), (3, 'debug')) AS v(query_id, intent)) SELECT query_id, intent, coalesce(doc_id, -1) AS doc_id, coalesce(score, 0) AS score, coalesce(rank, 0) AS rank, CAST(CASE WHEN doc_id IS NULL THEN 0.3 ELSE 0.95 END AS DOUBLE) AS confidence FROM a LEFT JOIN b USING (query_id)"
+)
+def e38_answer(spark, sf_dir):
+    """Lexical and semantic results put together; the third query finds nothing. Urls are made of the documents' languages."""
+    asked = _searches(spark).unionByName(spark.createDataFrame([(3, "fix qqqqzzzz")], "query_id int, query string"))
+    url = F.concat(F.when(F.col("lang") == "en", "https://docs.example.org/").otherwise("https://github.com/a/"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", url.alias("url"))
+    named = lambda hits, score, most: hits.filter(F.col("rank") <= most).select("query_id", "doc_id", F.col(score).alias("score")).join(docs, "doc_id")
+    found = context.answer(asked, named(e07_final_scores(spark, sf_dir), "final_score", 5), named(e20_tfidf_search(spark, sf_dir), "score", 3))
+    return found.select("query_id", "intent", F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("rank", F.lit(0)).alias("rank"), "confidence")
+
+
 @query(f"SELECT conv_id, turn, {_INTENT} AS intent FROM conversations")
 def e26_intents(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.intent(F.col("text")).alias("intent"))
