@@ -64,7 +64,7 @@ TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Signora Г-жа Κυρί
 #: Phrases that introduce a person's name.
 CUES = ["name is", "Name:", "name's", "m'appelle", "m’appelle", "Nom :", "Name ist", "ich heiße", "Ich heiße", "me llamo", "Me llamo", "nombre es", "Nombre:", "меня зовут", "Меня зовут", "με λένε", "Με λένε"]
 #: Such after which two capitalised words are a person, and one isn't.
-CUES_OF_TWO = ["Dear", "Attn:", "signed by", "Signed by", "written by", "Written by", "Kind regards,", "Best regards,", "Yours sincerely,"]
+CUES_OF_TWO = ["Dear", "Attn:", "Signed by", "Written by", "Kind regards,", "Best regards,", "Yours sincerely,"]
 
 _NAMES = "|".join(w for script in GIVEN.values() for names in script.values() for n in names for w in (n, n.upper()))
 _TITLES = "|".join(w for titles in TITLES.values() for t in titles for w in (t, t.upper()))
@@ -92,8 +92,9 @@ _OTHERS = [
 ]
 _FIRST = "".join(sorted({c[0] for c in CUES + CUES_OF_TWO}))
 _REST = rf"(?=[\p{{Lu}}\d+({_FIRST}])(?:{'|'.join(_OTHERS)})"
-_REST = f"{_V6}|{_REST}"
-PATTERN = f"{_MAIL}|{_REST}"
+PATTERN = f"{_MAIL}|{_V6}|{_REST}"
+#: What each IPv6 address has; it begins with a colon, so it is looked for fast.
+_COLONS = r":(?::|[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:)"
 
 
 def _sql(text: str) -> str:
@@ -271,7 +272,7 @@ def replace(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     rid, parts, raw, new = (common.unused(columns, n) for n in ("_rid", "_parts", "_raw", "_new"))
     has_at = F.contains(F.col(text), F.lit("@"))
     # A cheap test first: a text without an @ has no address, and the other entities begin with few characters.
-    maybe = F.when(has_at, F.col(text).rlike(PATTERN)).otherwise(F.col(text).rlike(_REST))
+    maybe = F.when(has_at, F.col(text).rlike(f"{_MAIL}|{_REST}")).otherwise(F.col(text).rlike(_REST)) | (F.col(text).rlike(_COLONS) & F.col(text).rlike(_V6))
     maybe = F.coalesce(maybe, F.lit(False))
     touched = (
         docs.filter(maybe)
