@@ -176,6 +176,13 @@ def prompt(queries: DataFrame, docs: DataFrame, code: DataFrame, *, most_docs: i
     return both.select("query_id", F.concat(F.lit("# "), "query", F.lit("\n\n"), F.coalesce("d", F.lit("No documents.")), F.lit("\n\n"), F.coalesce("c", F.lit("No code."))).alias("prompt"))
 
 
+def with_status(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, query, count, status) of each query: `success` where there are hits, else `learning`, which the miss log and the ingest take up."""
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("count"))
+    found = queries.select("query_id", "query").join(n, "query_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return found.withColumn("status", F.when(F.col("count") > 0, "success").otherwise("learning"))
+
+
 def answer(queries: DataFrame, lexical: DataFrame, semantic: DataFrame, *, most: int = 3) -> DataFrame:
     """For each query its intent, a confidence, and the best `most` of lexical results followed by unseen semantic ones, boosted by their urls.
 

@@ -166,6 +166,13 @@ def ingest(pages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return judged.withColumn("status", status).withColumn("content", kept("content")).withColumn("title", kept("title")).withColumn("code_blocks", F.coalesce(kept("code_blocks"), F.array().cast(CODE))).drop("raw", "html")
 
 
+def missing(seeds: DataFrame, stored: DataFrame) -> DataFrame:
+    """The seeds (url, ...) that aren't stored yet in any way of writing the same address: with or without a final slash, http or https."""
+    form = lambda url: F.regexp_replace(F.regexp_replace(urls.strip_fragment(F.col(url)), "^https?://", ""), "/+$", "")
+    there = stored.select(form("url").alias("_form")).distinct()
+    return seeds.withColumn("_form", form("url")).join(there, "_form", "left_anti").drop("_form").dropDuplicates(["url"])
+
+
 def summary(judged: DataFrame) -> DataFrame:
     """One row of counts."""
     of = lambda s: F.count_if(F.col("status") == s)

@@ -760,6 +760,17 @@ def e19_filtered_search(spark, sf_dir):
     return found.select("query_id", "doc_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
+@query("WITH h AS (" + ORACLES["e17_strict_search"] + "), t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{q}')" for k, q in _STRICT) + ") AS v(query_id, query)) SELECT t.query_id, t.query, CAST(count(h.doc_id) AS BIGINT) AS count, CASE WHEN count(h.doc_id) > 0 THEN 'success' ELSE 'learning' END AS status FROM t LEFT JOIN h ON h.query_id = t.query_id GROUP BY ALL")
+def e40_search_status(spark, sf_dir):
+    return context.with_status(spark.createDataFrame(_STRICT, "query_id int, query string"), e17_strict_search(spark, sf_dir))
+
+
+@query("WITH h AS (" + ORACLES["e10_tiered_search"] + ") SELECT query_id, rank, url FROM h JOIN pages ON page_id = doc_id")
+def e42_search_urls(spark, sf_dir):
+    """The tool that gives addresses only, in the order of the tiers' ranks."""
+    return e10_tiered_search(spark, sf_dir).join(stored_pages(spark, sf_dir).select("doc_id", "url"), "doc_id").select("query_id", "rank", "url")
+
+
 @query()
 def e06_snippets(spark, sf_dir):
     """The best window of the ten best documents of each query."""
@@ -1126,6 +1137,16 @@ def n09_last_good_source(spark, sf_dir):
     return e.groupBy(F.lower(F.get_json_object("props", "$.k")).alias("query")).agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("user_id"))
 
 
+@query(
+    "WITH f AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', ''), '^https?://', ''), '/+$', '') AS form FROM pages) SELECT DISTINCT 'http://' || substr(url, 9) AS url FROM f WHERE starts_with(url, 'https://') AND form NOT IN (SELECT form FROM f WHERE contains(url, '?'))"
+)
+def n11_bootstrap(spark, sf_dir):
+    """Seeds under the other scheme, where the pages with a query in their address are stored."""
+    pages = table(spark, sf_dir, "pages").select("url")
+    seeds = pages.filter(F.col("url").startswith("https://")).select(F.concat(F.lit("http://"), F.substring("url", 9, 10_000)).alias("url"))
+    return ingest.missing(seeds, pages.filter(F.contains("url", F.lit("?"))))
+
+
 def _stream_dir(spark, name):
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
