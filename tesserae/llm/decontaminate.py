@@ -5,7 +5,10 @@ item. A match of `window` words or more, or of a whole shorter item, marks the w
 are reported, and `remove_spans` cuts them from the text.
 
 Defined results: a null or empty text has no words and no hits; a null or wordless item has no window; repeated items
-count once (by item_id); repeated documents give a row each; extra columns pass through `scan` unchanged.
+count once (by item_id), and all items without an id as one, the item ""; repeated documents give a row each; texts of any length are
+read whole; no documents give no rows, and no items no hits; extra columns pass through, but for ones named like those that `scan`
+adds, which they replace there (`clean` keeps them). An item is held by one automaton whole, so one of more than SHARD_WORDS
+words makes a larger automaton.
 """
 
 from __future__ import annotations

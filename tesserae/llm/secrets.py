@@ -6,8 +6,8 @@ base-62 CRC-32 of the rest; tokens that fail that checksum aren't reported). Wit
 don't overlap; a match that fails its length is dropped but still consumes its characters. Hex runs have no keyword:
 their prefilter is every eighth character, of which a run of 24 covers three.
 
-Defined results: null and empty texts have no secrets; repeated rows give a row each; extra columns pass through;
-spans are in code points, end exclusive.
+Defined results: null and empty texts have no secrets; texts of any length are read whole, in linear time; repeated rows give a
+row each; an empty table gives an empty table; extra columns pass through; spans are in code points, end exclusive.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ fingerprints share make no pairs: their fingerprints are indexed under all 2016
 four can meet, all of them linked. So nothing is dropped, and no key makes rows by the square of its size.
 
 Defined results: texts without words (null, empty, white space) have fingerprint 0 and link like others; repeated rows
-give a row each; a null doc_id counts in a component only if all its ids are null; extra columns are ignored.
+give a row each; a null doc_id counts in a component only if all its ids are null; texts of any length are read whole; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
