@@ -246,11 +246,11 @@ _INGESTED = (
 )
 
 
-@query("WITH " + _INGESTED + " SELECT page_id, route, CASE WHEN reason = '' THEN 'kept' ELSE 'skipped' END AS status, reason, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS digest FROM i WHERE reason = '' UNION ALL SELECT page_id, route, 'skipped', reason, NULL, NULL FROM i WHERE reason <> ''")
+@query("WITH " + _INGESTED + " SELECT page_id, route, CASE WHEN reason = '' THEN 'kept' ELSE 'skipped' END AS status, reason, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS digest FROM i WHERE reason = '' UNION ALL SELECT page_id, route, 'skipped', reason, -1, '' FROM i WHERE reason <> ''")
 def a20_ingested_pages(spark, sf_dir):
     """What became of each page, and its content's length and hash."""
     done = ingest.ingest(table(spark, sf_dir, "pages"))
-    return done.select("page_id", "route", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.length("content").alias("n_chars"), F.md5("content").alias("digest"))
+    return done.select("page_id", "route", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce(F.length("content"), F.lit(-1)).alias("n_chars"), F.coalesce(F.md5("content"), F.lit("")).alias("digest"))
 
 
 @query(
