@@ -1,8 +1,8 @@
 """The training-data pipeline over `documents`: five filtering and rewriting stages, each an operator of tesserae.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-`documents`; n_chars is that of the text as it stands. Stages handle empty tables, null texts, repeated rows and extra
-columns as their operators define.
+`documents`; n_chars is that of the text as it stands. Stages handle empty tables, null texts and repeated rows as their
+operators define; columns beside those of `documents`, whatever their names, are left out by the first stage that meets them.
 """
 
 from __future__ import annotations
