@@ -63,16 +63,21 @@ def crawl(edges: DataFrame, seeds: DataFrame, *, score: Callable[[Column], Colum
 
 def url_variants(url: Column) -> Column:
     """A2: a URL as written, without and with a final slash, and under the other scheme."""
-    bare = F.regexp_replace(url, "/+$", "")
-    other = F.when(url.startswith("https://"), F.concat(F.lit("http://"), F.substring(url, 9, 10_000))).otherwise(F.regexp_replace(url, "^http://", "https://"))
-    return F.array_distinct(F.array(url, bare, F.concat(bare, F.lit("/")), other))
+    bare = F.regexp_replace(url, r"/+\z", "")
+    other = F.when(url.startswith("https://"), F.concat(F.lit("http://"), url.substr(F.lit(9), F.length(url)))).otherwise(F.regexp_replace(url, "^http://", "https://"))
+    return F.array(url, bare, F.concat(bare, F.lit("/")), other)
 
 
-def lookup(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """A1-A4: the stored document of each wanted URL, by its first variant that is stored."""
-    tried = wanted.select("query_id", F.posexplode(url_variants(F.col("url"))).alias("pos", "url"))
-    hit = tried.join(docs, "url")
-    return hit.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).filter("_n = 1").drop("_n", "pos")
+def lookup(docs: DataFrame, wanted: DataFrame, *, key: str = "page_id") -> DataFrame:
+    """A1-A4: the stored document of each wanted URL, by its first variant that is stored; of documents under one URL that with the least `key`.
+
+    A variant's place is that in the whole list, also where it is the same as one before it.
+    """
+    rest = [c for c in docs.columns if c not in ("url", key)]
+    stored = docs.filter(F.col("url").isNotNull()).groupBy("url").agg(F.min_by(F.struct(key, *rest), F.struct(F.col(key).isNull(), key, *rest)).alias("_d"))
+    tried = wanted.select("query_id", F.posexplode(url_variants(F.col("url"))).alias("pos", "url")).groupBy("query_id", "url").agg(F.min("pos").alias("pos"))
+    hit = tried.join(stored, "url").select("query_id", "url", "pos", "_d.*")
+    return hit.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos", F.asc_nulls_last(key), "url"))).filter("_n = 1").drop("_n", "pos").select("url", "query_id", key, *rest)
 
 
 def search_links(results: DataFrame, most: int = 8) -> DataFrame:
