@@ -82,10 +82,10 @@ def links(heads: DataFrame, where: str, *, hot: int = HOT) -> DataFrame:
     """(a, b) with a > b: fingerprints that differ in one or two bits; every link, those within hot keys by way of others."""
     indexed = heads.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
     shared = indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = common.cut(indexed.join(shared, "key"), where, "met")
+    met = common.cut(indexed.join(shared.hint("merge"), "key"), where, "met")
     a, b = (met.filter(F.col("n") <= hot).select("key", F.col("fp").alias(x)) for x in "ab")
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, "key").filter((F.col("a") > F.col("b")) & (F.bit_count(apart) <= 2) & ((F.shiftrightunsigned("key", 32) < 2) | (F.shiftrightunsigned(apart, 32) != 0))).select("a", "b").distinct()
+    pairs = a.join(b.hint("merge"), "key").filter((F.col("a") > F.col("b")) & (F.bit_count(apart) <= 2) & ((F.shiftrightunsigned("key", 32) < 2) | (F.shiftrightunsigned(apart, 32) != 0))).select("a", "b").distinct()
     crowded = met.filter(F.col("n") > hot).select("fp").distinct()
     wild = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.transform(F.sequence(i + 1, F.lit(63)), lambda j: F.struct((i * 64 + j).cast("int").alias("mask"), F.col("fp").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i).bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))).alias("rest")))))
     near = (
@@ -103,23 +103,29 @@ def links(heads: DataFrame, where: str, *, hot: int = HOT) -> DataFrame:
 def roots(edges: DataFrame, where: str) -> DataFrame:
     """(node, root): the smallest node that each node of an edge reaches. Edges are (a, b) with a > b.
 
-    Large-star and small-star steps (Kiveris et al.) until the edges are stars; each step is written to the shared folder.
+    Large-star and small-star steps (Kiveris et al.) until the edges are stars; each step is written to the shared folder. No
+    table of nodes or edges is broadcast, as tables that are small in a file can be large in the driver; a node of very many
+    edges is joined apart.
     """
+
+    def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+        return common.join_heavy(edges, least, ["a"], "n", max(1000.0, HEAVY * edges.count()), ["m"])
+
     step = 0
     at = common.cut(edges.distinct(), where, "edges-0")
     while True:
         both = at.select("a", "b").unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = common.cut(large.distinct(), where, f"large-{step}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, least)
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         step += 1
         at = common.cut(small.distinct(), where, f"edges-{step}")
         # Stars: no node is both below and above another, and none has two nodes below.
         forked = at.groupBy("a").count().filter("count > 1").select("a")
-        if not at.select(F.col("b").alias("a")).join(at.select("a"), "a", "left_semi").unionByName(forked).take(1):
+        if not at.select(F.col("b").alias("a")).distinct().join(at.select("a").hint("merge"), "a", "left_semi").unionByName(forked).take(1):
             return at.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -127,10 +133,11 @@ def components(found: DataFrame, where: str, *, hot: int = HOT) -> DataFrame:
     """(doc_id, fp) with component_id added: the smallest doc_id that links reach. `found` is read several times."""
     heads = common.cut(found.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")), where, "heads")
     tops = roots(links(heads, where, hot=hot), where)
-    placed = heads.join(tops, heads["fp"] == tops["node"], "left").select("fp", "head", "n", F.coalesce("root", "fp").alias("root"))
+    placed = heads.join(tops.hint("merge"), heads["fp"] == tops["node"], "left").select("fp", "head", "n", F.coalesce("root", "fp").alias("root"))
     placed = common.cut(placed, where, "placed")
-    named = placed.groupBy("root").agg(F.min("head").alias("component_id"))
-    of = common.cut(placed.join(named, "root").select("fp", "n", "component_id"), where, "components")
+    named = placed.groupBy("root").agg(F.min("head").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    of = common.join_heavy(placed, named, ["root"], "members", max(1000.0, HEAVY * placed.count()), ["component_id"])
+    of = common.cut(of.select("fp", "n", "component_id"), where, "components")
     # A fingerprint that many rows share is joined by broadcast; there are at most 1 / HEAVY of them.
     return common.join_heavy(found, of, ["fp"], "n", max(1.0, HEAVY * found.count()), ["component_id"])
 
