@@ -39,6 +39,8 @@ WIDTH = 5
 SAMPLE = 16
 FREQUENT = 0.0001
 OFTEN = 2
+#: Frequent shingles at most, the most frequent ones: they come to the driver and to each task, of 16 bytes each.
+MOST = 100_000
 #: Members of a frequent key that all its sets are compared with first.
 LEADERS = 6
 #: Comparisons within a key from which only sets of like sketches are compared, and 64-bit words of a sketch. A sketch tells sets of
@@ -145,7 +147,7 @@ def _halves(sets: list[np.ndarray]) -> np.ndarray:
 def frequent_shingles(slim: DataFrame, where: str) -> Frequent:
     """Shingles that many of a sample's distinct sets have.
 
-    As a set has n of them, at most (mean n) / FREQUENT come to the driver and to each task, of 16 bytes each.
+    At most MOST come to the driver and to each task: among near copies most shingles are met twice, however few are frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +159,7 @@ def frequent_shingles(slim: DataFrame, where: str) -> Frequent:
     some = slim.filter(F.pmod(F.xxhash64("_file", "_at"), F.lit(SAMPLE)) == 0).select("text")
     some = common.cut(common.mapped(some, run, "_p0 long, _p1 long, all array<long>", __name__).dropDuplicates(["_p0", "_p1"]), where, "sample")
     least = max(OFTEN, int(FREQUENT * some.count()))
-    found = some.select(F.explode("all").alias("key")).groupBy("key").count().filter(F.col("count") >= least).toArrow()
+    found = some.select(F.explode("all").alias("key")).groupBy("key").count().filter(F.col("count") >= least).orderBy(F.desc("count"), "key").limit(MOST).toArrow()
     keys = found.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return Frequent(keys[order], found.column("count").to_numpy()[order])
@@ -188,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [9 * common_of(x, y) >= 4 * (len(x) + len(y)) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     return common.mapped(both.select("a", "b", "x", "y"), run, "a long, b long", __name__)
 
 
@@ -228,7 +230,7 @@ def groups(heads: DataFrame, sets_of: Callable[[DataFrame, str], DataFrame], whe
     first = links(_pairs(led).unionByName(simhash_pairs(heads, where)).distinct(), "first")
     tops = simhash.roots(first, f"{where}/first")
     # All that the first round has left apart; two of one group need no link more. Every key of two groups' members is here.
-    rooted = common.cut(met.select("key", "g", "n").join(tops.withColumnRenamed("node", "g"), "g", "left").select("key", "g", "n", F.coalesce("root", "g").alias("root")), where, "rooted")
+    rooted = common.cut(met.select("key", "g", "n").join(tops.withColumnRenamed("node", "g").hint("merge"), "g", "left").select("key", "g", "n", F.coalesce("root", "g").alias("root")), where, "rooted")
     sizes = rooted.groupBy("key", "root").count().groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("count", "root")).alias("big"), F.sum("count").alias("all")).filter("roots > 1")
     sizes = sizes.select("key", F.col("big.root").alias("big"), (F.col("all") * (F.col("all") - F.col("big.count")) > CROWDED).alias("crowded"))
     rooted = common.cut(rooted.join(sizes, "key"), where, "apart")
@@ -256,8 +258,8 @@ def simhash_pairs(heads: DataFrame, where: str) -> DataFrame:
     """(a, b) with a > b: sets whose 64-bit SimHash prints are equal or linked by deletion variants, each print by its least set."""
     of = common.cut(heads.groupBy("_fp").agg(F.min(F.struct(F.col("node").alias("g"), F.col("_n").alias("n"))).alias("least")), where, "prints")
     linked = simhash.links(of.select(F.col("_fp").alias("fp")), f"{where}/simhash")
-    same = heads.join(of, "_fp").select(F.struct(F.col("node").alias("g"), F.col("_n").alias("n")).alias("one"), F.col("least").alias("other")).filter("one.g <> other.g")
-    near = linked.join(of.select(F.col("_fp").alias("a"), F.col("least").alias("one")), "a").join(of.select(F.col("_fp").alias("b"), F.col("least").alias("other")), "b").select("one", "other")
+    same = heads.join(of.hint("merge"), "_fp").select(F.struct(F.col("node").alias("g"), F.col("_n").alias("n")).alias("one"), F.col("least").alias("other")).filter("one.g <> other.g")
+    near = linked.join(of.select(F.col("_fp").alias("a"), F.col("least").alias("one")).hint("merge"), "a").join(of.select(F.col("_fp").alias("b"), F.col("least").alias("other")).hint("merge"), "b").select("one", "other")
     sized = same.unionByName(near).filter(5 * F.least("one.n", "other.n") >= 4 * F.greatest("one.n", "other.n"))
     return sized.select(F.greatest("one.g", "other.g").alias("a"), F.least("one.g", "other.g").alias("b"))
 
@@ -289,7 +291,7 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     heads = common.cut(heads.withColumn("node", F.xxhash64("_p0", "_p1")), where, "heads")
 
     def sets_of(nodes: DataFrame, name: str) -> DataFrame:
-        at = common.cut(heads.join(nodes, "node", "left_semi").select("node", "best._file", "best._at"), where, f"wanted-{name}")
+        at = common.cut(heads.join(nodes.hint("merge"), "node", "left_semi").select("node", "best._file", "best._at"), where, f"wanted-{name}")
         place = F.pmod(F.xxhash64("_file", "_at"), F.lit(MAP_BITS))
         # At most MAP_BITS / 64 numbers come to the driver.
         bits = at.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits")).toArrow()
@@ -308,7 +310,7 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         some = common.mapped(slim.select("_file", "_at", "text", place.alias("_p")), run, "_file long, _at long, set array<long>", __name__)
         return common.cut(some.join(at.hint("merge"), ["_file", "_at"]).select("node", "set"), where, f"sets-{name}")
 
-    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_fp", "_s", "_keys", "_late"), sets_of, where), "node", "left")
+    placed = heads.select("node", "best").join(groups(heads.select("node", "_n", "_fp", "_s", "_keys", "_late"), sets_of, where).hint("merge"), "node", "left")
     stay = common.cut(placed.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best._file", "best._at"), where, "stay")
     # Never a broadcast: what stays grows with the input.
     return rows.join(stay.toDF(file, at).hint("merge"), [file, at], "left_semi").select(*columns)
