@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions import fixed, text, urls
+from tesserae.functions import fixed, likeness, text, urls
 from tesserae.session import bounded_batches
 
 QUOTAS = {"docs": 2, "github": 2, "community": 1}
@@ -142,7 +142,7 @@ def diff(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 lines = list(difflib.unified_diff(x.split("\n"), y.split("\n"), lineterm="", n=0))[2:]
                 added = [t[1:] for t in lines if t.startswith("+")][:10]
                 removed = [t[1:] for t in lines if t.startswith("-")][:10]
-                rows.append((round(100 * difflib.SequenceMatcher(None, x, y).ratio(), 2), added, removed))
+                rows.append((round(100 * likeness.ratio(x, y), 2), added, removed))
             s, p, m = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(p, pa.list_(pa.string())), pa.array(m, pa.list_(pa.string()))], names=[*batch.schema.names, "similarity", "added", "removed"])
 
