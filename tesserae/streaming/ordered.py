@@ -35,7 +35,7 @@ class OrderedFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("value", "value string")
-        self.waiting = handle.getMapState("waiting", "seq long", "at long, event string")
+        self.waiting = handle.getListState("waiting", "seq long, at long, event string")
 
     def _folded(self, value: Any, events: list[tuple[int, int, str]]) -> Any:
         for at, _, event in sorted(events):
@@ -47,16 +47,26 @@ class OrderedFold(StatefulProcessor):
         end = self.ends(value)
         return self.ended(value) if end is not None and end <= now else value
 
-    def _advance(self, watermark: int) -> Any:
-        """Fold what the watermark has passed, keep it, and return the value with the rest folded in."""
+    def _advance(self, watermark: int, new: list[tuple[int, int, str]]) -> Any:
+        """Fold what the watermark has passed, keep it, and return the value with the rest folded in.
+
+        A key's events (seq, at, event) are read and written as a list, since each call to the state is a trip to the JVM.
+        """
         held = self.value.get()
         value, self.shown = json.loads(held[0]) if held is not None else (self.start, 0)
-        waiting = [(row[0], seq[0], row[1]) for seq, row in self.waiting.iterator()]
+        held = [tuple(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        by_seq = {seq: (at, seq, event) for seq, at, event in [*held, *new]}
+        waiting = list(by_seq.values())
         passed = [e for e in waiting if e[0] <= watermark]
         if passed:
             value = self._folded(value, passed)
-            for _, seq, _ in passed:
-                self.waiting.removeKey((seq,))
+        rest = [(seq, at, event) for at, seq, event in waiting if at > watermark]
+        if not rest:
+            self.waiting.clear()
+        elif passed or len(by_seq) < len(held) + len(new):
+            self.waiting.put(rest)
+        elif new:
+            self.waiting.appendList(new)
         value = self._until(value, watermark)
         self.shown += 1
         self.value.update((json.dumps([value, self.shown]),))
@@ -72,13 +82,11 @@ class OrderedFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            for seq, at, event in zip(frame["seq"].tolist(), frame["at"].tolist(), frame["event"].tolist(), strict=True):
-                self.waiting.updateValue((seq,), (at, event))
-        yield from self._rows(key, self._advance(watermark))
+        new = [e for frame in rows for e in zip(frame["seq"].tolist(), frame["at"].tolist(), frame["event"].tolist(), strict=True)]
+        yield from self._rows(key, self._advance(watermark, new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._rows(key, self._advance(timerValues.getCurrentWatermarkInMs()))
+        yield from self._rows(key, self._advance(timerValues.getCurrentWatermarkInMs(), []))
 
     def close(self) -> None:
         pass
