@@ -42,10 +42,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each text, as ids, with their scores."""
+    """Two sampled segmentations of each text, as ids, with their scores.
+
+    The earlier stages have left an executor's heap at its full size, so workers keep smaller tables here than by themselves.
+    """
     import public_tokenizers
 
-    return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, most_states=250_000, batch_chars=1 << 17)
 
 
 STAGES = [

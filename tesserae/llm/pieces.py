@@ -43,11 +43,11 @@ OFFSET = 20.0
 TEMPERATURE = 1.0
 #: States of units that a worker keeps, with some three arcs each, at 16 bytes an arc; when there are more, it starts anew.
 MOST_STATES = 1_500_000
-#: Units whose states are built at once.
-LEARN = 8_000
+#: Units whose states are built at once; that takes some 4 KB for each.
+LEARN = 1_000
 #: Characters from which a unit's states are built one by one.
 LONG_UNIT = 64
-#: Characters of a batch of texts that are sampled together.
+#: Characters of a batch of texts that are sampled together: fewer take less memory and more time.
 BATCH_CHARS = 1 << 20
 #: Pieces of a path from its start whose alternatives are looked at first; more where these don't decide.
 WINDOW = 512
@@ -133,7 +133,7 @@ class Lattice:
         size = 1 << 20
         self.slot_hash = np.zeros(size, np.uint64)
         self.slot_id = np.full(size, -1, np.int32)
-        self.slot_weight = np.zeros(size, np.float64)
+        self.weight_of = np.zeros(len(self.bytes_of))
         self.probes = 1
         for h in prefixes:
             at = (h * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 44
@@ -144,7 +144,8 @@ class Lattice:
             self.probes = max(self.probes, k)
             self.slot_hash[at] = h
             if h in entries:
-                self.slot_id[at], self.slot_weight[at] = entries[h]
+                i, w = entries[h]
+                self.slot_id[at], self.weight_of[i] = i, w
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
@@ -218,7 +219,8 @@ class Lattice:
             whole = self.slot_id[slot] >= 0
             if size == 1:
                 single[at[whole]] = True
-            parts.append((at[whole], np.full(int(whole.sum()), size), self.slot_id[slot[whole]], self.slot_weight[slot[whole]]))
+            piece = self.slot_id[slot[whole]]
+            parts.append((at[whole], np.full(len(piece), size), piece, self.weight_of[piece]))
             go = at + size < ends[at]
             at, h = at[go], h[go]
             if not len(at):
@@ -506,10 +508,10 @@ SAMPLES = T.StructType(
 )
 
 
-def sample(docs: DataFrame, model: str, *, k: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True, offset: float = OFFSET, temperature: float = TEMPERATURE, most_states: int = MOST_STATES) -> DataFrame:
+def sample(docs: DataFrame, model: str, *, k: int = 2, key: str = "doc_id", text: str = "text", with_ids: bool = True, offset: float = OFFSET, temperature: float = TEMPERATURE, most_states: int = MOST_STATES, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """A row for each of the k sampled segmentations of each text, seeded by the row's key.
 
-    A worker keeps `most_states` states of units: more take memory and save time. ids are little-endian unsigned 32-bit numbers (null unless `with_ids`); round_trip tells whether decoding them gives the text.
+    A worker keeps `most_states` states of units, and those of one batch of `batch_chars` more: both take memory and save time. ids are little-endian unsigned 32-bit numbers (null unless `with_ids`); round_trip tells whether decoding them gives the text.
     """
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
     schema = T.StructType([T.StructField(key, T.LongType()), *SAMPLES.fields])
@@ -517,7 +519,7 @@ def sample(docs: DataFrame, model: str, *, k: int = 2, key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model, offset, temperature, most_states)
-        for batch in common.sliced(batches, "_text", BATCH_CHARS):
+        for batch in common.sliced(batches, "_text", batch_chars):
             texts = [v or "" for v in batch.column("_text").to_pylist()]
             names = batch.column(key).to_pylist()
             found = []

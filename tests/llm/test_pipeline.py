@@ -77,3 +77,32 @@ def test_run_and_empty(spark, data, tmp_path):
         shutil.copy(f"{data}/{name}.parquet", tmp_path / f"{name}.parquet")
     spark.read.parquet(f"{data}/documents.parquet").filter(F.lit(False)).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_sampling_in_the_pipeline_is_held_in_little_memory(spark, monkeypatch):
+    """Of three million characters of ever new words a worker keeps little, and the samples are those of large tables."""
+    import tracemalloc
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tesserae.llm import common, pieces
+
+    runs = []
+    monkeypatch.setattr(common, "mapped", lambda rows, run, schema, module: runs.append(run))
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    corpus_pipeline.sentencepiece(spark, docs, "")
+    letters = np.random.default_rng(7).choice(list("etaoinshrdlu"), (1500, 220, 8))
+    texts = [" ".join("".join(word) for word in text) for text in letters]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(k, k + 300)), "_text": texts[k : k + 300]}) for k in range(0, 1500, 300)]
+    next(runs[0](iter(batches[:1])))  # the model's own tables
+    tracemalloc.start()
+    found = {(r["doc_id"], r["sample"]): r["ids_crc32"] for b in runs[0](iter(batches)) for r in b.select(["doc_id", "sample", "ids_crc32"]).to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(found) == 3000 and peak < 90, peak
+    lattice = pieces.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    samples = pieces.sample_texts(lattice, texts[:600], list(range(600)), 2)
+    assert all(found[d, n] == zlib.crc32(s.ids.tobytes()) for d, of in enumerate(samples) for n, s in enumerate(of))
