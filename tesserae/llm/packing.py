@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,9 +125,10 @@ def pieces(docs: DataFrame, tokenizer: str, *, end: int, capacity: int, key: str
         seen = [0] * (capacity + 1)
         for batch in batches:
             rows = []
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(encode(value or "", last))
-                n = len(ids) // 4
+            found, edges = encode.many(pc.fill_null(batch.column(1), ""), last)
+            held = memoryview(found.view(np.uint8))
+            for name, a, b in zip(batch.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                ids, n = held[4 * a : 4 * b], b - a
                 begin, stop = 0, (n - 1) % capacity + 1
                 for piece in range(-(-n // capacity)):
                     size = stop - begin

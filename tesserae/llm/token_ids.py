@@ -14,6 +14,7 @@ ordered by a hash of the text. Null and empty texts hold only the end id.
 from __future__ import annotations
 
 import array
+import itertools
 import re
 import struct
 import zlib
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +37,17 @@ FILE_BYTES = 8 << 20
 FILES = 1_000_000
 #: Ranges whose files' sizes are added up together.
 GROUP = 1024
-#: Words whose ids a worker keeps; when there are more, it starts anew. About 200 bytes each.
+#: Words whose ids a worker keeps, and those of them that stay when there are more. About 200 bytes each.
 CACHE_WORDS = 600_000
+KEPT_WORDS = 200_000
+#: Words that the model encodes in one call.
+LEARN = 64
 
 #: The byte-level pre-tokeniser's expression; used only on texts whose characters classify alike in every Unicode version.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_OTHER = re.compile("[^\t\n\r -~¡-¬®-ɏ‐-‧‰-⁞]")
-#: White space beside a space: there a space doesn't always begin a word of its own.
-_WIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+_OTHER = "[^\t\n\r -~¡-¬®-ɏ‐-‧‰-⁞]"
+#: White space beside a space, or a space at an end: there a space doesn't always begin a word of its own.
+_WIDE = r" [ \n\t\r]|[\n\t\r] |\A | \z"
 
 _INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("size", "<u2"), ("width", "u1"), ("exceptions", "u1")])
 _DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("first", "<u8")])
@@ -69,7 +74,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.whole_if = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [*_WIDE]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unlike = "|".join([*added, _WIDE, _OTHER])  # texts for the library, as Arrow's expression
         self.pieces = regex.compile(PIECES).findall
         self.letters = _byte_letters()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -84,41 +90,79 @@ class Encoder:
     def _ids(self, piece: str) -> bytes:
         return array.array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words of letters only, in one call: no merge goes across the space that begins the next word."""
-        ids = self._ids(" " + " ".join(words))
-        first = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
-        self.words.update(zip(words, map(ids.__getitem__, map(slice, first, [*first[1:], len(ids)])), strict=True))
-
-    def _word(self, word: str) -> bytes:
-        """The ids of what stands between two spaces, with the space before it."""
-        out = []
-        for piece in self.pieces(" " + word):
-            ids = self.words.get(piece[1:]) if piece[0] == " " else self.parts.get(piece)
-            if ids is None:
-                ids = self._ids(piece)
-                if piece[0] == " ":
-                    self.words[piece[1:]] = ids
-                else:
-                    self.parts[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def __call__(self, text: str, end: bytes) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers, with the end id."""
-        if text[:1] == " " or text[-1:] == " " or any(x in text for x in self.whole_if) or _OTHER.search(text):
-            return self.whole(text) + end
-        first, *words = text.split(" ")
+    def _letters(self, words: list[str]) -> None:
+        """Encode words of letters only, LEARN in one call: no merge goes across the space that begins the next word."""
+        for k in range(0, len(words), LEARN):
+            some = words[k : k + LEARN]
+            ids = self._ids(" " + " ".join(some))
+            first = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")])).tolist()
+            self.words.update(zip(some, map(ids.__getitem__, map(slice, first, [*first[1:], len(ids)])), strict=True))
+
+    def _learn(self, new: set[str]) -> None:
+        """Encode what stands between two spaces, with the space before it: the pieces of all that aren't all letters are found in one call.
+
+        A piece begins with a space only where a word begins, as no word ends in white space but the last of a text, after which
+        a space makes no difference.
+        """
+        known, parts = self.words, self.parts
+        mixed = [w for w in new if not w.isalpha()]
+        new.difference_update(mixed)
+        pieces = self.pieces(" " + " ".join(mixed)) if mixed else []
+        starts = [k for k, piece in enumerate(pieces) if piece[0] == " "]
+        heads = [pieces[k][1:] for k in starts]
+        new.update(itertools.filterfalse(known.__contains__, filter(str.isalpha, heads)))
+        self._letters([*new])
+        for piece in itertools.filterfalse(parts.__contains__, {*pieces}):
+            if piece[0] != " ":
+                parts[piece] = self._ids(piece)
+        for word, head, a, b in zip(mixed, heads, starts, itertools.chain(starts[1:], [len(pieces)]), strict=False):
+            if (ids := known.get(head)) is None:
+                ids = known[head] = self._ids(" " + head)
+            if b - a > 1:
+                known[word] = ids + (parts[pieces[a + 1]] if b - a == 2 else b"".join(map(parts.__getitem__, pieces[a + 1 : b])))
+
+    def many(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts as unsigned 32-bit numbers, each text's with the end id, one after the other; and where each begins, with their end.
+
+        A word is looked up once for all its places in these texts, which take its ids by its number.
+        """
+        plain = pc.invert(pc.match_substring_regex(texts, self.unlike))
+        cut = pc.split_pattern(pc.if_else(plain, texts, pa.scalar("", texts.type)), " ")
+        flat, n = cut.flatten(), len(texts)
+        begins = np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))).astype(np.int64)
+        later = np.ones(len(flat), bool)
+        later[begins[:-1]] = False
+        coded = flat.filter(pa.array(later)).dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) + len(self.parts) > CACHE_WORDS:
-            self.words.clear()
+            # The words met first are the frequent ones: they stay.
+            self.words = dict(itertools.islice(self.words.items(), KEPT_WORDS))
             self.parts.clear()
         known = self.words
-        new = {*words}.difference(known)
-        if letters := [w for w in new if w.isalpha()]:
-            self._learn(letters)
-        for word in new.difference(letters):
-            known[word] = self._word(word)
-        return b"".join([*map(self._ids, self.pieces(first)), *map(known.__getitem__, words), end])
+        if new := {*itertools.filterfalse(known.__contains__, words)}:
+            self._learn(new)
+        firsts = flat.take(pa.array(begins[:-1])).to_pylist()
+        first = [b"".join(map(self._ids, self.pieces(f))) if p else self.whole(texts[k].as_py()) for k, (f, p) in enumerate(zip(firsts, plain.to_pylist(), strict=True))]
+        found = [*map(known.__getitem__, words), *first, end]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table = np.frombuffer(b"".join(found), "<u4")
+        # A text is its first word, or the whole of it, then its other words, then the end.
+        edges = begins + np.arange(n + 1)
+        inner = np.ones(edges[-1], bool)
+        inner[edges[:-1]] = inner[edges[1:] - 1] = False
+        which = np.empty(edges[-1], np.int64)
+        which[edges[:-1]] = len(words) + np.arange(n)
+        which[edges[1:] - 1] = len(words) + n
+        which[inner] = coded.indices.to_numpy()
+        size = sizes[which]
+        stop = np.cumsum(size)
+        from_ = (np.cumsum(sizes) - sizes)[which] - (stop - size)
+        ids = table[np.repeat(from_, size) + np.arange(stop[-1] if n else 0)]
+        return ids, np.append(0, stop[edges[1:] - 1])
+
+    def __call__(self, text: str, end: bytes) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers, with the end id."""
+        return self.many(pa.array([text], pa.string()), end)[0].tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -306,12 +350,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, end: int, key: str =
                 yield pa.RecordBatch.from_pydict({"file": [name], "n_values": [out.values]}, schema=pa.schema([("file", pa.int64()), ("n_values", pa.int64())]))
 
         for batch in batches:
-            for number, name, value in zip(batch.column("file").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            texts = batch.column("text")
+            ids, edges = encode.many(texts, last)
+            columns = [batch.column("file"), batch.column("key"), pc.utf8_length(texts)]
+            for number, name, length, a, b in zip(*(c.to_pylist() for c in columns), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if number != at or size > 2 * file_bytes:
                     yield from close()
                     at, out, size, part = number, Writer(), 0, part + 1 if number == at else 0
-                out.add(name, encode(value, last))
-                size += len(value)
+                out.add(name, ids[a:b].tobytes())
+                size += length
         yield from close()
 
     files = common.mapped(ordered(docs, key=key, text=text, file_bytes=file_bytes), run, "file long, n_values long", __name__)

@@ -5,6 +5,7 @@ import os
 import shutil
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tesserae.llm import common, token_ids, warc
@@ -66,3 +67,23 @@ def test_ranges(spark):
         rows = spark.range(-5, 10 * n + 5, 3 if n < 100 else 97).select(F.col("id").alias("k"))
         got = rows.select("k", common.range_of("k", cuts).alias("r"), common.lookup("k", [(c, c + 1) for c in cuts]).alias("v")).collect()
         assert all(r["r"] == sum(c < r["k"] for c in cuts) and r["v"] == (r["k"] + 1 if r["k"] in cuts else None) for r in got)
+
+
+def test_words_of_a_batch_are_learnt_together(monkeypatch):
+    """One call of the model for many new words, with punctuation or without; when the table overflows, the words met first stay."""
+    encode = token_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}" for k in range(1000)]
+    texts = ["", *(" ".join(w + p for w, p in zip(words[k:] + words[:k], [",", ".\nNew", "", "###", "\t1a\n\n", "'s?"] * 200)) for k in range(0, 1000, 50)), "a  b", "漢字", "x<|endoftext|>", "one\n\n\n", " x"]
+    model, calls = encode.tokenize, []
+    encode.tokenize = lambda piece: calls.append(piece) or model(piece)
+    for most in (token_ids.CACHE_WORDS, 100):
+        monkeypatch.setattr(token_ids, "CACHE_WORDS", most)
+        monkeypatch.setattr(token_ids, "KEPT_WORDS", 60)
+        ids, edges = encode.many(pa.array(texts), b"\2\0\0\0")
+        assert len(edges) == len(texts) + 1
+        for k, text in enumerate(texts):
+            assert ids[edges[k] : edges[k + 1]].tolist() == [*encode.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    kept = list(encode.words)[:60]
+    assert len(calls) < 150
+    ids, edges = encode.many(pa.array([], pa.string()), b"")
+    assert len(ids) == 0 and edges.tolist() == [0] and list(encode.words) == kept
