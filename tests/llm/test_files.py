@@ -3,6 +3,7 @@
 import hashlib
 import os
 import shutil
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -87,3 +88,20 @@ def test_words_of_a_batch_are_learnt_together(monkeypatch):
     assert len(calls) < 150
     ids, edges = encode.many(pa.array([], pa.string()), b"")
     assert len(ids) == 0 and edges.tolist() == [0] and list(encode.words) == kept
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before, held = shuffled(), spark.conf.get(common.CLEANUP)
+    rows = spark.range(20_000).select((F.col("id") % 100).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    met = rows.repartition(3, "k").join(rows.groupBy("k").agg(F.max("t").alias("most")).hint("merge"), "k")
+    cut = common.cut(met, common.shared_dir(spark), "met")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(common.CLEANUP) == held
+    assert cut.count() == 20_000 and cut.exceptAll(met).isEmpty()
