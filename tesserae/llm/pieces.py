@@ -23,6 +23,7 @@ are dropped by `sample`; U+2581 counts as a space, as in the library.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import itertools
 import math
@@ -32,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +43,9 @@ from tesserae.llm import common
 SPACE = "▁"
 OFFSET = 20.0
 TEMPERATURE = 1.0
-#: States of units that a worker keeps, with some three arcs each, at 16 bytes an arc; when there are more, it starts anew.
+#: States of units that a worker keeps, with some three arcs each, at 16 bytes an arc, and the share of them that stays when there are more.
 MOST_STATES = 1_500_000
+KEPT = 0.3
 #: Units whose states are built at once; that takes some 4 KB for each.
 LEARN = 1_000
 #: Characters from which a unit's states are built one by one.
@@ -155,6 +158,15 @@ class Lattice:
             self.first, self.count = (np.empty(1 << 18, np.int32) for _ in range(2))
             self.cum, self.next, self.token, self.log = (np.empty(3 << 18, t) for t in (np.float32, np.int32, np.int32, np.float32))
 
+    def shrink(self, states: int) -> None:
+        """Forget all but the units that were met first, of about so many states: those are the frequent ones."""
+        bases = list(self.units.values())  # ascending
+        n = bisect.bisect_left(bases, states)
+        if n < len(bases):
+            self.states, self.arcs = bases[n], int(self.first[bases[n]])
+            self.units = dict(itertools.islice(self.units.items(), n))
+            self.words = {word: own for word, own in self.words.items() if max(own) < self.states}
+
     def _room(self, names: tuple[str, ...], used: int, more: int) -> None:
         for name in names:
             held = getattr(self, name)
@@ -276,27 +288,44 @@ class Lattice:
         ends = np.array(to)
         self._add({unit: 0}, n, np.array(state), np.where(ends == n, -1, ends), np.array(token), np.array(mass))
 
-    def starts(self, texts: list[str]) -> list[list[int]]:
+    def starts(self, texts: list[str]) -> list[np.ndarray]:
         """The first state of each unit of each text; unknown units are learnt."""
         if self.states > self.most_states:
-            self.clear()
-        # Where no two spaces meet, what stands between spaces is looked up whole.
-        split = [t.split(" ") if t and "  " not in t and SPACE not in t and t[-1] != " " else None for t in texts]
-        met = set().union(*filter(None, split))
-        new = met.difference(self.words)
-        slow = {k: units_of(t) for k, (t, s) in enumerate(zip(texts, split, strict=True)) if s is None}
-        self._enter(new, itertools.chain.from_iterable(slow.values()))
-        of = self.units.__getitem__
-        word = self.words.__getitem__
-        return [list(map(of, slow[k])) if s is None else list(itertools.chain.from_iterable(map(word, s))) for k, s in enumerate(split)]
+            self.shrink(int(KEPT * self.most_states))
+        # Where no two spaces meet, what stands between spaces is looked up whole, once for all its places.
+        plain = [k for k, t in enumerate(texts) if t and "  " not in t and SPACE not in t and t[-1] != " "]
+        try:
+            cut = pc.split_pattern(pa.array([texts[k] for k in plain], pa.string()), " ")
+        except UnicodeEncodeError:  # halves of characters
+            plain, cut = [], pa.array([], pa.list_(pa.string()))
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        slow = {k: units_of(texts[k]) for k in sorted({*range(len(texts))}.difference(plain))}
+        self._enter({*itertools.filterfalse(self.words.__contains__, words)}, itertools.chain.from_iterable(slow.values()))
+        out = [np.fromiter(map(self.units.__getitem__, slow[k]), np.int32) if k in slow else None for k in range(len(texts))]
+        own = [*map(self.words.__getitem__, words)]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        table = np.fromiter(itertools.chain.from_iterable(own), np.int32)
+        which = coded.indices.to_numpy()
+        size = sizes[which]
+        stop = np.cumsum(size)
+        found = table[np.repeat((np.cumsum(sizes) - sizes)[which] - (stop - size), size) + np.arange(size.sum())]
+        edges = np.append(0, stop)[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))).astype(np.int64)].tolist()
+        for k, lo, hi in zip(plain, edges[:-1], edges[1:], strict=True):
+            out[k] = found[lo:hi]
+        return out
 
     def _enter(self, words: set[str], units: Iterable[str] = ()) -> None:
         """Make words and further units known."""
-        parts = {w: [SPACE + w] if w.isalpha() else cut_word(SPACE, w) for w in words}
-        unknown = set(itertools.chain(itertools.chain.from_iterable(parts.values()), units)).difference(self.units)
+        letters = [w for w in words if w.isalpha()]
+        whole = [SPACE + w for w in letters]
+        # Most others are letters and one more character.
+        parts = {w: [SPACE + w[:-1], w[-1]] if w[:-1].isalpha() else cut_word(SPACE, w) for w in words.difference(letters)}
+        unknown = set(itertools.chain(whole, itertools.chain.from_iterable(parts.values()), units)).difference(self.units)
         if unknown:
             self.learn(sorted(unknown))
         of = self.units.__getitem__
+        self.words.update(zip(letters, zip(map(of, whole), strict=True), strict=True))
         for word, own in parts.items():
             self.words[word] = tuple(map(of, own))
 
@@ -363,7 +392,7 @@ class Sample:
 
 def sample_texts(lattice: Lattice, texts: list[str], keys: list[int], k: int) -> list[list[Sample]]:
     """The k samples of each text, largest perturbed value first."""
-    starts = [np.array(s, np.int32) for s in lattice.starts(texts)]
+    starts = lattice.starts(texts)
     seeds = mixed(np.array(keys, np.int64).astype(np.uint64) + _GOLDEN)
     n = len(texts)
     out: list[list[Sample]] = [[] for _ in range(n)]

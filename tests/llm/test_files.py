@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tesserae.llm import common, token_ids, warc
+from tesserae.llm import common, pieces, token_ids, warc
 
 
 def digests(folder):
@@ -105,3 +105,23 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not shuffled() - before and spark.conf.get(common.CLEANUP) == held
     assert cut.count() == 20_000 and cut.exceptAll(met).isEmpty()
+
+
+def test_units_met_first_stay():
+    """A worker whose states overflow keeps the units that it met first; samples don't depend on what is kept."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [f"the {a}on, of {b}er. {a}{b}###\nthe  end {c} ½ " + "x" * (k % 3) for k, (a, b, c) in enumerate((chr(97 + i % 26) * 3, chr(98 + i % 25) + "te", "漢字"[: i % 3]) for i in range(60))] + ["", " ", "a\ud800 b", "the of"]
+    small, large = pieces.Lattice(path, most_states=200), pieces.Lattice(path)
+
+    def plain(samples):
+        return [[(s.ids.tolist(), round(s.log, 9), round(s.value, 9), round(s.inclusion, 9)) for s in x] for x in samples]
+
+    keys = list(range(len(texts)))
+    want = plain(pieces.sample_texts(large, texts, keys, 2))
+    for k in range(0, len(texts), 8):
+        assert plain(pieces.sample_texts(small, texts[k : k + 8], keys[k : k + 8], 2)) == want[k : k + 8]
+    before = list(small.units.items())
+    small.shrink(60)
+    assert 0 < len(small.units) < len(before) and list(small.units.items()) == before[: len(small.units)] and "the" in small.units
+    assert 60 <= small.states < 120 and all(max(own) < small.states for own in small.words.values())
+    assert plain(pieces.sample_texts(small, texts, keys, 2)) == want
