@@ -5,6 +5,8 @@ value that the state keeps; so what is held for a key is that value and the even
 micro-batch a key that had events shows the value with the waiting ones folded in as well: a result that later events may
 still mend. Repeated events (of one number) count once while they wait; what comes later than the watermark is dropped.
 
+Learned scores, whose sources have few events a range of time, are a streaming aggregate instead (`score_ranges`).
+
 The results go to a folder by `upsert`, an update log that names each batch's rows by the batch's number, so that a batch
 which runs again writes the same; `latest` reads the last row of each key.
 """
@@ -17,7 +19,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -92,10 +94,14 @@ class OrderedFold(StatefulProcessor):
         pass
 
 
+def _stored_on_disk(spark: SparkSession) -> None:
+    """Streams that start from now on keep their state in files and not in the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def folded(stream: DataFrame, fold: OrderedFold, fields: str, *, delay: str) -> DataFrame:
     """The updates (key, the fold's fields, and `order`, which counts a key's updates) of a stream of key (string), ts (timestamp), seq (long, one for each event) and event (JSON)."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _stored_on_disk(stream.sparkSession)
     slim = stream.select("key", "ts", "seq", F.unix_millis("ts").alias("at"), "event").withWatermark("ts", delay)
     return slim.groupBy("key").transformWithStateInPandas(statefulProcessor=fold, outputStructType=f"key string, {fields}, order long", outputMode="Update", timeMode="EventTime")
 
@@ -163,28 +169,35 @@ def jobs(stream: DataFrame, *, delay: str = "1 hour") -> DataFrame:
 # --- learned scores --------------------------------------------------------------------------------------------------
 
 
-def score_fold(step: float, least: float, most: float) -> OrderedFold:
-    """A range's clamped steps as one function x -> min(high, max(low, x + add)); an event is whether it was a success."""
-
-    def after(value: list, at: int, success: bool) -> list:
-        add, low, high = value
-        move = step if success else -step
-        return [add + move, min(most, max(least, low + move)), min(most, max(least, high + move))]
+def score_fold(step: float, least: float, most: float) -> Callable[[Column], Column]:
+    """A range's clamped steps as one function x -> min(high, max(low, x + add)) of an array of (ts, seq, success) in order; an event is whether it was a success."""
 
-    return OrderedFold([0.0, -1e300, 1e300], after, lambda v: {"add": v[0], "low": v[1], "high": v[2]})
+    def after(a: Column, e: Column) -> Column:
+        move = F.when(e["success"], F.lit(float(step))).otherwise(F.lit(-float(step)))
+        clamped = lambda x: F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), x + move))
+        return F.struct((a["add"] + move).alias("add"), clamped(a["low"]).alias("low"), clamped(a["high"]).alias("high"))
 
+    first = F.struct(F.lit(0.0).alias("add"), F.lit(-1e300).alias("low"), F.lit(1e300).alias("high"))
+    return lambda events: F.aggregate(events, first, after)
 
-SCORE_FIELDS = "add double, low double, high double"
 
+def score_ranges(log: DataFrame, fold: Callable[[Column], Column], *, hours: int = 24, delay: str = "1 hour") -> DataFrame:
+    """The updates (key, add, low, high, order) of the function of each source's events in each range of time; a busy source is many keys. log: url, ts, seq, success.
 
-def score_ranges(log: DataFrame, fold: OrderedFold, *, hours: int = 24, delay: str = "1 hour") -> DataFrame:
-    """The function of each source's events in each range of time; a busy source is many keys. log: url, ts, seq, success."""
-    part = F.expr(f"cast(unix_seconds(ts) div {3600 * hours} as string)")
-    return folded(log.select(F.concat_ws("\n", part, "url").alias("key"), "ts", "seq", F.to_json(F.struct("success")).alias("event")).withColumn("event", F.get_json_object("event", "$.success")), fold, SCORE_FIELDS, delay=delay)
+    The state is that of a streaming aggregate: a range's different events, so that repeated ones count once, until the watermark
+    has passed its end. What comes later than that is dropped. No key is a call to Python, as sources with few events a range have
+    about as many keys as events.
+    """
+    _stored_on_disk(log.sparkSession)
+    events = F.collect_set(F.struct("ts", "seq", "success")).alias("events")
+    held = log.withWatermark("ts", delay).groupBy(F.window("ts", f"{hours} hours"), "url").agg(events)
+    part = F.expr(f"cast(unix_seconds(window.start) div {3600 * hours} as string)")
+    made = held.select(F.concat_ws("\n", part, "url").alias("key"), fold(F.sort_array("events")).alias("f"), F.size("events").cast("long").alias("order"))
+    return made.select("key", "f.add", "f.low", "f.high", "order")
 
 
 def composed(ranges: DataFrame, start: float) -> DataFrame:
     """(url, score): the ranges' functions applied in order of time."""
-    each = ranges.select(F.substring_index("key", "\n", 1).cast("long").alias("part"), F.expr("substring(key, instr(key, '\\n') + 1)").alias("url"), "add", "low", "high")
+    each = ranges.select(F.substring_index("key", "\n", 1).cast("long").alias("part"), F.expr("if(instr(key, '\\n') > 0, substring(key, instr(key, '\\n') + 1), null)").alias("url"), "add", "low", "high")
     whole = each.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("part", "add", "low", "high"))).alias("p"))
     return whole.select("url", F.aggregate("p", F.lit(start), lambda a, x: F.least(x["high"], F.greatest(x["low"], a + x["add"]))).alias("score"))
